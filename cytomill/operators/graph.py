@@ -92,7 +92,7 @@ def run_components(runs: DataFrame, img: Sequence[str] = ("image_id",), diagonal
     reach = 1 if diagonal else 0
     # a run of row y meets a run of row y+1; 8-connectivity widens one side by a pixel each way
     a = _binned(r.withColumn("x0", F.col("x0") - reach).withColumn("x1", F.col("x1") + reach), 64)
-    b = _binned(r.select(*img, (F.col("y") - 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("l2"), F.col("rid").alias("rid2"), "x0", "x1"), 64).drop("x0", "x1")
+    b = _binned(r.select(*img, (F.col("y") - 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("l2"), F.col("rid").alias("rid2")), 64, "u0", "u1")
     e = a.join(b, [*img, "y", "__bx"]).where((F.col("x0") < F.col("u1")) & (F.col("u0") < F.col("x1")))
     if same_label:
         e = e.where(F.col("label") == F.col("l2"))

@@ -173,6 +173,10 @@ def _split_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float],
     )
 
 
+def _distances(a: Column, center: Column) -> Column:
+    return F.transform(a, lambda x: F.abs(x - center))
+
+
 def median_mad_columns(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], group_rows: int | None = None, in_memory: int = IN_MEMORY
 ) -> DataFrame:
@@ -195,7 +199,7 @@ def median_mad_columns(
         F.struct(
             F.lit(c).alias("feature"),
             F.col(f"{c}.m").alias("median"),
-            _at_prob(F.sort_array(F.transform(F.col(f"{c}.a"), lambda x, c=c: F.abs(x - F.col(f"{c}.m")))), 0.5).alias("mad"),
+            _at_prob(F.sort_array(_distances(F.col(f"{c}.a"), F.col(f"{c}.m"))), 0.5).alias("mad"),
         )
         for c in columns
     ]

@@ -13,8 +13,8 @@ from cytomill.operators.ordered import join_on
 IMG = ("image_id",)
 
 
-def _binned(runs: DataFrame, size: int) -> DataFrame:
-    span = F.sequence(F.floor(F.col("x0") / size), F.floor((F.col("x1") - 1) / size))
+def _binned(runs: DataFrame, size: int, lo: str = "x0", hi: str = "x1") -> DataFrame:
+    span = F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(hi) - 1) / size))
     return runs.withColumn("__bx", F.explode(span))
 
 
@@ -76,7 +76,7 @@ def overlap_from_pairs(df: DataFrame, img: Sequence[str], a: str, b: str) -> Dat
 def run_overlap(a: DataFrame, b: DataFrame, img: Sequence[str] = IMG, size: int = 64) -> DataFrame:
     """Foreground pixel co-occurrence of two run tables; overlaps are cut at bin borders so they sum once."""
     left = _binned(a.select(*img, "y", "x0", "x1", F.col("label").alias("a_label")), size)
-    right = _binned(b.select(*img, "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("b_label")), size)
+    right = _binned(b.select(*img, "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("b_label")), size, "u0", "u1")
     lo = F.greatest("x0", "u0", F.col("__bx") * size)
     hi = F.least("x1", "u1", (F.col("__bx") + 1) * size)
     return (

@@ -6,7 +6,7 @@ import importlib
 
 from cytomill.plans import registry
 
-FAMILIES = ["profiling"]
+FAMILIES = ["profiling", "regions", "transcriptomics"]
 
 
 def _load() -> None:
