@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cytomill.operators.ordered import join_on
+from cytomill.session import cut
 
 IMG = ("image_id",)
 # fixed values: the threshold list of the dataset evaluation
@@ -160,7 +161,7 @@ def _by_component(pairs: DataFrame, img: Sequence[str]) -> DataFrame:
     small independent pieces, never on a whole image."""
     from cytomill.operators.graph import components
 
-    p = pairs.withColumn("__na", F.xxhash64(F.lit("a"), *img, "a_label")).withColumn("__nb", F.xxhash64(F.lit("b"), *img, "b_label"))
+    p = cut(pairs).withColumn("__na", F.xxhash64(F.lit("a"), *img, "a_label")).withColumn("__nb", F.xxhash64(F.lit("b"), *img, "b_label"))
     comp = components(p, None, "__na", "__nb").withColumnRenamed("node", "__na")
     return p.join(comp, "__na").drop("__na", "__nb")
 
@@ -190,6 +191,7 @@ def assigned_pairs(pairs: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     components, is solved in Python.
     """
     cols = [*img, "a_label", "b_label", "iou", "n_px"]
+    pairs = cut(pairs.select(*cols))
     sure = strict_matches(pairs, [0.5], img).select(*cols)
     rest = join_on(pairs.select(*cols).where("n_px > 0"), sure.select(*img, "a_label"), [*img, "a_label"], "left_anti")
     rest = join_on(rest, sure.select(*img, "b_label"), [*img, "b_label"], "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from cytomill.functions import tails
 from cytomill.operators.ordered import join_on
+from cytomill.session import cut
 
 
 def _cell(level, v, low: float, side: float):
@@ -44,6 +45,7 @@ def nearest(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (),
     top = F.lit(depth)
     spots = spots.withColumn("fx", _cell(top, F.col("dx"), x0, side)).withColumn("fy", _cell(top, F.col("dy"), y0, side))
     spots_q = spots_q.withColumn("fx", _cell(top, F.col("qx"), x0, side)).withColumn("fy", _cell(top, F.col("qy"), y0, side))
+    spots, spots_q = cut(spots), cut(spots_q)  # both are read by several steps below
     up = F.explode(F.sequence(F.lit(0), top))
 
     def at_levels(cells: DataFrame) -> DataFrame:

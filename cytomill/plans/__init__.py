@@ -6,7 +6,7 @@ import importlib
 
 from cytomill.plans import registry
 
-FAMILIES = ["profiling", "regions", "transcriptomics"]
+FAMILIES = ["profiling", "regions", "transcriptomics", "imaging", "clustering"]
 
 
 def _load() -> None:
