@@ -6,7 +6,7 @@ import importlib
 
 from cytomill.plans import registry
 
-FAMILIES = ["profiling", "regions", "transcriptomics", "imaging", "clustering"]
+FAMILIES = ["profiling", "regions", "transcriptomics", "imaging", "clustering", "volumes"]
 
 
 def _load() -> None:

@@ -9,6 +9,7 @@ from cytomill.operators import clusters as cl
 from cytomill.operators import expression as ex
 from cytomill.operators import inference as inf
 from cytomill.plans.profiling import CVR, field_values
+from cytomill.session import cut
 from cytomill.plans.registry import Tables, query, r, rnd
 from cytomill.plans.transcriptomics import cells, expr, genes, marker_table, spots
 
@@ -108,13 +109,13 @@ def _(t):
 @query("m06_cluster_and_annotate")
 def _(t):
     """Normalise, keep variable genes, PCA + k-means per cell, markers per cluster, best marker set."""
-    norm = ex.normalize_log(expr(t))
+    norm = cut(ex.normalize_log(expr(t)))
     top = ex.highly_variable(ex.gene_dispersion(norm, cells(t).agg(F.count(F.lit(1)).alias("n"))), 10, bins=5).select("gene")
     names = genes(t).join(top, "gene", "left_semi")
     order = [x["gene"] for x in names.orderBy("gene").collect()]  # ten gene names
     wide = norm.join(F.broadcast(names), "gene").groupBy("cell_id").pivot("gene", order).agg(F.first("value")).fillna(0.0)
-    got = cl.kmeans_columns(wide, order, 4).select("cell_id", "cluster")
-    tests = ex.one_vs_rest_markers(expr(t).join(got.select("cell_id"), "cell_id", "left_semi"), got, genes(t))
+    got = cut(cl.kmeans_columns(cut(wide), order, 4).select("cell_id", "cluster"))
+    tests = cut(ex.one_vs_rest_markers(expr(t).join(got.select("cell_id"), "cell_id", "left_semi"), got, genes(t)))
     from cytomill.operators.ordered import top_k
     best = top_k(tests.where("p_adj < 0.05"), ["cluster"], [F.col("p_adj"), F.col("gene")], 10)
     hits = best.join(marker_table(t), "gene").groupBy("cluster", "set").agg(F.count(F.lit(1)).alias("n"))
