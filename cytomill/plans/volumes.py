@@ -243,9 +243,10 @@ def _(t):
     return gr.lineages(tracks(t), e).fillna(-1, ["parent"])
 
 
-@query("u05_singleton_tracks", f"with {TRK} select track_id from tr where parent is null and track_id not in (select parent from tr where parent is not null)")
+@query("u05_singleton_tracks", """with e as (select conv_id * 1000 + turn - 1 as p, conv_id * 1000 + turn as c from conversations where turn > 0 and role = 'user')
+   select conv_id * 1000 + turn as track_id from conversations where conv_id * 1000 + turn not in (select p from e union select c from e)""")
 def _(t):
-    e = tracks(t).where("parent is not null").select("parent", F.col("track_id").alias("child"))
+    e = t.conversations.where("turn > 0 and role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("child"))
     return gr.singletons(tracks(t), e)
 
 
