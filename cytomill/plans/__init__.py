@@ -6,7 +6,7 @@ import importlib
 
 from cytomill.plans import registry
 
-FAMILIES = ["profiling", "regions", "transcriptomics", "imaging", "clustering", "volumes", "scores", "scalars"]
+FAMILIES = ["profiling", "regions", "transcriptomics", "imaging", "clustering", "volumes", "scores", "scalars", "inout", "streams"]
 
 
 def _load() -> None:
