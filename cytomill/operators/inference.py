@@ -91,14 +91,14 @@ def class_versus_rest(values: DataFrame, group: str, value: str = "value") -> Da
 def bonferroni(tests: DataFrame, keys: Sequence[str], p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Adds `significant` = p < alpha / number of tests in the group."""
     n = tests.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return join_on(tests, n, keys).withColumn("significant", F.col(p) < alpha / F.col("__n")).drop("__n")
+    return join_on(tests, n, keys, null_safe=True).withColumn("significant", F.col(p) < alpha / F.col("__n")).drop("__n")
 
 
 def perturbation_scores(tests: DataFrame, group: str, alpha: float = 0.05, min_n: int = 3) -> DataFrame:
     """Share of features with p < alpha / F and the largest / mean |d| per treatment."""
     t = tests.where((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
     n = t.groupBy(group).agg(F.count(F.lit(1)).alias("n_features"))
-    j = join_on(t, n, [group])
+    j = join_on(t, n, [group], null_safe=True)
     sig = F.sum((F.col("p") < alpha / F.col("n_features")).cast("long"))
     return j.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_features"), sig.alias("n_significant"), (sig / F.count(F.lit(1))).alias("score"),
@@ -197,7 +197,7 @@ def otsu(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     cand = r.where("bn > 0").select(*keys, value, sse.alias("sse"))
     best = cand.groupBy(*keys).agg(F.min_by(value, F.struct(F.round("sse", 9), F.col(value))).alias("__hi"))
     # the midpoint needs the largest distinct value below the chosen one
-    j = join_on(c.select(*keys, value), best, keys).where(F.col(value) < F.col("__hi"))
+    j = join_on(c.select(*keys, value), best, keys, null_safe=True).where(F.col(value) < F.col("__hi"))
     return j.groupBy(*keys, "__hi").agg(F.max(value).alias("__lo")).select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias("threshold"))
 
 

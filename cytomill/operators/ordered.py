@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BUCKET = "__bucket"
+KEY = "__key"
 IN_MEMORY = 500_000  # rows of one group that may sit in one task as an array of doubles (4 MB)
 
 
+def _key(keys: Sequence[str]) -> Column:
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+
+
 def value_bucket(v: Column, bits: int) -> Column:
     """Monotone whole-number bucket of a double: exponent and the first `bits` of the mantissa.
 
@@ -30,10 +35,16 @@ def value_bucket(v: Column, bits: int) -> Column:
     return F.when(a == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on equally named keys where NULL matches NULL; keys come from the left."""
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Equi join on equally named keys.
+
+    `null_safe` makes NULL match NULL (group keys of unknown origin); the plain form keeps the
+    partitioning of earlier steps on the same keys.
+    """
     if not keys:
-        return left.crossJoin(right)
+        return left.crossJoin(right)  # both sides are one row then
+    if not null_safe:
+        return left.join(right, list(keys), how)
     r = right
     for k in keys:
         r = r.withColumnRenamed(k, f"__r_{k}")
@@ -48,23 +59,23 @@ def running_sums(
 
     "Earlier" is ascending `order`, then `ties`; (keys, order, ties) must be unique.
     """
-    keys = list(keys)
-    cut = df.withColumn(BUCKET, value_bucket(F.col(order), bits))
-    per = cut.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    kept = df.columns
+    # a struct key is never NULL and equal to itself even with NULL fields, so groups with a NULL key
+    # survive the join, and window, join and aggregate share one partitioning on (key, bucket)
+    rows = df.withColumn(KEY, _key(keys)).withColumn(BUCKET, value_bucket(F.col(order), bits))
+    per = rows.groupBy(KEY, BUCKET).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    group = W.partitionBy(KEY)
     before = group.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = per.select(
-        *keys,
+        KEY,
         BUCKET,
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
         *[F.sum(f"__s_{n}").over(group).alias(f"{n}_total") for n in sums],
     )
-    inside = W.partitionBy(*keys, BUCKET).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
-    rows = cut.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{n}") for n, c in sums.items()])
-    out = join_on(rows, offsets, [*keys, BUCKET])
-    for n in sums:
-        out = out.withColumn(n, F.col(f"__i_{n}") + F.col(f"__o_{n}"))
-    return out.drop(BUCKET, *[f"__i_{n}" for n in sums], *[f"__o_{n}" for n in sums])
+    inside = W.partitionBy(KEY, BUCKET).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{n}") for n, c in sums.items()])
+    out = rows.join(offsets, [KEY, BUCKET])
+    return out.select(*kept, *[(F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums], *[f"{n}_total" for n in sums])
 
 
 def pearson(x, y) -> Column:
@@ -93,7 +104,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, bits: int = 6)
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, bits: int = 6) -> DataFrame:
     """Row-level average-tie rank: ranks per distinct value joined back."""
     r = average_ranks(df, keys, value, bits).select(*keys, value, F.col("rank").alias(out))
-    return join_on(df, r, [*keys, value], "left")
+    return join_on(df, r, [*keys, value], "left", null_safe=True)
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: str, out: str, ties: Sequence[str] = (), bits: int = 6) -> DataFrame:
@@ -142,11 +153,11 @@ def _at_prob(a: Column, p: float) -> Column:
 
 
 def _split_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float], bits: int) -> DataFrame:
-    rows = rows.withColumn(BUCKET, value_bucket(F.col("__v"), bits))
-    per = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    rows = rows.select(_key(keys).alias(KEY), "__v", value_bucket(F.col("__v"), bits).alias(BUCKET))
+    per = rows.groupBy(KEY, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(KEY)
     per = per.select(
-        *keys,
+        KEY,
         BUCKET,
         "__n",
         F.coalesce(F.sum("__n").over(group.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"),
@@ -158,17 +169,17 @@ def _split_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float],
         [(F.col("__b") <= r) & (r < F.col("__b") + F.col("__n")) for p in pos.values() for r in (F.floor(p), F.ceil(p))],
     )
     few = per.where(wanted).drop("__n")
-    near = join_on(rows, few, [*keys, BUCKET]).groupBy(*keys, BUCKET, "__v", "__b", "__t").agg(F.count(F.lit(1)).alias("__n"))
-    inside = W.partitionBy(*keys, BUCKET).orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    near = rows.join(few, [KEY, BUCKET]).groupBy(KEY, BUCKET, "__v", "__b", "__t").agg(F.count(F.lit(1)).alias("__n"))
+    inside = W.partitionBy(KEY, BUCKET).orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
     near = near.withColumn("__s", F.col("__b") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("__s") <= rank) & (rank < F.col("__s") + F.col("__n")), F.col("__v")))
 
     ends = [e for name, p in pos.items() for e in (at(F.floor(p)).alias(f"__lo_{name}"), at(F.ceil(p)).alias(f"__hi_{name}"))]
-    got = near.groupBy(*keys).agg(F.max("__t").alias("__t"), *ends)
+    got = near.groupBy(KEY).agg(F.max("__t").alias("__t"), *ends)
     return got.select(
-        *keys,
+        *[F.col(f"{KEY}.{k}").alias(k) for k in keys],
         *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * (p - F.floor(p))).alias(n) for n, p in pos.items()],
     )
 
@@ -178,9 +189,9 @@ def _distances(a: Column, center: Column) -> Column:
 
 
 def median_mad_columns(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], group_rows: int | None = None, in_memory: int = IN_MEMORY
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], group_rows: int | None = None, in_memory: int = IN_MEMORY, count: str | None = None
 ) -> DataFrame:
-    """(keys, feature, median, mad) for several value columns at once.
+    """(keys, feature, median, mad) for several value columns at once; `count` adds the rows per group.
 
     Groups that fit a task (measured once) need a single shuffle for both statistics; larger ones
     take the split route column by column. NULLs must already stand for missing values.
@@ -191,10 +202,14 @@ def median_mad_columns(
         long = df.select(*keys, *columns).unpivot(list(keys), list(columns), "feature", "value")
         fk = [*keys, "feature"]
         med = quantiles(long, fk, "value", {"median": 0.5}, group_rows, in_memory)
-        dev = join_on(long, med, fk).withColumn("__d", F.abs(F.col("value") - F.col("median")))
-        return join_on(med, quantiles(dev, fk, "__d", {"mad": 0.5}, group_rows, in_memory), fk)
-    g = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns])
-    g = g.select(*keys, *[F.struct(F.col(c).alias("a"), _at_prob(F.col(c), 0.5).alias("m")).alias(c) for c in columns])
+        dev = join_on(long, med, fk, null_safe=True).withColumn("__d", F.abs(F.col("value") - F.col("median")))
+        both = join_on(med, quantiles(dev, fk, "__d", {"mad": 0.5}, group_rows, in_memory), fk, null_safe=True)
+        if count:
+            both = join_on(both, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)), keys, null_safe=True)
+        return both
+    extra = [count] if count else []
+    g = df.groupBy(*keys).agg(*[F.count(F.lit(1)).alias(c) for c in extra], *[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns])
+    g = g.select(*keys, *extra, *[F.struct(F.col(c).alias("a"), _at_prob(F.col(c), 0.5).alias("m")).alias(c) for c in columns])
     stats = [
         F.struct(
             F.lit(c).alias("feature"),
@@ -203,7 +218,7 @@ def median_mad_columns(
         )
         for c in columns
     ]
-    return g.select(*keys, F.inline(F.array(*stats))).where(F.col("median").isNotNull())
+    return g.select(*keys, *extra, F.inline(F.array(*stats))).where(F.col("median").isNotNull())
 
 
 def median_mad(df: DataFrame, keys: Sequence[str], value: str, group_rows: int | None = None) -> DataFrame:

@@ -96,9 +96,9 @@ def cooccurrence(grey: DataFrame, distance: int, img: Sequence[str] = IMG) -> Da
         F.struct(F.lit(k).cast("long").alias("direction"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for k, (dy, dx) in enumerate(steps)
     ])))
     j = to.withColumnRenamed("g", "i").join(g.withColumnRenamed("g", "j"), [*keys, "y", "x"])
-    one = j.groupBy(*keys, "direction", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    both = one.unionByName(one.select(*keys, "direction", F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    return both.groupBy(*keys, "direction", "i", "j").agg(F.sum("n").alias("n"))
+    orders = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    both = j.select(*keys, "direction", F.inline(orders))
+    return both.groupBy(*keys, "direction", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def haralick(glcm: DataFrame, img: Sequence[str] = IMG) -> DataFrame:

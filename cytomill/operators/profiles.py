@@ -25,9 +25,8 @@ def to_long(wide: DataFrame, ids: Sequence[str], features: Sequence[str]) -> Dat
 
 def field_profiles(cells: DataFrame, group: Sequence[str], features: Sequence[str], min_cells: int = 5) -> DataFrame:
     """Long (group, n_cells, feature, median, mad); groups below `min_cells` are left out."""
-    n = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells")).where(F.col("n_cells") >= min_cells)
     clean = cells.select(*group, *[finite(F.col(c)).alias(c) for c in features])
-    return join_on(median_mad_columns(clean, group, features), n, group)
+    return median_mad_columns(clean, group, features, count="n_cells").where(F.col("n_cells") >= min_cells)
 
 
 def profile_values(profiles: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -54,7 +53,7 @@ def join_treatments(profiles: DataFrame, table: DataFrame, keys: Sequence[str],
     """Lookup join: the last table row wins per key, and defaults fill what is missing."""
     cols = list(defaults)
     one = last_wins(table.select(*keys, order, *cols), keys, order).drop(order)
-    j = join_on(profiles, one, keys, "left")
+    j = join_on(profiles, one, keys, "left", null_safe=True)
     return j.select(*[c for c in j.columns if c not in cols], *[F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()])
 
 
@@ -65,7 +64,7 @@ def unified_fields(fields: DataFrame, meta: DataFrame, keys: Sequence[str]) -> D
     """
     n = meta.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in ("compound", "moa", "concentration")])
     n = n.withColumn("__ok", F.assert_true(F.col("__n") == 1, F.lit("duplicate metadata key")))
-    j = join_on(fields, n, keys, "left")
+    j = join_on(fields, n, keys, "left", null_safe=True)
     control = F.col("compound").isNull() | F.lower("compound").isin("", "dmso")
     return (
         j.where(F.col("__ok").isNull()).drop("__n", "__ok")
@@ -95,15 +94,15 @@ def robust_z(values: DataFrame, plate: str, control: str, unit: Sequence[str], m
     mm = median_mad(spread.withColumnRenamed("feature", "__f"), ["kind", "ref", "__f"], "value").withColumnRenamed("__f", "feature")
     sd = spread.groupBy(*keys).agg(F.stddev_pop("value").alias("sd"))
     scale = F.when(F.col("mad") < 1e-10, F.col("sd") + 1e-10).otherwise(F.col("mad"))
-    ref = join_on(mm, sd, keys).select(*keys, "median", scale.alias("scale"))
+    ref = join_on(mm, sd, keys, null_safe=True).select(*keys, "median", scale.alias("scale"))
     units = values.select(plate, control, *unit).distinct()
     n_plate = units.where(F.col(control)).groupBy(plate).agg(F.count(F.lit(1)).alias("n"))
     n_all = units.agg(F.count(F.when(F.col(control), 1)).alias("n_controls"))
-    plates = join_on(units.select(plate).distinct(), n_plate, [plate], "left").crossJoin(F.broadcast(n_all))
+    plates = join_on(units.select(plate).distinct(), n_plate, [plate], "left", null_safe=True).crossJoin(F.broadcast(n_all))
     kind = F.when(F.col("n") >= min_controls, F.lit("plate")).when(F.col("n_controls") >= min_controls, F.lit("controls")).otherwise(F.lit("all"))
     plates = plates.select(plate, kind.alias("kind")).withColumn("ref", F.when(F.col("kind") == "plate", F.col(plate).cast("string")).otherwise(F.lit("")))
     per = plates.join(ref, ["kind", "ref"]).select(plate, "feature", "median", "scale")
-    return join_on(values, per, [plate, "feature"], "left").withColumn("z", (F.col("value") - F.col("median")) / F.col("scale")).drop("median", "scale")
+    return join_on(values, per, [plate, "feature"], "left", null_safe=True).withColumn("z", (F.col("value") - F.col("median")) / F.col("scale")).drop("median", "scale")
 
 
 def stable_features(values: DataFrame, value: str = "value", max_missing: float = 0.5, min_variance: float = 0.01) -> DataFrame:
@@ -172,9 +171,9 @@ def compound_deviation(values: DataFrame, compound: str, control: str, value: st
     """Mean profile minus the control mean per compound and feature, with the compound's mean |deviation|."""
     mean = values.groupBy(compound, "feature").agg(F.avg(value).alias("m"))
     ctrl = values.where(F.col(control)).groupBy("feature").agg(F.avg(value).alias("c"))
-    dev = join_on(mean, ctrl, ["feature"]).select(compound, "feature", (F.col("m") - F.col("c")).alias("deviation"))
+    dev = join_on(mean, ctrl, ["feature"], null_safe=True).select(compound, "feature", (F.col("m") - F.col("c")).alias("deviation"))
     size = dev.groupBy(compound).agg(F.avg(F.abs("deviation")).alias("mean_abs_deviation"))
-    return join_on(dev, size, [compound])
+    return join_on(dev, size, [compound], null_safe=True)
 
 
 def expected_vs_found(expected: DataFrame, found: DataFrame, by: Sequence[str], field: Sequence[str]) -> DataFrame:
