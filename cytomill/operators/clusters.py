@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomill.operators.matching import assign_max
-from cytomill.operators.ordered import join_on, top_k
+from cytomill.operators.ordered import attach, join_on, top_k
 
 
 def contingency(df: DataFrame, keys: Sequence[str], cluster: str, klass: str, skip: Sequence[str] = ("unknown",)) -> DataFrame:
@@ -32,7 +32,7 @@ def agreement_scores(c: DataFrame, keys: Sequence[str]) -> DataFrame:
     sa = a.groupBy(*keys).agg(F.sum(pair(F.col("a"))).alias("pa"), F.sum(F.col("a") * F.log("a")).alias("la"), F.sum("top").alias("top"))
     sb = b.groupBy(*keys).agg(F.sum(pair(F.col("b"))).alias("pb"), F.sum(F.col("b") * F.log("b")).alias("lb"))
     sc = c.groupBy(*keys).agg(F.sum(pair(nn)).alias("pc"), F.sum(nn * F.log(nn)).alias("lc"))
-    j = join_on(join_on(join_on(tot, sa, keys), sb, keys), sc, keys) if keys else tot.crossJoin(sa).crossJoin(sb).crossJoin(sc)
+    j = join_on(join_on(join_on(tot, sa, keys), sb, keys), sc, keys) if keys else tot.transform(attach, sa).transform(attach, sb).transform(attach, sc)
     j = j.where("t >= 3")
     t = F.col("t")
     ha, hb, hab = F.log(t) - F.col("la") / t, F.log(t) - F.col("lb") / t, F.log(t) - F.col("lc") / t
@@ -101,7 +101,7 @@ def pca(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[float]]:
     """Centred principal components (array column `pc`) and explained variance shares."""
     size = len(df.select(vector).first()[0])
     mean = df.agg(*[F.avg(F.coalesce(F.col(vector)[i].cast("double"), F.lit(0.0))).alias(f"m{i}") for i in range(size)])
-    j = df.crossJoin(F.broadcast(mean.select(F.array(*[f"m{i}" for i in range(size)]).alias("__m"))))
+    j = df.transform(attach, mean.select(F.array(*[f"m{i}" for i in range(size)]).alias("__m")))
     cent = F.zip_with(F.transform(vector, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), "__m", lambda a, b: a - b)
     j = j.withColumn("__v", array_to_vector(cent)).drop("__m")
     model = PCA(k=k, inputCol="__v", outputCol="__p").fit(j)
@@ -145,7 +145,7 @@ def class_consistency(values: DataFrame, unit: str, klass: str, feature: str = "
     intra = per.agg(F.sum("pairs").alias("ip"), F.sum("r1").alias("i1"), F.sum("r2").alias("i2"), F.sum("n").alias("n"))
     all1 = s.groupBy(feature).agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
     all2 = gram.groupBy("f", "g").agg(F.sum("m").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("q2"))
-    j = intra.crossJoin(all1).crossJoin(all2)
+    j = intra.transform(attach, all1).transform(attach, all2)
     tp, t1, t2 = F.col("n") * (F.col("n") - 1) / 2, (F.col("q") - F.col("n")) / 2, (F.col("q2") - F.col("n")) / 2
     ep, e1, e2 = tp - F.col("ip"), t1 - F.col("i1"), t2 - F.col("i2")
     im, em = F.col("i1") / F.nullif("ip", F.lit(0.0)), e1 / F.nullif(ep, F.lit(0.0))
@@ -208,7 +208,7 @@ def silhouette_squared(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     stats = d.groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("q").alias("mq"))
     means = mean_vectors(d, ["c"], vector).groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda s: s.value).alias("m"))
     table = stats.join(means, "c").agg(F.collect_list(F.struct("c", "n", "mq", "m")).alias("t"))  # one row per cluster
-    j = d.crossJoin(F.broadcast(table))
+    j = d.transform(attach, table)
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, e: acc + e)
     dist = F.transform("t", lambda s: F.struct(s.c.alias("c"), s.n.alias("n"), (F.col("q") - 2 * dot(F.col(vector), s.m) + s.mq).alias("d")))
     j = j.select("c", dist.alias("d"))

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from cytomill.functions import tails
 from cytomill.functions.scalar import log2_fold_change, neg_log10
 from cytomill.operators import inference as inf
-from cytomill.operators.ordered import average_ranks, join_on, top_k
+from cytomill.operators.ordered import attach, average_ranks, join_on, running_sums, top_k
+from cytomill.session import cut
 
 
 def count_expression(assigned: DataFrame, panel: DataFrame | None, cell: str = "cell_id", gene: str = "gene", n: Column | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def gene_detection(expr: DataFrame, by: Sequence[str], cell: str = "cell_id") ->
     """Mean and median genes and transcripts per cell."""
     from cytomill.operators.ordered import median_mad_columns
 
-    per = expr.groupBy(*by, cell).agg(F.count(F.lit(1)).alias("genes"), F.sum("cnt").alias("transcripts"))
+    per = cut(expr.groupBy(*by, cell).agg(F.count(F.lit(1)).alias("genes"), F.sum("cnt").alias("transcripts")))
     mean = per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"), F.avg("genes").alias("mean_genes"), F.avg("transcripts").alias("mean_transcripts"))
     med = median_mad_columns(per, list(by), ["genes", "transcripts"])
     wide = med.groupBy(*by).agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"median_{c}") for c in ("genes", "transcripts")])
@@ -95,11 +96,12 @@ def differential_expression(
     v = expr.where("cnt <> 0").join(side, cell).groupBy(gene, F.col("cnt").cast("double").alias("v")).agg(
         F.sum("ina").alias("ca"), F.sum(1 - F.col("ina")).alias("cb")
     )
+    v = cut(v)  # (gene, count) table: the cells are read once
     nz = v.groupBy(gene).agg(
         F.sum("ca").alias("za"), F.sum("cb").alias("zb"), F.sum(F.col("v") * F.col("ca")).alias("sa"), F.sum(F.col("v") * F.col("cb")).alias("sb"),
         F.sum(F.col("v") * F.col("v") * F.col("ca")).alias("qa"), F.sum(F.col("v") * F.col("v") * F.col("cb")).alias("qb"),
     )
-    g = genes.select(gene).distinct().join(nz, gene, "left").fillna(0).fillna(0.0).crossJoin(F.broadcast(size))
+    g = genes.select(gene).distinct().join(nz, gene, "left").fillna(0).fillna(0.0).transform(attach, size)
     stats = g.select(
         gene, "na", "nb", (F.col("sa") / F.col("na")).alias("mean_a"), (F.col("sb") / F.col("nb")).alias("mean_b"),
         (F.col("za") / F.col("na")).alias("pct_a"), (F.col("zb") / F.col("nb")).alias("pct_b"),
@@ -139,7 +141,7 @@ def spearman_with_feature(expr: DataFrame, feature: DataFrame, cell: str = "cell
     e = expr.where("cnt <> 0").join(fr, cell)
     nz = e.groupBy(gene).agg(F.count(F.lit(1)).alias("nnz"))
     ranks = average_ranks(e, [gene], "cnt").select(gene, "cnt", "rank", "n")
-    j = join_on(e, ranks.drop("n"), [gene, "cnt"]).join(nz, gene).crossJoin(F.broadcast(tot))
+    j = join_on(e, ranks.drop("n"), [gene, "cnt"]).join(nz, gene).transform(attach, tot)
     n0 = F.col("n") - F.col("nnz")
     rx = F.col("rank") + n0
     s = j.groupBy(gene).agg(
@@ -174,7 +176,7 @@ def normalize_log(expr: DataFrame, target: float = 1e4, cell: str = "cell_id") -
 def gene_dispersion(expr: DataFrame, n_cells: DataFrame, gene: str = "gene", value: str = "value") -> DataFrame:
     """Mean, sample variance and dispersion (variance / mean) per gene, zeros included; `n_cells` has one row n."""
     v = F.col(value).cast("double")
-    s = expr.groupBy(gene).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q")).crossJoin(F.broadcast(n_cells))
+    s = expr.groupBy(gene).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q")).transform(attach, n_cells)
     n = F.col("n").cast("double")
     var = (F.col("q") - F.col("s") * F.col("s") / n) / F.nullif(n - 1, F.lit(0.0))
     return s.select(gene, (F.col("s") / n).alias("mean"), var.alias("variance")).withColumn("dispersion", F.col("variance") / F.nullif("mean", F.lit(0.0)))
@@ -185,7 +187,7 @@ def highly_variable(dispersion: DataFrame, n_top: int, bins: int = 20, gene: str
     d = dispersion.where(F.col("mean") > 0)
     ext = d.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     b = F.least(F.floor((F.col("mean") - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))), F.lit(bins - 1))
-    d = d.crossJoin(F.broadcast(ext)).withColumn("bin", F.coalesce(b, F.lit(0)).cast("long")).drop("lo", "hi")
+    d = d.transform(attach, ext).withColumn("bin", F.coalesce(b, F.lit(0)).cast("long")).drop("lo", "hi")
     m = d.groupBy("bin").agg(F.avg("dispersion").alias("m"), F.stddev_samp("dispersion").alias("sd"))
     z = F.coalesce((F.col("dispersion") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")), F.lit(0.0))
     d = d.join(m, "bin").select(gene, "mean", "dispersion", "bin", F.round(z, 9).alias("dispersion_z"))
@@ -211,16 +213,29 @@ def top_genes_by_spread(expr: DataFrame, n_cells: DataFrame, n: int, gene: str =
 
 
 def one_vs_rest_markers(expr: DataFrame, clusters: DataFrame, genes: DataFrame, cell: str = "cell_id", gene: str = "gene", cluster: str = "cluster") -> DataFrame:
-    """Rank-sum of every cluster against all other cells per gene, in one pass over the counts."""
+    """Rank-sum of every cluster against all other cells per gene, in one pass over the counts.
+
+    A value's rank does not depend on the split, so values are ranked once per gene; a cluster's rank
+    sum adds its expressing cells to its zero cells, which all share the lowest rank.
+    """
     size = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("nc"))
-    total = clusters.agg(F.count(F.lit(1)).alias("nt"))
+    labels = size.agg(F.collect_list(F.struct(cluster, "nc")).alias("__cl"), F.sum("nc").alias("nt"))  # one entry per cluster
     v = expr.where("cnt <> 0").join(clusters.select(cell, cluster), cell).groupBy(cluster, gene, F.col("cnt").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    v = cut(v)
     allv = v.groupBy(gene, "v").agg(F.sum("c").alias("ct"))
-    pairs = size.select(cluster).join(allv, F.lit(True))  # clusters are a handful of labels
-    full = join_on(pairs, v, [cluster, gene, "v"], "left").fillna(0, ["c"]).select(cluster, gene, "v", F.col("c").alias("ca"), (F.col("ct") - F.col("c")).alias("cb"))
-    nz = full.groupBy(cluster, gene).agg(F.sum("ca").alias("za"), F.sum("cb").alias("zb"))
-    zero = join_on(nz, size, [cluster]).crossJoin(F.broadcast(total)).select(
-        cluster, gene, F.lit(0.0).alias("v"), (F.col("nc") - F.col("za")).alias("ca"), (F.col("nt") - F.col("nc") - F.col("zb")).alias("cb")
-    )
-    test = inf.rank_sum(full.unionByName(zero), [cluster, gene], "v", "ca", "cb")
-    return inf.bh_adjust(test, [cluster], "p", gene)
+    nnz = genes.select(gene).distinct().join(allv.groupBy(gene).agg(F.sum("ct").alias("k")), gene, "left").fillna(0, ["k"])
+    zero = nnz.transform(attach, labels).select(gene, F.lit(0.0).alias("v"), (F.col("nt") - F.col("k")).alias("ct"))
+    ranked = running_sums(allv.unionByName(zero).where("ct > 0"), [gene], "v", {"__before": "ct"})
+    ranked = ranked.select(gene, "v", "ct", (F.col("__before") + (F.col("ct") + 1) / 2).alias("rank"))
+    t = F.col("ct").cast("double")
+    ties = ranked.groupBy(gene).agg(F.sum(t * t * t - t).alias("ties"), F.max(F.when(F.col("v") == 0, F.col("rank"))).alias("r0"))
+    part = v.join(ranked.select(gene, "v", "rank"), [gene, "v"]).groupBy(cluster, gene).agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("k"))
+    full = ties.transform(attach, labels).select(gene, "ties", "r0", "nt", F.inline("__cl")).join(part, [cluster, gene], "left").fillna(0.0, ["r", "r0"]).fillna(0, ["k"])
+    na, nb = F.col("nc").cast("double"), (F.col("nt") - F.col("nc")).cast("double")
+    n = na + nb
+    u = F.col("r") + F.col("r0") * (F.col("nc") - F.col("k")) - na * (na + 1) / 2
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    z = F.coalesce((F.greatest(u, na * nb - u) - na * nb / 2 - 0.5) / F.nullif(sd, F.lit(0.0)), F.lit(0.0))
+    test = full.select(cluster, gene, F.col("nc").alias("n_a"), (F.col("nt") - F.col("nc")).alias("n_b"), u.alias("u"), z.alias("z"))
+    p = F.least(F.when(F.col("z") > 0, tails.normal_two_sided("z")).otherwise(F.lit(1.0)), F.lit(1.0))
+    return inf.bh_adjust(test.withColumn("p", p), [cluster], "p", gene)

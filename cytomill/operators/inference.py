@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomill.functions import tails
-from cytomill.operators.ordered import average_ranks, join_on, ordinal, pearson, quantiles, running_sums, with_average_rank
+from cytomill.operators.ordered import attach, average_ranks, join_on, ordinal, pearson, quantiles, running_sums, with_average_rank
+from cytomill.session import cut
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -68,7 +69,7 @@ def _finish(j: DataFrame, keep: Sequence[str], a: dict[str, Column], b: dict[str
 def versus_control(values: DataFrame, group: str, control: Column, value: str = "value") -> DataFrame:
     """Each treatment group against all control rows: t, p, effect size per feature (Welch)."""
     rows = values.select(F.when(~control, F.col(group)).alias(group), "feature", value, control.alias("__c"))
-    m = moments(rows, [group, "feature", "__c"], value)
+    m = cut(moments(rows, [group, "feature", "__c"], value))
     c = _tag(m.where("__c").drop("__c", group), "_b")
     j = join_on(_tag(m.where("not __c").drop("__c"), "_a"), c, ["feature"])
     return _finish(j, [group, "feature"], _cols("_a"), _cols("_b"))
@@ -76,7 +77,7 @@ def versus_control(values: DataFrame, group: str, control: Column, value: str =
 
 def class_versus_rest(values: DataFrame, group: str, value: str = "value") -> DataFrame:
     """Each class against all others; the rest is the total minus the class, so one aggregation serves all."""
-    m = moments(values, [group, "feature"], value)
+    m = cut(moments(values, [group, "feature"], value))  # one row per class and feature
     total = m.groupBy("feature").agg(
         F.sum("n").alias("n_w"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_w"), F.sum("m2").alias("within")
     )
@@ -90,13 +91,14 @@ def class_versus_rest(values: DataFrame, group: str, value: str = "value") -> Da
 
 def bonferroni(tests: DataFrame, keys: Sequence[str], p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Adds `significant` = p < alpha / number of tests in the group."""
+    tests = cut(tests)
     n = tests.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return join_on(tests, n, keys, null_safe=True).withColumn("significant", F.col(p) < alpha / F.col("__n")).drop("__n")
 
 
 def perturbation_scores(tests: DataFrame, group: str, alpha: float = 0.05, min_n: int = 3) -> DataFrame:
     """Share of features with p < alpha / F and the largest / mean |d| per treatment."""
-    t = tests.where((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
+    t = cut(tests.where((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n)))
     n = t.groupBy(group).agg(F.count(F.lit(1)).alias("n_features"))
     j = join_on(t, n, [group], null_safe=True)
     sig = F.sum((F.col("p") < alpha / F.col("n_features")).cast("long"))
@@ -108,6 +110,7 @@ def perturbation_scores(tests: DataFrame, group: str, alpha: float = 0.05, min_n
 
 def bh_adjust(tests: DataFrame, keys: Sequence[str], p: str, tie: str, out: str = "p_adj", monotone: bool = False) -> DataFrame:
     """p * n / rank capped at 1, ties ordered by name. `monotone` adds the usual running minimum."""
+    tests = cut(tests)  # one row per test, read twice by the ranking
     ranked = ordinal(tests, keys, p, "__rank", [tie])
     raw = F.least(F.col(p) * F.col("__rank_of") / F.col("__rank"), F.lit(1.0))
     ranked = ranked.withColumn(out, raw)
@@ -131,7 +134,7 @@ def rank_sum(counts: DataFrame, keys: Sequence[str], value: str, a: str, b: str)
     Average ranks, tie-corrected variance, continuity 0.5.
     """
     c = counts.groupBy(*keys, value).agg(F.sum(a).cast("long").alias("ca"), F.sum(b).cast("long").alias("cb"))
-    c = c.withColumn("c", F.col("ca") + F.col("cb")).where("c > 0")
+    c = cut(c.withColumn("c", F.col("ca") + F.col("cb")).where("c > 0"))
     r = running_sums(c, keys, value, {"__before": "c"})
     rank = F.col("__before") + (F.col("c") + 1) / 2
     cc = F.col("c").cast("double")
@@ -151,7 +154,7 @@ def rank_sum(counts: DataFrame, keys: Sequence[str], value: str, a: str, b: str)
 def signed_rank(diffs: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
     """Paired signed-rank statistics per key; zero differences are left out."""
     d = diffs.where((F.col(diff) != 0) & F.col(diff).isNotNull()).select(*keys, F.abs(diff).alias("__a"), (F.col(diff) > 0).cast("long").alias("__pos"))
-    c = d.groupBy(*keys, "__a").agg(F.sum("__pos").alias("__p"), F.count(F.lit(1)).alias("__n"))
+    c = cut(d.groupBy(*keys, "__a").agg(F.sum("__pos").alias("__p"), F.count(F.lit(1)).alias("__n")))
     r = running_sums(c, keys, "__a", {"__before": "__n"})
     rank = F.col("__before") + (F.col("__n") + 1) / 2
     nn = F.col("__n").cast("double")
@@ -186,7 +189,7 @@ def otsu(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     Works on per-value counts; groups with fewer than two distinct values give no row.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    c = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
     v = F.col(value).cast("double")
     c = c.withColumn("s", F.col("n") * v).withColumn("q", F.col("n") * v * v)
     r = running_sums(c, keys, value, {"bn": "n", "bs": "s", "bq": "q"})
@@ -207,5 +210,5 @@ def enrichment(contingency: DataFrame, cluster: str, klass: str, n: str = "n") -
     best = contingency.groupBy(cluster).agg(F.sum(n).alias("cluster_total"), F.max(n).alias("__top"))
     dom = join_on(contingency, best, [cluster]).where(F.col(n) == F.col("__top")).groupBy(cluster, "cluster_total").agg(F.min(klass).alias(klass), F.max(n).alias("k"))
     total = contingency.agg(F.sum(n).alias("total"))
-    j = join_on(dom, rows, [klass]).crossJoin(F.broadcast(total))
+    j = join_on(dom, rows, [klass]).transform(attach, total)
     return j.withColumn("p", tails.fisher_upper("k", "total", "class_total", "cluster_total")).withColumn("share", F.col("k") / F.col("cluster_total"))

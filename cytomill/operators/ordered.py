@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cytomill.session import cut
+
 BUCKET = "__bucket"
 KEY = "__key"
 IN_MEMORY = 500_000  # rows of one group that may sit in one task as an array of doubles (4 MB)
@@ -42,7 +44,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     partitioning of earlier steps on the same keys.
     """
     if not keys:
-        return left.crossJoin(right)  # both sides are one row then
+        return attach(left, right)  # without keys both sides are one row
     if not null_safe:
         return left.join(right, list(keys), how)
     r = right
@@ -52,6 +54,11 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table (totals, thresholds) to every row; the limit proves the size."""
+    return df.crossJoin(F.broadcast(one_row.limit(1)))
+
+
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], ties: Sequence[str] = (), bits: int = 6
 ) -> DataFrame:
@@ -90,7 +97,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, bits: int = 6) -> DataFrame:
     """One row per distinct value: `n` ties, average `rank` (1-based) and group size `n_group`."""
-    counted = value_counts(df, keys, value)
+    counted = cut(value_counts(df, keys, value))  # read twice below; storing it spares a second scan
     ran = running_sums(counted, keys, value, {"__before": "n"}, bits=bits)
     return ran.select(
         *keys,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cytomill.operators.ordered import join_on, median_mad_columns, pearson, quantiles
+from cytomill.session import cut
 
 IMG = ("image_id",)
 
@@ -107,8 +108,10 @@ def haralick(glcm: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     Every group here is one object's co-occurrence table, bounded by the grey levels.
     """
     keys = [*img, "label", "direction"]
+    glcm = cut(glcm)  # seven aggregates read it
     tot = glcm.groupBy(*keys).agg(F.sum("n").alias("t"))
-    p = join_on(glcm, tot, keys).select(*keys, F.col("i").cast("double").alias("i"), F.col("j").cast("double").alias("j"), (F.col("n") / F.col("t")).alias("p"))
+    glcm = glcm.select(*keys, F.col("i").cast("double").alias("i"), F.col("j").cast("double").alias("j"), "n")
+    p = join_on(glcm, tot, keys).select(*keys, "i", "j", (F.col("n") / F.col("t")).alias("p"))
     plogp = lambda c: -F.sum(F.when(c > 0, c * F.log2(c)).otherwise(0.0))
     px_ = p.groupBy(*keys, "i").agg(F.sum("p").alias("q"))
     hx = px_.groupBy(*keys).agg(

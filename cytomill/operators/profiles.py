@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomill.functions.scalar import finite
-from cytomill.operators.ordered import join_on, median_mad, median_mad_columns, pearson
+from cytomill.operators.ordered import attach, join_on, median_mad, median_mad_columns, pearson
 
 
 def feature_columns(df: DataFrame, metadata: Sequence[str]) -> list[str]:
@@ -98,7 +98,7 @@ def robust_z(values: DataFrame, plate: str, control: str, unit: Sequence[str], m
     units = values.select(plate, control, *unit).distinct()
     n_plate = units.where(F.col(control)).groupBy(plate).agg(F.count(F.lit(1)).alias("n"))
     n_all = units.agg(F.count(F.when(F.col(control), 1)).alias("n_controls"))
-    plates = join_on(units.select(plate).distinct(), n_plate, [plate], "left", null_safe=True).crossJoin(F.broadcast(n_all))
+    plates = join_on(units.select(plate).distinct(), n_plate, [plate], "left", null_safe=True).transform(attach, n_all)
     kind = F.when(F.col("n") >= min_controls, F.lit("plate")).when(F.col("n_controls") >= min_controls, F.lit("controls")).otherwise(F.lit("all"))
     plates = plates.select(plate, kind.alias("kind")).withColumn("ref", F.when(F.col("kind") == "plate", F.col(plate).cast("string")).otherwise(F.lit("")))
     per = plates.join(ref, ["kind", "ref"]).select(plate, "feature", "median", "scale")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cytomill.operators.ordered import join_on, pearson, quantiles
+from cytomill.operators.ordered import attach, join_on, pearson, quantiles
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -126,7 +126,7 @@ def equal_width_histogram(df: DataFrame, keys: Sequence[str], value: Column, edg
 
 def binned_performance(df: DataFrame, feature: str, score: str, edges: DataFrame) -> DataFrame:
     """Mean score and share of misses (score 0) per tercile of a feature; `edges` has one row e1, e2."""
-    j = df.crossJoin(F.broadcast(edges))
+    j = df.transform(attach, edges)
     b = F.when(F.col(feature) <= F.col("e1"), 0).when(F.col(feature) <= F.col("e2"), 1).otherwise(2)
     return j.groupBy(b.cast("long").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg((F.col(score) == 0).cast("double")).alias("miss_rate")

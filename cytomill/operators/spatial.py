@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cytomill.functions import tails
-from cytomill.operators.ordered import join_on
+from cytomill.operators.ordered import attach, join_on
 from cytomill.session import cut
 
 
@@ -86,7 +86,8 @@ def knn_edges(points: DataFrame, k: int, x: str = "x", y: str = "y", id: str = "
     """
     near = nearest(points, points, k + 1, (), x, y, id).where(F.col("src") != F.col("dst"))
     w = W.partitionBy("src").orderBy("dist", "dst")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "dist")
+    edges = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "dist")
+    return cut(edges)  # a graph is read many times after this
 
 
 def contour_distances(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -119,11 +120,11 @@ def morans_i(expr: DataFrame, edges: DataFrame, cells: DataFrame, cell: str = "c
         both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         s1 = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).agg((0.5 * F.sum(F.col("c") * F.col("c"))).alias("S1"))
         deg = out_deg.join(in_deg, cell, "full").fillna(0, ["od", "idg"])
-        rows = rows.drop("row2").crossJoin(deg.agg(F.sum(F.pow(F.col("od") + F.col("idg"), 2)).alias("row2"))).crossJoin(s1)
+        rows = rows.drop("row2").transform(attach, deg.agg(F.sum(F.pow(F.col("od") + F.col("idg"), 2)).alias("row2"))).transform(attach, s1)
     else:
         rows = rows.withColumn("S1", F.col("w").cast("double"))
-    one = rows.crossJoin(cells.agg(F.count(F.lit(1)).cast("double").alias("n")))
-    j = m.join(cross, gene, "left").fillna(0.0, ["sij"]).crossJoin(F.broadcast(one))
+    one = rows.transform(attach, cells.agg(F.count(F.lit(1)).cast("double").alias("n")))
+    j = m.join(cross, gene, "left").fillna(0.0, ["sij"]).transform(attach, one)
     n, w, mean = F.col("n"), F.col("w").cast("double"), F.col("s1x") / F.col("n")
     zz = F.col("s2x") - n * mean * mean
     z4 = F.col("s4x") - 4 * mean * F.col("s3x") + 6 * mean * mean * F.col("s2x") - 4 * mean * mean * mean * F.col("s1x") + n * F.pow(mean, F.lit(4.0))
@@ -148,7 +149,7 @@ def getis_ord(values: DataFrame, edges: DataFrame, id: str = "id", value: str =
     both = edges.select("src", "dst").unionByName(values.select(F.col(id).alias("src"), F.col(id).alias("dst")))
     local = both.join(v, "dst").groupBy("src").agg(F.sum("v").alias("s"), F.count(F.lit(1)).cast("double").alias("wi"))
     g = values.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(F.col(value).cast("double")).alias("s2"))
-    j = local.crossJoin(F.broadcast(g))
+    j = local.transform(attach, g)
     var = F.col("s2") * ((F.col("n") * F.col("wi") - F.col("wi") * F.col("wi")) / F.nullif(F.col("n") - 1, F.lit(0.0)))
     gi = (F.col("s") - F.col("m") * F.col("wi")) / F.sqrt(F.when(var <= 0, F.lit(1e-10)).otherwise(var))
     return j.select(F.col("src").alias(id), F.when(F.col("s2") == 0, F.lit(0.0)).otherwise(gi).alias("gi_star"))

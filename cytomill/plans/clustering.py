@@ -211,3 +211,14 @@ def _(t):
     p = t.orders.select(F.concat(F.lit("l"), "o_orderstatus").alias("level"), F.col("o_orderpriority").alias("truth"), F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority")).otherwise("1-URGENT").alias("pred"))
     s = cl.phenotype_scores(p, "level", "truth", "pred")
     return s.withColumn("accuracy", rnd("accuracy")).withColumn("macro_f1", rnd("macro_f1"))
+
+
+OVR = """ex as (select l_orderkey as cell_id, p_brand as gene, count(*) as cnt from lineitem join part on l_partkey = p_partkey group by 1, 2), cl as (select o_orderkey as cell_id, o_orderpriority as cluster from orders),
+ f as (select gene, cell_id, cluster, coalesce(cnt, 0) as x from (select distinct p_brand as gene from part) g cross join cl left join ex using (gene, cell_id)),
+ k as (select gene, cluster, rank() over (partition by gene order by x) + (count(*) over (partition by gene, x) - 1) / 2 as rk from f)"""
+
+
+@query("m06_one_vs_rest_markers", f"with {OVR} select cluster, gene, count(*) as n_a, sum(rk) - count(*) * (count(*) + 1) / 2 as u from k group by 1, 2")
+def _(t):
+    c = cells(t).select("cell_id", F.col("region").alias("cluster"))
+    return ex.one_vs_rest_markers(expr(t), c, genes(t)).select("cluster", "gene", "n_a", "u")

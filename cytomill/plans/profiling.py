@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cytomill.operators import inference as inf
 from cytomill.operators import profiles as pr
-from cytomill.operators.ordered import join_on, top_k
+from cytomill.operators.ordered import attach, join_on, top_k
 from cytomill.session import cut
 from cytomill.plans.registry import Tables, query, r, rnd, scorr, t_tail
 
@@ -167,8 +167,8 @@ def _(t):
   select plate, ne as n_expected, coalesce(nf, 0) as n_found, coalesce(nf, 0) >= ne as complete from (select plate, count(distinct field) as ne from e group by 1)
   full join (select plate, count(distinct field) as nf from f group by 1) using (plate)""")
 def _(t):
-    plates = cells(t).select("plate").distinct()
-    expected = t.supplier.select(F.col("s_suppkey").alias("field")).crossJoin(F.broadcast(plates))
+    plates = cells(t).agg(F.collect_set("plate").alias("plates"))
+    expected = t.supplier.select(F.col("s_suppkey").alias("field")).transform(attach, plates).select("field", F.explode("plates").alias("plate"))
     found = cells(t).where((F.col("l_quantity") > 49) & (F.col("l_discount") > 0.08))
     return pr.expected_vs_found(expected, found, ["plate"], ["field"])
 
@@ -244,7 +244,7 @@ def _(t):
 def _(t):
     s = inf.perturbation_scores(control_tests(t), "compound")
     cut = inf.otsu(s, [], "mean_abs_d")
-    return s.crossJoin(F.broadcast(cut)).where(F.col("mean_abs_d") > F.col("threshold")).select("compound", rnd("mean_abs_d").alias("mean_abs_d"))
+    return s.transform(attach, cut).where(F.col("mean_abs_d") > F.col("threshold")).select("compound", rnd("mean_abs_d").alias("mean_abs_d"))
 
 
 CVR = VALS + """, mom as (select moa, feature, value from vals),

@@ -11,7 +11,7 @@ from cytomill.operators import masks as mk
 from cytomill.operators import matching as mt
 from cytomill.operators import overlap as ov
 from cytomill.operators import spatial as sp
-from cytomill.operators.ordered import join_on
+from cytomill.operators.ordered import attach, join_on
 from cytomill.plans.regions import CLIP, RUNOV, SIDE, assigned, pairs
 from cytomill.plans.registry import Tables, query, r, rnd, scorr, t_tail, z_tail
 from cytomill.plans.shapes import runs
@@ -209,14 +209,14 @@ def _(t):
 @query("a72_data_exploration", f"with {EXPR} select gene, sum(cnt)::bigint as total, {r('count(*) / (select count(*) from cl)')} as detection_rate from ex group by 1 order by total desc, gene limit 20")
 def _(t):
     n = cells(t).agg(F.count(F.lit(1)).alias("n"))
-    g = expr(t).groupBy("gene").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(n))
+    g = expr(t).groupBy("gene").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("k")).transform(attach, n)
     return g.select("gene", "total", rnd(F.col("k") / F.col("n")).alias("detection_rate")).orderBy(F.desc("total"), "gene").limit(20)
 
 
 @query("a72_sparsity", f"with {EXPR} select count(*) as n_entries, {r('1 - count(*) / ((select count(*) from cl)::double * (select count(*) from gs))')} as sparsity from ex")
 def _(t):
-    n = cells(t).agg(F.count(F.lit(1)).alias("n")).crossJoin(genes(t).agg(F.count(F.lit(1)).alias("g")))
-    return expr(t).agg(F.count(F.lit(1)).alias("n_entries")).crossJoin(n).select("n_entries", rnd(1 - F.col("n_entries") / (F.col("n").cast("double") * F.col("g"))).alias("sparsity"))
+    n = cells(t).agg(F.count(F.lit(1)).alias("n")).transform(attach, genes(t).agg(F.count(F.lit(1)).alias("g")))
+    return expr(t).agg(F.count(F.lit(1)).alias("n_entries")).transform(attach, n).select("n_entries", rnd(1 - F.col("n_entries") / (F.col("n").cast("double") * F.col("g"))).alias("sparsity"))
 
 
 # --- spatial: embeddings as cells, first two components as coordinates ---------------------------
