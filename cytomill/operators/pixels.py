@@ -105,46 +105,42 @@ def cooccurrence(grey: DataFrame, distance: int, img: Sequence[str] = IMG) -> Da
 def haralick(glcm: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     """Thirteen texture statistics per object, averaged over the directions present in the table.
 
-    Every group here is one object's co-occurrence table, bounded by the grey levels.
+    Everything is a sum over counts n with total t, e.g. entropy = log2 t - sum(n log2 n) / t. The
+    table is symmetric, so both margins are equal and both cross entropies are twice the margin's.
+    Groups are one object's co-occurrence table, bounded by the grey levels.
     """
     keys = [*img, "label", "direction"]
-    glcm = cut(glcm)  # seven aggregates read it
-    tot = glcm.groupBy(*keys).agg(F.sum("n").alias("t"))
-    glcm = glcm.select(*keys, F.col("i").cast("double").alias("i"), F.col("j").cast("double").alias("j"), "n")
-    p = join_on(glcm, tot, keys).select(*keys, "i", "j", (F.col("n") / F.col("t")).alias("p"))
-    plogp = lambda c: -F.sum(F.when(c > 0, c * F.log2(c)).otherwise(0.0))
-    px_ = p.groupBy(*keys, "i").agg(F.sum("p").alias("q"))
-    hx = px_.groupBy(*keys).agg(
-        F.sum(F.col("i") * F.col("q")).alias("mu"), F.sum(F.col("i") * F.col("i") * F.col("q")).alias("m2"), plogp(F.col("q")).alias("hx")
+    glcm = cut(glcm)  # read by two aggregates
+    i, j, n = F.col("i").cast("double"), F.col("j").cast("double"), F.col("n").cast("double")
+    base = glcm.groupBy(*keys).agg(
+        F.sum(n).alias("t"), F.sum(n * n).alias("nn"), F.sum(n * F.log2(n)).alias("nl"), F.sum(i * j * n).alias("ij"),
+        F.sum(n / (1 + (i - j) * (i - j))).alias("idm"),
     )
-    s = p.groupBy(*keys, (F.col("i") + F.col("j")).alias("k")).agg(F.sum("p").alias("q")).groupBy(*keys).agg(
-        F.sum(F.col("k") * F.col("q")).alias("sum_average"), F.sum(F.col("k") * F.col("k") * F.col("q")).alias("ks2"), plogp(F.col("q")).alias("sum_entropy")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("long").alias("k")) for k, v in (("m", i), ("s", i + j), ("d", F.abs(i - j)))])
+    q = F.col("q").cast("double")
+    k = F.col("k").cast("double")
+    margins = glcm.select(*keys, "n", F.inline(kinds)).groupBy(*keys, "kind", "k").agg(F.sum("n").alias("q"))
+    of = lambda kind, v: F.sum(F.when(F.col("kind") == kind, v))
+    sums = margins.groupBy(*keys).agg(*[
+        of(kind, v).alias(f"{kind}{name}") for kind in ("m", "s", "d") for name, v in (("1", k * q), ("2", k * k * q), ("l", q * F.log2(q)))
+    ])
+    g = join_on(base, sums, keys)
+    t = F.col("t")
+    mean = lambda c: F.col(c) / t
+    entropy = lambda c: F.log2(t) - F.col(c) / t
+    var = mean("m2") - mean("m1") * mean("m1")
+    hx, hxy = entropy("ml"), entropy("nl")
+    g = g.select(
+        *keys, (F.col("nn") / (t * t)).alias("angular_second_moment"), mean("d2").alias("contrast"),
+        F.coalesce((mean("ij") - mean("m1") * mean("m1")) / F.when(var > 1e-12, var), F.lit(1.0)).alias("correlation"),
+        var.alias("variance"), mean("idm").alias("inverse_difference_moment"), mean("s1").alias("sum_average"),
+        (mean("s2") - mean("s1") * mean("s1")).alias("sum_variance"), entropy("sl").alias("sum_entropy"), hxy.alias("entropy"),
+        (mean("d2") - mean("d1") * mean("d1")).alias("difference_variance"), entropy("dl").alias("difference_entropy"),
+        F.coalesce((hxy - 2 * hx) / F.when(hx > 1e-12, hx), F.lit(0.0)).alias("info_measure_1"),
+        F.sqrt(F.greatest(1 - F.exp(-2.0 * (2 * hx - hxy)), F.lit(0.0))).alias("info_measure_2"),
     )
-    d = p.groupBy(*keys, F.abs(F.col("i") - F.col("j")).alias("k")).agg(F.sum("p").alias("q")).groupBy(*keys).agg(
-        F.sum(F.col("k") * F.col("q")).alias("kd"), F.sum(F.col("k") * F.col("k") * F.col("q")).alias("contrast"), plogp(F.col("q")).alias("difference_entropy")
-    )
-    base = p.groupBy(*keys).agg(
-        F.sum(F.col("p") * F.col("p")).alias("angular_second_moment"), F.sum(F.col("i") * F.col("j") * F.col("p")).alias("ij"),
-        F.sum(F.col("p") / (1 + (F.col("i") - F.col("j")) * (F.col("i") - F.col("j")))).alias("inverse_difference_moment"), plogp(F.col("p")).alias("entropy"),
-    )
-    qa, qb = px_.withColumnRenamed("q", "qi"), px_.withColumnsRenamed({"i": "j", "q": "qj"})
-    cross = join_on(join_on(p, qa, [*keys, "i"]), qb, [*keys, "j"])
-    hxy1 = cross.groupBy(*keys).agg((-F.sum(F.col("p") * F.log2(F.col("qi") * F.col("qj")))).alias("hxy1"))
-    j = base
-    for other in (hx, s, d, hxy1):
-        j = join_on(j, other, keys)
-    var = F.col("m2") - F.col("mu") * F.col("mu")
-    hxy2 = 2 * F.col("hx")  # the table is symmetric, so both margins are the same
-    j = j.select(
-        *keys, "angular_second_moment", "contrast",
-        F.coalesce((F.col("ij") - F.col("mu") * F.col("mu")) / F.when(var > 1e-12, var), F.lit(1.0)).alias("correlation"),
-        var.alias("variance"), "inverse_difference_moment", "sum_average", (F.col("ks2") - F.col("sum_average") * F.col("sum_average")).alias("sum_variance"),
-        "sum_entropy", "entropy", (F.col("contrast") - F.col("kd") * F.col("kd")).alias("difference_variance"), "difference_entropy",
-        F.coalesce((F.col("entropy") - F.col("hxy1")) / F.when(F.col("hx") > 1e-12, F.col("hx")), F.lit(0.0)).alias("info_measure_1"),
-        F.sqrt(F.greatest(1 - F.exp(-2.0 * (hxy2 - F.col("entropy"))), F.lit(0.0))).alias("info_measure_2"),
-    )
-    stats = [c for c in j.columns if c not in keys]
-    return j.groupBy(*img, "label").agg(*[F.avg(c).alias(c) for c in stats])
+    stats = [c for c in g.columns if c not in keys]
+    return g.groupBy(*img, "label").agg(*[F.avg(c).alias(c) for c in stats])
 
 
 def grey_opening(px: DataFrame, value: str, size: int, out: str, img: Sequence[str] = IMG) -> DataFrame:

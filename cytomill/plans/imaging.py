@@ -64,11 +64,20 @@ def _(t):
 
 
 @query("a10_haralick", f"""with {GLCM}, p as (select *, n / sum(n) over (partition by image_id, label, direction) as p from co),
-   b as (select image_id, label, direction, sum(p * p) as asm, sum(pow(i - j, 2) * p) as con, -sum(p * log2(p)) as ent, sum(p / (1 + pow(i - j, 2))) as idm, sum((i + j) * p) as sa, sum(i * i * p) - pow(sum(i * p), 2) as var, sum(i * j * p) - pow(sum(i * p), 2) as cov from p group by 1, 2, 3)
-   select image_id, label, {r('avg(asm)')} as angular_second_moment, {r('avg(con)')} as contrast, {r('avg(ent)')} as entropy, {r('avg(idm)')} as inverse_difference_moment, {r('avg(sa)')} as sum_average, {r('avg(var)')} as variance, {r('avg(case when var > 1e-12 then cov / var else 1 end)')} as correlation from b group by 1, 2""")
+   b as (select image_id, label, direction, sum(p * p) as asm, sum(pow(i - j, 2) * p) as con, -sum(p * log2(p)) as ent, sum(p / (1 + pow(i - j, 2))) as idm, sum((i + j) * p) as sa, sum(i * i * p) - pow(sum(i * p), 2) as var, sum(i * j * p) - pow(sum(i * p), 2) as cov,
+     sum(pow(i + j, 2) * p) - pow(sum((i + j) * p), 2) as sv, sum(pow(i - j, 2) * p) - pow(sum(abs(i - j) * p), 2) as dv from p group by 1, 2, 3),
+   hs as (select image_id, label, direction, -sum(q * log2(q)) as se from (select image_id, label, direction, i + j as k, sum(p) as q from p group by all) group by 1, 2, 3),
+   hd as (select image_id, label, direction, -sum(q * log2(q)) as de from (select image_id, label, direction, abs(i - j) as k, sum(p) as q from p group by all) group by 1, 2, 3),
+   mi as (select image_id, label, direction, i, sum(p) as q from p group by all), hx as (select image_id, label, direction, -sum(q * log2(q)) as hx from mi group by 1, 2, 3),
+   h1 as (select p.image_id, p.label, p.direction, -sum(p.p * log2(a.q * c.q)) as h1 from p join mi a on a.image_id = p.image_id and a.label = p.label and a.direction = p.direction and a.i = p.i
+     join mi c on c.image_id = p.image_id and c.label = p.label and c.direction = p.direction and c.i = p.j group by 1, 2, 3)
+   select image_id, label, {r('avg(asm)')} as angular_second_moment, {r('avg(con)')} as contrast, {r('avg(ent)')} as entropy, {r('avg(idm)')} as inverse_difference_moment, {r('avg(sa)')} as sum_average, {r('avg(var)')} as variance, {r('avg(case when var > 1e-12 then cov / var else 1 end)')} as correlation,
+   {r('avg(sv)')} as sum_variance, {r('avg(dv)')} as difference_variance, {r('avg(se)')} as sum_entropy, {r('avg(de)')} as difference_entropy, {r('avg(case when hx > 1e-12 then (ent - h1) / hx else 0 end)', 5)} as info_measure_1
+   from b join hs using (image_id, label, direction) join hd using (image_id, label, direction) join hx using (image_id, label, direction) join h1 using (image_id, label, direction) group by 1, 2""")
 def _(t):
     h = px.haralick(px.cooccurrence(px.grey_levels(pixels(t), "dna", 16), 2))
-    return h.select("image_id", "label", *[rnd(c).alias(c) for c in ("angular_second_moment", "contrast", "entropy", "inverse_difference_moment", "sum_average", "variance", "correlation")])
+    return h.select("image_id", "label", *[rnd(c).alias(c) for c in ("angular_second_moment", "contrast", "entropy", "inverse_difference_moment", "sum_average", "variance", "correlation", "sum_variance", "difference_variance", "sum_entropy", "difference_entropy")],
+                    rnd("info_measure_1", 5).alias("info_measure_1"))
 
 
 OPEN = TRUTH + ", " + CHANNELS + """, o1 as (select *, min(dna) over (partition by image_id, y order by x range between 1 preceding and 1 following) as m from pc), o2 as (select *, min(m) over (partition by image_id, x order by y range between 1 preceding and 1 following) as e from o1),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cytomill.operators import inference as inf
 from cytomill.operators import profiles as pr
+from cytomill.functions.scalar import first_match
+from cytomill.operators.pixels import merge_tile_features
 from cytomill.operators.ordered import attach, join_on, top_k
 from cytomill.session import cut
 from cytomill.plans.registry import Tables, query, r, rnd, scorr, t_tail
@@ -309,3 +311,24 @@ def _(t):
 def _(t):
     d = inf.dose_response(field_values(t).where(~F.col("is_control")), ["compound", "feature"], "dose")
     return d.select("compound", "feature", "n_doses", rnd("rho").alias("rho"))
+
+
+@query("j13_tests_with_effect", f"with {PVC} select compound, feature, {r('t')} as t, {r('cohens_d')} as cohens_d from raw")
+def _(t):
+    """Test and effect size come from the same aggregation, so the merge needs no join."""
+    return control_tests(t).select("compound", "feature", rnd("t").alias("t"), rnd("cohens_d").alias("cohens_d"))
+
+
+CATS = [("price", "Intensity"), ("quantity", "AreaShape"), ("charge", "Texture")]
+
+
+@query("f05_feature_category", f"with {VALS} select distinct feature, case when contains(feature, 'price') then 'Intensity' when contains(feature, 'quantity') then 'AreaShape' when contains(feature, 'charge') then 'Texture' else 'Other' end as category from vals")
+def _(t):
+    return field_values(t).select("feature", first_match(F.col("feature"), CATS, "Other").alias("category")).distinct()
+
+
+@query("m11_mergeable_mean", f"select l_suppkey, count(*) as area, {r('avg(l_quantity)')} as quantity, {r('avg(l_discount)')} as discount from lineitem group by 1")
+def _(t):
+    part = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("area"), F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    m = merge_tile_features(part, ["l_suppkey"], "area", ["quantity", "discount"])
+    return m.select("l_suppkey", "area", rnd("quantity").alias("quantity"), rnd("discount").alias("discount"))

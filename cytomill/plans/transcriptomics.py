@@ -318,3 +318,9 @@ def _(t):
 def _(t):
     look = t.orders.where("o_orderkey <> 0").select(F.col("o_orderkey").alias("label"), "o_custkey")
     return assigned(t).join(look, "label", "left").select("l_orderkey", "l_linenumber", F.coalesce("o_custkey", F.lit(0)).cast("long").alias("track"))
+
+
+@query("j28_rank_inputs", f"with {EXPR} select gene, count(*) as n from ex join cl using (cell_id) where price > 250000 group by 1 having count(*) >= 10")
+def _(t):
+    big = cells(t).where("price > 250000").select("cell_id")
+    return expr(t).join(big, "cell_id").groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
