@@ -55,9 +55,15 @@ def _(t):
     return e.select("cluster", "class", "k", rnd("share").alias("share"))
 
 
-@query("a57_enrichment_p")
+LOGC = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+
+
+@query("a57_enrichment_p", f"""with {LAB}, c as (select cluster, class, count(*) as n, sum(count(*)) over (partition by cluster)::bigint as ct, sum(count(*)) over (partition by class)::bigint as cc, sum(count(*)) over ()::bigint as t from lab group by 1, 2),
+   k as (select * from c qualify row_number() over (partition by cluster order by n desc, class) = 1)
+   select cluster, class, n as k, {r('least(1, list_sum(list_transform(range(n, least(ct, cc) + 1), lambda i: exp(' + LOGC('cc', 'i') + ' + ' + LOGC('(t - cc)', '(ct - i)') + ' - ' + LOGC('t', 'ct') + '))))', 5)} as p from k""")
 def _(t):
-    return inf.enrichment(cl.contingency(labelled(t), [], "cluster", "class"), "cluster", "class")
+    e = inf.enrichment(cl.contingency(labelled(t), [], "cluster", "class"), "cluster", "class")
+    return e.select("cluster", "class", "k", rnd("p", 5).alias("p"))
 
 
 @query("a58_majority_vote", f"with {LAB}, c as (select l_suppkey, cluster, count(*) as n from lab group by 1, 2) select l_suppkey, arg_max(cluster, (n, -cluster)) as cluster, sum(n)::bigint as n_fields, max(n) as n_agree from c group by 1")

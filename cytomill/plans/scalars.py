@@ -78,7 +78,7 @@ def _(t):
     return t.events.select("event_id", sc.stopwatch_seconds(F.hour("ts"), F.minute("ts")).cast("long").alias("seconds"), sc.clock(F.col("user_id")).alias("clock"))
 
 
-@query("f13_parameter_grid", "select r_name, round(0.3 + i * 0.1, 3) as v, round(0.5 + j * 0.25, 3) as w from region, (select unnest(range(0, 5)) as i), (select unnest(range(0, 3)) as j)")
+@query("f13_parameter_grid", "select r_name, round((0.3 + i * 0.1)::double, 3) as v, round((0.5 + j * 0.25)::double, 3) as w from region, (select unnest(range(0, 5)) as i), (select unnest(range(0, 3)) as j)")
 def _(t):
     g = t.region.select("r_name", F.explode(sc.grid_values(0.3, 0.7, 0.1)).alias("v"))
     return g.select("r_name", "v", F.explode(sc.grid_values(0.5, 1.0, 0.25)).alias("w"))
