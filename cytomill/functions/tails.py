@@ -13,8 +13,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(fn, x) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    return np.array([fn(v) for v in x.ravel()], dtype=float).reshape(x.shape)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
 
 
 def normal_two_sided_np(z: np.ndarray) -> np.ndarray:
