@@ -11,50 +11,51 @@ from cytomill.operators.ordered import ordinal
 from cytomill.session import cut
 
 
-def _least_neighbour(e: DataFrame, own: bool) -> DataFrame:
-    m = e.groupBy("u").agg(F.min("v").alias("m"))
-    return m.withColumn("m", F.least("u", "m")) if own else m
+def _star(rows: DataFrame, own: bool) -> DataFrame:
+    """Each row (u, v) with m, the smallest neighbour of u (u itself included if `own`).
+
+    The minima are a table of their own, one row per node, so both sides of the join are plain
+    shuffled inputs and adaptive execution can split the rows of a hub over many tasks.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(least.withColumn("m", F.least("u", "m")) if own else least)
+    return rows.join(least, "u")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node id reachable, by alternating large-star and small-star.
 
-    Each round is one min aggregation and one join per star, checkpointed; a hub is only ever
-    aggregated with a map-side min. The edge set shrinks to stars, so rounds grow with the log of the
-    longest chain.
+    Runs until a round changes nothing; the edge set shrinks to stars, so rounds grow with the log
+    of the longest chain. Every round reads written tables, so a lost executor repeats one round.
+    Null ends are no edges.
     """
     e = cut(
         edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    last = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = _least_neighbour(both, own=True)
+    sign, last = _signature(e), None
+    while sign[0] and sign != last:
+        last = sign
         # large-star: every larger neighbour of u now points at u's minimum
-        e = (
-            both.join(m, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = cut(_star(both, own=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small-star: u and its smaller neighbours point at the smallest of them
-        low = _least_neighbour(e, own=False)
-        j = e.join(low, "u")
+        small = _star(large, own=False)
         e = cut(
-            j.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
+            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        sign = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if sign == last:
-            break
-        last = sign
-    else:
-        raise RuntimeError("components did not settle; raise `rounds`")
+        sign = _signature(e)
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     if nodes is None:
         nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
     return nodes.select("node").join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _signature(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def merge_relabeling(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, new_label): components of touching labels renumbered 1..N in ascending root id."""
     comp = components(edges, nodes, src, dst)

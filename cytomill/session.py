@@ -24,19 +24,28 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in `spark.checkpoint.dir`.
 
-    A machine-local folder is made only for a local master with the setting left empty.
+    A machine-local folder is made, once per application, only for a local master with the setting left empty.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _MADE:
+        _MADE[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _MADE[context.applicationId]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,6 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
     planner sees real sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
