@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomill.llm import secrets, urls, warc
+from cytomill.llm import decontaminate, secrets, urls, warc
 from cytomill.session import cut
 
 QUERIES: dict = {}
@@ -98,3 +98,32 @@ q as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as
 select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> newest then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and page_id <> newest then newest end as refers_to
 from q"""
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    h = F.col("hits")
+    covered = F.aggregate(h["spans"], F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return decontaminate.with_hits(docs, table(spark, folder, "benchmark")).select(
+        "doc_id", h["n_words"].alias("n_words"), covered.alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(h["items"], ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated"),
+    )
+
+
+_ALNUM = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op10_decontaminate"] = f"""
+with d as (select row_number() over () as row_id, doc_id, {_ALNUM} as w from documents),
+items as (select item_id, {_ALNUM} as w from benchmark where text is not null and item_id is not null),
+phrases as (
+  select distinct item_id, least(len(w), 10) as m, list_aggregate(w[i:i + least(len(w), 10) - 1], 'string_agg', ' ') as phrase
+  from items, lateral (select unnest(range(1, greatest(1, len(w) - 9) + 1)) as i) where len(w) > 0),
+lengths as (select distinct m from phrases),
+windows as (
+  select row_id, i, m, list_aggregate(w[i:i + m - 1], 'string_agg', ' ') as phrase
+  from d, lengths, lateral (select unnest(range(1, len(w) - m + 2)) as i) where len(w) >= m),
+occurs as (select row_id, i, m, item_id from windows join phrases using (m, phrase)),
+covered as (select row_id, count(distinct p) as n_hit from (select row_id, unnest(range(i, i + m)) as p from occurs) group by row_id),
+listed as (select row_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct row_id, cast(item_id as varchar) as item from occurs) group by row_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (row_id) left join listed using (row_id)"""
