@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomill.llm import decontaminate, secrets, urls, warc
+from cytomill.llm import decontaminate, quality, rules, secrets, toxicity, urls, warc
 from cytomill.session import cut
 
 QUERIES: dict = {}
@@ -127,3 +127,28 @@ covered as (select row_id, count(distinct p) as n_hit from (select row_id, unnes
 listed as (select row_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct row_id, cast(item_id as varchar) as item from occurs) group by row_id)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (row_id) left join listed using (row_id)"""
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    measured = cut(docs.select("doc_id", rules.measures(F.col("text")).alias("measures")))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rules.judge(measured, rules.fit(measured)).select("doc_id", *[F.col(f"measures.{c}") for c in names], "verdict.base_failed", "verdict.kept", "verdict.probability")
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = toxicity.train(docs, labels, ~held_out)
+    s = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return s.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    _, _, model = quality.train(docs)
+    s = docs.select("doc_id", quality.score(F.col("text"), model).alias("score"))
+    return s.withColumn("kept", F.col("score") >= 0.5)
