@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomill.llm import decontaminate, quality, rules, secrets, toxicity, urls, warc
+from cytomill.llm import decontaminate, quality, rules, secrets, substrings, toxicity, urls, warc
 from cytomill.session import cut
 
 QUERIES: dict = {}
@@ -152,3 +152,24 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     _, _, model = quality.train(docs)
     s = docs.select("doc_id", quality.score(F.col("text"), model).alias("score"))
     return s.withColumn("kept", F.col("score") >= 0.5)
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rest = substrings.remove_repeats(table(spark, folder, "documents"))
+    return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op8_substring_dedup"] = r"""
+with d as (select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select row_id, i, list_aggregate(w[i:i + 34], 'string_agg', ' ') as words
+  from d, lateral (select unnest(range(1, len(w) - 33)) as i) where len(w) >= 35),
+repeated as (select words from windows group by words having count(*) > 1),
+gone as (select row_id, list(distinct p) as ps from (select row_id, unnest(range(i, i + 35)) as p from windows join repeated using (words)) group by row_id),
+kept as (
+  select row_id, string_agg(word, ' ' order by p) as kept
+  from (select row_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d) anti join (select row_id, unnest(ps) as p from gone) using (row_id, p)
+  group by row_id)
+select doc_id, len(w) as n_words, coalesce(len(ps), 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join gone using (row_id) left join kept using (row_id)"""
