@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomill.llm import decontaminate, quality, rules, secrets, substrings, toxicity, urls, warc
+from cytomill.llm import decontaminate, neardup, quality, rules, secrets, substrings, toxicity, urls, warc
 from cytomill.session import cut
 
 QUERIES: dict = {}
@@ -173,3 +173,9 @@ kept as (
   group by row_id)
 select doc_id, len(w) as n_words, coalesce(len(ps), 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join gone using (row_id) left join kept using (row_id)"""
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    c = neardup.classes(table(spark, folder, "documents"))
+    return c.select(F.col("key").alias("doc_id"), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
