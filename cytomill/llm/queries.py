@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomill.llm import decontaminate, neardup, quality, rules, secrets, substrings, toxicity, urls, warc
+from cytomill.llm import decontaminate, neardup, pieces, quality, rules, secrets, substrings, toxicity, urls, warc
 from cytomill.session import cut
 
 QUERIES: dict = {}
@@ -179,3 +179,16 @@ from d left join gone using (row_id) left join kept using (row_id)"""
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     c = neardup.classes(table(spark, folder, "documents"))
     return c.select(F.col("key").alias("doc_id"), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+#: The public model file; a parameter of this module, not part of the repository.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op6_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = pieces.Pieces(PIECE_MODEL)
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    d = d.withColumn("ids", pieces.encode(spark, F.col("doc_id"), F.col("text"), vocabulary))
+    d = d.withColumn("decoded", pieces.decode(spark, F.col("ids"), vocabulary))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
