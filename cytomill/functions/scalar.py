@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: patterns of file names
 WELL_SITE = r"(?i)^([A-P]\d{2})_s(\d+)_w\d+"
 FIELD_STEM = r"^(.+?)_w\d+"
 BLOCK_INDEX = r"_(Z)(\d+)(Y)(\d+)(X)(\d+)"
@@ -71,7 +72,7 @@ def prefix_split(name: Column, prefixes: list[str]) -> tuple[Column, Column]:
     for p in reversed(prefixes):
         hit = F.startswith(name, F.lit(p))
         head = F.when(hit, F.lit(p)).otherwise(head)
-        rest = F.when(hit, F.regexp_replace(F.substring(name, len(p) + 1, 1 << 20), "^_", "")).otherwise(rest)
+        rest = F.when(hit, F.regexp_replace(F.substring(name, F.lit(len(p) + 1), F.length(name)), "^_", "")).otherwise(rest)
     return head, rest
 
 

@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -32,13 +33,18 @@ def normal_two_sided_np(z: np.ndarray) -> np.ndarray:
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Lentz evaluation of the incomplete-beta continued fraction, all rows at once."""
+    """Lentz evaluation of the incomplete-beta continued fraction, all rows at once.
+
+    It needs about the square root of the larger parameter in rounds; rows that have not settled after four times that are NaN.
+    """
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     total = d.copy()
-    for m in range(1, 400):
+    step = np.zeros_like(x)
+    top = float(np.max(np.maximum(a, b), initial=1.0))
+    for m in range(1, 200 + int(4 * math.sqrt(top))):
         for term in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -51,7 +57,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             total = total * step
         if np.all(np.abs(step - 1.0) < 1e-15):
             break
-    return total
+    return np.where(np.abs(step - 1.0) < 1e-12, total, np.nan)
 
 
 def beta_inc_np(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -79,9 +85,23 @@ def hypergeom_upper_np(k: int, total: int, good: int, drawn: int) -> float:
     top = min(good, drawn)
     if k > top:
         return 0.0
-    base = log_choose(total, drawn)
-    ks = range(max(k, drawn - (total - good), 0), top + 1)
-    return min(1.0, math.fsum(math.exp(log_choose(good, i) + log_choose(total - good, drawn - i) - base) for i in ks))
+    low = max(drawn - (total - good), 0)
+    if k <= low:
+        return 1.0
+    # terms rise to the mode and fall behind it: sum the side of it that k is on, outwards by the ratio of neighbours
+    upper = k > (good + 1) * (drawn + 1) // (total + 2)
+    i = k if upper else k - 1
+    term = math.exp(log_choose(good, i) + log_choose(total - good, drawn - i) - log_choose(total, drawn))
+    terms = [term]
+    while (i < top if upper else i > low) and term > 1e-18 * terms[0]:
+        if upper:
+            term *= (good - i) * (drawn - i) / ((i + 1) * (total - good - drawn + i + 1))
+            i += 1
+        else:
+            term *= i * (total - good - drawn + i) / ((good - i + 1) * (drawn - i + 1))
+            i -= 1
+        terms.append(term)
+    return min(1.0, math.fsum(terms)) if upper else max(0.0, 1.0 - math.fsum(terms))
 
 
 def _fill(mask: np.ndarray, values: np.ndarray) -> pd.Series:
@@ -126,17 +146,23 @@ def _signed_rank_exact(w: float, n: int) -> float:
     return min(1.0, 2.0 * ways[: int(math.floor(w)) + 1].sum() / 2.0 ** n)
 
 
-@F.pandas_udf(DoubleType())
-def signed_rank_p(w: pd.Series, n: pd.Series, tie_term: pd.Series) -> pd.Series:
-    """Exact up to 50 untied differences, else normal with tie correction and no continuity term."""
-    out = []
-    for wi, ni, ti in zip(w, n, tie_term):
-        ni = int(ni)
-        if ni == 0:
-            out.append(1.0)
-        elif ni <= 50 and ti == 0:
-            out.append(_signed_rank_exact(wi, ni))
-        else:
+def signed_rank_p(w: Column, n: Column, tie_term: Column, exact: bool = False) -> Column:
+    """Two-sided p: by default normal with tie correction and no continuity term; `exact` counts all sign patterns, which untied
+    differences need (tied ones then give NULL) and which takes n squared steps a row."""
+
+    @F.pandas_udf(DoubleType())
+    def run(w: pd.Series, n: pd.Series, tie_term: pd.Series) -> pd.Series:
+        out = []
+        for wi, ni, ti in zip(w, n, tie_term):
+            ni = int(ni)
             var = ni * (ni + 1) * (2 * ni + 1) / 24.0 - ti / 48.0
-            out.append(math.erfc(abs(wi - ni * (ni + 1) / 4.0) / math.sqrt(var) / math.sqrt(2.0)) if var > 0 else 1.0)
-    return pd.Series(out)
+            if ni == 0:
+                out.append(1.0)
+            elif exact:
+                out.append(_signed_rank_exact(wi, ni) if ti == 0 else float("nan"))
+            else:
+                out.append(math.erfc(abs(wi - ni * (ni + 1) / 4.0) / math.sqrt(var) / math.sqrt(2.0)) if var > 0 else 1.0)
+        return pd.Series(out, dtype=float)
+
+    p = run(w, n, tie_term)
+    return F.when(~F.isnan(p), p)

@@ -77,10 +77,11 @@ def bootstrap_counts(df: DataFrame, cluster: str, klass: str, replicates: int, s
     return reps.groupBy("replicate", "class").applyInPandas(draw, schema).where("n > 0")
 
 
-def normal_interval(values: DataFrame, value: str) -> DataFrame:
-    """Mean, sample std and mean +- 1.96 std clipped to [0, 1]."""
-    s = values.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return s.select("mean", "std", F.greatest(F.col("mean") - 1.96 * F.col("std"), F.lit(0.0)).alias("low"), F.least(F.col("mean") + 1.96 * F.col("std"), F.lit(1.0)).alias("high"))
+def normal_interval(values: DataFrame, value: str, estimate: DataFrame) -> DataFrame:
+    """Point estimate (the one row of `estimate`), sample std over replicates and estimate +- 1.96 std clipped to [0, 1]."""
+    s = values.agg(F.stddev_samp(value).alias("std")).transform(attach, estimate.select(F.col(value).alias("estimate")))
+    half = 1.96 * F.col("std")
+    return s.select("estimate", "std", F.greatest(F.col("estimate") - half, F.lit(0.0)).alias("low"), F.least(F.col("estimate") + half, F.lit(1.0)).alias("high"))
 
 
 def majority_cluster(df: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:

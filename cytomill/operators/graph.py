@@ -85,11 +85,11 @@ def singletons(tracks: DataFrame, edges: DataFrame, track: str = "track_id", par
 def run_components(runs: DataFrame, img: Sequence[str] = ("image_id",), diagonal: bool = False, same_label: bool = True) -> DataFrame:
     """Connected pixel regions: touching runs of neighbouring rows are edges; adds `component`.
 
-    Run ids pack a per-table unique key, so no global sort is needed.
+    A run is named by (image, row, start, label), so overlapping masks stay apart unless `same_label` is off.
     """
     from cytomill.operators.overlap import _binned
 
-    r = runs.withColumn("rid", F.xxhash64(*img, "y", "x0"))
+    r = runs.withColumn("rid", F.struct(*img, "y", "x0", "label"))
     reach = 1 if diagonal else 0
     # a run of row y meets a run of row y+1; 8-connectivity widens one side by a pixel each way
     a = _binned(r.withColumn("x0", F.col("x0") - reach).withColumn("x1", F.col("x1") + reach), 64)
@@ -98,5 +98,5 @@ def run_components(runs: DataFrame, img: Sequence[str] = ("image_id",), diagonal
     if same_label:
         e = e.where(F.col("label") == F.col("l2"))
     e = e.select(F.col("rid").alias("src"), F.col("rid2").alias("dst")).distinct()
-    comp = components(e, r.select(F.col("rid").alias("node")))
+    comp = components(e, r.select(F.col("rid").alias("node")).distinct())
     return r.join(comp.withColumnRenamed("node", "rid"), "rid").drop("rid")

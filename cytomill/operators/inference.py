@@ -47,7 +47,7 @@ def student(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]
 def cohens_d(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Pooled effect size; 0 when a side has fewer than 2 rows or there is no spread."""
     pooled = F.sqrt((a["m2"] + b["m2"]) / F.nullif(a["n"] + b["n"] - 2, F.lit(0)))
-    d = (a["mean"] - b["mean"]) / F.when(pooled > 1e-10, pooled)
+    d = (a["mean"] - b["mean"]) / F.when(pooled > 0, pooled)
     return F.when((a["n"] < 2) | (b["n"] < 2), F.lit(0.0)).otherwise(F.coalesce(d, F.lit(0.0)))
 
 
@@ -63,7 +63,10 @@ def _finish(j: DataFrame, keep: Sequence[str], a: dict[str, Column], b: dict[str
     t, dof = welch(a, b)
     out = j.select(*keep, a["n"].alias("n_a"), b["n"].alias("n_b"), (a["mean"] - b["mean"]).alias("diff"),
                    t.alias("t"), dof.alias("dof"), cohens_d(a, b).alias("cohens_d"))
-    return out.withColumn("p", F.coalesce(tails.student_two_sided("t", "dof"), F.lit(1.0)))
+    # no spread on either side: t has no finite value and counts as 0; different means are then certain (p = 0)
+    flat = (F.col("n_a") >= 2) & (F.col("n_b") >= 2) & F.col("t").isNull()
+    p = F.coalesce(tails.student_two_sided("t", "dof"), F.when(flat & (F.col("diff") != 0), 0.0).otherwise(1.0))
+    return out.withColumn("p", p).withColumn("t", F.when(flat, 0.0).otherwise(F.col("t")))
 
 
 def versus_control(values: DataFrame, group: str, control: Column, value: str = "value") -> DataFrame:
@@ -151,8 +154,8 @@ def rank_sum(counts: DataFrame, keys: Sequence[str], value: str, a: str, b: str)
     return s.withColumn("p", F.least(F.when(F.col("z") > 0, tails.normal_two_sided("z")).otherwise(F.lit(1.0)), F.lit(1.0)))
 
 
-def signed_rank(diffs: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
-    """Paired signed-rank statistics per key; zero differences are left out."""
+def signed_rank(diffs: DataFrame, keys: Sequence[str], diff: str, exact: bool = False) -> DataFrame:
+    """Paired signed-rank statistics per key; zero differences are left out. `exact` asks for the exact p of untied differences."""
     d = diffs.where((F.col(diff) != 0) & F.col(diff).isNotNull()).select(*keys, F.abs(diff).alias("__a"), (F.col(diff) > 0).cast("long").alias("__pos"))
     c = cut(d.groupBy(*keys, "__a").agg(F.sum("__pos").alias("__p"), F.count(F.lit(1)).alias("__n")))
     r = running_sums(c, keys, "__a", {"__before": "__n"})
@@ -162,7 +165,7 @@ def signed_rank(diffs: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
         F.sum("__n").alias("n"), F.sum(rank * F.col("__p")).alias("w_plus"), F.sum(rank * (F.col("__n") - F.col("__p"))).alias("w_minus"),
         F.sum(nn * nn * nn - nn).alias("ties"),
     )
-    return s.withColumn("w", F.least("w_plus", "w_minus")).withColumn("p", tails.signed_rank_p("w", "n", "ties")).drop("ties")
+    return s.withColumn("w", F.least("w_plus", "w_minus")).withColumn("p", tails.signed_rank_p(F.col("w"), F.col("n"), F.col("ties"), exact)).drop("ties")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

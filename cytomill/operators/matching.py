@@ -161,7 +161,7 @@ def _by_component(pairs: DataFrame, img: Sequence[str]) -> DataFrame:
     small independent pieces, never on a whole image."""
     from cytomill.operators.graph import components
 
-    p = cut(pairs).withColumn("__na", F.xxhash64(F.lit("a"), *img, "a_label")).withColumn("__nb", F.xxhash64(F.lit("b"), *img, "b_label"))
+    p = cut(pairs).withColumn("__na", F.struct(*img, F.lit("a").alias("side"), F.col("a_label").alias("label"))).withColumn("__nb", F.struct(*img, F.lit("b").alias("side"), F.col("b_label").alias("label")))
     comp = components(p, None, "__na", "__nb").withColumnRenamed("node", "__na")
     return p.join(comp, "__na").drop("__na", "__nb")
 

@@ -31,10 +31,13 @@ def value_bucket(v: Column, bits: int) -> Column:
     It depends on the value alone, so re-running a lost task gives the same buckets.
     """
     width = 1 << bits
-    a = F.abs(v.cast("double"))
+    v = v.cast("double")
+    a = F.abs(v)
     e = F.floor(F.log2(a))
     size = (e + 1100) * width + F.floor((a / F.pow(F.lit(2.0), e) - 1.0) * width)
-    return F.when(a == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+    # the infinities lie outside all numbers and NaN, as in Spark's order, above them
+    size = F.when(F.isnan(v), F.lit(2200 * width + 1)).when(a == float("inf"), F.lit(2200 * width)).when(a == 0, F.lit(0)).otherwise(size)
+    return F.when(v < 0, -size).otherwise(size).cast("long")
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
@@ -55,8 +58,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Adds the columns of a one-row table (totals, thresholds) to every row; the limit proves the size."""
-    return df.crossJoin(F.broadcast(one_row.limit(1)))
+    """Adds the columns of a one-row table (totals, thresholds) to every row.
+
+    The aggregate proves the size of what is broadcast; any other number of rows than one fails the job.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in one_row.columns])
+    one = one_row.agg(F.count(F.lit(1)).alias("__n"), F.first(row).alias("__row"))
+    failed = F.raise_error(F.concat(F.lit("a table of one row is asked for, this one has "), F.col("__n").cast("string")))
+    one = one.select(F.when(F.col("__n") == 1, F.col("__row")).otherwise(failed).alias("__row"))
+    return df.crossJoin(F.broadcast(one)).select(*[F.col(f"`{c}`") for c in df.columns], "__row.*")
 
 
 def running_sums(

@@ -27,10 +27,10 @@ def tile_starts(length, tile: int, overlap: float):
 
 
 def make_tiles(images: DataFrame, tile: int, overlap: float = 0.1, height: str = "height", width: str = "width") -> DataFrame:
-    """(image columns, tile, ty, tx) for every tile of every image."""
+    """(image columns, tile, ty, tx) for every tile of every image; `tile` is the pair (ty, tx)."""
     t = images.withColumn("ty", F.explode(tile_starts(F.col(height), tile, overlap)))
     t = t.withColumn("tx", F.explode(tile_starts(F.col(width), tile, overlap)))
-    return t.withColumn("tile", F.col("ty") * 1000000 + F.col("tx"))
+    return t.withColumn("tile", F.struct("ty", "tx"))
 
 
 def tile_pixels(px: DataFrame, tiles: DataFrame, tile: int, img: Sequence[str] = IMG) -> DataFrame:
@@ -44,6 +44,7 @@ def tile_pixels(px: DataFrame, tiles: DataFrame, tile: int, img: Sequence[str] =
 
 def average_tiles(tiled: DataFrame, value: str, tile: int, img: Sequence[str] = IMG, sigma: float = 7.5) -> DataFrame:
     """Overlapping tile outputs blended with a sigmoid taper that falls off towards the tile edge."""
+    # fixed values of the taper: a margin of 20 pixels, slope 7.5
     def taper(v, start):
         centre = F.abs(v - start - (tile - 1) / 2.0)
         return 1.0 / (1.0 + F.exp((centre - (tile / 2.0 - 20.0)) / sigma))
@@ -130,8 +131,8 @@ def merge_blocks(px: DataFrame, block: int, img: Sequence[str] = IMG, id: str =
 
 
 def slice_node(volume: str = "volume", axis: str = "z", label: str = "label"):
-    """One id per (volume, slice, label): 24 + 16 + 23 bits."""
-    return F.shiftleft(F.col(volume).cast("long"), 39).bitwiseOR(F.shiftleft(F.col(axis).cast("long"), 23)).bitwiseOR(F.col(label).cast("long"))
+    """One id per (volume, slice, label)."""
+    return F.struct(*[F.col(c).cast("long").alias(n) for n, c in (("volume", volume), ("slice", axis), ("label", label))])
 
 
 def stitch_links(runs: DataFrame, threshold: float = 0.25, volume: str = "volume", axis: str = "z") -> DataFrame:
@@ -156,7 +157,7 @@ def stitch_slices(runs: DataFrame, threshold: float = 0.25, volume: str = "volum
 
 
 def _next(volume: str, axis: str):
-    return F.shiftleft(F.col(volume).cast("long"), 39).bitwiseOR(F.shiftleft(F.col(axis).cast("long") + 1, 23)).bitwiseOR(F.col("b_label").cast("long"))
+    return F.struct(F.col(volume).cast("long").alias("volume"), (F.col(axis) + 1).cast("long").alias("slice"), F.col("b_label").cast("long").alias("label"))
 
 
 def merge_slices(runs: DataFrame, threshold: float = 0.5, min_extent: int = 1, volume: str = "volume", axis: str = "z") -> DataFrame:
@@ -193,26 +194,28 @@ def suppress(candidates: DataFrame, pairs: DataFrame, threshold: float, min_size
     """Greedy non-maximum suppression: highest score first, a candidate falls when it overlaps a kept one by
     more than `threshold`. Runs per connected group of overlapping candidates."""
     big = cut(candidates.where(F.col("area") > min_size))
-    key = lambda c: F.xxhash64(*img, F.col(c))
+    key = lambda c: F.struct(*img, F.col(c).alias("label"))
     p = join_on(join_on(pairs.where(F.col(overlap) > threshold), big.select(*img, F.col(id).alias("i")), [*img, "i"], "left_semi"),
                 big.select(*img, F.col(id).alias("j")), [*img, "j"], "left_semi")
     p = cut(p.select(key("i").alias("a"), key("j").alias("b")))
-    rows = big.select(key(id).alias("a"), F.col(score).alias("s"), F.col(id).alias("lab"))
-    linked = p.union(p.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("near"))
+    rows = big.select(key(id).alias("a"), F.col(score).alias("s"))
+    linked = p.union(p.select("b", "a")).groupBy("a").agg(F.collect_list(F.col("b.label")).alias("near"))
     comp = components(p, None, "a", "b").withColumnRenamed("node", "a")
-    work = rows.join(linked, "a").join(comp, "a")
+    work = rows.join(linked, "a").join(comp, "a").select("component", "s", "near", F.col("a.label").alias("lab"), *[F.col(f"a.{c}") for c in img])
+    schema = work.select(*img, F.col("lab").alias(id)).schema
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         gone, kept = set(), []
-        for a, near in pdf.sort_values(["s", "lab"], ascending=[False, True])[["a", "near"]].itertuples(index=False):
-            if a not in gone:
-                kept.append(a)
+        pdf = pdf.sort_values(["s", "lab"], ascending=[False, True])  # a component lies in one image
+        for lab, near in pdf[["lab", "near"]].itertuples(index=False):
+            kept.append(lab not in gone)
+            if kept[-1]:
                 gone.update(near)
-        return pd.DataFrame({"a": kept}, dtype="int64")
+        return pdf[kept].rename(columns={"lab": id})[schema.names]
 
-    kept = work.groupBy("component").applyInPandas(solve, "a long")
-    alone = rows.join(p.select("a").union(p.select("b")), "a", "left_anti").select("a")
-    return big.withColumn("a", key(id)).join(kept.union(alone), "a", "left_semi").drop("a")
+    kept = work.groupBy("component").applyInPandas(solve, schema)
+    alone = rows.join(p.select("a").union(p.select("b")), "a", "left_anti").select(*[F.col(f"a.{c}") for c in img], F.col("a.label").alias(id))
+    return join_on(big, kept.union(alone), [*img, id], "left_semi")
 
 
 def paint_masks(runs: DataFrame, img: Sequence[str] = IMG) -> DataFrame:

@@ -38,14 +38,15 @@ def _(t):
 
 @query("a56_bootstrap_nmi")
 def _(t):
-    b = cl.bootstrap_counts(labelled(t), "cluster", "class", 100)
-    return cl.normal_interval(cl.agreement_scores(b, ["replicate"]), "nmi")
+    b = cl.bootstrap_counts(labelled(t), "cluster", "class", 1000)
+    return cl.normal_interval(cl.agreement_scores(b, ["replicate"]), "nmi", cl.agreement_scores(cl.contingency(labelled(t), [], "cluster", "class"), []))
 
 
 @query("a56_bootstrap_accuracy")
 def _(t):
-    b = cl.bootstrap_counts(labelled(t), "cluster", "class", 100)
-    return cl.normal_interval(cl.matched_accuracy(b, ["replicate"]), "accuracy")
+    b = cl.bootstrap_counts(labelled(t), "cluster", "class", 1000)
+    whole = cl.contingency(labelled(t).withColumn("all", F.lit(0)), ["all"], "cluster", "class")
+    return cl.normal_interval(cl.matched_accuracy(b, ["replicate"]), "accuracy", cl.matched_accuracy(whole, ["all"]))
 
 
 @query("a57_enriched_clusters", f"""with {LAB}, c as (select cluster, class, count(*) as n from lab group by 1, 2), k as (select cluster, class, n, sum(n) over (partition by cluster)::bigint as ct from c qualify row_number() over (partition by cluster order by n desc, class) = 1)

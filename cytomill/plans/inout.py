@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cytomill.operators import blocks as bl
 from cytomill.operators import masks as mk
@@ -131,10 +132,10 @@ def files(t: Tables, mask: str = "_mask") -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("s15_image_files", f"with {FILES} select path, row_number() over (order by split_part(path, '/', 3), doc_id) as k from (select distinct path, doc_id from ff where path not like '%\\_mask.tif' escape '\\' and path not like '%\\_flows.tif' escape '\\') where true".replace("row_number() over (order by split_part(path, '/', 3), doc_id) as k", "lpad(doc_id::varchar, 18, '0') as key"))
+@query("s15_image_files", f"with {FILES} select path, row_number() over (order by split_part(path, '/', 3), doc_id) as k from (select distinct path, doc_id from ff where path not like '%\\_mask.tif' escape '\\' and path not like '%\\_flows.tif' escape '\\') where true".replace("row_number() over (order by split_part(path, '/', 3), doc_id) as k", "lpad(length(doc_id::varchar)::varchar, 10, '0') || doc_id as key"))
 def _(t):
-    i = mf.image_files(files(t).union(files(t)))
-    return i.select("path", F.right(mf.natural_key(F.col("stem")), F.lit(18)).alias("key"))
+    i = mf.image_files(files(t).union(files(t)), "_mask")
+    return i.select("path", F.regexp_extract(mf.natural_key(F.col("stem")), "img(.*)$", 1).alias("key"))
 
 
 @query("s16_label_files", """select '/data/' || source || '-' || lang || '/img' || doc_id || '.tif' as path, case when n_chars < 3000 then '/data/' || source || '-' || lang || '/img' || doc_id || '_mask.tif' else '' end as label_path from documents""")
@@ -181,9 +182,13 @@ def _(t):
 def _(t):
     img = F.struct(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("file_name"))
     ann = F.struct(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("image_id"), F.array(F.array(F.col("p_size").cast("double"), F.lit(1.0))).alias("segmentation"))
-    docs = t.part.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(img).alias("images"), F.collect_list(ann).alias("annotations"))).alias("json"))
+    # ids restart in every document: here they count the parts of a brand
+    nth = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    img = img.withField("id", F.col("k"))
+    ann = ann.withField("image_id", F.col("k"))
+    docs = t.part.withColumn("k", nth).groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(img).alias("images"), F.collect_list(ann).alias("annotations"))).alias("json"))
     there = t.part.where("p_size <= 40").select(F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("file_name"))
-    return rd.coco_annotations(docs, there).select("file_name", "annotation_id", F.col("points")[0].alias("first"))
+    return rd.coco_annotations(docs, there, ["p_brand"]).select("file_name", "annotation_id", F.col("points")[0].alias("first"))
 
 
 @query("s22_profiles", "select s_suppkey, s_acctbal from supplier")

@@ -9,14 +9,20 @@ from cytomill.plans.regions import CLIP, SIDE, points
 from cytomill.plans.registry import Tables, query, r, rnd
 from cytomill.plans.shapes import runs
 from cytomill.operators import overlap as ov
+from cytomill.session import cut
 from cytomill.streaming import incremental as inc
 
 
 def replay(t: Tables, df: DataFrame, parts: int = 4, order: str | None = None) -> DataFrame:
-    """The rows as a file stream of a few batches (in time order when `order` is given)."""
+    """The rows as a file stream of one batch per part (in time order when `order` is given)."""
     p = inc.scratch(t.spark, "replay")
-    (df.repartitionByRange(parts, order) if order else df.repartition(parts)).write.parquet(p)
-    return inc.file_stream(t.spark, p, df.schema, 2)
+    if order:  # one write after the other, as the source takes files by their age
+        ranged = cut(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
+        for k in range(parts):
+            ranged.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(p)
+    else:
+        df.repartition(parts).write.parquet(p)
+    return inc.file_stream(t.spark, p, df.schema, 1)
 
 
 @query("t01_append_metrics", "select c_custkey, c_acctbal from customer")
@@ -32,10 +38,10 @@ def _(t):
     return inc.run_to_table(s, inc.scratch(t.spark, "fields")).select("user_id", "event_type")
 
 
-@query("t03_readiness", "select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as start, user_id, count(distinct event_type) filter (event_type in ('click', 'view')) = 2 as ready from events group by 1, 2")
+@query("t03_readiness", "select user_id, count(distinct event_type) filter (event_type in ('click', 'view')) = 2 as ready from events group by 1")
 def _(t):
-    s = inc.readiness(replay(t, t.events.select("user_id", "event_type", "ts"), 4, "ts"), ["user_id"], "event_type", ["click", "view"], "ts", "60 days", "30 days")
-    return inc.latest(inc.run_to_table(s, inc.scratch(t.spark, "ready"), "update"), ["start", "user_id"])
+    s = inc.readiness(replay(t, t.events.select("user_id", "event_type", "ts"), 4, "ts"), ["user_id"], "event_type", ["click", "view"], "ts", "60 days", "365 days")
+    return inc.latest(inc.run_to_table(s, inc.scratch(t.spark, "ready"), "update"), ["user_id"])
 
 
 @query("t04_running_counts", f"with {CLIP} select image_id, label, count(*) as n from asg group by 1, 2")
@@ -59,6 +65,9 @@ def _(t):
 @query("t05_sessions", """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '6 hours' then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from g)
   select min(ts) as start, user_id, count(*) as n from s group by user_id, k""")
 def _(t):
-    one = t.events.select("user_id", "ts")
-    s = inc.sessions(replay(t, one, 1, "ts"), "ts", "6 hours", ["user_id"], "60 days")
-    return inc.run_to_table(s, inc.scratch(t.spark, "sess"), "complete").select("start", "user_id", "n")
+    p, one = inc.scratch(t.spark, "replay"), t.events.select("user_id", "ts")
+    one.repartitionByRange(3, "ts").write.parquet(p)
+    for days in (400, 401):  # two later arrivals move the watermark past the last session
+        one.agg(F.lit(None).cast(one.schema["user_id"].dataType).alias("user_id"), (F.max("ts") + F.expr(f"interval {days} days")).alias("ts")).write.mode("append").parquet(p)
+    s = inc.sessions(inc.file_stream(t.spark, p, one.schema, 1), "ts", "6 hours", ["user_id"], "60 days")
+    return inc.run_to_table(s, inc.scratch(t.spark, "sess")).where("user_id is not null").select("start", "user_id", "n")

@@ -16,7 +16,7 @@ from cytomill.plans.regions import CLIP, RUNOV, SIDE, assigned, pairs
 from cytomill.plans.registry import Tables, query, r, rnd, scorr, t_tail, z_tail
 from cytomill.plans.shapes import runs
 
-# fixed values: marker sets used by the typing and signature queries
+# marker sets used by the typing and signature queries
 MARKERS = {
     "Alveolar": ["Brand#1", "Brand#2", "Brand#3"],
     "Immune": ["Brand#4", "Brand#5"],

@@ -112,18 +112,22 @@ def _(t):
     return vo.stitch_links(stack(t)).select("volume", "z", "a_label", "b_label", rnd("iou").alias("iou"))
 
 
-@query("g14_stitch_slices", f"""with recursive {LINK}, ch as (select volume, z, label, (volume << 39) | (z << 23) | label as root from ar where not exists (select 1 from lk where lk.volume = ar.volume and lk.z + 1 = ar.z and lk.b_label = ar.label)
+def _named(objects):
+    return objects.withColumn("object_id", F.concat_ws("/", *[F.col(f"object_id.{c}").cast("string") for c in ("volume", "slice", "label")]))
+
+
+@query("g14_stitch_slices", f"""with recursive {LINK}, ch as (select volume, z, label, volume::varchar || '/' || z || '/' || label as root from ar where not exists (select 1 from lk where lk.volume = ar.volume and lk.z + 1 = ar.z and lk.b_label = ar.label)
    union all select lk.volume, lk.z + 1, lk.b_label, ch.root from ch join lk on lk.volume = ch.volume and lk.z = ch.z and lk.a_label = ch.label) select root as object_id, count(*) as n_slices from ch group by 1""")
 def _(t):
-    s = vo.stitch_slices(stack(t))
+    s = _named(vo.stitch_slices(stack(t)))
     return s.groupBy("object_id").agg(F.countDistinct("z").alias("n_slices"))
 
 
-@query("g15_merge_slices", f"""with recursive {LINK}, nd as (select volume, z, label, (volume << 39) | (z << 23) | label as id from ar), e0 as (select (volume << 39) | (z << 23) | a_label as a, (volume << 39) | ((z + 1) << 23) | b_label as b from io where iom >= 0.5),
+@query("g15_merge_slices", f"""with recursive {LINK}, nd as (select volume, z, label, {{'v': volume, 's': z, 'l': label}} as id from ar), e0 as (select {{'v': volume, 's': z, 'l': a_label}} as a, {{'v': volume, 's': z + 1, 'l': b_label}} as b from io where iom >= 0.5),
    e as (select a, b from e0 union select b, a from e0), re as (select id as id, id as reach from nd union select re.id, e.b from re join e on e.a = re.reach), cc as (select id, min(reach) as root from re group by 1),
-   ext as (select root, max(z) - min(z) + 1 as ext, count(*) as n_parts from cc join nd using (id) group by 1) select root as object_id, ext as extent, n_parts from ext where ext >= 2""")
+   ext as (select root, max(z) - min(z) + 1 as ext, count(*) as n_parts from cc join nd using (id) group by 1) select root.v || '/' || root.s || '/' || root.l as object_id, ext as extent, n_parts from ext where ext >= 2""")
 def _(t):
-    m = vo.merge_slices(stack(t), 0.5, 2)
+    m = _named(vo.merge_slices(stack(t), 0.5, 2))
     return m.groupBy("object_id").agg((F.max("z") - F.min("z") + 1).alias("extent"), F.countDistinct("z", "label").alias("n_parts"))
 
 

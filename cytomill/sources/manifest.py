@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from cytomill.functions import scalar as sc
 from cytomill.operators.ordered import join_on
 
-# fixed values: image extensions and the name endings of masks and flows
-IMAGE_EXT = ["png", "jpg", "jpeg", "tif", "tiff", "dax", "nd2", "nrrd", "flex"]
-MASK_ENDINGS = ["_cp_output", "_flows", "_masks", "_mask"]
+# fixed values: image extensions and the name endings of files that are no images
+IMAGE_EXT = ["png", "jpg", "jpeg", "tif", "tiff", "flex", "dax", "nd2", "nrrd"]
+MASK_ENDINGS = ["_cp_output", "_flows", "_flows_0", "_flows_1", "_flows_2", "_cellprob", "_masks"]
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -39,10 +39,11 @@ def image_files(files: DataFrame, mask_filter: str = "_masks", suffix: str = "")
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key that orders embedded numbers by value: every digit run padded to 18 places."""
-    digits = F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
+    """Sort key that orders embedded numbers by value: every digit run without leading zeros, behind its length in ten places."""
+    digits = F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), lambda d: F.regexp_replace(d, "^0+(?=.)", ""))
     words = F.split(c, r"\d+")
-    return F.array_join(F.zip_with(words, digits, lambda w, d: F.concat(F.coalesce(w, F.lit("")), F.coalesce(F.lpad(d, 18, "0"), F.lit("")))), "")
+    sized = lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d)
+    return F.array_join(F.zip_with(words, digits, lambda w, d: F.concat(F.coalesce(w, F.lit("")), F.coalesce(sized(d), F.lit("")))), "")
 
 
 def label_files(images: DataFrame, files: DataFrame, mask_filter: str = "_masks", priority: Sequence[str] = ("tif", "tiff", "png")) -> DataFrame:

@@ -102,10 +102,10 @@ def read_feature_files(spark: SparkSession, paths: Sequence[str], schema: str, p
 
 
 def read_counts(spark: SparkSession, path: str, extra: int = 1) -> DataFrame:
-    """TSV truth: file and one or more counts, the mean of the non-empty ones."""
+    """TSV truth: file and one or more counts, the mean of the non-empty ones; text that is no number fails the job."""
     cols = [f"count{i}" for i in range(1, extra + 1)]
     df = spark.read.csv(path, schema="file string, " + ", ".join(f"{c} string" for c in cols), header=True, sep="\t")
-    vals = F.filter(F.array(*[F.try_to_number(F.trim(c), F.lit("999999999.999999")).cast("double") for c in cols]), lambda v: v.isNotNull())
+    vals = F.filter(F.array(*[F.nullif(F.trim(c), F.lit("")).cast("double") for c in cols]), lambda v: v.isNotNull())
     total = F.aggregate(vals, F.lit(0.0), lambda a, b: a + b)
     return df.select("file", F.when(F.size(vals) > 0, total / F.nullif(F.size(vals), F.lit(0))).alias("gt"))
 
@@ -143,13 +143,16 @@ def polygon_vertices(docs: DataFrame, keys: Sequence[str], json: str = "json") -
     return v.select(*keys, "label", F.col("ord").cast("long").alias("ord"), F.col("pt.x").alias("x"), F.col("pt.y").alias("y"), "height", "width")
 
 
-def coco_annotations(docs: DataFrame, files: DataFrame, json: str = "json") -> DataFrame:
-    """Annotations joined to their image files by name: (file_name, annotation_id, points flat list)."""
+def coco_annotations(docs: DataFrame, files: DataFrame, keys: Sequence[str], json: str = "json") -> DataFrame:
+    """Annotations joined to their image files by name: (file_name, annotation_id, points flat list).
+
+    `keys` name the document, in which alone image ids are unique.
+    """
     schema = "images array<struct<id:long,file_name:string>>, annotations array<struct<id:long,image_id:long,segmentation:array<array<double>>>>"
-    j = docs.select(F.from_json(json, schema).alias("j"))
-    img = j.select(F.inline("j.images")).withColumnRenamed("id", "image_id")
-    ann = j.select(F.inline("j.annotations")).withColumnRenamed("id", "annotation_id")
-    return ann.join(img, "image_id").join(files.select("file_name").distinct(), "file_name", "left_semi").select(
+    j = docs.select(*keys, F.from_json(json, schema).alias("j"))
+    img = j.select(*keys, F.inline("j.images")).withColumnRenamed("id", "image_id")
+    ann = j.select(*keys, F.inline("j.annotations")).withColumnRenamed("id", "annotation_id")
+    return ann.join(img, [*keys, "image_id"]).join(files.select("file_name").distinct(), "file_name", "left_semi").select(
         "file_name", "annotation_id", F.flatten("segmentation").alias("points")
     )
 

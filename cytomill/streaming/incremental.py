@@ -8,10 +8,13 @@ instead of duplicating.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cytomill.session import shared_dir
 
@@ -25,7 +28,12 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 
 def run_to_table(stream: DataFrame, target: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream until its input is used up; each batch overwrites its own folder `batch=<id>`."""
+    """Runs a stream until its input is used up; each batch overwrites its own folder `batch=<id>`.
+
+    The table is the union of the batches, so only what append and update modes hand over can be kept.
+    """
+    if mode not in ("append", "update"):
+        raise ValueError(f"batches of mode {mode} do not add up to a table")
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -40,8 +48,6 @@ def run_to_table(stream: DataFrame, target: str, mode: str = "append", checkpoin
 
 
 def _with_batch(stream: DataFrame):
-    from pyspark.sql import types as T
-
     return T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
 
 
@@ -82,11 +88,33 @@ def unique_fields(stream: DataFrame, keys: Sequence[str], time: str, delay: str)
     return _timed(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def readiness(stream: DataFrame, keys: Sequence[str], channel: str, required: Sequence[str], time: str, delay: str, window: str) -> DataFrame:
-    """Field readiness per arrival window (update mode); the state is a set of at most the channels."""
-    req = F.array(*[F.lit(c) for c in required])
-    g = _timed(stream, time).withWatermark(time, delay).groupBy(F.window(time, window), *keys).agg(F.collect_set(channel).alias("have"))
-    return g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), *keys, (F.size(F.array_except(req, "have")) == 0).alias("ready"))
+def readiness(stream: DataFrame, keys: Sequence[str], channel: str, required: Sequence[str], time: str, delay: str, hold: str) -> DataFrame:
+    """(keys, ready) of every field whose channels changed (update mode).
+
+    The state of a field is the set of required channels that came, wherever their times lie; it is let go when
+    the watermark has passed the field's last arrival by `hold`.
+    """
+    schema = [stream.schema[k] for k in keys]
+    wanted, hold_ms = frozenset(required), int(pd.Timedelta(hold).total_seconds() * 1000)
+    out = T.StructType([*schema, T.StructField("ready", T.BooleanType())])
+    held = T.StructType([T.StructField("have", T.ArrayType(T.StringType())), T.StructField("last", T.LongType())])
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        have, last = state.get if state.exists else ([], 0)
+        have = set(have)
+        for b in batches:
+            have |= wanted & set(b["__channel"])
+            last = max(last, int(b["__ms"].max()))
+        state.update((sorted(have), last))
+        state.setTimeoutTimestamp(max(last + hold_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, have == wanted)], columns=[*keys, "ready"])
+
+    s = _timed(stream, time).withWatermark(time, delay)
+    s = s.select(*keys, time, F.col(channel).cast("string").alias("__channel"), F.unix_millis(time).alias("__ms"))
+    return s.groupBy(*keys).applyInPandasWithState(update, out, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_counts(stream: DataFrame, runs: DataFrame, img: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -104,5 +132,6 @@ def windowed(stream: DataFrame, time: str, size: str, slide: str | None, by: Seq
 
 
 def sessions(stream: DataFrame, time: str, gap: str, by: Sequence[str], delay: str) -> DataFrame:
+    """Sessions in append mode: each is handed over once, when the watermark has passed its end."""
     g = _timed(stream, time).withWatermark(time, delay).groupBy(F.session_window(time, gap), *by).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("session_window.start").cast("timestamp_ntz").alias("start"), *by, "n")
