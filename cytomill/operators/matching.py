@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cytomill.operators.ordered import join_on
+from cytomill.operators.ordered import join_on, quantiles
 from cytomill.session import cut
 
 IMG = ("image_id",)
@@ -216,25 +217,44 @@ def aggregated_jaccard(pairs: DataFrame, foreground: DataFrame, img: Sequence[st
     )
 
 
-def boundary_scores(px_true: DataFrame, px_pred: DataFrame, radius: int, exactly_one: bool = True, img: Sequence[str] = IMG) -> DataFrame:
-    """Precision, recall, F of outlines widened by a disk of `radius` pixels.
+def boundary_scores(
+    px_true: DataFrame, px_pred: DataFrame, scales: Sequence[float], height: int, width: int, exactly_one: bool = True, img: Sequence[str] = IMG
+) -> DataFrame:
+    """(image, scale, precision, recall, f) of outlines widened by a disk, per image and scale.
 
-    With `exactly_one` a pixel belongs to the widened outline when exactly one outline pixel is in
-    range, as the published score does; otherwise when at least one is.
+    The radius is scale x median diameter of the true objects, at least 1. Each image pixel counts the outline pixels of
+    either side in its range, outlines mirrored at the image border. With `exactly_one`, as the published score does, a hit has one of both; a false
+    pixel has one of one side and none of the other, so pixels with two or more of the other side are neither. Otherwise one means
+    one or more. The disk is summed by rows: each outline pixel opens and closes one span per row, and the counts are running sums.
     """
     from cytomill.operators.masks import outline_pixels
 
-    disk = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-    offs = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disk])
-
-    def widened(px: DataFrame, name: str) -> DataFrame:
-        e = outline_pixels(px, img).select(*img, "y", "x").distinct().withColumn("s", F.explode(offs))
-        c = e.groupBy(*img, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-        c = c.where(F.col("c") == 1) if exactly_one else c
-        return c.select(*img, "y", "x", F.lit(1).alias(name))
-
-    j = widened(px_true, "t").join(widened(px_pred, "p"), [*img, "y", "x"], "full").fillna(0, ["t", "p"])
-    s = j.groupBy(*img).agg(F.sum(F.col("t") * F.col("p")).alias("b"), F.sum("t").alias("t"), F.sum("p").alias("p"))
-    p = F.coalesce(F.col("b") / F.nullif(F.col("p"), F.lit(0)), F.lit(0.0))
-    r = F.coalesce(F.col("b") / F.nullif(F.col("t"), F.lit(0)), F.lit(0.0))
-    return s.select(*img, p.alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f"))
+    d = quantiles(px_true.groupBy(*img, "label").agg(F.sqrt(F.count(F.lit(1))).alias("s")), img, "s", {"m": 0.5})
+    rad = d.withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+    rad = rad.select(*img, "scale", F.greatest(F.lit(1.0), F.col("scale") * F.col("m") * (2 / math.sqrt(math.pi))).alias("r"))
+
+    def spans(px: DataFrame, name: str) -> DataFrame:
+        e = join_on(outline_pixels(px, img).select(*img, "y", "x").distinct(), rad, img)
+        for c, size in (("y", height), ("x", width)):
+            at = F.explode(F.array(F.col(c), -1 - F.col(c), 2 * size - 1 - F.col(c)))
+            e = e.withColumn(c, at).where((F.col(c) >= -F.col("r")) & (F.col(c) < size + F.col("r")))
+        reach = F.floor("r").cast("int")
+        e = e.withColumn("dy", F.explode(F.sequence(-reach, reach))).withColumn("y", F.col("y") + F.col("dy")).where((F.col("y") >= 0) & (F.col("y") < height))
+        half = F.floor(F.sqrt(F.col("r") * F.col("r") - F.col("dy") * F.col("dy")))
+        e = e.withColumn("a", F.greatest(F.col("x") - half, F.lit(0))).withColumn("b", F.least(F.col("x") + half + 1, F.lit(width))).where("a < b")
+        ends = F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias(name)), F.struct(F.col("b").alias("x"), F.lit(-1).alias(name)))
+        return e.select(*img, "scale", "y", F.inline(ends))
+
+    both = spans(px_true, "t").unionByName(spans(px_pred, "p"), allowMissingColumns=True)
+    row = [*img, "scale", "y"]
+    w = W.partitionBy(*row).orderBy("x")  # one image row
+    c = both.groupBy(*row, "x").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
+    c = c.select(*img, "scale", (F.lead("x").over(w) - F.col("x")).alias("n"), F.sum("t").over(w).alias("t"), F.sum("p").over(w).alias("p"))
+    t, p = ((F.col(k) == 1) if exactly_one else (F.col(k) > 0) for k in "tp")
+    count = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
+    s = c.groupBy(*img, "scale").agg(count(t & p, "tp"), count((F.col("t") == 0) & p, "fp"), count(t & (F.col("p") == 0), "fn"))
+    tp = F.col("tp")
+    precision = F.coalesce(tp / F.nullif(tp + F.col("fp"), F.lit(0)), F.lit(0.0))
+    recall = F.coalesce(tp / F.nullif(tp + F.col("fn"), F.lit(0)), F.lit(0.0))
+    f = F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0))
+    return s.select(*img, "scale", precision.alias("precision"), recall.alias("recall"), f.alias("f"))

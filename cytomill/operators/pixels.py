@@ -79,16 +79,25 @@ def channel_correlations(px: DataFrame, channels: Sequence[str], img: Sequence[s
     return g.select(*img, "label", F.inline(F.array(*rows)))
 
 
-def grey_levels(px: DataFrame, channel: str, levels: int, img: Sequence[str] = IMG) -> DataFrame:
-    """Channel rescaled per object to 0..levels-1 (truncated)."""
+def box_pixels(runs: DataFrame, image: DataFrame, channels: Sequence[str], img: Sequence[str] = IMG) -> DataFrame:
+    """(image, label, y, x, channels) for every image pixel inside the bounding box of an object, whatever it belongs to."""
+    from cytomill.operators.masks import boxes
+
+    b = boxes(runs, img).withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    return join_on(b.select(*img, "label", "y", "x"), image.select(*img, "y", "x", *channels), [*img, "y", "x"])
+
+
+def grey_levels(px: DataFrame, channel: str, levels: int = 256, box: DataFrame | None = None, img: Sequence[str] = IMG) -> DataFrame:
+    """Channel of object pixels rescaled to 0..levels-1 (truncated) over the object's bounding box (`box_pixels`), or over
+    the object itself without it."""
     keys = [*img, "label"]
-    e = px.groupBy(*keys).agg(F.min(channel).alias("lo"), F.max(channel).alias("hi"))
+    e = (px if box is None else box).groupBy(*keys).agg(F.min(channel).alias("lo"), F.max(channel).alias("hi"))
     j = join_on(px.select(*keys, "y", "x", channel), e, keys)
     g = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(channel) - F.col("lo")) * (levels - 1) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))).otherwise(F.lit(0))
     return j.select(*keys, "y", "x", g.cast("long").alias("g"))
 
 
-def cooccurrence(grey: DataFrame, distance: int, img: Sequence[str] = IMG) -> DataFrame:
+def cooccurrence(grey: DataFrame, distance: int = 8, img: Sequence[str] = IMG) -> DataFrame:
     """Grey-level pair counts (direction, i, j, n) inside objects, both orders counted, level 0 ignored."""
     keys = [*img, "label"]
     g = grey.where("g <> 0")
@@ -102,8 +111,10 @@ def cooccurrence(grey: DataFrame, distance: int, img: Sequence[str] = IMG) -> Da
     return both.groupBy(*keys, "direction", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def haralick(glcm: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
-    """Thirteen texture statistics per object, averaged over the directions present in the table.
+def haralick(glcm: DataFrame, objects: DataFrame, min_pixels: int = 30, directions: int = 4, img: Sequence[str] = IMG) -> DataFrame:
+    """Thirteen texture statistics for every object of `objects` (image, label, area), averaged over the directions.
+
+    All are 0 for objects of fewer than `min_pixels` pixels and for those without pairs in one of the directions.
 
     Everything is a sum over counts n with total t, e.g. entropy = log2 t - sum(n log2 n) / t. The
     table is symmetric, so both margins are equal and both cross entropies are twice the margin's.
@@ -140,7 +151,10 @@ def haralick(glcm: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
         F.sqrt(F.greatest(1 - F.exp(-2.0 * (2 * hx - hxy)), F.lit(0.0))).alias("info_measure_2"),
     )
     stats = [c for c in g.columns if c not in keys]
-    return g.groupBy(*img, "label").agg(*[F.avg(c).alias(c) for c in stats])
+    mean = g.groupBy(*img, "label").agg(F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(c) for c in stats])
+    j = join_on(objects.select(*img, "label", "area"), mean, [*img, "label"], "left")
+    ok = (F.col("area") >= min_pixels) & (F.col("__n") == directions)
+    return j.select(*img, "label", *[F.when(ok, F.col(c)).otherwise(0.0).alias(c) for c in stats])
 
 
 def grey_opening(px: DataFrame, value: str, size: int, out: str, img: Sequence[str] = IMG) -> DataFrame:

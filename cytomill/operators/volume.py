@@ -170,24 +170,40 @@ def merge_slices(runs: DataFrame, threshold: float = 0.5, min_extent: int = 1, v
     return mk.filter_extent(out, [volume, "object_id"], axis, min_extent)
 
 
-def close_gaps(px: DataFrame, max_gap: int, volume: str = "volume", axis: str = "z") -> DataFrame:
-    """Pixels of z-gaps of at most `max_gap` slices that have foreground on both sides.
+def close_gaps(px: DataFrame, gap_closing: int, volume: str = "volume", axis: str = "z", slices: int | None = None) -> DataFrame:
+    """Label pixels with gaps along the axis closed by `gap_closing` rounds; labels count up from 1 through the slices.
 
-    Gap pixels form regions per slice; a region is kept unless it covers more than one object of the
-    slice before it. Kept regions are returned with a region id as label.
+    A column of pixels closes over gaps of up to 2 x `gap_closing` slices. In each slice the closed foreground falls into connected
+    regions (diagonals count); a region becomes an object unless it covers more than one object of that slice, which then
+    stay as they are. The first and last `gap_closing` slices (of `slices`, by default up to the last one seen) are not closed.
+    Objects of a slice are numbered by regions in reading order, then by old label.
     """
-    col = W.partitionBy(volume, "y", "x").orderBy(axis)
-    n = px.withColumn("__next", F.lead(axis).over(col)).withColumn("__gap", F.col("__next") - F.col(axis) - 1)
-    gap = n.where((F.col("__gap") > 0) & (F.col("__gap") <= max_gap)).select(
-        volume, "y", "x", F.col("label").alias("from_label"), F.explode(F.sequence(F.col(axis) + 1, F.col("__next") - 1)).alias(axis)
-    )
-    gap = cut(gap)
-    keys = [volume, axis]
-    regions = run_components(mk.pixel_runs(gap.withColumn("label", F.lit(1)), keys), keys)
-    flat = mk.run_pixels(regions.select(*keys, "y", "x0", "x1", "component"))
-    both = flat.join(gap, [*keys, "y", "x"])
-    ok = both.groupBy(*keys, "component").agg(F.countDistinct("from_label").alias("n")).where("n <= 1").drop("n")
-    return join_on(flat, ok, [*keys, "component"], "left_semi").withColumnRenamed("component", "label")
+    keys, spot = [volume, axis], [volume, axis, "y", "x"]
+    px = cut(px.select(*spot, "label"))
+    if slices is None:
+        sized = join_on(px, px.groupBy(volume).agg((F.max(axis) + 1).alias("__n")), [volume])
+    else:
+        sized = px.withColumn("__n", F.lit(slices))
+    inner = lambda c: (c >= gap_closing) & (c < F.col("__n") - gap_closing)
+    col = W.partitionBy(volume, "y", "x").orderBy(axis)  # one column of pixels
+    n = sized.withColumn("__next", F.lead(axis).over(col)).withColumn("__gap", F.col("__next") - F.col(axis) - 1)
+    gap = n.where((F.col("__gap") > 0) & (F.col("__gap") <= 2 * gap_closing)).withColumn(axis, F.explode(F.sequence(F.col(axis) + 1, F.col("__next") - 1)))
+    closed = sized.unionByName(gap.select(*sized.columns)).where(inner(F.col(axis))).select(*spot)
+    regions = run_components(mk.pixel_runs(closed.withColumn("label", F.lit(1)), keys), keys, diagonal=True)
+    flat = cut(mk.run_pixels(regions.select(*keys, "y", "x0", "x1", "component")))
+    both = join_on(flat, px, spot, "left")
+    matched = both.groupBy(*keys, "component").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    several = matched.where("lo < hi").select(*keys, "component")
+    stays = join_on(both, several, [*keys, "component"], "left_semi").where("label is not null").select(*keys, "label").distinct()
+    stays = stays.unionByName(sized.where(~inner(F.col(axis))).select(*keys, "label").distinct())
+    old = cut(join_on(px, stays, [*keys, "label"], "left_semi").select(*spot, F.lit(1).alias("kind"), F.col("label").cast("long").alias("first"), F.lit(0).cast("long").alias("second")))
+    new = join_on(flat, several, [*keys, "component"], "left_anti")
+    new = join_on(new, old.select(*spot), spot, "left_anti").select(*spot, F.lit(0).alias("kind"), F.col("component.y").cast("long").alias("first"), F.col("component.x0").cast("long").alias("second"))
+    objects = old.unionByName(new)
+    within = W.partitionBy(*keys).orderBy("kind", "first", "second")  # one slice's objects
+    ranked = objects.select(*keys, "kind", "first", "second").distinct().withColumn("label", F.row_number().over(within).cast("long"))
+    named = join_on(objects, ranked, [*keys, "kind", "first", "second"]).select(*spot, "label")
+    return offset_slices(named, [volume], axis)
 
 
 def suppress(candidates: DataFrame, pairs: DataFrame, threshold: float, min_size: int, img: Sequence[str] = IMG, id: str = "label", score: str = "score", overlap: str = "iou") -> DataFrame:

@@ -52,15 +52,27 @@ def _(t):
     return c.select("image_id", "label", "a", "b", *[rnd(k).alias(k) for k in ("pearson", "manders1", "manders2", "overlap")])
 
 
-GLCM = TRUTH + ", " + CHANNELS + """, e as (select *, min(dna) over w as lo, max(dna) over w as hi from pc window w as (partition by image_id, label)),
- gr as (select image_id, label, y, x, case when hi > lo then floor((dna - lo) * 15 / (hi - lo)) else 0 end::bigint as g from e),
- c1 as (select a.image_id, a.label, direction, a.g as i, b.g as j from gr a, (values (0, 0, 2), (1, 2, 2), (2, 2, 0), (3, 2, -2)) s(direction, dy, dx), gr b where b.image_id = a.image_id and b.label = a.label and b.y = a.y + dy and b.x = a.x + dx and a.g <> 0 and b.g <> 0),
+GLCM = TRUTH + ", " + CHANNELS + """, bx as (select image_id, label, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1, count(*) as area from pt group by 1, 2),
+ bp as (select image_id, label, y, unnest(range(x0, x1 + 1)) as x from (select *, unnest(range(y0, y1 + 1)) as y from bx)),
+ lh as (select bp.image_id, bp.label, min(v) as lo, max(v) as hi from (select bp.*, ((bp.x * 7 + bp.y * 13 + coalesce(pt.label, 0) * 5) % 101)::double as v from bp left join pt on pt.image_id = bp.image_id and pt.y = bp.y and pt.x = bp.x) bp group by 1, 2),
+ gr as (select image_id, label, y, x, case when hi > lo then floor((dna - lo) * 255 / (hi - lo)) else 0 end::bigint as g from pc join lh using (image_id, label)),
+ c1 as (select a.image_id, a.label, direction, a.g as i, b.g as j from gr a, (values (0, 0, 8), (1, 8, 8), (2, 8, 0), (3, 8, -8)) s(direction, dy, dx), gr b where b.image_id = a.image_id and b.label = a.label and b.y = a.y + dy and b.x = a.x + dx and a.g <> 0 and b.g <> 0),
  co as (select image_id, label, direction::bigint as direction, i, j, count(*) as n from (select * from c1 union all select image_id, label, direction, j, i from c1) group by all)"""
 
 
+def _grey(t: Tables) -> DataFrame:
+    """Grey levels of the object pixels; the image shows background (label 0) between the objects."""
+    objects = pixels(t)
+    b = mk.boxes(runs(t)).withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1)))
+    b = b.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x")).distinct()
+    empty = join_on(b, objects.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti").withColumn("label", F.lit(0).cast("long"))
+    image = intensity(empty).unionByName(objects).select("image_id", "y", "x", "dna")
+    return px.grey_levels(objects, "dna", box=px.box_pixels(runs(t), image, ["dna"]))
+
+
 @query("g06_cooccurrence", f"with {GLCM} select * from co")
 def _(t):
-    return px.cooccurrence(px.grey_levels(pixels(t), "dna", 16), 2)
+    return px.cooccurrence(_grey(t))
 
 
 @query("a10_haralick", f"""with {GLCM}, p as (select *, n / sum(n) over (partition by image_id, label, direction) as p from co),
@@ -70,14 +82,14 @@ def _(t):
    hd as (select image_id, label, direction, -sum(q * log2(q)) as de from (select image_id, label, direction, abs(i - j) as k, sum(p) as q from p group by all) group by 1, 2, 3),
    mi as (select image_id, label, direction, i, sum(p) as q from p group by all), hx as (select image_id, label, direction, -sum(q * log2(q)) as hx from mi group by 1, 2, 3),
    h1 as (select p.image_id, p.label, p.direction, -sum(p.p * log2(a.q * c.q)) as h1 from p join mi a on a.image_id = p.image_id and a.label = p.label and a.direction = p.direction and a.i = p.i
-     join mi c on c.image_id = p.image_id and c.label = p.label and c.direction = p.direction and c.i = p.j group by 1, 2, 3)
-   select image_id, label, {r('avg(asm)')} as angular_second_moment, {r('avg(con)')} as contrast, {r('avg(ent)')} as entropy, {r('avg(idm)')} as inverse_difference_moment, {r('avg(sa)')} as sum_average, {r('avg(var)')} as variance, {r('avg(case when var > 1e-12 then cov / var else 1 end)')} as correlation,
-   {r('avg(sv)')} as sum_variance, {r('avg(dv)')} as difference_variance, {r('avg(se)')} as sum_entropy, {r('avg(de)')} as difference_entropy, {r('avg(case when hx > 1e-12 then (ent - h1) / hx else 0 end)', 5)} as info_measure_1
-   from b join hs using (image_id, label, direction) join hd using (image_id, label, direction) join hx using (image_id, label, direction) join h1 using (image_id, label, direction) group by 1, 2""")
+     join mi c on c.image_id = p.image_id and c.label = p.label and c.direction = p.direction and c.i = p.j group by 1, 2, 3),
+   st as (select image_id, label, count(*) as n_dir, avg(asm) as angular_second_moment, avg(con) as contrast, avg(ent) as entropy, avg(idm) as inverse_difference_moment, avg(sa) as sum_average, avg(var) as variance, avg(case when var > 1e-12 then cov / var else 1 end) as correlation, avg(sv) as sum_variance, avg(dv) as difference_variance, avg(se) as sum_entropy, avg(de) as difference_entropy, avg(case when hx > 1e-12 then (ent - h1) / hx else 0 end) as info_measure_1, avg(sqrt(greatest(0, 1 - exp(-2 * (2 * hx - ent))))) as info_measure_2
+   from b join hs using (image_id, label, direction) join hd using (image_id, label, direction) join hx using (image_id, label, direction) join h1 using (image_id, label, direction) group by 1, 2)
+   select image_id, label, {r('case when area >= 30 and n_dir = 4 then angular_second_moment else 0 end')} as angular_second_moment, {r('case when area >= 30 and n_dir = 4 then contrast else 0 end')} as contrast, {r('case when area >= 30 and n_dir = 4 then entropy else 0 end')} as entropy, {r('case when area >= 30 and n_dir = 4 then inverse_difference_moment else 0 end')} as inverse_difference_moment, {r('case when area >= 30 and n_dir = 4 then sum_average else 0 end')} as sum_average, {r('case when area >= 30 and n_dir = 4 then variance else 0 end')} as variance, {r('case when area >= 30 and n_dir = 4 then correlation else 0 end')} as correlation, {r('case when area >= 30 and n_dir = 4 then sum_variance else 0 end')} as sum_variance, {r('case when area >= 30 and n_dir = 4 then difference_variance else 0 end')} as difference_variance, {r('case when area >= 30 and n_dir = 4 then sum_entropy else 0 end')} as sum_entropy, {r('case when area >= 30 and n_dir = 4 then difference_entropy else 0 end')} as difference_entropy, {r('case when area >= 30 and n_dir = 4 then info_measure_1 else 0 end', 5)} as info_measure_1, {r('case when area >= 30 and n_dir = 4 then info_measure_2 else 0 end', 5)} as info_measure_2 from bx left join st using (image_id, label)""")
 def _(t):
-    h = px.haralick(px.cooccurrence(px.grey_levels(pixels(t), "dna", 16), 2))
+    h = px.haralick(px.cooccurrence(_grey(t)), mk.areas(runs(t)))
     return h.select("image_id", "label", *[rnd(c).alias(c) for c in ("angular_second_moment", "contrast", "entropy", "inverse_difference_moment", "sum_average", "variance", "correlation", "sum_variance", "difference_variance", "sum_entropy", "difference_entropy")],
-                    rnd("info_measure_1", 5).alias("info_measure_1"))
+                    rnd("info_measure_1", 5).alias("info_measure_1"), rnd("info_measure_2", 5).alias("info_measure_2"))
 
 
 OPEN = TRUTH + ", " + CHANNELS + """, o1 as (select *, min(dna) over (partition by image_id, y order by x range between 1 preceding and 1 following) as m from pc), o2 as (select *, min(m) over (partition by image_id, x order by y range between 1 preceding and 1 following) as e from o1),

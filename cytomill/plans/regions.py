@@ -347,13 +347,21 @@ def _(t):
 EDGE_P = EDGE.replace("nb as", "np as").replace(" from pt", " from pp").replace("from pt b", "from pp b")
 
 
-@query("a25_boundary_scores", f"""with {TRUTH}, {PRED}, {EDGE}, {EDGE_P}, disk as (select dy, dx from (select unnest(range(-2, 3)) as dy), (select unnest(range(-2, 3)) as dx) where dy * dy + dx * dx <= 4),
-   wt as (select image_id, y + dy as y, x + dx as x from nb, disk where same4 < 4 group by 1, 2, 3 having count(*) = 1), wp as (select image_id, y + dy as y, x + dx as x from np, disk where same4 < 4 group by 1, 2, 3 having count(*) = 1),
-   s as (select image_id, count(*) filter (wt.y is not null and wp.y is not null) as b, count(wt.y) as t, count(wp.y) as p from wt full join wp using (image_id, y, x) group by 1)
-   select image_id, {r('b / p')} as precision, {r('b / t')} as recall, {r('2 * b / (p + t)')} as f from s""")
+def _outline_counts(source: str) -> str:
+    """Outline pixels in range of each image pixel, outlines mirrored at the border."""
+    return f"""select image_id, scale, py as y, px as x, count(*) as c from (
+     select e.image_id, scale, unnest(range(my - rr, my + rr + 1)) as py, my, mx, r, rr from (select *, unnest([x, -1 - x, {2 * SIDE - 1} - x]) as mx from (select *, unnest([y, -1 - y, {2 * SIDE - 1} - y]) as my from {source} where same4 < 4)) e join rad using (image_id)) q,
+     lateral (select unnest(range(mx - rr, mx + rr + 1)) as px) where py between 0 and {SIDE - 1} and px between 0 and {SIDE - 1} and (py - my) * (py - my) + (px - mx) * (px - mx) <= r * r group by 1, 2, 3, 4"""
+
+
+@query("a25_boundary_scores", f"""with {TRUTH}, {PRED}, {EDGE}, {EDGE_P}, dm as (select image_id, quantile_cont(s, 0.5) * 2 / sqrt(pi()) as d from (select image_id, label, sqrt(count(*)) as s from pt group by 1, 2) group by 1),
+   rad as (select *, floor(r)::bigint as rr from (select image_id, scale, greatest(1.0, scale * d) as r from dm, (select unnest([0.1, 0.3]) as scale))),
+   ct as ({_outline_counts('nb')}), cp as ({_outline_counts('np')}),
+   s as (select image_id, scale, count(*) filter (t = 1 and p = 1) as tp, count(*) filter (t = 0 and p = 1) as fp, count(*) filter (t = 1 and p = 0) as fn from (select image_id, scale, coalesce(ct.c, 0) as t, coalesce(cp.c, 0) as p from ct full join cp using (image_id, scale, y, x)) group by 1, 2)
+   select image_id, scale::double as scale, {r('tp / (tp + fp)')} as precision, {r('tp / (tp + fn)')} as recall, {r('2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn))')} as f from s""")
 def _(t):
-    s = mt.boundary_scores(mk.run_pixels(runs(t)), mk.run_pixels(runs(t, "pred")), 2)
-    return s.select("image_id", *[rnd(c).alias(c) for c in ("precision", "recall", "f")])
+    s = mt.boundary_scores(mk.run_pixels(runs(t)), mk.run_pixels(runs(t, "pred")), [0.1, 0.3], SIDE, SIDE)
+    return s.select("image_id", "scale", *[rnd(c).alias(c) for c in ("precision", "recall", "f")])
 
 
 @query("a19_cell_counts", f"with {TRUTH}, {PRED}, m as (select 'truth' as method, image_id, label from pt union all select 'pred', image_id, label from pp) select method, count(distinct (image_id, label)) as n_cells, {r('count(distinct (image_id, label)) / (count(distinct image_id) * 65536 / 1e6)', 2)} as per_megapixel from m group by 1")
