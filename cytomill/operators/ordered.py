@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cytomill.functions.scalar import finite
 from cytomill.session import cut
 
 BUCKET = "__bucket"
 KEY = "__key"
-IN_MEMORY = 500_000  # rows of one group that may sit in one task as an array of doubles (4 MB)
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -130,63 +130,38 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: str, out: str, ties: Sequ
     return ran.withColumn(out, F.col(out) + 1).withColumnRenamed(f"{out}_total", f"{out}_of").drop("__one")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: one pass with a map-side count, one number to the driver."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return n or 0
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bits: int = 8) -> DataFrame:
+    """Exact linearly interpolated quantiles of the finite values per group; `probs` maps output name to probability."""
+    keys = list(keys)
+    got = _weighted_quantiles(_finite_counts(df, keys, value), probs, bits)
+    return got.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], *probs)
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    group_rows: int | None = None,
-    in_memory: int = IN_MEMORY,
-    bits: int = 8,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; `probs` maps output name to probability.
+def _finite_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(key, value, n) of the finite values: all that order statistics need, counted before the shuffle."""
+    v = finite(F.col(value))
+    return df.where(v.isNotNull()).groupBy(_key(keys).alias(KEY), v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+
 
-    When the largest group (measured, unless `group_rows` gives it) fits a task, a sorted array per
-    group does it in one shuffle. Beyond that: pass 1 counts rows per value bucket (tiny
-    shuffle), pass 2 reads only the rows of the buckets that hold a wanted rank.
+def _weighted_quantiles(counts: DataFrame, probs: dict[str, float], bits: int) -> DataFrame:
+    """(key, probs) of a table (key, __v, __n), values standing __n times.
+
+    Bucket totals (small) say which buckets hold a wanted rank; only those buckets' values are then ordered, each bucket on its own.
     """
-    keys = list(keys)
-    v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
-    if group_rows is None:
-        group_rows = largest_group(rows, keys)
-    if group_rows <= in_memory:
-        got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__a"))
-        return got.select(*keys, *[_at_prob(F.col("__a"), p).alias(n) for n, p in probs.items()])
-    return _split_quantiles(rows, keys, probs, bits)
-
-
-def _at_prob(a: Column, p: float) -> Column:
-    """Interpolated quantile of a sorted array."""
-    pos = (F.size(a) - 1) * F.lit(float(p))
-    lo, hi = F.get(a, F.floor(pos).cast("int")), F.get(a, F.ceil(pos).cast("int"))
-    return lo + (hi - lo) * (pos - F.floor(pos))
-
-
-def _split_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float], bits: int) -> DataFrame:
-    rows = rows.select(_key(keys).alias(KEY), "__v", value_bucket(F.col("__v"), bits).alias(BUCKET))
-    per = rows.groupBy(KEY, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    group = W.partitionBy(KEY)
+    rows = counts.withColumn(BUCKET, value_bucket(F.col("__v"), bits))
+    per = rows.groupBy(KEY, BUCKET).agg(F.sum("__n").alias("__c"))
+    group = W.partitionBy(KEY)  # the buckets of one group
     per = per.select(
-        KEY,
-        BUCKET,
-        "__n",
-        F.coalesce(F.sum("__n").over(group.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"),
-        F.sum("__n").over(group).alias("__t"),
+        KEY, BUCKET, "__c",
+        F.coalesce(F.sum("__c").over(group.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"),
+        F.sum("__c").over(group).alias("__t"),
     )
     pos = {name: (F.col("__t") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = reduce(
         lambda a, b: a | b,
-        [(F.col("__b") <= r) & (r < F.col("__b") + F.col("__n")) for p in pos.values() for r in (F.floor(p), F.ceil(p))],
+        [(F.col("__b") <= r) & (r < F.col("__b") + F.col("__c")) for p in pos.values() for r in (F.floor(p), F.ceil(p))],
     )
-    few = per.where(wanted).drop("__n")
-    near = rows.join(few, [KEY, BUCKET]).groupBy(KEY, BUCKET, "__v", "__b", "__t").agg(F.count(F.lit(1)).alias("__n"))
+    near = rows.join(per.where(wanted).drop("__c"), [KEY, BUCKET]).groupBy(KEY, BUCKET, "__v", "__b", "__t").agg(F.sum("__n").alias("__n"))
     inside = W.partitionBy(KEY, BUCKET).orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
     near = near.withColumn("__s", F.col("__b") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
 
@@ -196,51 +171,28 @@ def _split_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float],
     ends = [e for name, p in pos.items() for e in (at(F.floor(p)).alias(f"__lo_{name}"), at(F.ceil(p)).alias(f"__hi_{name}"))]
     got = near.groupBy(KEY).agg(F.max("__t").alias("__t"), *ends)
     return got.select(
-        *[F.col(f"{KEY}.{k}").alias(k) for k in keys],
-        *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * (p - F.floor(p))).alias(n) for n, p in pos.items()],
+        KEY, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * (p - F.floor(p))).alias(n) for n, p in pos.items()]
     )
 
 
-def _distances(a: Column, center: Column) -> Column:
-    return F.transform(a, lambda x: F.abs(x - center))
+def median_mad_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None = None, bits: int = 8) -> DataFrame:
+    """(keys, feature, median, mad) of the finite values of several columns at once; `count` adds the rows per group.
 
+    The rows are read once, into counts per value; deviations from the median come from the same counts.
+    """
+    keys = list(keys)
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, list(columns), "feature", "__x")
+    counts = _finite_counts(long, [*keys, "feature"], "__x")
+    med = _weighted_quantiles(counts, {"median": 0.5}, bits)
+    dev = counts.join(med, KEY).select(KEY, F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n")
+    both = med.join(_weighted_quantiles(dev, {"mad": 0.5}, bits), KEY)
+    out = both.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], F.col(f"{KEY}.feature").alias("feature"), "median", "mad")
+    return join_on(out, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)), keys, null_safe=True) if count else out
 
-def median_mad_columns(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], group_rows: int | None = None, in_memory: int = IN_MEMORY, count: str | None = None
-) -> DataFrame:
-    """(keys, feature, median, mad) for several value columns at once; `count` adds the rows per group.
 
-    Groups that fit a task (measured once) need a single shuffle for both statistics; larger ones
-    take the split route column by column. NULLs must already stand for missing values.
-    """
-    if group_rows is None:
-        group_rows = largest_group(df, keys)
-    if group_rows > in_memory:
-        long = df.select(*keys, *columns).unpivot(list(keys), list(columns), "feature", "value")
-        fk = [*keys, "feature"]
-        med = quantiles(long, fk, "value", {"median": 0.5}, group_rows, in_memory)
-        dev = join_on(long, med, fk, null_safe=True).withColumn("__d", F.abs(F.col("value") - F.col("median")))
-        both = join_on(med, quantiles(dev, fk, "__d", {"mad": 0.5}, group_rows, in_memory), fk, null_safe=True)
-        if count:
-            both = join_on(both, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)), keys, null_safe=True)
-        return both
-    extra = [count] if count else []
-    g = df.groupBy(*keys).agg(*[F.count(F.lit(1)).alias(c) for c in extra], *[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns])
-    g = g.select(*keys, *extra, *[F.struct(F.col(c).alias("a"), _at_prob(F.col(c), 0.5).alias("m")).alias(c) for c in columns])
-    stats = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(f"{c}.m").alias("median"),
-            _at_prob(F.sort_array(_distances(F.col(f"{c}.a"), F.col(f"{c}.m"))), 0.5).alias("mad"),
-        )
-        for c in columns
-    ]
-    return g.select(*keys, *extra, F.inline(F.array(*stats))).where(F.col("median").isNotNull())
-
-
-def median_mad(df: DataFrame, keys: Sequence[str], value: str, group_rows: int | None = None) -> DataFrame:
+def median_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and median absolute deviation of one column per group."""
-    return median_mad_columns(df.select(*keys, value), keys, [value], group_rows).drop("feature")
+    return median_mad_columns(df.select(*keys, value), keys, [value]).drop("feature")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
