@@ -97,19 +97,19 @@ def _(t):
 
 @query("m01_pca")
 def _(t):
-    out, _ = cl.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 10)
+    out, _ = cl.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 50)
     return out.select("vec_id", "pc")
 
 
 @query("m02_field_clustering")
 def _(t):
-    out, _ = cl.pca(t.embeddings.select("vec_id", "embedding", "label"), "embedding", 10)
+    out, _ = cl.pca(t.embeddings.select("vec_id", "embedding", "label"), "embedding", 50)
     return cl.kmeans(out, "pc", 10).select("vec_id", "label", "cluster")
 
 
 @query("m02_clustering_quality")
 def _(t):
-    out, _ = cl.pca(t.embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("label")), "embedding", 10)
+    out, _ = cl.pca(t.embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("label")), "embedding", 50)
     return cl.agreement_scores(cl.contingency(cl.kmeans(out, "pc", 10), [], "cluster", "label"), [])
 
 
@@ -117,9 +117,9 @@ def _(t):
 def _(t):
     """Normalise, keep variable genes, PCA + k-means per cell, markers per cluster, best marker set."""
     norm = cut(ex.normalize_log(expr(t)))
-    top = ex.highly_variable(ex.gene_dispersion(norm, cells(t).agg(F.count(F.lit(1)).alias("n"))), 10, bins=5).select("gene")
+    top = ex.highly_variable(ex.gene_dispersion(norm, cells(t).agg(F.count(F.lit(1)).alias("n"))), 200, bins=20).select("gene")
     names = genes(t).join(top, "gene", "left_semi")
-    order = [x["gene"] for x in names.orderBy("gene").collect()]  # ten gene names
+    order = [x["gene"] for x in names.orderBy("gene").collect()]  # at most 200 gene names
     wide = norm.join(F.broadcast(names), "gene").groupBy("cell_id").pivot("gene", order).agg(F.first("value")).fillna(0.0)
     got = cut(cl.kmeans_columns(cut(wide), order, 4).select("cell_id", "cluster"))
     tests = cut(ex.one_vs_rest_markers(expr(t).join(got.select("cell_id"), "cell_id", "left_semi"), got, genes(t)))
@@ -134,7 +134,7 @@ def _(t):
 @query("m07_phenotype_levels")
 def _(t):
     """Two levels: coarse k-means on field features, then one k-means per coarse class, scored by class."""
-    vals = t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"))
+    vals = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
     coarse = cl.kmeans(vals, "v", 2).withColumnRenamed("cluster", "coarse")
     fine = [cl.kmeans(coarse.where(F.col("coarse") == c), "v", k).select("vec_id", "coarse", "cluster", "label") for c, k in ((0, 6), (1, 12))]
     both = fine[0].unionByName(fine[1])
@@ -148,7 +148,7 @@ def _(t):
     from pyspark.ml.feature import VectorAssembler
     c = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_extendedprice") > 50000).cast("double").alias("y"))
     v = VectorAssembler(inputCols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], outputCol="v").transform(c)
-    model = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=5, maxDepth=3, seed=1).fit(v)
+    model = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=200, maxDepth=10, seed=1).fit(v)
     return model.transform(v).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -101,23 +101,27 @@ def _(t):
     return px.grey_opening(pixels(t), "dna", 3, "opened").select("image_id", "y", "x", "label", "opened")
 
 
-@query("a11_granularity", f"with {OPEN} select image_id, label, 1::bigint as scale, {r('(avg(dna) - avg(opened)) * 100 / greatest(avg(dna), 2.220446049250313e-16)')} as granularity from o4 group by 1, 2")
-def _(t):
-    return px.granularity(pixels(t), "dna", 1).withColumn("granularity", rnd("granularity"))
+def _spectrum(channel: str, scales: int = 5) -> str:
+    """SQL of the granularity at every scale: openings with squares of growing side."""
+    def opened(k: int) -> str:
+        span = f"range between {k} preceding and {k} following"
+        row, col = f"over (partition by image_id, y order by x {span})", f"over (partition by image_id, x order by y {span})"
+        return (f"a{k} as (select *, min({channel}) {row} as m from pc), b{k} as (select *, min(m) {col} as e from a{k}), "
+                f"c{k} as (select *, max(e) {col} as m2 from b{k}), d{k} as (select image_id, y, x, max(m2) {row} as o{k} from c{k})")
+
+    ks = range(1, scales + 1)
+    return f"""with {TRUTH}, {CHANNELS}, {', '.join(opened(k) for k in ks)}, m as (select image_id, label, avg({channel}) as m0, {', '.join(f'avg(o{k}) as m{k}' for k in ks)} from pc {' '.join(f'join d{k} using (image_id, y, x)' for k in ks)} group by 1, 2),
+   u as (select image_id, label, m0, unnest({list(ks)})::bigint as scale, unnest([{', '.join(f'm{k - 1} - m{k}' for k in ks)}]) as d from m) select image_id, label, scale, {r('d * 100 / greatest(m0, 2.220446049250313e-16)')} as granularity from u"""
 
 
-def _opened(k: int) -> str:
-    """CTEs that open the dna channel with a (2k+1) square into column o{k}."""
-    span = f"range between {k} preceding and {k} following"
-    row, col = f"over (partition by image_id, y order by x {span})", f"over (partition by image_id, x order by y {span})"
-    return (f"a{k} as (select *, min(dna) {row} as m from pc), b{k} as (select *, min(m) {col} as e from a{k}), "
-            f"c{k} as (select *, max(e) {col} as m2 from b{k}), d{k} as (select image_id, y, x, max(m2) {row} as o{k} from c{k})")
+@query("a11_granularity", _spectrum("dna"))
+def _(t):
+    return px.granularity(pixels(t), "dna").withColumn("granularity", rnd("granularity"))
 
 
-@query("w07_granularity_spectrum", f"""with {TRUTH}, {CHANNELS}, {_opened(1)}, {_opened(2)}, {_opened(3)}, m as (select image_id, label, avg(dna) as m0, avg(o1) as m1, avg(o2) as m2, avg(o3) as m3 from pc join d1 using (image_id, y, x) join d2 using (image_id, y, x) join d3 using (image_id, y, x) group by 1, 2),
-   u as (select image_id, label, m0, unnest([1, 2, 3])::bigint as scale, unnest([m0 - m1, m1 - m2, m2 - m3]) as d from m) select image_id, label, scale, {r('d * 100 / greatest(m0, 2.220446049250313e-16)')} as granularity from u""")
+@query("w07_granularity_spectrum", _spectrum("actin"))
 def _(t):
-    return px.granularity(pixels(t), "dna", 3).withColumn("granularity", rnd("granularity"))
+    return px.granularity(pixels(t), "actin").withColumn("granularity", rnd("granularity"))
 
 
 @query("a12_field_features", f"with {LONG}, s as (select image_id, label, count(*) as area, avg(dna) as md, avg(actin) as ma, {scorr('dna', 'actin')} as c from pc group by 1, 2) select image_id, label, area, {r('md')} as mean_dna, {r('ma')} as mean_actin, {r('coalesce(c, 0)')} as pearson from s")

@@ -306,11 +306,13 @@ def _(t):
 
 @query("a48_dose_response", f"""with {VALS}, med as (select compound, feature, dose, quantile_cont(value, 0.5) as m from vals where not is_control group by all),
   rk as (select compound, feature, rank() over (partition by compound, feature order by dose) + (count(*) over (partition by compound, feature, dose) - 1) / 2 as rx,
-    rank() over (partition by compound, feature order by m) + (count(*) over (partition by compound, feature, m) - 1) / 2 as ry from med)
-  select compound, feature, count(*) as n_doses, {r('coalesce(' + scorr('rx', 'ry') + ', 0)')} as rho from rk group by 1, 2 having count(*) >= 3""")
+    rank() over (partition by compound, feature order by m) + (count(*) over (partition by compound, feature, m) - 1) / 2 as ry from med),
+  s as (select compound, feature, count(*) as n_doses, coalesce({scorr('rx', 'ry')}, 0) as rho from rk group by 1, 2 having count(*) >= 3),
+  p as (select *, case when abs(rho) >= 1 - 1e-12 then 0 else {t_tail('(rho * sqrt((n_doses - 2) / (1 - rho * rho)))', '(n_doses - 2)')} end as p from s)
+  select compound, feature, n_doses, {r('rho')} as rho, {r('p')} as p, abs(rho) > 0.7 and p < 0.05 as monotone from p""")
 def _(t):
     d = inf.dose_response(field_values(t).where(~F.col("is_control")), ["compound", "feature"], "dose")
-    return d.select("compound", "feature", "n_doses", rnd("rho").alias("rho"))
+    return d.select("compound", "feature", "n_doses", rnd("rho").alias("rho"), rnd("p").alias("p"), "monotone")
 
 
 @query("j13_tests_with_effect", f"with {PVC} select compound, feature, {r('t')} as t, {r('cohens_d')} as cohens_d from raw")

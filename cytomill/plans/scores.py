@@ -10,7 +10,7 @@ from cytomill.operators import masks as mk
 from cytomill.operators import results as rs
 from cytomill.operators.ordered import join_on, quantiles, top_k
 from cytomill.plans.regions import RUNOV, pairs
-from cytomill.plans.registry import Tables, query, r, rnd, scorr
+from cytomill.plans.registry import Tables, query, r, rnd, scorr, z_tail
 from cytomill.plans.shapes import PRED, TRUTH, runs
 
 COUNTS = """cnt_ as (select c_custkey as image, n_name as dataset, c_mktsegment as model, coalesce(n, 0)::double as gt, coalesce(n, 0)::double + c_custkey % 5 - 2 as pred from customer join nation on n_nationkey = c_nationkey
@@ -128,9 +128,16 @@ SR = SC + """, d0 as (select x.dataset, x.method as a, y.method as b, round(x.sc
  k as (select *, rank() over (partition by dataset, a, b order by abs(diff)) + (count(*) over (partition by dataset, a, b, abs(diff)) - 1) / 2 as rk from d)"""
 
 
-@query("a65_signed_rank", f"with {SR} select dataset, a, b, count(*) as n, sum(case when diff > 0 then rk else 0 end) as w_plus, sum(case when diff < 0 then rk else 0 end) as w_minus from k group by 1, 2, 3")
+# ranks, ties and the tie-corrected normal tail of each pair of methods
+SRP = SR + f""", tie as (select dataset, a, b, sum(c * c * c - c) as ties from (select dataset, a, b, count(*) as c from d group by dataset, a, b, abs(diff)) group by 1, 2, 3),
+ w0 as (select dataset, a, b, count(*) as n, sum(case when diff > 0 then rk else 0 end) as w_plus, sum(case when diff < 0 then rk else 0 end) as w_minus from k group by 1, 2, 3),
+ w1 as (select *, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) as z from w0 join tie using (dataset, a, b)),
+ sr as (select *, {z_tail('z')} as p from w1)"""
+
+
+@query("a65_signed_rank", f"with {SRP} select dataset, a, b, n, w_plus, w_minus, {r('p')} as p from sr")
 def _(t):
-    return inf.signed_rank(paired(t), ["dataset", "a", "b"], "diff").select("dataset", "a", "b", "n", "w_plus", "w_minus")
+    return inf.signed_rank(paired(t), ["dataset", "a", "b"], "diff").select("dataset", "a", "b", "n", "w_plus", "w_minus", rnd("p").alias("p"))
 
 
 @query("a65_win_matrix")
@@ -141,10 +148,12 @@ def _(t):
     return rs.win_matrix(join_on(tests, total, ["dataset", "a", "b"]), 0.2)
 
 
-@query("a77_paired_difference", f"with {SR} select dataset, {r('avg(diff)')} as mean_diff, count(*) as n from d0 where a = 'F' and b = 'O' group by 1")
+@query("a77_paired_difference", f"with {SRP}, m as (select dataset, avg(diff) as m, count(*) as n from d0 where a = 'F' and b = 'O' group by 1) select dataset, {r('m')} as mean_diff, m.n, {r('coalesce(p, 1)')} as p from m left join (select dataset, p from sr where a = 'F' and b = 'O') using (dataset)")
 def _(t):
     d = paired(t).where("a = 'F' and b = 'O'")
-    return d.groupBy("dataset").agg(rnd(F.avg("diff")).alias("mean_diff"), F.count(F.lit(1)).alias("n"))
+    m = d.groupBy("dataset").agg(rnd(F.avg("diff")).alias("mean_diff"), F.count(F.lit(1)).alias("n"))
+    p = inf.signed_rank(d, ["dataset"], "diff").select("dataset", "p")
+    return m.join(p, "dataset", "left").withColumn("p", rnd(F.coalesce("p", F.lit(1.0))))
 
 
 @query("w03_average_ranks", f"with {SC}, m as (select dataset, method, round(avg(score), 9) as score from sc group by 1, 2), q as (select method, row_number() over (partition by dataset order by score desc, method) as k from m), a as (select method, avg(k) as mr, count(*) as n from q group by 1) select method, {r('mr')} as mean_rank, n as n_datasets, row_number() over (order by mr, method) as final_rank from a")

@@ -126,9 +126,9 @@ def _(t):
 DT = DE + """, t0 as (select gene, (mean_a - mean_b) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) as t, (na + nb - 2)::double as dof from u0)"""
 
 
-@query("a41_differential_expression_t", f"with {DT} select gene, {r('t', 5)} as stat from t0")
+@query("a41_differential_expression_t", f"with {DT} select gene, {r('t', 5)} as stat, {r(t_tail('t', 'dof'))} as p_value from t0")
 def _(t):
-    return de(t, "t").select("gene", rnd("stat", 5).alias("stat"))
+    return de(t, "t").select("gene", rnd("stat", 5).alias("stat"), rnd("p_value").alias("p_value"))
 
 
 @query("w02_bh_monotone", f"with {DE}, m as (select gene, p, least(p * count(*) over () / row_number() over (order by p, gene), 1) as raw, row_number() over (order by p, gene) as k from u2) select gene, {r('min(raw) over (order by k desc)')} as p_adj from m")
@@ -151,11 +151,12 @@ def _(t):
 
 
 @query("a42_correlate_with_morphology", f"""with {EXPR}, f as (select gene, cell_id, coalesce(cnt, 0) as x, price as y from gs cross join cl left join ex using (gene, cell_id)),
-   q as (select gene, rank() over (partition by gene order by x) + (count(*) over (partition by gene, x) - 1) / 2 as rx, rank() over (partition by gene order by y) + (count(*) over (partition by gene, y) - 1) / 2 as ry from f)
-   select gene, count(*)::double as n, {r(scorr('rx', 'ry'))} as rho from q group by 1""")
+   q as (select gene, rank() over (partition by gene order by x) + (count(*) over (partition by gene, x) - 1) / 2 as rx, rank() over (partition by gene order by y) + (count(*) over (partition by gene, y) - 1) / 2 as ry from f),
+   s as (select gene, count(*)::double as n, {scorr('rx', 'ry')} as rho from q group by 1)
+   select gene, n, {r('rho')} as rho, {r(t_tail('(rho * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)'))} as p_value from s""")
 def _(t):
     s = ex.spearman_with_feature(expr(t), cells(t).select("cell_id", F.col("price").alias("value")))
-    return s.select("gene", "n", rnd("rho").alias("rho"))
+    return s.select("gene", "n", rnd("rho").alias("rho"), rnd("p_value").alias("p_value"))
 
 
 @query("a40_regional_means", f"with {EXPR}, n as (select region, count(*) as n_cells from cl group by 1 having count(*) >= 5) select region, gene, any_value(n_cells) as n_cells, {r('sum(cnt) / any_value(n_cells)')} as mean, {r('count(*) / any_value(n_cells)')} as pct from ex join cl using (cell_id) join n using (region) group by 1, 2")
@@ -224,7 +225,7 @@ def _(t):
 PT = """pt_ as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, label from embeddings),
  ed as (select a.id as src, b.id as dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dist from pt_ a join pt_ b on a.id <> b.id
    qualify row_number() over (partition by a.id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) <= 6),
- sx as (select vec_id as cell_id, 'g' || i as gene, floor(greatest(embedding[i] * 20, 0))::bigint as cnt from embeddings, (select unnest(range(3, 33)) as i) where floor(greatest(embedding[i] * 20, 0)) > 0)"""
+ sx as (select vec_id as cell_id, 'g' || i as gene, floor(greatest(embedding[i] * 20, 0))::bigint as cnt from embeddings, (select unnest(range(3, 65)) as i) where floor(greatest(embedding[i] * 20, 0)) > 0)"""
 
 
 def spots(t: Tables) -> DataFrame:
@@ -232,7 +233,7 @@ def spots(t: Tables) -> DataFrame:
 
 
 def spot_expr(t: Tables) -> DataFrame:
-    e = t.embeddings.select(F.col("vec_id").alias("cell_id"), F.posexplode(F.slice("embedding", 3, 30)).alias("i", "v"))
+    e = t.embeddings.select(F.col("vec_id").alias("cell_id"), F.posexplode(F.expr("slice(embedding, 3, size(embedding) - 2)")).alias("i", "v"))
     c = F.floor(F.greatest(F.col("v") * 20, F.lit(0.0)))
     return e.select("cell_id", F.concat(F.lit("g"), (F.col("i") + 3).cast("string")).alias("gene"), c.cast("long").alias("cnt")).where("cnt > 0")
 
@@ -320,7 +321,6 @@ def _(t):
     return assigned(t).join(look, "label", "left").select("l_orderkey", "l_linenumber", F.coalesce("o_custkey", F.lit(0)).cast("long").alias("track"))
 
 
-@query("j28_rank_inputs", f"with {EXPR} select gene, count(*) as n from ex join cl using (cell_id) where price > 250000 group by 1 having count(*) >= 10")
+@query("j28_rank_inputs", f"with {EXPR} select gene, count(*) as n from ex join cl using (cell_id) group by 1 having count(*) >= 10")
 def _(t):
-    big = cells(t).where("price > 250000").select("cell_id")
-    return expr(t).join(big, "cell_id").groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return expr(t).join(cells(t).select("cell_id"), "cell_id").groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
