@@ -49,8 +49,8 @@ class Pieces:
         self.byte_weight = (2.0 + len(self.bytes_of)) ** -sharpness
         self._grow_trie()
         # no piece runs from a word into a space, so chunks "spaces, then others" are independent; so are line ends without pieces
-        if any(re.search("[^ ] ", p) for p in self.weights):
-            raise ValueError("a piece runs over a word's end")
+        if any(re.search("[^ ] ", p) for p in self.weights) or self.longest > 31:
+            raise ValueError("a piece runs over a word's end or is too long")
         self.chunk = re.compile(" *[^ ]+| +" if any("\n" in p for p in self.weights) else " *[^ \n]+|\n| +")
 
     def _grow_trie(self) -> None:
@@ -82,7 +82,7 @@ class Lattices:
     """Filtered lattices of chunks in flat arrays: each node (a place behind a character) lists its incoming edges with cumulative
     probabilities in units of 1 / ONE, likeliest first."""
 
-    def __init__(self, pieces: Pieces, most: int = 150_000):
+    def __init__(self, pieces: Pieces, most: int = 60_000):
         self.pieces, self.most = pieces, most
         self.clear()
 
@@ -137,7 +137,7 @@ class Lattices:
         owner = np.repeat(np.arange(len(new)), sizes)
         inside = np.arange(len(codes)) - first[owner]
         end, length, piece, weight = self._edges(codes, sizes[owner] - inside)
-        order = np.lexsort((length, end, inside[end]))
+        order = np.argsort((inside[end] << 36) + (end << 5) + length)  # unique keys: by step, place, length
         end, length, piece, weight = end[order], length[order], piece[order], weight[order]
         rank = np.empty(len(new), np.int64)
         rank[np.argsort(-sizes, kind="stable")] = np.arange(len(new))  # long chunks first: those still open stay in front
@@ -157,7 +157,7 @@ class Lattices:
             moved[:, 0] = 1.0
             reach[rows] = moved
         unit = (share * ONE).astype(np.int64)
-        order = np.lexsort((length, -unit, end))
+        order = np.argsort((end << 37) + ((ONE - unit) << 5) + length)  # unique keys: by place, falling share, length
         end, unit = end[order], unit[order]
         heads = np.flatnonzero(np.diff(end, prepend=-1))
         run = np.cumsum(unit)
@@ -208,7 +208,7 @@ class Lattices:
         return out, np.bincount(owner, lengths, len(counts)).astype(np.int64)
 
 
-def sample_texts(texts: list[str], keys: list[str], lattices: Lattices, seed: int, most_chunks: int = 200_000) -> list[np.ndarray]:
+def sample_texts(texts: list[str], keys: list[str], lattices: Lattices, seed: int, most_chunks: int = 50_000) -> list[np.ndarray]:
     """Sampled ids of each text. The draw of a chunk depends on seed, row key and the chunk's number in its text only, so any
     batching gives the same ids; long texts are drawn in parts."""
     parts: list[list[np.ndarray]] = [[] for _ in texts]
@@ -228,23 +228,30 @@ def sample_texts(texts: list[str], keys: list[str], lattices: Lattices, seed: in
     size = 0
     for i, (text, key) in enumerate(zip(texts, keys, strict=True)):
         row = np.uint64(xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), seed))
-        number, found = 0, []
-        for m in lattices.pieces.chunk.finditer(" " + text) if text else ():
-            found.append(m.group())
-            if len(found) == most_chunks:
-                held.append((i, row, number, found))
-                number, found, size = number + len(found), [], 0
-                draw()
-        if found:
+        number = 0
+        for part in _parts(" " + text) if text else ():
+            found = lattices.pieces.chunk.findall(part)
             held.append((i, row, number, found))
-            size += len(found)
-        if size >= most_chunks:
-            draw()
-            size = 0
+            number, size = number + len(found), size + len(found)
+            if size >= most_chunks:
+                draw()
+                size = 0
     draw()
     return [np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts]
 
 
+def _parts(text: str, most: int = 1 << 18) -> Iterator[str]:
+    """The text in parts of about `most` characters, cut where a space follows another character, as chunks are."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + most)
+        while end > 0 and text[end - 1] == " ":
+            end = text.find(" ", end + 1)
+        end = end if end > 0 else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _noise(row: np.uint64, first: int, n: int) -> np.ndarray:
     return mixed(row + np.arange(first, first + n).astype(np.uint64) * np.uint64(BASES[0]))
 
