@@ -111,7 +111,10 @@ def pca(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[float]]:
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
-    """Adds `cluster`."""
+    """Adds `cluster`; of fewer distinct vectors than `k` each is a cluster of its own."""
+    k = min(k, df.select(vector).distinct().limit(k).count())
+    if k < 2:
+        return df.withColumn("cluster", F.lit(0).cast("long"))
     j = df.withColumn("__v", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(j).transform(j).drop("__v").withColumn("cluster", F.col("cluster").cast("long"))
 
