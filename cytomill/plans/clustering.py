@@ -31,7 +31,9 @@ def _(t):
     return s.select("grp", "n", rnd("nmi").alias("nmi"), rnd("ari").alias("ari"), rnd("purity").alias("purity"))
 
 
-@query("a55_matched_accuracy")
+@query("a55_matched_accuracy", f"""with {CT}, f as (select k.grp, k.cluster, q.class, coalesce(c.n, 0) as n from (select distinct grp, cluster from c) k cross join (select distinct class from c) q left join c using (grp, cluster, class))
+   select x.grp, max(x.n + y.n + z.n) / (select sum(n) from c where c.grp = x.grp) as accuracy from f x join f y on y.grp = x.grp and y.cluster <> x.cluster join f z on z.grp = x.grp and z.cluster <> x.cluster and z.cluster <> y.cluster
+   where x.class = 'A' and y.class = 'N' and z.class = 'R' group by x.grp""")
 def _(t):
     return cl.matched_accuracy(cl.contingency(labelled(t), ["grp"], "cluster", "class"), ["grp"])
 

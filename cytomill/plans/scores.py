@@ -140,7 +140,8 @@ def _(t):
     return inf.signed_rank(paired(t), ["dataset", "a", "b"], "diff").select("dataset", "a", "b", "n", "w_plus", "w_minus", rnd("p").alias("p"))
 
 
-@query("a65_win_matrix")
+@query("a65_win_matrix", f"""with {SRP}, td as (select dataset, a, b, sum(diff) as total from d0 group by 1, 2, 3)
+   select a, b, count(*) filter (p < 0.2 and total > 0) as wins, count(*) filter (p < 0.2 and total < 0) as losses, count(*) filter (not (p < 0.2) or total = 0) as ties from sr join td using (dataset, a, b) group by 1, 2""")
 def _(t):
     p = paired(t)
     tests = inf.signed_rank(p, ["dataset", "a", "b"], "diff")
