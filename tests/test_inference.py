@@ -33,7 +33,7 @@ def test_rank_sum_counts_all_pairs(spark):
 
 def test_signed_rank_exact_p(spark):
     d = [1.0, -2.0, 3.0, 4.0, 5.0, 6.0, 0.0]
-    r = inf.signed_rank(spark.createDataFrame([("k", x) for x in d], "k string, d double"), ["k"], "d").first()
+    r = inf.signed_rank(spark.createDataFrame([("k", x) for x in d], "k string, d double"), ["k"], "d", exact=True).first()
     assert (r["n"], r["w_plus"], r["w_minus"]) == (6, 19.0, 2.0)
     ways = sum(sum(c) <= 2 for n in range(7) for c in itertools.combinations(range(1, 7), n))
     assert r["p"] == pytest.approx(2 * ways / 64)
