@@ -16,6 +16,8 @@ from cytomill.llm.wordhash import BASES, mixed
 #: Fixed value: the mark that stands for a space in pieces.
 SPACE = "▁"
 ONE = 1 << 31
+#: Rows that a worker hands back together.
+ROWS = 256
 
 
 class Pieces:
@@ -82,7 +84,7 @@ class Lattices:
     """Filtered lattices of chunks in flat arrays: each node (a place behind a character) lists its incoming edges with cumulative
     probabilities in units of 1 / ONE, likeliest first."""
 
-    def __init__(self, pieces: Pieces, most: int = 60_000):
+    def __init__(self, pieces: Pieces, most: int = 40_000):
         self.pieces, self.most = pieces, most
         self.clear()
 
@@ -208,7 +210,7 @@ class Lattices:
         return out, np.bincount(owner, lengths, len(counts)).astype(np.int64)
 
 
-def sample_texts(texts: list[str], keys: list[str], lattices: Lattices, seed: int, most_chunks: int = 50_000) -> list[np.ndarray]:
+def sample_texts(texts: list[str], keys: list[str], lattices: Lattices, seed: int, most_chunks: int = 30_000) -> list[np.ndarray]:
     """Sampled ids of each text. The draw of a chunk depends on seed, row key and the chunk's number in its text only, so any
     batching gives the same ids; long texts are drawn in parts."""
     parts: list[list[np.ndarray]] = [[] for _ in texts]
@@ -267,8 +269,10 @@ def encode(spark: SparkSession, key: Column, text: Column, pieces: Pieces, seed:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         lattices = Lattices(shared.value)
         for keys, texts in batches:
-            ids = sample_texts([t or "" for t in texts], ["" if k is None else k for k in keys], lattices, seed)
-            yield pd.Series([None if t is None else x for t, x in zip(texts, ids, strict=True)], dtype=object)
+            for at in range(0, len(texts), ROWS):  # so that the ids of a large batch need not stand in memory together
+                some = texts.iloc[at : at + ROWS]
+                ids = sample_texts([t or "" for t in some], ["" if k is None else k for k in keys.iloc[at : at + ROWS]], lattices, seed)
+                yield pd.Series([None if t is None else x for t, x in zip(some, ids, strict=True)], dtype=object)
 
     return run.asNondeterministic()(key.cast("string"), text)
 
@@ -280,6 +284,7 @@ def decode(spark: SparkSession, ids: Column, pieces: Pieces) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for each in batches:
-            yield pd.Series([shared.value.decode(None if x is None else x.tolist()) for x in each], dtype=object)
+            for at in range(0, len(each), ROWS):
+                yield pd.Series([shared.value.decode(None if x is None else x.tolist()) for x in each.iloc[at : at + ROWS]], dtype=object)
 
     return run.asNondeterministic()(ids)
