@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomill.llm import decontaminate, neardup, pieces, quality, rules, secrets, substrings, toxicity, urls, warc
+from cytomill.llm import align, decontaminate, neardup, packing, pieces, quality, rules, secrets, substrings, toxicity, urls, warc, whitening
 from cytomill.session import cut
 
 QUERIES: dict = {}
@@ -192,3 +192,23 @@ def op6_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     d = d.withColumn("ids", pieces.encode(spark, F.col("doc_id"), F.col("text"), vocabulary))
     d = d.withColumn("decoded", pieces.decode(spark, F.col("ids"), vocabulary))
     return d.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+#: Public tokenizer files; parameters of this module as well.
+BYTE_FILE, WORD_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    grid = table(spark, folder, "embeddings").select("vec_id", whitening.on_grid(F.col("embedding")).alias("x"))
+    return whitening.transform(grid, whitening.fit(grid))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align(spark, table(spark, folder, "documents"), align.read_tokenizers(BYTE_FILE, PIECE_MODEL))
+
+
+@query
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(spark, table(spark, folder, "documents"), WORD_FILE)
