@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -157,25 +159,61 @@ def haralick(glcm: DataFrame, objects: DataFrame, min_pixels: int = 30, directio
     return j.select(*img, "label", *[F.when(ok, F.col(c)).otherwise(0.0).alias(c) for c in stats])
 
 
-def grey_opening(px: DataFrame, value: str, size: int, out: str, img: Sequence[str] = IMG) -> DataFrame:
-    """Grey opening with a size x size square over the pixels present: min filter, then max filter.
+def _running(a: np.ndarray, half: int, axis: int, fold: np.ufunc, empty: float) -> np.ndarray:
+    """fold over the 2 * half + 1 cells around each cell along an axis; the span doubles, so the cost grows with its logarithm."""
+    a = np.moveaxis(a, axis, 0)
+    pad = np.full((half, *a.shape[1:]), empty)
+    r, span, width = np.concatenate([pad, a, pad]), 1, 2 * half + 1
+    while span * 2 <= width:
+        r, span = fold(r[:-span], r[span:]), span * 2
+    n = len(a)
+    return np.moveaxis(fold(r[:n], r[width - span : width - span + n]), 0, axis)
+
+
+def _opened(a: np.ndarray, there: np.ndarray, half: int) -> np.ndarray:
+    """Grey opening of the present cells: row and column minima, then column and row maxima."""
+    for axis in (1, 0):
+        a = np.where(there, _running(np.where(there, a, np.inf), half, axis, np.minimum, np.inf), np.nan)
+    for axis in (0, 1):
+        a = np.where(there, _running(np.where(there, a, -np.inf), half, axis, np.maximum, -np.inf), np.nan)
+    return a
+
 
-    Both filters are separable, so each is a row window and a column window of bounded width.
+def grey_openings(px: DataFrame, value: str, sizes: dict[str, int], img: Sequence[str] = IMG, block: int = 256) -> DataFrame:
+    """Grey openings with squares of several sizes over the pixels present, one column (name -> size) each.
+
+    The image is cut into blocks, and each pixel also goes to the blocks whose halo, twice the largest half side, it lies in. So
+    one shuffle serves all sizes, and a task holds one block. A pixel must occur once.
     """
-    half = (size - 1) // 2
-    row = W.partitionBy(*img, "y").orderBy("x").rangeBetween(-half, half)
-    col = W.partitionBy(*img, "x").orderBy("y").rangeBetween(-half, half)
-    d = px.withColumn("__m", F.min(value).over(row))
-    d = d.withColumn("__e", F.min("__m").over(col))
-    d = d.withColumn("__m", F.max("__e").over(col))
-    return d.withColumn(out, F.max("__m").over(row)).drop("__m", "__e")
+    halo = 2 * max((s - 1) // 2 for s in sizes.values())
+    near = lambda c: F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block))
+    kept = [c for c in px.columns if c not in sizes]
+    sent = px.select(*kept, F.explode(near("y")).alias("__by")).withColumn("__bx", F.explode(near("x")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.schema if f.name in kept) + "".join(f", `{c}` double" for c in sizes)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy() - (key[-2] * block - halo), pdf["x"].to_numpy() - (key[-1] * block - halo)
+        a = np.full((block + 2 * halo,) * 2, np.nan)
+        there = np.zeros(a.shape, bool)
+        a[y, x], there[y, x] = pdf[value].to_numpy(float), True
+        own = (y >= halo) & (y < halo + block) & (x >= halo) & (x < halo + block)
+        out = pdf.loc[own, kept].copy()
+        for name, size in sizes.items():
+            out[name] = _opened(a, there, (size - 1) // 2)[y[own], x[own]]
+        return out
+
+    return sent.groupBy(*img, "__by", "__bx").applyInPandas(run, schema)
+
+
+def grey_opening(px: DataFrame, value: str, size: int, out: str, img: Sequence[str] = IMG) -> DataFrame:
+    """Grey opening with a size x size square over the pixels present: min filter, then max filter."""
+    return grey_openings(px, value, {out: size}, img)
 
 
 def granularity(px: DataFrame, value: str, scales: int = 5, img: Sequence[str] = IMG) -> DataFrame:
     """Share of the starting mean lost at each opening scale, in percent, per labelled object (long)."""
     keys = [*img, "label"]
-    for i in range(1, scales + 1):
-        px = grey_opening(px, value, 2 * i + 1, f"__o{i}", img)
+    px = grey_openings(px.select(*keys, "y", "x", value), value, {f"__o{i}": 2 * i + 1 for i in range(1, scales + 1)}, img)
     m = px.where(F.col("label") != 0).groupBy(*keys).agg(F.avg(value).alias("m0"), *[F.avg(f"__o{i}").alias(f"m{i}") for i in range(1, scales + 1)])
     rows = [
         F.struct(F.lit(i).cast("long").alias("scale"), ((F.col(f"m{i - 1}") - F.col(f"m{i}")) * 100 / F.greatest(F.col("m0"), F.lit(2.220446049250313e-16))).alias("granularity"))

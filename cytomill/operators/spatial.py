@@ -14,17 +14,56 @@ from cytomill.operators.ordered import attach, join_on
 from cytomill.session import cut
 
 
-def _cell(level, v, low: float, side: float):
-    return F.floor((v - low) / side * F.pow(F.lit(2.0), level)).cast("long")
+#: Levels of halving that doubles can tell apart, and levels that a crowded or far cell is opened at a time.
+FINEST, STEP = 48, 3
 
 
-def nearest(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", id: str = "id") -> DataFrame:
-    """The k data points nearest to every query point within equal keys: (keys, src, dst, dist, rank).
+def _around(index, size, own):
+    """(smallest, largest) distance along an axis between a query cell and a cell of `size` query cells, with a cell to spare
+    for rounding."""
+    start, stop = index * size, (index + 1) * size
+    gap = F.greatest(start - own - 2, own - 1 - stop, F.lit(0.0))
+    return gap, F.greatest(F.abs(stop - own), F.abs(own + 1 - start)) + 1
+
+
+def _opened(asked: DataFrame, counts: DataFrame, keys: Sequence[str], top: int, k: int, most: int) -> DataFrame:
+    """Cells that can hold answers of far or crowded query cells: (keys, fx, fy, lv, cx, cy).
+
+    Cells of more than `most` points are replaced by the smaller ones inside them, a few levels a round. Before each round the
+    cells of a query cell are ordered by their largest distance; k points surely lie within the distance at which their counts reach k,
+    and cells that begin beyond it go. What stays is a rim of small cells, however far the query lies from the points.
+    """
+    own = [*keys, "fx", "fy"]
+    while True:
+        size = F.pow(F.lit(2.0), F.lit(top) - F.col("lv"))
+        gx, wx = _around(F.col("cx"), size, F.col("fx"))
+        gy, wy = _around(F.col("cy"), size, F.col("fy"))
+        near = asked.withColumn("__gap", gx * gx + gy * gy).withColumn("__wide", wx * wx + wy * wy)
+        upto = F.sum("n").over(W.partitionBy(*own).orderBy("__wide"))
+        near = near.withColumn("__upto", upto)
+        reach = F.min(F.when(F.col("__upto") >= k, F.col("__wide"))).over(W.partitionBy(*own))
+        near = near.withColumn("__reach", reach).where(F.col("__reach").isNull() | (F.col("__gap") <= F.col("__reach") * (1 + 1e-9)))
+        asked = cut(near.select(*own, "lv", "cx", "cy", "n"))
+        full = (F.col("n") > most) & (F.col("lv") < top)
+        if not asked.where(full).take(1):
+            return asked.drop("n")
+        deeper = F.least(F.lit(STEP), F.lit(top) - F.col("lv"))
+        side = F.sequence(F.lit(0), F.pow(F.lit(2.0), deeper).cast("int") - 1)
+        inner = asked.where(full).select(*own, "lv", "cx", "cy", F.explode(side).alias("__a")).withColumn("__b", F.explode(side))
+        grown = F.pow(F.lit(2.0), deeper).cast("long")
+        inner = inner.select(
+            *own, (F.col("lv") + deeper).alias("lv"), (F.col("cx") * grown + F.col("__a")).alias("cx"), (F.col("cy") * grown + F.col("__b")).alias("cy")
+        )
+        asked = asked.where(~full).unionByName(join_on(inner, counts, [*keys, "lv", "cx", "cy"]))
+
 
-    Exact, by a grid of halving cells. Each query cell searches at the finest level where it holds k
-    points itself: their distance bounds the answer, so two rings around it are enough. Dense
-    spots use small cells and sparse ones large cells. Equal coordinates are searched once, with
-    the k smallest ids of a spot standing for it. Ties go to the smaller id.
+def candidates(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", id: str = "id") -> DataFrame:
+    """(keys, qx, qy, d2, dst): every query place with the data points of all cells that can hold its k nearest.
+
+    Each query cell searches at the finest level of halving cells where it holds k points itself: their distance bounds
+    the answer, so two rings around it are enough. Where these rings hold far more points, as for outliers next to a dense region,
+    the cells are opened and pruned by distance (`_opened`). Cells go as deep as `FINEST` when one at the usual depth is crowded, so a few
+    far coordinates do not put the rest into one cell. Equal coordinates are searched once, with the k smallest ids of a spot.
     """
     keys = list(keys)
     spots_q = query.select(*keys, F.col(x).alias("qx"), F.col(y).alias("qy")).distinct()
@@ -36,45 +75,63 @@ def nearest(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (),
     ext = query.select(x, y).union(data.select(x, y)).agg(
         F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.lit(1))
     ).first()
-    if ext[4] == 0:
-        depth, x0, y0, side = 0, 0.0, 0.0, 1.0
-    else:
+    top, x0, y0, side = 1, 0.0, 0.0, 1.0
+    if ext[4]:
         x0, y0 = float(ext[0]), float(ext[2])
         side = max(float(ext[1]) - x0, float(ext[3]) - y0, 1e-9) * (1 + 1e-9)
-        depth = min(24, max(1, math.ceil(math.log(max(ext[4], 2), 4)) + 4))
-    top = F.lit(depth)
-    spots = spots.withColumn("fx", _cell(top, F.col("dx"), x0, side)).withColumn("fy", _cell(top, F.col("dy"), y0, side))
-    spots_q = spots_q.withColumn("fx", _cell(top, F.col("qx"), x0, side)).withColumn("fy", _cell(top, F.col("qy"), y0, side))
-    spots, spots_q = cut(spots), cut(spots_q)  # both are read by several steps below
-    up = F.explode(F.sequence(F.lit(0), top))
+        top = min(24, max(1, math.ceil(math.log(max(ext[4], 2), 4)) + 4))
+    deepest = lambda c, low: F.floor((F.col(c) - low) / side * 2.0**FINEST).cast("long")
+    spots = cut(spots.withColumn("fx", deepest("dx", x0)).withColumn("fy", deepest("dy", y0)))
+    spots_q = cut(spots_q.withColumn("fx", deepest("qx", x0)).withColumn("fy", deepest("qy", y0)))
+    most = max(4 * k, 64)
+    at = lambda c: F.shiftright(c, FINEST - top)
+    crowd = spots.groupBy(*keys, at("fx"), at("fy")).agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0]
+    if crowd is not None and crowd > 16 * most:
+        top = FINEST
+    spots, spots_q = (d.withColumn("fx", at("fx")).withColumn("fy", at("fy")) for d in (spots, spots_q))
+    up = F.explode(F.sequence(F.lit(0), F.lit(top)))
 
     def at_levels(cells: DataFrame) -> DataFrame:
         c = cells.withColumn("lv", up)
-        return c.withColumn("cx", F.floor(F.col("fx") / F.pow(F.lit(2.0), top - F.col("lv"))).cast("long")).withColumn(
-            "cy", F.floor(F.col("fy") / F.pow(F.lit(2.0), top - F.col("lv"))).cast("long")
-        )
+        higher = lambda v: F.call_function("shiftright", F.col(v), F.lit(top) - F.col("lv"))
+        return c.withColumn("cx", higher("fx")).withColumn("cy", higher("fy"))
 
     fine = spots.groupBy(*keys, "fx", "fy").agg(F.sum(F.size("ids")).alias("n"))
-    counts = at_levels(fine).groupBy(*keys, "lv", "cx", "cy").agg(F.sum("n").alias("n"))
+    counts = cut(at_levels(fine).groupBy(*keys, "lv", "cx", "cy").agg(F.sum("n").alias("n")))
     enough = counts.where((F.col("n") >= k) | (F.col("lv") == 0)).select(*keys, "lv", "cx", "cy")
     cells_q = at_levels(spots_q.select(*keys, "fx", "fy").distinct())
     level = (
         join_on(cells_q, enough, [*keys, "lv", "cx", "cy"]).groupBy(*keys, "fx", "fy").agg(F.max("lv").alias("lv"))
     )
-    scale = F.pow(F.lit(2.0), top - F.col("lv"))
+    higher = lambda v: F.call_function("shiftright", F.col(v), F.lit(top) - F.col("lv"))
     ring = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)])
-    level = level.withColumn("cx", F.floor(F.col("fx") / scale).cast("long")).withColumn("cy", F.floor(F.col("fy") / scale).cast("long"))
-    asked = level.select(*keys, "fx", "fy", "lv", F.explode(ring).alias("o"), "cx", "cy").select(
+    asked = level.withColumn("cx", higher("fx")).withColumn("cy", higher("fy")).select(*keys, "fx", "fy", "lv", F.explode(ring).alias("o"), "cx", "cy").select(
         *keys, "fx", "fy", "lv", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy")
     )
+    asked = cut(join_on(asked, counts, [*keys, "lv", "cx", "cy"]))
+    hard = asked.groupBy(*keys, "fx", "fy").agg(F.sum("n").alias("__n")).where(F.col("__n") > 16 * most).drop("__n")
+    hard = cut(hard)
+    if hard.take(1):
+        far = _opened(join_on(asked, hard, [*keys, "fx", "fy"], "left_semi"), counts, keys, top, k, most)
+        asked = join_on(asked, hard, [*keys, "fx", "fy"], "left_anti").drop("n").unionByName(far)
+    else:
+        asked = asked.drop("n")
     wanted = asked.select(*keys, "lv", "cx", "cy").distinct()
     holders = join_on(at_levels(fine.select(*keys, "fx", "fy")), wanted, [*keys, "lv", "cx", "cy"], "left_semi")
     there = join_on(spots, holders, [*keys, "fx", "fy"]).select(*keys, "lv", "cx", "cy", "dx", "dy", "ids")
     here = join_on(spots_q, asked, [*keys, "fx", "fy"]).select(*keys, "lv", "cx", "cy", "qx", "qy")
     d2 = (F.col("qx") - F.col("dx")) * (F.col("qx") - F.col("dx")) + (F.col("qy") - F.col("dy")) * (F.col("qy") - F.col("dy"))
-    cand = join_on(here, there, [*keys, "lv", "cx", "cy"]).select(*keys, "qx", "qy", d2.alias("d2"), F.explode("ids").alias("dst"))
+    return join_on(here, there, [*keys, "lv", "cx", "cy"]).select(*keys, "qx", "qy", d2.alias("d2"), F.explode("ids").alias("dst"))
+
+
+def nearest(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", id: str = "id") -> DataFrame:
+    """The k data points nearest to every query point within equal keys: (keys, src, dst, dist, rank).
+
+    Exact; the rows that are compared (`candidates`) grow with the points, wherever they lie. Ties go to the smaller id.
+    """
+    keys = list(keys)
     best = W.partitionBy(*keys, "qx", "qy").orderBy("d2", "dst")
-    found = cand.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = candidates(query, data, k, keys, x, y, id).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     q = query.select(*keys, F.col(x).alias("qx"), F.col(y).alias("qy"), F.col(id).alias("src"))
     return join_on(q, found, [*keys, "qx", "qy"]).select(*keys, "src", "dst", F.sqrt("d2").alias("dist"), "rank")
 

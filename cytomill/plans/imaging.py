@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytomill.operators import cells as cl
 from cytomill.operators import masks as mk
 from cytomill.operators import pixels as px
 from cytomill.operators.ordered import join_on
-from cytomill.plans.registry import Tables, query, r, rnd, scorr
-from cytomill.plans.shapes import CHANNELS, EDGE, TRUTH, intensity, runs
+from cytomill.plans.regions import COARSE
+from cytomill.plans.registry import ORACLES, Tables, query, r, rnd, scorr
+from cytomill.plans.shapes import CHANNELS, EDGE, SIDE, TRUTH, intensity, runs
 
 CH = ["dna", "actin"]
 LONG = TRUTH + ", " + CHANNELS + """, lg as (select image_id, label, y, x, unnest(['dna', 'actin']) as channel, unnest([dna, actin]) as v from pc)"""
@@ -132,6 +134,53 @@ def _(t):
     return j.select("image_id", "label", "area", rnd("mean_dna").alias("mean_dna"), rnd("mean_actin").alias("mean_actin"), rnd("pearson").alias("pearson"))
 
 
+def _image(t: Tables) -> DataFrame:
+    """Whole images of SIDE x SIDE pixels with both channels, background included."""
+    objects = mk.run_pixels(runs(t))
+    grid = runs(t).select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))))
+    grid = grid.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))))
+    seen = join_on(grid, objects, ["image_id", "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0).cast("long")))
+    return intensity(seen).drop("label")
+
+
+def _table_sql() -> str:
+    """SQL of the joined table from that of its families; the second texture channel is the first with its own values."""
+    dna = ("(bp.x * 7 + bp.y * 13 + coalesce(pt.label, 0) * 5) % 101", "(dna - lo)")
+    actin = ("(bp.x * bp.x + bp.y * bp.y * 3 + coalesce(pt.label, 0)) % 97", "(actin - lo)")
+    texture = {"dna": ORACLES["a10_haralick"], "actin": ORACLES["a10_haralick"].replace(dna[0], actin[0]).replace(dna[1], actin[1])}
+    grid = f"""gp as (select image_id, y, unnest(range(0, {SIDE})) as x from (select image_id, unnest(range(0, {SIDE})) as y from (select distinct image_id from pt))),
+      gl as (select gp.image_id, gp.y, gp.x, coalesce(pt.label, 0) as label from gp left join pt on pt.image_id = gp.image_id and pt.y = gp.y and pt.x = gp.x)"""
+    grain = ORACLES["a11_granularity"].replace(CHANNELS, grid + ", " + CHANNELS.replace("from pt)", "from gl)"))
+
+    def wide(name: str, by: str, values, columns: dict[str, str], title: str) -> str:
+        cols = ", ".join(f"max(case when {by} = {v!r} then {c} end) as " + chr(34) + title.format(k, v) + chr(34) for v in values for c, k in columns.items())
+        return f"(select image_id, label, {cols} from ({name}) group by 1, 2)"
+
+    named = lambda sql, columns, title: "(select image_id, label, " + ", ".join(f'{c} as "{title.format(k)}"' for c, k in columns.items()) + f" from ({sql}))"
+    families = [
+        named(ORACLES["a06_shape_features"], cl.SHAPE, "Cell_AreaShape_{}"), named(ORACLES["a06_shape_features"], {"cx": "X", "cy": "Y"}, "Cell_Location_Center_{}"),
+        wide(ORACLES["a07_intensity_stats"], "channel", CH, cl.INTENSITY, "Cell_Intensity_{}_{}"),
+        wide(ORACLES["a07_edge_intensity"], "channel", CH, cl.EDGE, "Cell_Intensity_{}_{}"),
+        wide(ORACLES["a07_intensity_quantiles"], "channel", CH, cl.QUANTILES, "Cell_Intensity_{}_{}"),
+        *[named(sql, cl.TEXTURE, f"Cell_Texture_{{}}_{c}_s8") for c, sql in texture.items()],
+        wide(grain, "scale", range(1, 6), {"granularity": "Granularity"}, "Cell_{}_{}_dna"),
+        wide(ORACLES["a08_radial_distribution"], "channel", CH, {f"bin{b}": f"Bin{b}" for b in range(1, 5)}, "Cell_RadialDistribution_{1}_{0}"),
+        wide(ORACLES["a09_channel_correlations"], "a || '_' || b", ["dna_actin"], cl.CORRELATION, "Cell_Correlation_{}_{}"),
+    ]
+    return "select image_id, label as cell_id, * exclude (image_id, label) from " + " join ".join(
+        f"{sql} f{i}" + (" using (image_id, label)" if i else "") for i, sql in enumerate(families)
+    )
+
+
+@query("a12_field_table", _table_sql())
+def _(t):
+    f = cl.field_features(runs(t), _image(t), CH, "dna")
+    digits = {f"Cell_AreaShape_{cl.SHAPE[c]}": d for c, d in COARSE.items()}
+    exact = {"image_id", "cell_id", "Cell_AreaShape_Area", "Cell_AreaShape_EulerNumber"}
+    exact |= {c for c in f.columns if c.startswith("Cell_Intensity_") and c.split("_")[2] in {"Min", "Max", "IntegratedIntensity", "Range", "LowerQuartile", "Median", "MAD", "UpperQuartile"}}
+    return f.select(*[c if c in exact else rnd(c, 5 if "_InfoMeas" in c else digits.get(c, 6)).alias(c) for c in f.columns])
+
+
 RESC = TRUTH + ", " + CHANNELS + """, q as (select image_id, quantile_cont(actin, 0.02) as lo, quantile_cont(actin, 0.995) as hi from pc group by 1)"""
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomill.functions import scalar as sc
+from cytomill.operators import cells as cl
 from cytomill.operators import masks as mk
 from cytomill.operators import matching as mt
 from cytomill.operators import overlap as ov
@@ -121,6 +122,50 @@ def _(t):
     return s.select("image_id", "label", "area", *[rnd(c, 4 if c == "eccentricity" else 6).alias(c) for c in ("cy", "cx", "extent", "major_axis", "minor_axis", "eccentricity", "equivalent_diameter")])
 
 
+#: SQL of the shape columns. The hull depends on an object's drawn width and height alone, so it is worked out once for each such
+#: shape: a line through two edge midpoints bounds the hull if no midpoint lies to its right.
+SHAPES = """kinds as (select distinct w, h from obj_t),
+ rows_k as (select w, h, j as y, 0 as lo, w - j % 3 - 1 as hi from (select *, unnest(range(0, h)) as j from kinds)),
+ mid_k as (select distinct w, h, unnest([2 * y, 2 * y, 2 * y - 1, 2 * y + 1, 2 * y - 1, 2 * y + 1]) as y, unnest([2 * lo - 1, 2 * hi + 1, 2 * lo, 2 * lo, 2 * hi, 2 * hi]) as x from rows_k),
+ line_k as (select p.w, p.h, p.y as py, p.x as px, q.y as qy, q.x as qx from mid_k p join mid_k q on p.w = q.w and p.h = q.h and (p.y <> q.y or p.x <> q.x)),
+ side_k as (select l.* from line_k l join mid_k r on r.w = l.w and r.h = l.h group by all having min((qx - px) * (r.y - py) - (qy - py) * (r.x - px)) >= 0),
+ grid_k as (select w, h, y, unnest(range(0, w)) as x from (select *, unnest(range(0, h)) as y from kinds)),
+ hull_k as (select w, h, count(*) as convex_area from (select g.w, g.h, g.y, g.x from grid_k g join side_k l on l.w = g.w and l.h = g.h group by all
+   having min((qx - px) * (2 * g.y - py) - (qy - py) * (2 * g.x - px)) >= 0) group by 1, 2),
+ feret_k as (select w, h, max(sqrt(pow(px - qx, 2) + pow(py - qy, 2))) / 2 as feret from line_k group by 1, 2),
+ hull as (select image_id, label, convex_area, feret from obj_t join hull_k using (w, h) join feret_k using (w, h)),
+ ob as (select image_id, label, y, x from nb where same4 < 4),
+ on_ as (select ob.*, (select count(*) from ob b where b.image_id = ob.image_id and b.label = ob.label and abs(b.y - ob.y) + abs(b.x - ob.x) = 1) as s,
+   (select count(*) from ob b where b.image_id = ob.image_id and b.label = ob.label and abs(b.y - ob.y) = 1 and abs(b.x - ob.x) = 1) as d from ob),
+ pe as (select image_id, label, sum(case 1 + 2 * s + 10 * d when 5 then 1 when 7 then 1 when 15 then 1 when 17 then 1 when 25 then 1 when 27 then 1 when 21 then sqrt(2.0)
+   when 33 then sqrt(2.0) when 13 then (1 + sqrt(2.0)) / 2 when 23 then (1 + sqrt(2.0)) / 2 else 0 end) as perimeter from on_ group by 1, 2),
+ mo as (select image_id, label, count(*) as n, avg(y) as cy, avg(x) as cx, var_pop(y) as uyy, var_pop(x) as uxx, covar_pop(x, y) as uxy,
+   (max(y) - min(y) + 1) * (max(x) - min(x) + 1) as box from pt group by 1, 2),
+ ax as (select *, sqrt(pow(uxx - uyy, 2) + 4 * uxy * uxy) as rt from mo),
+ shp as (select *, (uxx + uyy + rt) / 2 as l1, greatest((uxx + uyy - rt) / 2, 0) as l2 from ax join pe using (image_id, label) join hull using (image_id, label))"""
+SHAPE_SQL = f"""with {TRUTH}, {EDGE}, {SHAPES} select image_id, label, n as area, {r('perimeter')} as perimeter, {r('case when l1 > 0 then sqrt(1 - l2 / l1) else 0 end', 4)} as eccentricity,
+   {r('n / convex_area')} as solidity, {r('n / box')} as extent, {r('4 * sqrt(l1)', 5)} as major_axis_length, {r('4 * sqrt(l2)', 5)} as minor_axis_length,
+   {r('case when abs(uxx - uyy) < 1e-9 then case when uxy > 1e-9 then pi() / 4 else -pi() / 4 end else 0.5 * atan2(2 * uxy, uyy - uxx) end', 4)} as orientation,
+   {r('sqrt(4 * n / pi())')} as equivalent_diameter, {r('4 * pi() * n / (perimeter * perimeter)')} as compactness, {r('4 * pi() * n / (perimeter * perimeter)')} as form_factor,
+   FERET as max_feret_diameter, 1::bigint as euler_number, {r('cy')} as cy, {r('cx')} as cx from shp"""
+COARSE = {"eccentricity": 4, "orientation": 4, "major_axis_length": 5, "minor_axis_length": 5}
+
+
+def shape_columns(s: DataFrame) -> DataFrame:
+    whole = ("image_id", "label", "area", "euler_number")
+    return s.select(*[c if c in whole else rnd(c, COARSE.get(c, 6)).alias(c) for c in s.columns])
+
+
+@query("a06_shape_features", SHAPE_SQL.replace("FERET", r("4 * sqrt(l1)")))
+def _(t):
+    return shape_columns(cl.shape_features(runs(t)))
+
+
+@query("a06_exact_shapes", SHAPE_SQL.replace("FERET", r("feret")))
+def _(t):
+    return shape_columns(cl.shape_features(runs(t), exact=True))
+
+
 @query("g03_outline_pixels", f"with {TRUTH}, {EDGE} select image_id, y, x, label from nb where same4 < 4")
 def _(t):
     return mk.outline_pixels(mk.run_pixels(runs(t)))
