@@ -122,23 +122,6 @@ def feature_correlations(wide: DataFrame, features: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def uncorrelated_features(wide: DataFrame, features: Sequence[str], threshold: float = 0.95) -> list[str]:
-    """Greedy scan in feature order: of a pair above the threshold the lower variance goes.
-
-    Only the feature-by-feature table reaches the driver.
-    """
-    r = {(x["a"], x["b"]): x["r"] or 0.0 for x in feature_correlations(wide, features).collect()}
-    v = wide.agg(*[F.var_pop(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in features]).first()
-    gone: set[str] = set()
-    for i, a in enumerate(features):
-        if a in gone:
-            continue
-        for b in features[i + 1:]:
-            if b not in gone and abs(r[(a, b)]) > threshold:
-                gone.add(a if v[a] < v[b] else b)
-    return [c for c in features if c not in gone]
-
-
 def treatment_profiles(values: DataFrame, by: Sequence[str], unit: Sequence[str], value: str = "z") -> DataFrame:
     """Mean of finite values per treatment and feature with the number of fields behind it."""
     return values.groupBy(*by, "feature").agg(F.avg(finite(F.col(value))).alias("value"), F.countDistinct(*unit).alias("n_fields"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -123,6 +123,100 @@ def _shrink_face(face: DataFrame, img: Sequence[str], axis: str, other: str, id:
     return face.withColumn("__k", same(F.lag, -1) & same(F.lead, 1)).where("__k").drop("__k")
 
 
+def shrunk_face(face: DataFrame, block: dict[str, int], shape: dict[str, int], plane: Sequence[str], axes: Sequence[str], id: str) -> DataFrame:
+    """Face pixels that lie more than one pixel inside their label, as seen within the face of their block.
+
+    A pixel goes if the labels before and behind it differ along a face axis (at the face's edge: its own and the next one), and
+    then if a neighbour in the face is background or has gone. `plane` names the columns of one face plane; faces end at block and image
+    borders, missing pixels are background. Each pixel is sent to its four neighbours twice.
+    """
+    keys = [*plane, *axes]
+    steps = [(k, d) for k in range(len(axes)) for d in (-1, 1)]
+
+    def inside(k: int, d: int) -> Column:
+        c, size = axes[k], block[axes[k]]
+        to = F.col(c) + d
+        return (F.floor(to / size) == F.floor(F.col(c) / size)) & (to >= 0) & (to < shape[c])
+
+    def sent(px: DataFrame, value: str) -> DataFrame:
+        """Own value and that of the neighbour on each side: own, n0 .. n3 (before and behind along each axis)."""
+        spots = [F.struct(F.lit(-1).alias("s"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(axes)])]
+        for n, (k, d) in enumerate(steps):
+            spots.append(F.when(inside(k, d), F.struct(F.lit(n).alias("s"), *[(F.col(c) + (d if i == k else 0)).alias(f"t{i}") for i, c in enumerate(axes)])))
+        out = px.select(*plane, F.col(value).alias("v"), F.explode(F.array_compact(F.array(*spots))).alias("o"))
+        of = lambda n: F.max(F.when(F.col("o.s") == n, F.col("v")))
+        # what a pixel sends forwards arrives as the value before its target
+        return out.groupBy(*plane, *[F.col(f"o.t{k}").alias(c) for k, c in enumerate(axes)]).agg(
+            of(-1).alias("own"), *[of(n + 1 if d < 0 else n - 1).alias(f"n{n}") for n, (k, d) in enumerate(steps)]
+        ).where("own is not null")
+
+    near = sent(face, id)
+    flat = F.lit(True)
+    for k in range(len(axes)):
+        before = F.when(inside(k, -1), F.coalesce(f"n{2 * k}", F.lit(0))).otherwise(F.col("own"))
+        behind = F.when(inside(k, 1), F.coalesce(f"n{2 * k + 1}", F.lit(0))).otherwise(F.col("own"))
+        flat = flat & (before == behind)
+    near = sent(near.where(flat).select(*keys, F.col("own").alias(id)), id)
+    held = F.lit(True)
+    for n, (k, d) in enumerate(steps):
+        held = held & (~inside(k, d) | F.col(f"n{n}").isNotNull())
+    return near.where(held).select(*keys, F.col("own").alias(id))
+
+
+def touching_faces(
+    px: DataFrame, block: dict[str, int], shape: dict[str, int], img: Sequence[str] = IMG, id: str = "gid", shrink: bool = True
+) -> DataFrame:
+    """(src, dst): ids of label pixels that meet across a face between neighbouring blocks, in two or three dimensions.
+
+    `block` and `shape` give the size of blocks and image along each axis column, e.g. {"z": 8, "y": 64, "x": 64}; ids are whole
+    numbers over 0. With `shrink`, as published, labels are first shrunk within each face (`shrunk_face`), so that objects that only graze each
+    other across a border stay apart. Only face pixels are shuffled.
+    """
+    out = None
+    for axis in block:
+        axes = [c for c in block if c != axis]
+        sides = []
+        for name, at in (("src", (F.col(axis) + 1) % block[axis] == 0), ("dst", F.col(axis) % block[axis] == 0)):
+            face = px.where(at & (F.col(axis) > 0 if name == "dst" else F.col(axis) < shape[axis] - 1)).select(*img, axis, *axes, F.col(id).alias(name))
+            face = shrunk_face(face, block, shape, [*img, axis], axes, name) if shrink else face
+            sides.append(face.withColumn(axis, F.col(axis) - 1) if name == "dst" else face)
+        e = sides[0].join(sides[1], [*img, axis, *axes]).select("src", "dst").distinct()
+        out = e if out is None else out.union(e)
+    return out.distinct()
+
+
+def merge_volume(
+    px: DataFrame, block: dict[str, int], shape: dict[str, int], img: Sequence[str] = IMG, id: str = "gid", shrink: bool = True
+) -> DataFrame:
+    """Block-local ids joined into whole objects over the faces of all axes, renumbered 1..N (column label)."""
+    new = merge_relabeling(touching_faces(px, block, shape, img, id, shrink), px.select(F.col(id).alias("node")).distinct())
+    return px.join(new.withColumnRenamed("node", id), id).withColumnRenamed("new_label", "label")
+
+
+def volume_blocks(volumes: DataFrame, block: dict[str, int], overlap: int, shape: dict[str, int]) -> DataFrame:
+    """Blocks of every volume row with a halo clamped to the volume: index b_<axis>, crop <axis>0 and <axis>1 per axis."""
+    for axis, size in block.items():
+        volumes = volumes.withColumn(f"b_{axis}", F.explode(F.sequence(F.lit(0), F.lit((shape[axis] - 1) // size)).cast("array<long>")))
+    for axis, size in block.items():
+        at = F.col(f"b_{axis}") * size
+        volumes = volumes.withColumn(f"{axis}0", F.greatest(at - overlap, F.lit(0))).withColumn(f"{axis}1", F.least(at + size + overlap, F.lit(shape[axis])))
+    return volumes
+
+
+def occupied_blocks(blocks: DataFrame, px: DataFrame, block: dict[str, int], img: Sequence[str] = IMG) -> DataFrame:
+    """Blocks whose core holds at least one foreground pixel."""
+    index = [F.floor(F.col(a) / size).alias(f"b_{a}") for a, size in block.items()]
+    return blocks.join(px.select(*img, *index).distinct(), [*img, *[f"b_{a}" for a in block]], "left_semi")
+
+
+def trim_block_halo(px: DataFrame, block: dict[str, int]) -> DataFrame:
+    """Pixels (global places, block index b_<axis>) without the halo along any axis."""
+    own = F.lit(True)
+    for axis, size in block.items():
+        own = own & (F.floor(F.col(axis) / size) == F.col(f"b_{axis}"))
+    return px.where(own)
+
+
 def merge_blocks(px: DataFrame, block: int, img: Sequence[str] = IMG, id: str = "gid") -> DataFrame:
     """Block-local ids joined into whole objects: components over touching faces, renumbered 1..N."""
     nodes = px.select(F.col(id).alias("node")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomill.operators import inference as inf
+from cytomill.operators import gram as gm
 from cytomill.operators import profiles as pr
 from cytomill.functions.scalar import first_match
 from cytomill.operators.pixels import merge_tile_features
@@ -121,11 +122,37 @@ def _(t):
     return pr.feature_correlations(cells(t), FEATURES).select("a", "b", rnd("r").alias("r"))
 
 
-@query("m03_uncorrelated_features", "select unnest(['quantity','reduction','charge']) as feature")
+#: 500 features of each embedding: entries, products with an entry further on, and scaled or shifted near copies.
+WIDE = [(f"f{k}_{i}", k, i) for k in range(8) for i in range(1, 65)][:500]
+WIDE_SQL = "select vec_id, " + ", ".join(
+    [f"embedding[{i}]::double as f0_{i}", f"embedding[{i}]::double * embedding[{i % 64 + 1}]::double as f1_{i}", f"embedding[{i}]::double * 3 + embedding[{i % 64 + 1}]::double * 0.5 as f2_{i}",
+     f"embedding[{i}]::double * embedding[{i}]::double as f3_{i}", f"abs(embedding[{i}]::double) as f4_{i}", f"embedding[{i}]::double * 2 - embedding[{(i + 6) % 64 + 1}]::double as f5_{i}",
+     f"embedding[{i}]::double * embedding[{(i + 10) % 64 + 1}]::double as f6_{i}", f"embedding[{i}]::double * 5 + 1 as f7_{i}"][k] for _, k, i in WIDE
+) + " from embeddings"
+SELECTED = f"""wide as ({WIDE_SQL}), lg as (unpivot wide on columns(* exclude vec_id) into name feature value v), nm as (select unnest({[n for n, _, _ in WIDE]}) as feature, unnest(range(0, {len(WIDE)})) as i),
+ ct as materialized (select vec_id, i, feature, v - avg(v) over (partition by feature) as c from lg join nm using (feature)), vr as materialized (select i, feature, sum(c * c) as ss, avg(c * c) as variance from ct group by 1, 2),
+ cr as (select a.i as i, b.i as j, sum(a.c * b.c) as s from ct a join ct b on a.vec_id = b.vec_id and a.i < b.i group by 1, 2), ov as materialized (select cr.i, cr.j, p.ss < q.ss as lower_i from cr join vr p on p.i = cr.i join vr q on q.i = cr.j where abs(s / sqrt(p.ss * q.ss)) > 0.95),
+ nb as materialized (select nm.i, coalesce(list(struct_pack(j := j, l := lower_i)) filter (j is not null), []) as js from nm left join ov on ov.i = nm.i group by 1),
+ st as (select 0 as i, []::bigint[] as gone union all select st.i + 1, case when list_contains(gone, st.i) then gone else list_concat(list_concat(gone, list_transform(list_filter(js, lambda x: not x.l and not list_contains(gone, x.j)), lambda x: x.j)),
+   case when len(list_filter(js, lambda x: x.l and not list_contains(gone, x.j))) > 0 then [st.i::bigint] else []::bigint[] end) end from st join nb on nb.i = st.i)"""
+
+
+def wide_features(t: Tables) -> DataFrame:
+    e = lambda i: F.col("embedding")[(i - 1) % 64].cast("double")
+    made = lambda k, i: [lambda: e(i), lambda: e(i) * e(i + 1), lambda: e(i) * 3 + e(i + 1) * 0.5, lambda: e(i) * e(i), lambda: F.abs(e(i)),
+                         lambda: e(i) * 2 - e(i + 7), lambda: e(i) * e(i + 11), lambda: e(i) * 5 + 1][k]()
+    return t.embeddings.select("vec_id", *[made(k, i).alias(n) for n, k, i in WIDE])
+
+
+@query("m03_uncorrelated_features", f"with recursive {SELECTED} select feature, {r('variance')} as variance from vr, (select gone from st order by i desc limit 1) where not list_contains(gone, vr.i)")
+def _(t):
+    kept = gm.select_uncorrelated(wide_features(t), [n for n, _, _ in WIDE])
+    return kept.select("feature", rnd("variance").alias("variance"))
+
+
+@query("m03_correlated_pairs", f"with recursive {SELECTED} select nm.feature as a, o.feature as b from ov join nm on nm.i = ov.i join nm o on o.i = ov.j")
 def _(t):
-    wide = cells(t).withColumn("double_quantity", F.col("quantity") * 0.5)
-    kept = pr.uncorrelated_features(wide, [*FEATURES, "double_quantity"])
-    return t.lineitem.select(F.explode(F.array(*[F.lit(c) for c in kept])).alias("feature")).distinct()
+    return gm.correlated_pairs(wide_features(t), [n for n, _, _ in WIDE], 0.95).select("a", "b")
 
 
 @query("j10_unified_table", """select l_orderkey, l_linenumber, l_suppkey, case when l_tax is null or c is null or lower(c) in ('', 'dmso') then 'DMSO' else c end as compound,

@@ -95,6 +95,80 @@ def _(t):
     return per.drop("label")
 
 
+#: Objects of the truth mask as solids of 3 to 9 slices, in blocks of 8 x 24 x 24; the id is unique per block only.
+SOLID_BLOCK, SOLID_SHAPE = {"z": 8, "y": 24, "x": 24}, {"z": 24, "y": SIDE, "x": SIDE}
+SOLID = TRUTH + """, zp as (select pt.image_id, unnest(range(p_size % 5 + 1, p_size % 5 + 4 + p_size % 13)) as z, pt.y, pt.x, pt.label from pt join part on p_partkey // 256 = pt.image_id and p_partkey % 256 + 1 = pt.label),
+ sp as (select *, ((image_id * 363 + (z // 8) * 121 + (y // 24) * 11 + x // 24) << 32) | label as gid from zp)"""
+
+
+def solids(t: Tables) -> DataFrame:
+    size = t.part.select(F.floor(F.col("p_partkey") / 256).cast("long").alias("image_id"), (F.col("p_partkey") % 256 + 1).cast("long").alias("label"), "p_size")
+    px = mk.run_pixels(runs(t)).join(size, ["image_id", "label"])
+    s = F.col("p_size")
+    px = px.withColumn("z", F.explode(F.sequence((s % 5 + 1).cast("long"), (s % 5 + 3 + s % 13).cast("long")))).drop("p_size")
+    block = F.col("image_id") * 363 + F.floor(F.col("z") / 8) * 121 + F.floor(F.col("y") / 24) * 11 + F.floor(F.col("x") / 24)
+    return px.withColumn("gid", sc.pack_id(block, F.col("label")))
+
+
+def _faces_sql() -> str:
+    """SQL of the shrunk faces of each axis and side, and of the ids that meet."""
+    out, met = [], []
+    for a in "zyx":
+        u, v = (c for c in "zyx" if c != a)
+        for side, at, shift in (("l", f"({a} + 1) % {SOLID_BLOCK[a]} = 0 and {a} < {SOLID_SHAPE[a] - 1}", 0), ("h", f"{a} % {SOLID_BLOCK[a]} = 0 and {a} > 0", 1)):
+            n = f"{side}{a}"
+            out.append(f"f{n} as (select image_id, {a}, {u}, {v}, gid from sp where {at})")
+
+            def beside(c: str, d: int) -> str:
+                return f"(f.{c} + {d}) // {SOLID_BLOCK[c]} = f.{c} // {SOLID_BLOCK[c]} and f.{c} + {d} between 0 and {SOLID_SHAPE[c] - 1}"
+
+            def joined(table: str, n_: int, c: str, d: int) -> str:
+                o = v if c == u else u
+                return f"left join {table} n{n_} on n{n_}.image_id = f.image_id and n{n_}.{a} = f.{a} and n{n_}.{c} = f.{c} + {d} and n{n_}.{o} = f.{o} and f.{c} + {d} >= 0 and (f.{c} + {d}) // {SOLID_BLOCK[c]} = f.{c} // {SOLID_BLOCK[c]}"
+
+            near = [(0, u, -1), (1, u, 1), (2, v, -1), (3, v, 1)]
+            label = lambda k, c, d: f"case when {beside(c, d)} then coalesce(n{k}.gid, 0) else f.gid end"  # noqa: E731, B023
+            out.append(f"s{n} as (select f.* from f{n} f {' '.join(joined(f'f{n}', *x) for x in near)} where {label(*near[0])} = {label(*near[1])} and {label(*near[2])} = {label(*near[3])})")
+            out.append(f"k{n} as (select f.* from s{n} f {' '.join(joined(f's{n}', *x) for x in near)} where " + " and ".join(f"(not ({beside(c, d)}) or n{k}.gid is not null)" for k, c, d in near) + ")")
+        met.append(f"select distinct l.gid as src, h.gid as dst from kl{a} l join kh{a} h on h.image_id = l.image_id and h.{a} = l.{a} + 1 and h.{u} = l.{u} and h.{v} = l.{v}")
+    return SOLID + ", " + ", ".join(out) + ", met as (" + " union ".join(met) + ")"
+
+
+FACES = _faces_sql()
+
+
+@query("j20_solid_faces", f"with {FACES} select src, dst from met")
+def _(t):
+    return vo.touching_faces(solids(t), SOLID_BLOCK, SOLID_SHAPE)
+
+
+@query("g13_merge_volume", "with recursive " + FACES + """, both_ as (select src, dst from met union select dst, src from met), walk as (select distinct gid as a, gid as b from sp union select a, dst from walk join both_ on src = b),
+   comp as (select a as gid, min(b) as root from walk group by 1), whole as (select root, count(distinct sp.gid) as n_parts, count(*) as n_px, min(image_id) as image_id, min(label) as object from sp join comp using (gid) group by 1)
+   select n_parts, n_px, image_id, object from whole""")
+def _(t):
+    m = vo.merge_volume(solids(t).withColumnRenamed("label", "object"), SOLID_BLOCK, SOLID_SHAPE)
+    per = m.groupBy("label").agg(F.countDistinct("gid").alias("n_parts"), F.count(F.lit(1)).alias("n_px"), F.min("image_id").alias("image_id"), F.min("object").alias("object"))
+    return per.drop("label")
+
+
+@query("g11_solid_blocks", f"""with {SOLID} select distinct image_id, z // 8 as b_z, y // 24 as b_y, x // 24 as b_x, greatest(z // 8 * 8 - 2, 0) as z0, least(z // 8 * 8 + 10, 24) as z1, greatest(y // 24 * 24 - 2, 0) as y0, least(y // 24 * 24 + 26, {SIDE}) as y1,
+   greatest(x // 24 * 24 - 2, 0) as x0, least(x // 24 * 24 + 26, {SIDE}) as x1 from sp""")
+def _(t):
+    b = vo.volume_blocks(images(t).select("image_id"), SOLID_BLOCK, 2, SOLID_SHAPE)
+    return vo.occupied_blocks(b, solids(t), SOLID_BLOCK)
+
+
+@query("g12_trim_solids", f"with {SOLID} select image_id, z // 8 as b_z, y // 24 as b_y, x // 24 as b_x, count(*) as n_px, sum(label)::bigint as total from sp group by all")
+def _(t):
+    b = vo.volume_blocks(images(t).select("image_id"), SOLID_BLOCK, 2, SOLID_SHAPE)
+    px = solids(t)
+    for a, size in SOLID_BLOCK.items():
+        px = px.withColumn(f"b_{a}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(a) + d) / size) for d in (-2, 0, 2)]))))
+    index = ["image_id", *[f"b_{a}" for a in SOLID_BLOCK]]
+    trimmed = vo.trim_block_halo(px.join(b.select(*index), index), SOLID_BLOCK)
+    return trimmed.groupBy(*index).agg(F.count(F.lit(1)).alias("n_px"), F.sum("label").alias("total"))
+
+
 @query("g13_component_sizes", """with recursive e as (select distinct s_nationkey as n, s_suppkey as s from supplier) select count(*) as n_suppliers, min(s) as component from e group by n""")
 def _(t):
     w = t.supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("hub"))
