@@ -193,17 +193,22 @@ def _hits(phrases: Phrases, shard_chars: int):
     @F.pandas_udf(HITS)
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, held, size = [], [], 0
+            held, size = [], 0
+
+            def searched(texts: list[str | None]) -> pd.DataFrame:
+                rows = search_shard(texts, phrases)
+                return pd.DataFrame({
+                    "n_words": [r[0] for r in rows], "spans": [[{"start": s, "end": e} for s, e in r[1]] for r in rows], "items": [r[2] for r in rows],
+                })
+
             for text in batch:
                 held.append(text)
                 size += len(text or "")
                 if size >= shard_chars:
-                    rows += search_shard(held, phrases)
+                    yield searched(held)
                     held, size = [], 0
-            rows += search_shard(held, phrases)
-            yield pd.DataFrame({
-                "n_words": [r[0] for r in rows], "spans": [[{"start": s, "end": e} for s, e in r[1]] for r in rows], "items": [r[2] for r in rows],
-            })
+            if held:
+                yield searched(held)
 
     return hits.asNondeterministic()  # so that no filter makes the plan run it twice
 
@@ -230,7 +235,7 @@ def _merged(spans: Column) -> Column:
 
 def with_hits(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10,
-    out: str = "hits", shard_chars: int = 16 << 20, block_bytes: int = 32 << 20,
+    out: str = "hits", shard_chars: int = 4 << 20, block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """`docs` with a struct column `out` (n_words, spans, items): disjoint word spans [start, end) that test phrases cover.
 

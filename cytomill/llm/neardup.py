@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomill.llm.wordhash import WordHashes, mixed, settle, split_words, window_hashes
@@ -26,13 +26,18 @@ def shingles(text: str | None, known: WordHashes, k: int = 5) -> tuple[np.ndarra
     return np.unique(window_hashes(words, min(k, len(words))), return_counts=True)
 
 
-@lru_cache(maxsize=64)
+_POISSON: dict[int, np.ndarray] = {}
+
+
 def _poisson(area: int) -> np.ndarray:
-    """Cumulative Poisson probabilities for a region of this area."""
+    """Cumulative Poisson probabilities for a region of this area; areas are powers of two, so few are ever asked for."""
+    if area in _POISSON:
+        return _POISSON[area]
     top = area + 12 * math.isqrt(area) + 24
     n = np.arange(top)
     logs = n * math.log(area) - area - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top)))])
-    return np.cumsum(np.exp(logs))
+    _POISSON[area] = np.cumsum(np.exp(logs))
+    return _POISSON[area]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -96,26 +101,59 @@ def band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketch(bands: int, rows: int, shingle: int, elements: int = 200_000):
-    @F.pandas_udf("n long, keys array<long>")
+#: Bits of each coordinate that the planes keep, and standard deviations that an estimate may fall short.
+PLANES, SLACK = 4, 4.0
+
+
+def planes(sign: np.ndarray) -> np.ndarray:
+    """The lowest bits of every coordinate as bit planes: (texts, PLANES x words) 64-bit numbers, plane by plane."""
+    n, coordinates = sign.shape
+    words = -(-coordinates // 64)
+    bits = np.zeros((n, PLANES, words * 64), bool)
+    for k in range(PLANES):
+        bits[:, k, :coordinates] = (sign >> U(k)) & U(1)
+    return np.packbits(bits, axis=2, bitorder="little").view("<i8").reshape(n, PLANES * words)
+
+
+def differing(a: str, b: str, coordinates: int) -> Column:
+    """How many coordinates of two plane columns differ in any plane."""
+    words = -(-coordinates // 64)
+    total = F.lit(0)
+    for w in range(words):
+        apart = [F.col(a)[k * words + w].bitwiseXOR(F.col(b)[k * words + w]) for k in range(PLANES)]
+        total = total + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), apart))
+    return total
+
+
+def most_differing(least: float, coordinates: int) -> float:
+    """So many coordinates of a pair at similarity `least` differ at most, but for a chance of 3e-5: coordinates agree with the
+    similarity, and otherwise in all planes by chance."""
+    chance = 0.5**PLANES
+    p = (1 - chance) * (1 - least)
+    return coordinates * p + SLACK * math.sqrt(coordinates * p * (1 - p))
+
+
+def _sketch(bands: int, rows: int, shingle: int, darts: int = 400_000):
+    @F.pandas_udf("n long, keys array<long>, planes array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for texts in batches:
-            n, keys, held, size = [], [], [], 0
+        known = WordHashes(150_000)
+        each = int(bands * rows * (math.log(bands * rows) + 4))  # darts that a text throws at least
 
-            def flush(held: list) -> None:
-                keys.extend(band_keys(signatures(held, bands * rows), bands, rows))
+        def sketched(held: list) -> pd.DataFrame:
+            sign = signatures(held, bands * rows)
+            keys, bits = list(band_keys(sign, bands, rows)), list(planes(sign))
+            return pd.DataFrame({"n": [int(c.sum()) for _, c in held], "keys": pd.Series(keys, dtype=object), "planes": pd.Series(bits, dtype=object)})
 
+        for texts in batches:  # handed back in parts, so that the darts of a batch need not stand in memory together
+            held, size = [], 0
             for t in texts:
                 held.append(shingles(t, known, shingle))
-                n.append(int(held[-1][1].sum()))
-                size += len(held[-1][0])
-                if size >= elements:
-                    flush(held)
+                size += len(held[-1][0]) + each
+                if size >= darts:
+                    yield sketched(held)
                     held, size = [], 0
             if held:
-                flush(held)
-            yield pd.DataFrame({"n": n, "keys": pd.Series(keys, dtype=object)})
+                yield sketched(held)
 
     return run.asNondeterministic()
 
@@ -131,22 +169,31 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _similar(shingle: int):
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = WordHashes()
+        known = WordHashes(150_000)
         for left, right in batches:
             out, last, held = [], None, None
             for a, b in zip(left, right, strict=True):
                 if a != last:
                     last, held = a, shingles(a, known, shingle)
                 out.append(similarity(held, shingles(b, known, shingle)))
-            yield pd.Series(out, dtype=float)
+                if len(out) == 256:
+                    yield pd.Series(out, dtype=float)
+                    out = []
+            if out:
+                yield pd.Series(out, dtype=float)
 
     return run.asNondeterministic()
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side that grows with the documents: merged at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def _scored(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(a, b, s): the pairs with the similarity of their texts; of several texts of a node the most similar count."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+    both = pairs.join(_large(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))), "a").join(
+        _large(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))), "b"
     )
     return settle(both.select("a", "b", _similar(shingle)(F.col("text_a"), F.col("text_b")).alias("s")).groupBy("a", "b").agg(F.max("s").alias("s")))
 
@@ -165,10 +212,11 @@ def classes(
     1. Copies of a text become one node, named by their smallest key, and only nodes are banded.
     2. In each bucket every node is compared with the bucket's most central node, and similar ones are linked.
     3. In buckets that then still hold nodes of several components, nodes of different components are compared if they meet in two
-       such buckets (a pair at 0.8 misses that with probability 8e-5), their sizes allow the similarity, and so do their distances
-       from the bucket's central node: one minus the similarity is a metric. So members of one class cost one
-       comparison a bucket; only nodes that resemble a large class without belonging to it are compared with its members.
-    Each comparison is exact, on whole texts. Joins read written tables, so adaptive execution splits buckets and texts with many pairs.
+       such buckets (a pair at 0.8 misses that with probability 8e-5), their sizes allow the similarity, so do their distances
+       from the bucket's central node (one minus the similarity is a metric), and four bits of each of the 240 coordinates agree
+       as often as those of a pair at 0.8 do (missed with probability 3e-5). So members of one class cost one comparison a
+       bucket; nodes that resemble a large class without belonging to it are compared with the few members that pass all bounds.
+    Each comparison is exact, on whole texts. Keys may be numbers or strings. Joins read written tables, so adaptive execution splits buckets and texts with many pairs.
 
     Null texts and texts without words have no copies: class_id is their own key. Rows without a key take the class of
     an equal text with a key, else null. Rows that share a key are one document, whatever their texts. Any
@@ -179,49 +227,54 @@ def classes(
     packed = packed.withColumn("sha", F.unhex(F.sha2("text", 256)))
     nodes = settle(
         packed.select("key", "sha", _sketch(bands, rows, shingle)(F.col("text")).alias("s")).where("s.n > 0")
-        .groupBy("sha").agg(F.min("key").alias("node"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys")).where("node is not null")
+        .groupBy("sha").agg(F.min("key").alias("node"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"), F.first("s.planes").alias("planes"))
+        .where("node is not null")
     )
     banded = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
     shared = settle(banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    members = settle(banded.join(shared, ["band", "bucket"]))  # rows of the few buckets that hold more than one node
+    members = settle(banded.join(_large(shared), ["band", "bucket"]))  # rows of the few buckets that hold more than one node
     # the node that meets most others over all its buckets lies nearest to the middle of its group
     met = settle(members.groupBy("node").agg(F.sum("size").alias("met")))
-    members = members.join(met, "node")
-    leaders = members.groupBy("band", "bucket").agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("node"))).alias("top"))
-    leaders = settle(leaders.select("band", "bucket", (-F.col("top.node")).alias("leader")))
-    members = settle(members.drop("size", "met").join(leaders, ["band", "bucket"]))
-    involved = nodes.join(members.select("node").distinct(), "node").select("sha", "node")
+    members = members.join(_large(met), "node")
+    most = members.groupBy("band", "bucket").agg(F.max("met").alias("met"))
+    leaders = settle(members.join(_large(most), ["band", "bucket", "met"]).groupBy("band", "bucket").agg(F.min("node").alias("leader")))
+    members = settle(members.drop("size", "met").join(_large(leaders), ["band", "bucket"]))
+    involved = nodes.join(_large(members.select("node").distinct()), "node").select("sha", "node")
     # the text of a node is taken from the row that names it
-    texts = settle(packed.join(settle(involved), "sha").where("key = node").select("node", "text"))
+    texts = settle(packed.join(_large(settle(involved)), "sha").where("key = node").select("node", "text"))
 
     pairs = members.where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     pairs = settle(pairs.distinct())
     scored = _scored(pairs, texts, shingle)
     near = scored.where(F.col("s") >= least).select("a", "b")
     so_far = settle(components(near, None, "a", "b"))
-    placed = members.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("a", F.least("leader", "node")).withColumn("b", F.greatest("leader", "node")).join(scored, ["a", "b"], "left")
+    placed = members.join(_large(so_far), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.withColumn("a", F.least("leader", "node")).withColumn("b", F.greatest("leader", "node")).join(_large(scored), ["a", "b"], "left")
     placed = settle(placed.select("band", "bucket", "node", "n", "component", F.when(F.col("leader") == F.col("node"), 1.0).otherwise(F.col("s")).alias("s")))
     mixed_buckets = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = settle(placed.join(settle(mixed_buckets.select("band", "bucket")), ["band", "bucket"]))
+    open_ = settle(placed.join(_large(settle(mixed_buckets.select("band", "bucket"))), ["band", "bucket"]))
     own = open_.groupBy("node").agg(F.sort_array(F.collect_list(F.xxhash64("band", "bucket"))).alias("own"))  # one per band at most
-    held = settle(open_.join(own.where(F.size("own") > 1), "node"))
-    left, right = (held.select("band", "bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "s", "own")]) for side in "ab")
+    held = open_.join(_large(own.where(F.size("own") > 1)), "node").join(_large(nodes.select("node", "planes")), "node")
+    held = settle(held)
+    left, right = (held.select("band", "bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "s", "own", "planes")]) for side in "ab")
     common = F.array_intersect("own_a", "own_b")
     alike = (
         (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
         & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
         & (F.abs(F.col("s_a") - F.col("s_b")) <= 1 - least + 1e-9)
-        & (F.size(common) > 1) & (F.element_at(common, 1) == F.xxhash64("band", "bucket"))  # each pair once
+        & (differing("planes_a", "planes_b", bands * rows) <= most_differing(least, bands * rows))
+        & (F.size(common) > 1) & (F.element_at(common, 1) == F.xxhash64(F.col("l.band"), F.col("l.bucket")))  # each pair once
     )
-    across = left.join(right, ["band", "bucket"]).where(alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    across = settle(across.join(pairs, ["a", "b"], "left_anti"))
+    # the bounds belong to the join, so pairs that fail them are never handed on
+    met_there = (F.col("l.band") == F.col("r.band")) & (F.col("l.bucket") == F.col("r.bucket"))
+    across = left.alias("l").join(_large(right.alias("r")), met_there & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    across = settle(across.join(_large(pairs), ["a", "b"], "left_anti"))
     far = _scored(across, texts, shingle).where(F.col("s") >= least).select("a", "b")
     final = settle(components(near.unionByName(far), None, "a", "b")) if far.take(1) else so_far
 
-    named = settle(nodes.select("sha", "node").join(final, "node", "left").select("sha", F.coalesce("component", "node").alias("class_id")))
+    named = settle(nodes.select("sha", "node").join(_large(final), "node", "left").select("sha", F.coalesce("component", "node").alias("class_id")))
     carried = ["row"] if whole_rows else []
-    out = packed.drop("text").join(named, "sha", "left")
+    out = packed.drop("text").join(_large(named), "sha", "left")
     return out.select("key", F.coalesce("class_id", "key").alias("class_id"), "sha", *carried)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -54,9 +54,13 @@ def measure(text: str | None) -> tuple[int, ...]:
 def measures(text: Column) -> Column:
     """Struct column of MEASURES."""
 
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+
     @F.pandas_udf(MEASURES)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=[m.split()[0] for m in MEASURES.split(", ")])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for at in range(0, len(texts), 1024):
+                yield pd.DataFrame([measure(t) for t in texts.iloc[at : at + 1024]], columns=names)
 
     return run.asNondeterministic()(text)
 
