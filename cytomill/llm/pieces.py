@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from cytomill.llm.bpe import gather
 from cytomill.llm.wordhash import BASES, mixed
 
 #: Fixed value: the mark that stands for a space in pieces.
@@ -71,6 +72,9 @@ class Pieces:
         keys = np.fromiter(step, np.int64, len(step))
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.fromiter(step.values(), np.int64, len(step))[order]
+        self.root = np.full(self.width, -1, np.int64)  # the first step, which all places take
+        first = self.keys < self.width
+        self.root[self.keys[first]] = self.next[first]
         self.ends, self.end_weight = np.full(len(step) + 1, -1, np.int32), np.zeros(len(step) + 1)
         for state, number, weight in ends:
             self.ends[state], self.end_weight[state] = number, weight
@@ -93,6 +97,23 @@ class Lattices:
         self.size, self.first_node, self.node_start = (np.zeros(0, np.int64) for _ in range(3))
         self.upto, self.back, self.piece = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.spelt: list[bytes] = []
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Leaves the chunks used most, at most half of `most` and only those used twice or more, and forgets the rest."""
+        often = np.argsort(-self.uses, kind="stable")[: self.most // 2]
+        kept = np.sort(often[self.uses[often] > 1])
+        names = list(self.place)
+        self.place = {names[i]: k for k, i in enumerate(kept.tolist())}
+        per_node = np.diff(np.append(self.node_start, len(self.upto)))
+        nodes = np.concatenate([np.arange(a, a + n) for a, n in zip(self.first_node[kept], self.size[kept], strict=True)] or [kept])
+        edges = gather(np.arange(len(self.upto)), per_node, nodes)
+        self.size, self.uses = self.size[kept], np.zeros(len(kept), np.int64)
+        self.first_node, self.node_start = np.cumsum(self.size) - self.size, np.cumsum(per_node[nodes]) - per_node[nodes]
+        self.upto, self.back, self.piece = self.upto[edges], self.back[edges], self.piece[edges]
+        used, which = np.unique(self.piece[self.piece < 0], return_inverse=True)
+        self.spelt = [self.spelt[-u - 1] for u in used.tolist()]
+        self.piece[self.piece < 0] = -1 - which.astype(np.int32)
 
     def chunks(self, found: list[str]) -> np.ndarray:
         """Numbers of chunks, with the lattices of new ones."""
@@ -100,7 +121,11 @@ class Lattices:
         if new:
             self.place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
             self._add(new)
-        return np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+        numbers = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+        uses = np.bincount(numbers, minlength=len(self.size))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return numbers
 
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """(end place, length, piece, weight) of all pieces at all places; `left` is how many characters the chunk still has."""
@@ -108,10 +133,15 @@ class Lattices:
         out, at, state = [], np.arange(len(codes)), np.zeros(len(codes), np.int64)
         single = np.zeros(len(codes), bool)
         for d in range(1, v.longest + 1):
-            key = state * v.width + kind[at + d - 1]
-            slot = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            fits = v.keys[slot] == key
-            at, state = at[fits], v.next[slot[fits]]
+            if d == 1:
+                state = v.root[kind]
+                fits = state >= 0
+                at, state = at[fits], state[fits]
+            else:
+                key = state * v.width + kind[at + d - 1]
+                slot = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+                fits = v.keys[slot] == key
+                at, state = at[fits], v.next[slot[fits]]
             whole = v.ends[state] >= 0
             out.append((at[whole] + d - 1, np.full(int(whole.sum()), d, np.int32), v.ends[state[whole]], v.end_weight[state[whole]]))
             if d == 1:
@@ -218,7 +248,7 @@ def sample_texts(texts: list[str], keys: list[str], lattices: Lattices, seed: in
 
     def draw() -> None:
         if len(lattices.place) > lattices.most:
-            lattices.clear()
+            lattices.forget()
         if held:
             chunk = lattices.chunks([c for h in held for c in h[3]])
             ids, counts = lattices.sample(chunk, np.concatenate([_noise(row, first, len(found)) for _, row, first, found in held]))
