@@ -353,4 +353,4 @@ def test_quality_scorer_learns_from_votes_alone(spark):
 
 def test_query_registry():
     q, o = queries.queries(), queries.oracle_sql()
-    assert sorted(int(k[2:].split("_")[0]) for k in q) == list(range(1, 11)) and set(o) <= set(q)
+    assert sorted(int(k[2:].split("_")[0]) for k in q) == list(range(1, 14)) and set(o) <= set(q)
