@@ -102,7 +102,7 @@ def band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 #: Bits of each coordinate that the planes keep, and standard deviations that an estimate may fall short.
-PLANES, SLACK = 4, 4.0
+PLANES, SLACK = 2, 4.0
 
 
 def planes(sign: np.ndarray) -> np.ndarray:
@@ -133,8 +133,31 @@ def most_differing(least: float, coordinates: int) -> float:
     return coordinates * p + SLACK * math.sqrt(coordinates * p * (1 - p))
 
 
+#: Bits of the parity sketch.
+ODD = 512
+
+
+def odd_sketch(element: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """ODD bits as 64-bit numbers: a bit is set if an odd number of the shingles, each copy counted on its own, falls on it."""
+    copy = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    slot = mixed(np.repeat(element, count) + copy.astype(U) * U(STREAMS[1])) & U(ODD - 1)
+    odd = np.bincount(slot.astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def may_reach(least: float, a: str = "_a", b: str = "_b") -> Column:
+    """Whether the columns n and odd of two texts allow the similarity; never false for a pair that has it.
+
+    Each shingle that only one of the texts holds flips one bit, so at least as many shingles differ as bits do, and a pair at
+    similarity s differs in (n_a + n_b) (1 - s) / (1 + s) of them.
+    """
+    n = F.col(f"n{a}") + F.col(f"n{b}")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"odd{a}")[w].bitwiseXOR(F.col(f"odd{b}")[w])) for w in range(ODD // 64)])
+    return (F.least(f"n{a}", f"n{b}") >= least * F.greatest(f"n{a}", f"n{b}") - 1e-9) & (apart * (1 + least) <= n * (1 - least) + 1e-9)
+
+
 def _sketch(bands: int, rows: int, shingle: int, darts: int = 400_000):
-    @F.pandas_udf("n long, keys array<long>, planes array<long>")
+    @F.pandas_udf("n long, keys array<long>, planes array<long>, odd array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHashes(150_000)
         each = int(bands * rows * (math.log(bands * rows) + 4))  # darts that a text throws at least
@@ -142,7 +165,11 @@ def _sketch(bands: int, rows: int, shingle: int, darts: int = 400_000):
         def sketched(held: list) -> pd.DataFrame:
             sign = signatures(held, bands * rows)
             keys, bits = list(band_keys(sign, bands, rows)), list(planes(sign))
-            return pd.DataFrame({"n": [int(c.sum()) for _, c in held], "keys": pd.Series(keys, dtype=object), "planes": pd.Series(bits, dtype=object)})
+            odd = [odd_sketch(h, c) for h, c in held]
+            return pd.DataFrame({
+                "n": [int(c.sum()) for _, c in held], "keys": pd.Series(keys, dtype=object), "planes": pd.Series(bits, dtype=object),
+                "odd": pd.Series(odd, dtype=object),
+            })
 
         for texts in batches:  # handed back in parts, so that the darts of a batch need not stand in memory together
             held, size = [], 0
@@ -210,10 +237,11 @@ def classes(
     a pair at 0.8 is missed with probability 5e-6, one at 0.85 with 1e-8.
 
     1. Copies of a text become one node, named by their smallest key, and only nodes are banded.
-    2. In each bucket every node is compared with the bucket's most central node, and similar ones are linked.
+    2. In each bucket every node whose parity sketch allows the similarity is compared with the bucket's most central node, and
+       similar ones are linked. The sketch bounds the number of differing shingles from below, so it loses no pair.
     3. In buckets that then still hold nodes of several components, nodes of different components are compared if they meet in two
-       such buckets (a pair at 0.8 misses that with probability 8e-5), their sizes allow the similarity, so do their distances
-       from the bucket's central node (one minus the similarity is a metric), and four bits of each of the 240 coordinates agree
+       such buckets (a pair at 0.8 misses that with probability 8e-5), their sizes and parity sketches allow the similarity, so do
+       their distances from the bucket's central node where known (one minus the similarity is a metric), and two bits of each of the 240 coordinates agree
        as often as those of a pair at 0.8 do (missed with probability 3e-5). So members of one class cost one comparison a
        bucket; nodes that resemble a large class without belonging to it are compared with the few members that pass all bounds.
     Each comparison is exact, on whole texts. Keys may be numbers or strings. Joins read written tables, so adaptive execution splits buckets and texts with many pairs.
@@ -227,7 +255,7 @@ def classes(
     packed = packed.withColumn("sha", F.unhex(F.sha2("text", 256)))
     nodes = settle(
         packed.select("key", "sha", _sketch(bands, rows, shingle)(F.col("text")).alias("s")).where("s.n > 0")
-        .groupBy("sha").agg(F.min("key").alias("node"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"), F.first("s.planes").alias("planes"))
+        .groupBy("sha").agg(F.min("key").alias("node"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"), F.first("s.planes").alias("planes"), F.first("s.odd").alias("odd"))
         .where("node is not null")
     )
     banded = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
@@ -244,7 +272,9 @@ def classes(
     texts = settle(packed.join(_large(settle(involved)), "sha").where("key = node").select("node", "text"))
 
     pairs = members.where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    pairs = settle(pairs.distinct())
+    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab"]
+    pairs = pairs.distinct().join(_large(sides[0]), "a").join(_large(sides[1]), "b")
+    pairs = settle(pairs.where(may_reach(least)).select("a", "b"))
     scored = _scored(pairs, texts, shingle)
     near = scored.where(F.col("s") >= least).select("a", "b")
     so_far = settle(components(near, None, "a", "b"))
@@ -254,15 +284,15 @@ def classes(
     mixed_buckets = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = settle(placed.join(_large(settle(mixed_buckets.select("band", "bucket"))), ["band", "bucket"]))
     own = open_.groupBy("node").agg(F.sort_array(F.collect_list(F.xxhash64("band", "bucket"))).alias("own"))  # one per band at most
-    held = open_.join(_large(own.where(F.size("own") > 1)), "node").join(_large(nodes.select("node", "planes")), "node")
+    held = open_.join(_large(own.where(F.size("own") > 1)), "node").join(_large(nodes.select("node", "planes", "odd")), "node")
     held = settle(held)
-    left, right = (held.select("band", "bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "s", "own", "planes")]) for side in "ab")
+    left, right = (held.select("band", "bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "s", "own", "planes", "odd")]) for side in "ab")
     common = F.array_intersect("own_a", "own_b")
     alike = (
         (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
-        & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-        & (F.abs(F.col("s_a") - F.col("s_b")) <= 1 - least + 1e-9)
+        & F.coalesce(F.abs(F.col("s_a") - F.col("s_b")) <= 1 - least + 1e-9, F.lit(True))
         & (differing("planes_a", "planes_b", bands * rows) <= most_differing(least, bands * rows))
+        & may_reach(least)
         & (F.size(common) > 1) & (F.element_at(common, 1) == F.xxhash64(F.col("l.band"), F.col("l.bucket")))  # each pair once
     )
     # the bounds belong to the join, so pairs that fail them are never handed on

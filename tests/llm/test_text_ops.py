@@ -165,6 +165,24 @@ def test_near_duplicate_classes(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_parity_sketch_never_rules_out_a_similar_pair(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for size in (0, 1, 5, 60, 400, 3000):
+        for changed in (0, 1, size // 20, size // 8, size // 4, size):
+            element = r.integers(1, 2**63, size + changed, dtype=np.uint64)
+            count = r.integers(1, 4, size + changed)
+            sides = [(element[:size], count[:size]), (element[changed : size + changed], count[changed : size + changed])]
+            order = [np.argsort(h) for h, _ in sides]
+            sides = [(h[o], c[o]) for (h, c), o in zip(sides, order, strict=True)]
+            bits = [[int(w) for w in neardup.odd_sketch(h, c)] for h, c in sides]
+            assert all(len(b) == neardup.ODD // 64 for b in bits)
+            rows.append((*[int(c.sum()) for _, c in sides], *bits, neardup.similarity(*sides)))
+    got = spark.createDataFrame(rows, "n_a long, n_b long, odd_a array<long>, odd_b array<long>, s double").select("s", neardup.may_reach(0.8).alias("may"), "n_a").collect()
+    assert all(g.may for g in got if g.s >= 0.8) and any(g.s >= 0.8 for g in got)
+    assert not any(g.may for g in got if 0 < g.n_a <= 200 and g.s < 0.7)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     h = np.arange(1, 40, dtype=np.uint64)
     r = np.random.default_rng(2)
