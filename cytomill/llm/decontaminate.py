@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytomill.llm.wordhash import settle
+
 #: Word bytes are digits, letters (A-Z lower-cased) and everything beyond ASCII; all others separate words.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -26,7 +28,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Phrases:
     """Every window of the test items: `window` consecutive words, or the whole item if it is shorter."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item, text in items:
             w = words_of(text)
@@ -185,7 +187,7 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
                 merged[-1] = merged[-1][0], max(e, merged[-1][1])
             else:
                 merged.append((s, e))
-        out[d] = int(n_words[d]), merged, sorted(items[d])
+        out[d] = int(n_words[d]), merged, sorted(i for i in items[d] if i is not None)
     return out
 
 
@@ -215,7 +217,7 @@ def _hits(phrases: Phrases, shard_chars: int):
 
 def phrase_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[Phrases]:
     """The test phrases in blocks of about `block_bytes` of text; each is all that a task and the driver hold at a time."""
-    b = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    b = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     n = max(1, math.ceil((b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     b = b.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
     for k in range(n):
@@ -240,14 +242,16 @@ def with_hits(
     """`docs` with a struct column `out` (n_words, spans, items): disjoint word spans [start, end) that test phrases cover.
 
     A shard is as many consecutive texts as hold `shard_chars` characters; each is indexed and searched in memory, and no row
-    is shuffled. Documents are scanned once per block of the benchmark, of which an ordinary one makes one.
+    is shuffled. Documents are scanned once per block of the benchmark, of which an ordinary one makes one; the hits of a block are
+    written before the next is read, so no plan holds two.
 
-    Null and empty texts have no words and no hits; null items and items without words have no phrases; an empty benchmark hits
-    nothing. Repeated rows stay and agree; items that share a phrase are all listed. A column already named `out` is replaced.
+    Null and empty texts have no words and no hits; items without words have no phrases; items without an id cover words
+    but are not listed; an empty benchmark hits nothing. Repeated rows stay and agree; items that share a phrase are all listed. A column already named `out` is replaced.
     """
     found = docs
     names = []
     for phrases in phrase_blocks(benchmark, item, item_text, window, block_bytes):
+        found = settle(found) if names else found
         names.append(f"__hits_{len(names)}")
         found = found.withColumn(names[-1], _hits(phrases, shard_chars)(F.col(text)))
     merged = F.struct(
@@ -270,7 +274,11 @@ def cut_spans(text: str, spans: list) -> str:
 
 
 def remove_hits(docs: DataFrame, text: str = "text", hits: str = "hits") -> DataFrame:
-    """`docs` with the spans of `hits` cut out of the text; texts without hits do not leave the JVM."""
+    """`docs` with the spans of `hits` cut out of the text; texts without hits do not leave the JVM.
+
+    Null and empty texts stay as they are; very long texts are cut in one pass; repeated rows stay and agree; an empty table
+    gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:

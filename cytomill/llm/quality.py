@@ -59,7 +59,7 @@ def train(
     """
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     measured = cut(d.select("key", F.xxhash64("text").alias("hash"), rules.measures(F.col("text")).alias("measures")))
-    model = rules.fit(measured)
+    model = rules.fit(measured, rules=labellers)
     p = model.probability(rules.votes(F.col("measures"), labellers))
     ranked = measured.where("measures.n_words > 0").groupBy("hash").agg(F.max(p).alias("label"))
     picked = ranked.orderBy(F.xxhash64("hash"), "hash").limit(max_rows)

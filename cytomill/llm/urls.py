@@ -11,7 +11,14 @@ from cytomill.operators.graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
-ATTRIBUTE = r"""(?is)\b%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+#: What a browser does not read as tags, and a tag whose quoted values may hold `>`.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
+TAG = r"""(?is)<%s(?=[\s/>])(?:[^>"']++|"[^"]*"|'[^']*')*+>"""
+#: The first attribute of a name; those before it are passed over whole, quoted values included, without backtracking.
+ATTRIBUTE = (
+    r"""(?is)^<[a-z]+(?:[\s/]+(?!%s\s*=)[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?+)*+"""
+    r"""[\s/]+%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+)
 
 
 def url_host(url: Column) -> Column:
@@ -43,7 +50,7 @@ def _fitting(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    pattern = ATTRIBUTE % name
+    pattern = ATTRIBUTE % (name, name)
     return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
 
 
@@ -64,17 +71,22 @@ def _resolve(href: Column, host: Column, path: Column) -> Column:
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) urls that pages declare equal: `<link rel=canonical>` and `<meta http-equiv=refresh>`.
 
-    Pages without url or html declare nothing.
+    Links are relative to the page, or to its first `<base href>`. Comments and scripts declare nothing, and only the
+    attribute of exactly that name counts, the first of several. Pages without url or html declare nothing.
     """
     p = pages.select(F.col(url).alias("src"), F.col(html).alias("html"))
     p = p.where(url_host(F.col("src")) != "").where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    links = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: F.lower(_attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)"))
-    metas = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    p = p.withColumn("html", F.regexp_replace("html", HIDDEN, ""))
+    tags = lambda name: F.regexp_extract_all("html", F.lit(TAG % name), F.lit(0))
+    links = F.filter(tags("link"), lambda t: F.lower(_attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)"))
+    metas = F.filter(tags("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
     refresh = lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?is)url\s*=\s*["']?([^"'\s]+)""", 1)
     hrefs = F.concat(F.transform(links, lambda t: _attribute(t, "href")), F.transform(metas, refresh))
+    named = F.get(F.filter(F.transform(tags("base"), lambda t: _attribute(t, "href")), lambda h: h != ""), F.lit(0))
+    base = F.coalesce(_resolve(named, url_host(F.col("src")), url_path(F.col("src"))), F.col("src"))
     return (
-        p.select("src", F.explode(hrefs).alias("href"))
-        .select("src", _resolve(F.col("href"), url_host(F.col("src")), url_path(F.col("src"))).alias("dst"))
+        p.select("src", base.alias("base"), F.explode(hrefs).alias("href"))
+        .select("src", _resolve(F.col("href"), url_host(F.col("base")), url_path(F.col("base"))).alias("dst"))
         .where("dst is not null")
     )
 

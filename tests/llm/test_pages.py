@@ -47,6 +47,26 @@ def test_url_rules_and_aliases(spark):
     assert urls.judge_urls(frame(spark, [], SCHEMA), queries.URL_RULES).count() == 0
 
 
+def test_links_are_read_as_a_browser_reads_them(spark):
+    pad = "".join(f" a{i}='>' b{i}" for i in range(3000))
+    rows = [
+        ("http://a.fr/1", '<link rel="canonical" data-href="http://no.fr/" href="http://b.fr/">', "http://b.fr/"),
+        ("http://a.fr/2", '<link data-rel="canonical" rel="icon" href="http://no.fr/">', None),
+        ("http://a.fr/3", '<!-- <link rel="canonical" href="http://no.fr/"> --><link rel=canonical href=/x>', "http://a.fr/x"),
+        ("http://a.fr/4", '<script>s = \'<link rel="canonical" href="http://no.fr/">\'</script>', None),
+        ("http://a.fr/d/5", '<base href="//c.fr/q/r"><link href="s" rel="canonical">', "http://c.fr/q/s"),
+        ("http://a.fr/6", """<link title="x href='http://no.fr/' >" rel='alternate canonical' href = 'http://b.fr/?a=1&amp;b=2'>""", "http://b.fr/?a=1&b=2"),
+        ("http://a.fr/7", f"<link{pad} rel=canonical href=http://b.fr/7>", "http://b.fr/7"),
+        ("http://a.fr/8", '<link rel="canonical" href="http://b.fr/8" href="http://no.fr/">', "http://b.fr/8"),
+        ("http://a.fr/9", '<linked rel="canonical" href="http://no.fr/">', None),
+        ("http://a.fr/10", '<meta name="url=http://no.fr" http-equiv="refresh" content="3;url=/y">', "http://a.fr/y"),
+        ("http://a.fr/11", '<!-- <link rel="canonical" href="http://no.fr/">', None),
+        (None, '<link rel="canonical" href="http://no.fr/">', None), ("http://a.fr/12", None, None),
+    ]
+    got = {r.src: r.dst for r in urls.alias_edges(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect()}
+    assert got == {u: t for u, _, t in rows if t}
+
+
 def test_many_pages_point_to_one(spark):
     rows = [(i, f"http://s{i}.fr/", page(canonical("http://hub.org/es/" if i % 2 else f"http://s{i - 1}.fr/"))) for i in range(1, 301)]
     got = urls.judge_urls(spark.createDataFrame(rows, SCHEMA), queries.URL_RULES).groupBy("verdict").count().collect()

@@ -267,6 +267,9 @@ def test_decontamination(spark):
             assert all(h[2] == 0 for h in slow_hits([(i, t)], [x for x in items if x[1] and len(x[1].split()) >= 10], 10))
     assert decontaminate.with_hits(docs, bench.limit(0)).where("size(hits.spans) > 0").count() == 0
     assert decontaminate.with_hits(docs.limit(0), bench).count() == 0
+    nameless = spark.createDataFrame([(None, items[1][1]), (3, "")], "item_id long, text string")
+    found = decontaminate.with_hits(docs, nameless).where("size(hits.spans) > 0").select("hits.items").collect()
+    assert found and all(f["items"] == [] for f in found)
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -366,6 +369,9 @@ def test_quality_scorer_learns_from_votes_alone(spark):
     got = {(g.doc_id, g.s) for g in docs.select("doc_id", quality.score(F.col("text"), model).alias("s")).collect()}
     score = dict(g for g in got if g[0] is not None)
     assert all(score[i] >= 0.5 for i in range(150)) and all(score[i] < 0.5 for i in range(150, 200))
+    # a list of other labellers is the one that the votes are counted for
+    _, few, _ = quality.train(docs, labellers=rules.RULES[4:6])
+    assert len(few.pro) == len(few.contra) == 2
     assert quality.train(docs.limit(0))[2] == linear.LinearModel(0.0, {})
 
 
