@@ -245,19 +245,42 @@ def distance_to_outline(px: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     """Squared distance of each pixel to its object's outline, exact and separable.
 
     Step 1 takes, along each column of the object, the distance to the nearest outline pixel
-    (two running windows); step 2 takes min over the row of (dx^2 + step1^2).
+    (two running windows); step 2 reads min over the row of (dx^2 + step1^2) off the lower envelope of
+    the row's parabolas, in time linear in the row. Each row of an object is gathered once.
     """
     n = neighbour_counts(px, img).withColumn("e", F.col("same4") < 4)
     col = W.partitionBy(*img, "label", "x").orderBy("y")
     up = F.last(F.when(F.col("e"), F.col("y")), True).over(col.rowsBetween(W.unboundedPreceding, 0))
     down = F.first(F.when(F.col("e"), F.col("y")), True).over(col.rowsBetween(0, W.unboundedFollowing))
     g = n.withColumn("g", F.least(F.col("y") - up, down - F.col("y")))
-    row = W.partitionBy(*img, "label", "y")
-    pairs = F.collect_list(F.struct("x", "g")).over(row)
-    return g.withColumn("__row", pairs).select(
-        *img, "label", "y", "x",
-        F.array_min(F.transform("__row", lambda p: (p.x - F.col("x")) * (p.x - F.col("x")) + p.g * p.g)).cast("long").alias("dist2"),
-    )
+    rows = g.groupBy(*img, "label", "y").agg(F.sort_array(F.collect_list(F.struct("x", "g"))).alias("r"))
+
+    def lowest(at: list[int], high: list[int]) -> list[int]:
+        top, starts = [], []  # parabolas of the envelope and where each one begins to be lowest
+        for i, x in enumerate(at):
+            while top:
+                j = top[-1]
+                # first whole place where parabola i is lower than parabola j
+                s = ((x * x + high[i] ** 2) - (at[j] * at[j] + high[j] ** 2)) // (2 * (x - at[j])) + 1
+                if s > starts[-1]:
+                    break
+                top.pop()
+                starts.pop()
+            starts.append(s if top else at[0])
+            top.append(i)
+        out, k = [], 0
+        for x in at:
+            while k + 1 < len(top) and starts[k + 1] <= x:
+                k += 1
+            out.append((x - at[top[k]]) ** 2 + high[top[k]] ** 2)
+        return out
+
+    @F.pandas_udf("array<long>")
+    def envelopes(at: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([lowest(a.tolist(), h.tolist()) for a, h in zip(at, high)])
+
+    near = rows.select(*img, "label", "y", "r.x", envelopes(F.col("r.x"), F.col("r.g")).alias("dist2"))
+    return near.select(*img, "label", "y", F.inline(F.arrays_zip("x", "dist2")))
 
 
 def deepest_pixels(px: DataFrame, img: Sequence[str] = IMG) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
@@ -90,15 +91,40 @@ def unmatched(labels: DataFrame, matches: DataFrame, side: str, img: Sequence[st
     return join_on(labels.select(*img, "label").distinct(), m, [*img, "label"], "left_anti")
 
 
+def outline_distances(matches: DataFrame, runs_a: DataFrame, runs_b: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
+    """Matches with the Hausdorff distance between the outlines of both objects, for any number of objects."""
+    from cytomill.operators.masks import outline_pixels, run_pixels
+    from cytomill.operators.spatial import contour_distances
+
+    keys = [*img, "a_label", "b_label"]
+    matches = cut(matches)
+
+    def outline(runs: DataFrame, side: str) -> DataFrame:
+        px = outline_pixels(run_pixels(runs), img).withColumnRenamed("label", side)
+        px = join_on(px, matches.select(*keys), [*img, side])
+        return px.select(*keys, F.struct("y", "x").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    d = contour_distances(outline(runs_a, "a_label"), outline(runs_b, "b_label"), keys).select(*keys, "hausdorff")
+    return join_on(matches, d, keys, "left")
+
+
 def match_summary(matches: DataFrame, n_a: DataFrame, n_b: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
-    """Matched count, precision, recall, F1, mean IoU per image."""
-    m = matches.groupBy(*img).agg(F.count(F.lit(1)).alias("matched"), F.avg("iou").alias("mean_iou"))
+    """Matched count, precision, recall, F1, mean and median IoU per image; 0 without matches.
+
+    Matches that carry `hausdorff` (`outline_distances`) also give its mean, `mean_boundary_distance`.
+    """
+    means = {"iou": "mean_iou", "hausdorff": "mean_boundary_distance"}
+    means = {c: name for c, name in means.items() if c in matches.columns}
+    matches = cut(matches)  # read by the means and by the median
+    m = matches.groupBy(*img).agg(F.count(F.lit(1)).alias("matched"), *[F.avg(c).alias(name) for c, name in means.items()])
+    m = join_on(m, quantiles(matches, img, "iou", {"median_iou": 0.5}), img, "left")
     t = join_on(join_on(n_a, n_b, img, "left"), m, img, "left").fillna(0, ["n_b", "matched"])
     p = F.coalesce(F.col("matched") / F.nullif(F.col("n_b"), F.lit(0)), F.lit(0.0))
     r = F.coalesce(F.col("matched") / F.nullif(F.col("n_a"), F.lit(0)), F.lit(0.0))
     return t.select(
         *img, "n_a", "n_b", "matched", p.alias("precision"), r.alias("recall"),
-        F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"),
+        F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in (*means.values(), "median_iou")],
     )
 
 
@@ -168,44 +194,108 @@ def _by_component(pairs: DataFrame, img: Sequence[str]) -> DataFrame:
 
 
 def greedy_matches(pairs: DataFrame, threshold: float, img: Sequence[str] = IMG) -> DataFrame:
-    """Ascending left label takes its best still-free partner (first on ties) when IoU >= threshold."""
-    hit = pairs.where(F.col("iou") >= threshold).select(*img, "a_label", "b_label", "iou")
-    schema = hit.schema
+    """Ascending left label takes its best still-free partner (first on ties) when IoU >= threshold.
+
+    The sequence is run as rounds: every left label asks for the best partner it has left; a right label keeps the smallest
+    label that asks and will never take a larger one, so its pairs with larger labels go. When nothing goes any more, the pairs
+    asked for are those of the sequence. A round moves pairs only; window groups are the partners of one object.
+    """
+    edges, n = cut(pairs.where(F.col("iou") >= threshold).select(*img, "a_label", "b_label", "iou")), None
+    while True:
+        best = W.partitionBy(*img, "a_label").orderBy(F.desc("iou"), "b_label")
+        asked = edges.withColumn("__r", F.row_number().over(best))
+        kept = asked.where("__r = 1").groupBy(*img, "b_label").agg(F.min("a_label").alias("__a"))
+        left = join_on(asked, kept, [*img, "b_label"], "left").where("__a is null or a_label <= __a")
+        left = cut(left.select(*img, "a_label", "b_label", "iou", "__r"))
+        n, before = left.count(), edges.count() if n is None else n
+        if n == before:
+            return left.where("__r = 1").drop("__r")
+        edges = left.drop("__r")
+
+
+def _sparse_assignment(rows: np.ndarray, cols: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of a best one-to-one assignment; rows, cols are numbers from 0, rows ascending.
+
+    Shortest augmenting paths over the listed pairs only. Each row may also stay alone (a column of its own without gain), so a
+    search ends near where it starts and memory is that of the pairs.
+    """
+    n, m, top = int(rows[-1]) + 1, int(cols.max()) + 1, float(gain.max())
+    first = np.searchsorted(rows, np.arange(n + 1)).tolist()
+    cols, cost = cols.tolist(), (top - gain).tolist()
+    u, v, owner, via = [0.0] * n, [0.0] * (m + n), [-1] * (m + n), [-1] * (m + n)
+    for start in range(n):
+        dist, prev, pair, done, heap = {}, {}, {}, {}, []
+        row, col, base = start, -1, 0.0
+        while True:
+            offers = [(cols[k], cost[k], k) for k in range(first[row], first[row + 1])] + [(m + row, top, -1)]
+            for c, price, k in offers:
+                d = base + price - u[row] - v[c]
+                if c not in done and d < dist.get(c, math.inf):
+                    dist[c], prev[c], pair[c] = d, col, k
+                    heapq.heappush(heap, (d, c))
+            while heap[0][1] in done:
+                heapq.heappop(heap)
+            base, col = heapq.heappop(heap)
+            done[col] = base
+            if owner[col] < 0:
+                break
+            row = owner[col]
+        u[start] += base
+        for c, d in done.items():
+            if owner[c] >= 0:
+                u[owner[c]] += base - d
+            v[c] -= base - d
+        while col >= 0:
+            back = prev[col]
+            owner[col], via[col] = (owner[back] if back >= 0 else start), pair[col]
+            col = back
+    return np.array([k for c, k in enumerate(via) if c < m and owner[c] >= 0], dtype=np.int64)
+
+
+def _settled(pairs: DataFrame, img: Sequence[str]) -> DataFrame:
+    """Pairs that outweigh the best rivals on both their sides together, and so are in every best assignment.
+
+    Exchanging such a pair for one rival on either side always loses. Window groups are the partners of one object.
+    """
+    wa = W.partitionBy(*img, "a_label").orderBy(F.desc("iou"), "b_label")
+    wb = W.partitionBy(*img, "b_label").orderBy(F.desc("iou"), "a_label")
+    rival = lambda w: F.coalesce(F.lead("iou").over(w), F.lit(0.0))
+    p = pairs.withColumn("__ra", F.row_number().over(wa)).withColumn("__sa", rival(wa))
+    p = p.withColumn("__rb", F.row_number().over(wb)).withColumn("__sb", rival(wb))
+    return p.where("__ra = 1 and __rb = 1 and iou > __sa + __sb").select(*pairs.columns)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a_label", "iou", "b_label"], ascending=[True, False, True])
-        done, free, keep = set(), set(pdf["b_label"]), []
-        for i, a, b in zip(pdf.index, pdf["a_label"], pdf["b_label"]):
-            if a not in done and b in free:
-                done.add(a)
-                free.discard(b)
-                keep.append(i)
-        return pdf.loc[keep, schema.names]
 
-    return _by_component(hit, img).groupBy("component").applyInPandas(solve, schema)
+def _without(pairs: DataFrame, taken: DataFrame, img: Sequence[str]) -> DataFrame:
+    """Pairs both of whose labels are still free."""
+    for side in ("a_label", "b_label"):
+        pairs = join_on(pairs, taken.select(*img, side), [*img, side], "left_anti")
+    return pairs
 
 
 def assigned_pairs(pairs: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     """Best one-to-one assignment: most pairs with IoU >= 0.5 first, then the largest total IoU.
 
-    Pairs above one half are forced, so they are taken in SQL and only the rest, split into
-    components, is solved in Python.
+    Pairs above one half are forced. Of the rest, rounds of joins take every pair that is in all best assignments, which breaks
+    large components up; what then still depends on each other is solved per component over its listed pairs.
     """
     cols = [*img, "a_label", "b_label", "iou", "n_px"]
-    pairs = cut(pairs.select(*cols))
+    pairs = cut(pairs.select(*cols).where("n_px > 0"))
     sure = strict_matches(pairs, [0.5], img).select(*cols)
-    rest = join_on(pairs.select(*cols).where("n_px > 0"), sure.select(*img, "a_label"), [*img, "a_label"], "left_anti")
-    rest = join_on(rest, sure.select(*img, "b_label"), [*img, "b_label"], "left_anti")
+    rest = cut(_without(pairs, sure, img))
+    while True:
+        more = cut(_settled(rest, img))
+        if more.isEmpty():
+            break
+        sure, rest = sure.unionByName(more), cut(_without(rest, more, img))
     schema = rest.schema
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a_label", "b_label"])
-        a, b = np.unique(pdf["a_label"]), np.unique(pdf["b_label"])
-        w = np.zeros((len(a), len(b)))
-        w[np.searchsorted(a, pdf["a_label"]), np.searchsorted(b, pdf["b_label"])] = pdf["iou"]
-        chosen = pd.DataFrame([(a[r], b[c]) for r, c in assign_max(w)], columns=["a_label", "b_label"])
-        return pdf.merge(chosen, on=["a_label", "b_label"])[schema.names]
+        pdf = pdf.sort_values(["a_label", "b_label"]).reset_index(drop=True)
+        a, b = (np.unique(pdf[c], return_inverse=True)[1] for c in ("a_label", "b_label"))
+        return pdf.loc[np.sort(_sparse_assignment(a, b, pdf["iou"].to_numpy(float))), schema.names]
 
+    if rest.isEmpty():
+        return sure
     return sure.unionByName(_by_component(rest, img).groupBy("component").applyInPandas(solve, schema))
 
 

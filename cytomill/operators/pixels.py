@@ -251,6 +251,22 @@ def marker_profiles(px: DataFrame, markers: Sequence[str], img: Sequence[str] =
     return join_on(long, s, [*img, "marker"]).select(*keys, "marker", "value", F.coalesce(z, F.lit(0.0)).alias("z"))
 
 
+def compare_expression(px_a: DataFrame, px_b: DataFrame, matches: DataFrame, markers: Sequence[str], img: Sequence[str] = IMG) -> tuple[DataFrame, DataFrame]:
+    """(matched cells, markers): marker means of both objects of every match, and per image and marker the median absolute difference.
+
+    `px_a`, `px_b` are marker values per mask pixel of the two segmentations, `matches` the pairs (image, a_label, b_label, iou).
+    """
+    def means(px: DataFrame, side: str) -> DataFrame:
+        m = px.groupBy(*img, F.col("label").alias(f"{side}_label")).agg(*[F.avg(c).alias(c) for c in markers])
+        return m.unpivot([*img, f"{side}_label"], list(markers), "marker", side)
+
+    both = join_on(matches.select(*img, "a_label", "b_label", "iou"), means(px_a, "a"), [*img, "a_label"])
+    both = cut(join_on(both, means(px_b, "b"), [*img, "b_label", "marker"]).withColumn("abs_diff", F.abs(F.col("a") - F.col("b"))))
+    keys = [*img, "marker"]
+    per = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matched"))
+    return both, join_on(per, quantiles(both, keys, "abs_diff", {"median_abs_diff": 0.5}), keys, "left")
+
+
 def merge_tile_features(features: DataFrame, keys: Sequence[str], area: str, columns: Sequence[str]) -> DataFrame:
     """Area-weighted merge of per-tile features of one object; associative, so Spark combines it map-side."""
     w = F.sum(area)

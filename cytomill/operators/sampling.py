@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cytomill.operators import masks as mk
-from cytomill.operators.ordered import join_on, top_k
+from cytomill.operators.ordered import smallest, top_k
 
 IMG = ("image_id",)
 
@@ -23,7 +23,7 @@ def unit_hash(key: Column, seed: int) -> Column:
 
 def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int) -> DataFrame:
     """n rows without replacement with chance proportional to weight: smallest -ln(u) / w."""
-    return df.withColumn("priority", -F.log(unit_hash(F.col(key), seed)) / weight).orderBy("priority", key).limit(n)
+    return smallest(df.withColumn("priority", -F.log(unit_hash(F.col(key), seed)) / weight), ["priority", key], n)
 
 
 def capped_per_group(df: DataFrame, group: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
@@ -33,7 +33,8 @@ def capped_per_group(df: DataFrame, group: Sequence[str], key: str, n: int, seed
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    return df.withColumn("__u", unit_hash(F.col(key), seed)).orderBy("__u", key).limit(n).drop("__u")
+    """n hash-chosen rows."""
+    return smallest(df.withColumn("__u", unit_hash(F.col(key), seed)), ["__u", key], n).drop("__u")
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from cytomill.operators import cells as cl
 from cytomill.operators import masks as mk
+from cytomill.operators import matching as mt
 from cytomill.operators import pixels as px
 from cytomill.operators.ordered import join_on
-from cytomill.plans.regions import COARSE
+from cytomill.plans.regions import COARSE, RUNOV, pairs
 from cytomill.plans.registry import ORACLES, Tables, query, r, rnd, scorr
 from cytomill.plans.shapes import CHANNELS, EDGE, SIDE, TRUTH, intensity, runs
 
@@ -219,14 +220,27 @@ def _(t):
     return p.groupBy("class", "marker").agg(rnd(F.avg("z")).alias("mean_z"), F.count(F.lit(1)).alias("n"))
 
 
-@query("j18_compare_expression", f"""with {LONG}, t as (select image_id, label, channel as marker, avg(v) as a, avg(v) filter (y % 2 = 0) as b from lg group by 1, 2, 3)
-   select marker, {r('quantile_cont(abs(a - b), 0.5)')} as median_abs_diff from t where b is not null group by 1""")
+def _matched_means() -> str:
+    """SQL of the marker means of both objects of every match."""
+    def means(source: str, side: str) -> str:
+        return f"(select image_id, label as {side}_label, marker, avg(v) as {side} from (select image_id, label, unnest(['dna', 'actin']) as marker, unnest([dna, actin]) as v from {source}) group by 1, 2, 3)"
+
+    return f"""{RUNOV}, {CHANNELS}, {CHANNELS.replace('pc as', 'qc as').replace('from pt', 'from pp')}, mc as (select image_id, a_label, b_label, iou, marker, a, b, abs(a - b) as abs_diff
+      from iou join {means('pc', 'a')} using (image_id, a_label) join {means('qc', 'b')} using (image_id, b_label, marker) where iou >= 0.5)"""
+
+
+def _compared(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return px.compare_expression(pixels(t), intensity(mk.run_pixels(runs(t, "pred"))), mt.strict_matches(pairs(t), [0.5]), CH)
+
+
+@query("j18_matched_expression", f"with {_matched_means()} select image_id, a_label, b_label, marker, {', '.join(r(c) + ' as ' + c for c in ('iou', 'a', 'b', 'abs_diff'))} from mc")
+def _(t):
+    return _compared(t)[0].select("image_id", "a_label", "b_label", "marker", *[rnd(c).alias(c) for c in ("iou", "a", "b", "abs_diff")])
+
+
+@query("j18_compare_expression", f"with {_matched_means()} select image_id, marker, count(*) as n_matched, {r('quantile_cont(abs_diff, 0.5)')} as median_abs_diff from mc group by 1, 2")
 def _(t):
-    from cytomill.operators.ordered import quantiles
-    long = pixels(t).select("image_id", "label", "y", *CH).unpivot(["image_id", "label", "y"], CH, "marker", "v")
-    d = long.groupBy("image_id", "label", "marker").agg(F.avg("v").alias("a"), F.avg(F.when(F.col("y") % 2 == 0, F.col("v"))).alias("b"))
-    d = d.where("b is not null").withColumn("d", F.abs(F.col("a") - F.col("b")))
-    return quantiles(d, ["marker"], "d", {"median_abs_diff": 0.5}).withColumn("median_abs_diff", rnd("median_abs_diff"))
+    return _compared(t)[1].withColumn("median_abs_diff", rnd("median_abs_diff"))
 
 
 @query("a68_merge_tile_features", f"with {TRUTH}, {CHANNELS} select image_id, label, count(*) as area, {r('avg(dna)')} as dna, {r('avg(actin)')} as actin from pc group by 1, 2")

@@ -310,9 +310,15 @@ def _(t):
     return mt.strict_matches(pairs(t), [0.5]).select("image_id", "a_label", "b_label", rnd("iou").alias("iou"))
 
 
-@query("j08_greedy_matching_low")
+@query("j08_greedy_matching_low", f"""with recursive {ROWS}, aa as (select image_id, a_label, sum(n_px)::bigint as area_a from o group by 1, 2), ab as (select image_id, b_label, sum(n_px)::bigint as area_b from o group by 1, 2),
+   iou as (select image_id, a_label, b_label, n_px / (area_a + area_b - n_px) as iou from o join aa using (image_id, a_label) join ab using (image_id, b_label) where a_label <> 0 and b_label <> 0),
+   c as (select image_id, a_label, list(b_label order by iou desc, b_label) as bs, row_number() over (partition by image_id order by a_label) as k from iou where iou >= 0.1 group by 1, 2),
+   g as (select distinct image_id, 0::bigint as k, null::bigint as a_label, null::bigint as b_label, []::bigint[] as taken from c
+      union all select image_id, n.k, n.a_label, n.b_label, list_append(n.taken, n.b_label) from (select g.image_id, c.k, c.a_label, g.taken, list_filter(c.bs, lambda b: not list_contains(g.taken, b))[1] as b_label
+        from g join c on c.image_id = g.image_id and c.k = g.k + 1) n)
+   select image_id, a_label, b_label, {r('iou')} as iou from g join iou using (image_id, a_label, b_label)""")
 def _(t):
-    return mt.greedy_matches(ov.iou_pairs(row_overlap(t)), 0.1)
+    return mt.greedy_matches(ov.iou_pairs(row_overlap(t)), 0.1).withColumn("iou", rnd("iou"))
 
 
 @query("j09_mask_ious")
@@ -330,12 +336,28 @@ def _(t):
     return mt.unmatched(runs(t, "pred"), mt.strict_matches(pairs(t), [0.5]), "b_label")
 
 
-@query("j17_match_summary", f"""with {RUNOV}, m as (select image_id, count(*) as matched, avg(iou) as mi from iou where iou >= 0.5 group by 1)
+EDGE_P = EDGE.replace("nb as", "np as").replace(" from pt", " from pp").replace("from pt b", "from pp b")
+
+HAUSDORFF = EDGE + ", " + EDGE_P + """, mm as (select image_id, a_label, b_label, iou from iou where iou >= 0.5),
+ oo as (select mm.image_id, a_label, b_label, e.y as ey, e.x as ex, f.y as fy, f.x as fx, (e.y - f.y) * (e.y - f.y) + (e.x - f.x) * (e.x - f.x) as d2
+    from mm join nb e on e.image_id = mm.image_id and e.label = a_label and e.same4 < 4 join np f on f.image_id = mm.image_id and f.label = b_label and f.same4 < 4),
+ hd as (select image_id, a_label, b_label, sqrt(max(d)) as hausdorff from (select image_id, a_label, b_label, min(d2) as d from oo group by 1, 2, 3, ey, ex
+    union all select image_id, a_label, b_label, min(d2) as d from oo group by 1, 2, 3, fy, fx) group by 1, 2, 3)"""
+
+
+@query("j17_match_distances", f"with {RUNOV}, {HAUSDORFF} select mm.image_id, a_label, b_label, {r('iou')} as iou, {r('hausdorff')} as hausdorff from mm join hd using (image_id, a_label, b_label)")
+def _(t):
+    d = mt.outline_distances(mt.strict_matches(pairs(t), [0.5]), runs(t), runs(t, "pred"))
+    return d.select("image_id", "a_label", "b_label", rnd("iou").alias("iou"), rnd("hausdorff").alias("hausdorff"))
+
+
+@query("j17_match_summary", f"""with {RUNOV}, {HAUSDORFF}, m as (select image_id, count(*) as matched, avg(iou) as mi, quantile_cont(iou, 0.5) as md, avg(hausdorff) as mh from mm join hd using (image_id, a_label, b_label) group by 1)
    select image_id, n_true as n_a, n_pred as n_b, coalesce(matched, 0) as matched, {r('coalesce(matched, 0) / n_pred')} as precision, {r('coalesce(matched, 0) / n_true')} as recall,
-   {r('2 * coalesce(matched, 0) / (n_pred + n_true)')} as f1, {r('coalesce(mi, 0)')} as mean_iou from cnt left join m using (image_id)""")
+   {r('2 * coalesce(matched, 0) / (n_pred + n_true)')} as f1, {r('coalesce(mi, 0)')} as mean_iou, {r('coalesce(md, 0)')} as median_iou, {r('coalesce(mh, 0)')} as mean_boundary_distance from cnt left join m using (image_id)""")
 def _(t):
-    m = mt.match_summary(mt.strict_matches(pairs(t), [0.5]), mt.object_counts(runs(t), "n_a"), mt.object_counts(runs(t, "pred"), "n_b"))
-    return m.select("image_id", "n_a", "n_b", "matched", *[rnd(c).alias(c) for c in ("precision", "recall", "f1", "mean_iou")])
+    d = mt.outline_distances(mt.strict_matches(pairs(t), [0.5]), runs(t), runs(t, "pred"))
+    m = mt.match_summary(d, mt.object_counts(runs(t), "n_a"), mt.object_counts(runs(t, "pred"), "n_b"))
+    return m.select("image_id", "n_a", "n_b", "matched", *[rnd(c).alias(c) for c in ("precision", "recall", "f1", "mean_iou", "median_iou", "mean_boundary_distance")])
 
 
 def scores(t: Tables, thresholds=mt.STEPS) -> DataFrame:
@@ -389,7 +411,6 @@ def _(t):
     return mt.aggregated_jaccard(pairs(t), union)
 
 
-EDGE_P = EDGE.replace("nb as", "np as").replace(" from pt", " from pp").replace("from pt b", "from pp b")
 
 
 def _outline_counts(source: str) -> str:
