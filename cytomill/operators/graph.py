@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytomill.operators.ordered import ordinal
+from cytomill.operators.ordered import ordinal, unfolded
 from cytomill.session import cut
 
 
@@ -19,7 +19,7 @@ def _star(rows: DataFrame, own: bool) -> DataFrame:
     """
     least = rows.groupBy("u").agg(F.min("v").alias("m"))
     least = cut(least.withColumn("m", F.least("u", "m")) if own else least)
-    return rows.join(least, "u")
+    return rows.join(unfolded(least), "u")
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -49,7 +49,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     if nodes is None:
         nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
-    return nodes.select("node").join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.select("node").join(unfolded(stars), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _signature(e: DataFrame) -> tuple:
@@ -60,7 +60,7 @@ def merge_relabeling(edges: DataFrame, nodes: DataFrame, src: str = "src", dst:
     """(node, new_label): components of touching labels renumbered 1..N in ascending root id."""
     comp = components(edges, nodes, src, dst)
     roots = ordinal(comp.select("component").distinct(), [], "component", "new_label").drop("new_label_of")
-    return comp.join(roots, "component").select("node", "new_label")
+    return comp.join(unfolded(roots), "component").select("node", "new_label")
 
 
 def lineages(tracks: DataFrame, edges: DataFrame, track: str = "track_id", parent: str = "parent", child: str = "child") -> DataFrame:
@@ -99,4 +99,4 @@ def run_components(runs: DataFrame, img: Sequence[str] = ("image_id",), diagonal
         e = e.where(F.col("label") == F.col("l2"))
     e = e.select(F.col("rid").alias("src"), F.col("rid2").alias("dst")).distinct()
     comp = components(e, r.select(F.col("rid").alias("node")).distinct())
-    return r.join(comp.withColumnRenamed("node", "rid"), "rid").drop("rid")
+    return unfolded(r).join(comp.withColumnRenamed("node", "rid"), "rid").drop("rid")

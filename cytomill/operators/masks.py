@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cytomill.operators.ordered import join_on, ordinal
+from cytomill.operators.ordered import join_on, ordinal, unfolded
 
 IMG = ("image_id",)
 
 
 def run_pixels(runs: DataFrame) -> DataFrame:
     """Runs to one row per pixel; every other column is kept."""
-    return runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).drop("x0", "x1")
+    return unfolded(runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).drop("x0", "x1"))
 
 
 def pixel_runs(px: DataFrame, img: Sequence[str] = IMG) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cytomill.operators.ordered import join_on, quantiles
+from cytomill.operators.ordered import join_on, quantiles, unfolded
 from cytomill.session import cut
 
 IMG = ("image_id",)
@@ -268,7 +268,7 @@ def _settled(pairs: DataFrame, img: Sequence[str]) -> DataFrame:
 def _without(pairs: DataFrame, taken: DataFrame, img: Sequence[str]) -> DataFrame:
     """Pairs both of whose labels are still free."""
     for side in ("a_label", "b_label"):
-        pairs = join_on(pairs, taken.select(*img, side), [*img, side], "left_anti")
+        pairs = join_on(unfolded(pairs), taken.select(*img, side), [*img, side], "left_anti")
     return pairs
 
 

@@ -58,6 +58,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def unfolded(df: DataFrame) -> DataFrame:
+    """Marks rows that `explode` has made, or that were stored tightly packed.
+
+    The planner sizes them as the table (or the files) they come from, so it takes any number of them for small and collects
+    them in the driver for a broadcast. Joins with them, also after further steps on this one table, shuffle both sides instead.
+    """
+    return df.hint("merge")
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row table (totals, thresholds) to every row.
 

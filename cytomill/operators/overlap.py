@@ -8,14 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytomill.operators.ordered import join_on
+from cytomill.operators.ordered import join_on, unfolded
 
 IMG = ("image_id",)
 
 
 def _binned(runs: DataFrame, size: int, lo: str = "x0", hi: str = "x1") -> DataFrame:
     span = F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(hi) - 1) / size))
-    return runs.withColumn("__bx", F.explode(span))
+    return unfolded(runs.withColumn("__bx", F.explode(span)))
 
 
 def place_points(points: DataFrame, mode: str, height: Column | int, width: Column | int, y: str = "y", x: str = "x") -> DataFrame:
@@ -105,7 +105,7 @@ def box_pairs(boxes: DataFrame, img: Sequence[str] = IMG, size: int = 64) -> Dat
         b = boxes.select(*img, *[F.col(c).alias(f"{c}{tag}") for c in ("label", "y0", "x0", "y1", "x1")])
         by = F.sequence(F.floor(F.col(f"y0{tag}") / size), F.floor((F.col(f"y1{tag}") - 1) / size))
         bx = F.sequence(F.floor(F.col(f"x0{tag}") / size), F.floor((F.col(f"x1{tag}") - 1) / size))
-        return b.withColumn("__by", F.explode(by)).withColumn("__bx", F.explode(bx))
+        return unfolded(b.withColumn("__by", F.explode(by)).withColumn("__bx", F.explode(bx)))
 
     top, left = F.greatest("y0_i", "y0_j"), F.greatest("x0_i", "x0_j")
     bottom, right = F.least("y1_i", "y1_j"), F.least("x1_i", "x1_j")
@@ -122,7 +122,7 @@ def self_overlaps(runs: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     from cytomill.operators.masks import areas
 
     o = run_overlap(runs, runs, img).where(F.col("a_label") < F.col("b_label"))
-    a = areas(runs, img)
+    a = unfolded(areas(runs, img))
     p = iou_pairs(o, img, a.withColumnsRenamed({"label": "a_label", "area": "area_a"}), a.withColumnsRenamed({"label": "b_label", "area": "area_b"}))
     return p.withColumn("iomin", F.col("n_px") / F.least("area_a", "area_b")).withColumnsRenamed({"a_label": "i", "b_label": "j"})
 

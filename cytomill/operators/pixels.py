@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cytomill.operators.ordered import join_on, median_mad_columns, pearson, quantiles
+from cytomill.operators.ordered import join_on, median_mad_columns, pearson, quantiles, unfolded
 from cytomill.session import cut
 
 IMG = ("image_id",)
@@ -86,7 +86,7 @@ def box_pixels(runs: DataFrame, image: DataFrame, channels: Sequence[str], img:
     from cytomill.operators.masks import boxes
 
     b = boxes(runs, img).withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    return join_on(b.select(*img, "label", "y", "x"), image.select(*img, "y", "x", *channels), [*img, "y", "x"])
+    return join_on(unfolded(b.select(*img, "label", "y", "x")), image.select(*img, "y", "x", *channels), [*img, "y", "x"])
 
 
 def grey_levels(px: DataFrame, channel: str, levels: int = 256, box: DataFrame | None = None, img: Sequence[str] = IMG) -> DataFrame:
@@ -107,7 +107,7 @@ def cooccurrence(grey: DataFrame, distance: int = 8, img: Sequence[str] = IMG) -
     to = g.select(*keys, "g", F.inline(F.array(*[
         F.struct(F.lit(k).cast("long").alias("direction"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for k, (dy, dx) in enumerate(steps)
     ])))
-    j = to.withColumnRenamed("g", "i").join(g.withColumnRenamed("g", "j"), [*keys, "y", "x"])
+    j = unfolded(to).withColumnRenamed("g", "i").join(g.withColumnRenamed("g", "j"), [*keys, "y", "x"])
     orders = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
     both = j.select(*keys, "direction", F.inline(orders))
     return both.groupBy(*keys, "direction", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cytomill.operators import masks as mk
-from cytomill.operators.ordered import smallest, top_k
+from cytomill.operators.ordered import smallest, top_k, unfolded
 
 IMG = ("image_id",)
 
@@ -69,5 +69,5 @@ def negative_prompts(runs: DataFrame, n: int, margin: int, seed: int, img: Seque
     grown = mk.run_pixels(runs).select(*img, "label", F.inline(F.array(*[
         F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
     ]))).distinct()
-    free = near.join(grown, [*img, "label", "y", "x"], "left_anti")
+    free = unfolded(near).join(grown, [*img, "label", "y", "x"], "left_anti")
     return positive_prompts(free, n, seed, img)

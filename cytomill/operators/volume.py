@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from cytomill.operators import masks as mk
 from cytomill.operators.graph import components, merge_relabeling, run_components
-from cytomill.operators.ordered import join_on, ordinal
+from cytomill.operators.ordered import join_on, ordinal, unfolded
 from cytomill.operators.overlap import consecutive_overlap, run_overlap
 from cytomill.session import cut
 
@@ -39,7 +39,7 @@ def tile_pixels(px: DataFrame, tiles: DataFrame, tile: int, img: Sequence[str] =
     t = tiles.select(*img, "ty", "tx", grid.alias("__gy")).withColumn("__gx", F.explode(F.sequence(F.floor(F.col("tx") / tile), F.floor((F.col("tx") + tile - 1) / tile))))
     p = px.withColumn("__gy", F.floor(F.col("y") / tile)).withColumn("__gx", F.floor(F.col("x") / tile))
     inside = (F.col("y") >= F.col("ty")) & (F.col("y") < F.col("ty") + tile) & (F.col("x") >= F.col("tx")) & (F.col("x") < F.col("tx") + tile)
-    return p.join(t, [*img, "__gy", "__gx"]).where(inside).drop("__gy", "__gx")
+    return p.join(unfolded(t), [*img, "__gy", "__gx"]).where(inside).drop("__gy", "__gx")
 
 
 def average_tiles(tiled: DataFrame, value: str, tile: int, img: Sequence[str] = IMG, sigma: float = 7.5) -> DataFrame:
@@ -93,7 +93,7 @@ def block_grid(images: DataFrame, block: int, overlap: int, height: str = "heigh
 def foreground_blocks(blocks: DataFrame, runs: DataFrame, block: int, img: Sequence[str] = IMG) -> DataFrame:
     """Blocks that hold at least one foreground pixel in their core."""
     fg = runs.select(*img, F.floor(F.col("y") / block).alias("by"), F.explode(F.sequence(F.floor(F.col("x0") / block), F.floor((F.col("x1") - 1) / block))).alias("bx")).distinct()
-    return blocks.join(fg, [*img, "by", "bx"], "left_semi")
+    return blocks.join(unfolded(fg), [*img, "by", "bx"], "left_semi")
 
 
 def trim_halo(px: DataFrame, block: int) -> DataFrame:
@@ -112,7 +112,7 @@ def face_pairs(px: DataFrame, block: int, img: Sequence[str] = IMG, id: str = "g
         high = px.where(F.col(axis) % block == 0).select(*img, (F.col(axis) - 1).alias(axis), F.col(other), F.col(id).alias("dst"))
         if shrink:
             low, high = _shrink_face(low, img, axis, other, "src"), _shrink_face(high, img, axis, other, "dst")
-        e = low.join(high, [*img, axis, other]).select("src", "dst").distinct()
+        e = unfolded(low).join(high, [*img, axis, other]).select("src", "dst").distinct()
         out = e if out is None else out.union(e)
     return out.distinct()
 
@@ -180,7 +180,7 @@ def touching_faces(
             face = px.where(at & (F.col(axis) > 0 if name == "dst" else F.col(axis) < shape[axis] - 1)).select(*img, axis, *axes, F.col(id).alias(name))
             face = shrunk_face(face, block, shape, [*img, axis], axes, name) if shrink else face
             sides.append(face.withColumn(axis, F.col(axis) - 1) if name == "dst" else face)
-        e = sides[0].join(sides[1], [*img, axis, *axes]).select("src", "dst").distinct()
+        e = unfolded(sides[0]).join(sides[1], [*img, axis, *axes]).select("src", "dst").distinct()
         out = e if out is None else out.union(e)
     return out.distinct()
 
@@ -190,7 +190,7 @@ def merge_volume(
 ) -> DataFrame:
     """Block-local ids joined into whole objects over the faces of all axes, renumbered 1..N (column label)."""
     new = merge_relabeling(touching_faces(px, block, shape, img, id, shrink), px.select(F.col(id).alias("node")).distinct())
-    return px.join(new.withColumnRenamed("node", id), id).withColumnRenamed("new_label", "label")
+    return unfolded(px).join(new.withColumnRenamed("node", id), id).withColumnRenamed("new_label", "label")
 
 
 def volume_blocks(volumes: DataFrame, block: dict[str, int], overlap: int, shape: dict[str, int]) -> DataFrame:
@@ -206,7 +206,7 @@ def volume_blocks(volumes: DataFrame, block: dict[str, int], overlap: int, shape
 def occupied_blocks(blocks: DataFrame, px: DataFrame, block: dict[str, int], img: Sequence[str] = IMG) -> DataFrame:
     """Blocks whose core holds at least one foreground pixel."""
     index = [F.floor(F.col(a) / size).alias(f"b_{a}") for a, size in block.items()]
-    return blocks.join(px.select(*img, *index).distinct(), [*img, *[f"b_{a}" for a in block]], "left_semi")
+    return blocks.join(unfolded(px.select(*img, *index).distinct()), [*img, *[f"b_{a}" for a in block]], "left_semi")
 
 
 def trim_block_halo(px: DataFrame, block: dict[str, int]) -> DataFrame:
@@ -221,7 +221,7 @@ def merge_blocks(px: DataFrame, block: int, img: Sequence[str] = IMG, id: str =
     """Block-local ids joined into whole objects: components over touching faces, renumbered 1..N."""
     nodes = px.select(F.col(id).alias("node")).distinct()
     new = merge_relabeling(face_pairs(px, block, img, id), nodes)
-    return px.join(new.withColumnRenamed("node", id), id).withColumnRenamed("new_label", "label")
+    return unfolded(px).join(new.withColumnRenamed("node", id), id).withColumnRenamed("new_label", "label")
 
 
 def slice_node(volume: str = "volume", axis: str = "z", label: str = "label"):
@@ -308,7 +308,7 @@ def suppress(candidates: DataFrame, pairs: DataFrame, threshold: float, min_size
     p = join_on(join_on(pairs.where(F.col(overlap) > threshold), big.select(*img, F.col(id).alias("i")), [*img, "i"], "left_semi"),
                 big.select(*img, F.col(id).alias("j")), [*img, "j"], "left_semi")
     p = cut(p.select(key("i").alias("a"), key("j").alias("b")))
-    rows = big.select(key(id).alias("a"), F.col(score).alias("s"))
+    rows = unfolded(big).select(key(id).alias("a"), F.col(score).alias("s"))
     linked = p.union(p.select("b", "a")).groupBy("a").agg(F.collect_list(F.col("b.label")).alias("near"))
     comp = components(p, None, "a", "b").withColumnRenamed("node", "a")
     work = rows.join(linked, "a").join(comp, "a").select("component", "s", "near", F.col("a.label").alias("lab"), *[F.col(f"a.{c}") for c in img])
@@ -331,14 +331,14 @@ def suppress(candidates: DataFrame, pairs: DataFrame, threshold: float, min_size
 def paint_masks(runs: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     """Candidates to one label image: the largest candidate owns a shared pixel (smaller label on ties)."""
     a = mk.areas(runs, img)
-    px = mk.run_pixels(join_on(runs, a, [*img, "label"]))
+    px = mk.run_pixels(join_on(unfolded(runs), a, [*img, "label"]))
     return px.groupBy(*img, "y", "x").agg(F.max_by("label", F.struct(F.col("area"), -F.col("label"))).alias("label"))
 
 
 def drop_covered(runs: DataFrame, share: float = 0.75, img: Sequence[str] = IMG) -> DataFrame:
     """Masks without those covered by others for at least `share`, checked by ascending size with counts
     updated after every drop; runs per group of masks that touch each other."""
-    runs = cut(runs)
+    runs = unfolded(cut(runs))
     o = run_overlap(runs, runs, img).where(F.col("a_label") < F.col("b_label"))
     key = lambda c: F.xxhash64(*img, F.col(c))
     comp = components(o.select(key("a_label").alias("src"), key("b_label").alias("dst"))).withColumnRenamed("node", "m")
@@ -391,6 +391,7 @@ def fill_holes(runs: DataFrame, min_size: int = 15, img: Sequence[str] = IMG) ->
         F.struct(F.when(first, F.col("bx0") - 1).alias("g0"), F.when(first, F.col("x0")).alias("g1")),
         F.struct(F.col("x1").alias("g0"), F.coalesce(F.lead("x0").over(w), F.col("bx1") + 1).alias("g1")),
     )).select(*keys, "y", F.inline("pieces")).where("g0 is not null and g0 < g1")
+    runs, b = unfolded(runs), unfolded(b)
     rows = b.select(*keys, F.explode(F.array(F.col("y0") - 1, F.col("y1"))).alias("y"), (F.col("x0") - 1).alias("g0"), (F.col("x1") + 1).alias("g1"))
     full = b.select(*keys, F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), (F.col("x0") - 1).alias("g0"), (F.col("x1") + 1).alias("g1"))
     empty = join_on(full, runs.select(*keys, "y").distinct(), [*keys, "y"], "left_anti")

@@ -10,7 +10,7 @@ from cytomill.operators import cells as cl
 from cytomill.operators import masks as mk
 from cytomill.operators import matching as mt
 from cytomill.operators import overlap as ov
-from cytomill.operators.ordered import join_on
+from cytomill.operators.ordered import join_on, unfolded
 from cytomill.plans.registry import Tables, query, r, rnd
 from cytomill.plans.shapes import EDGE, PRED, SIDE, TRUTH, runs
 
@@ -457,7 +457,7 @@ CAND = TRUTH + ", " + PRED + """, cr as (select image_id, y, x0, x1, label from
 
 
 def candidates(t: Tables) -> DataFrame:
-    return runs(t).unionByName(runs(t, "pred").withColumn("label", F.col("label") + 1000))
+    return unfolded(runs(t).unionByName(runs(t, "pred").withColumn("label", F.col("label") + 1000)))  # a union drops the marks of its parts
 
 
 @query("j22_box_overlaps", f"""with {CAND} select a.image_id, a.label as i, b.label as j, (least(a.y1, b.y1) - greatest(a.y0, b.y0)) * (least(a.x1, b.x1) - greatest(a.x0, b.x0)) as box_overlap

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytomill.operators.ordered import unfolded
 from cytomill.plans.registry import Tables
 
 SIDE = 256
@@ -33,7 +34,8 @@ def _object_rows(t: Tables, method: str) -> DataFrame:
 def runs(t: Tables, method: str = "truth") -> DataFrame:
     """mask_run(image_id, y, x0, x1, label): each third row is one or two pixels shorter."""
     o = _object_rows(t, method)
-    return o.select("image_id", "label", "x0", "y0", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("j")).select(
+    rows = o.select("image_id", "label", "x0", "y0", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("j"))
+    return unfolded(rows).select(
         "image_id", (F.col("y0") + F.col("j")).alias("y"), "x0", (F.col("x0") + F.col("w") - F.col("j") % 3).alias("x1"), "label"
     )
 
