@@ -185,14 +185,45 @@ def _weighted_quantiles(counts: DataFrame, probs: dict[str, float], bits: int) -
     )
 
 
-def median_mad_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None = None, bits: int = 8) -> DataFrame:
+def _middle(a: Column) -> Column:
+    """Median of a sorted array, interpolated as in `quantiles`."""
+    at = (F.size(a) - 1) * F.lit(0.5)
+    lo, hi = F.element_at(a, (F.floor(at) + 1).cast("int")), F.element_at(a, (F.ceil(at) + 1).cast("int"))
+    return lo + (hi - lo) * (at - F.floor(at))
+
+
+def _small_median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None) -> DataFrame:
+    """`median_mad_columns` of groups that fit an array each: every row is moved once."""
+    held = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.sort_array(F.collect_list(finite(F.col(c)))).alias(f"__a{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__a{i}").alias("__a")) for i, c in enumerate(columns)])
+    long = held.select(*keys, "__n", F.inline(rows)).where(F.size("__a") > 0).withColumn("median", _middle(F.col("__a")))
+    long = long.withColumn("__d", F.sort_array(F.transform("__a", lambda v: F.abs(v - F.col("median")))))
+    return long.select(*keys, "feature", "median", _middle(F.col("__d")).alias("mad"), *([F.col("__n").alias(count)] if count else []))
+
+
+def median_mad_columns(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None = None, bits: int = 8, most: int = 100_000
+) -> DataFrame:
     """(keys, feature, median, mad) of the finite values of several columns at once; `count` adds the rows per group.
 
-    The rows are read once, into counts per value; deviations from the median come from the same counts.
+    Groups of at most `most` rows are gathered and sorted as arrays. Larger ones, found by a count of the rows beforehand, go
+    through counts per value and buckets, so that no task holds them. Both give the same numbers.
     """
     keys = list(keys)
+    if not keys:
+        return _large_median_mad(df, keys, columns, count, bits)
+    large = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).drop("__n"))
+    if large.isEmpty():
+        return _small_median_mad(df, keys, columns, count)
+    small = _small_median_mad(join_on(df, large, keys, "left_anti", null_safe=True), keys, columns, count)
+    return small.unionByName(_large_median_mad(join_on(df, large, keys, "left_semi", null_safe=True), keys, columns, count, bits))
+
+
+def _large_median_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None, bits: int) -> DataFrame:
+    """`median_mad_columns` from counts per value; deviations from the median come from the same counts, which are stored once."""
+    keys = list(keys)
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, list(columns), "feature", "__x")
-    counts = _finite_counts(long, [*keys, "feature"], "__x")
+    counts = cut(_finite_counts(long, [*keys, "feature"], "__x"))
     med = _weighted_quantiles(counts, {"median": 0.5}, bits)
     dev = counts.join(med, KEY).select(KEY, F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n")
     both = med.join(_weighted_quantiles(dev, {"mad": 0.5}, bits), KEY)
