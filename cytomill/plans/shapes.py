@@ -16,7 +16,8 @@ SIDE = 256
 
 
 def _object_rows(t: Tables, method: str) -> DataFrame:
-    p = t.part
+    # a small file is one split, whose task alone would draw all pixels; a given number is not merged again
+    p = t.part.repartition(4 * t.spark.sparkContext.defaultParallelism, "p_partkey")
     k, s = F.col("p_partkey"), F.col("p_size")
     slot = k % 256
     gx, gy = slot % 16, F.floor(slot / 16)

@@ -8,6 +8,8 @@ from cytomill.operators import overlap as ov
 from cytomill.operators import pixels as px
 from cytomill.operators import volume as vo
 from cytomill.operators.ordered import join_on
+from cytomill.plans.registry import Tables
+from cytomill.plans.shapes import runs
 
 
 def _broadcasts(df) -> int:
@@ -41,3 +43,8 @@ def test_components_of_stored_rounds_shuffle(spark):
     e = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert _broadcasts(gr.components(e)) == 0
     assert _broadcasts(gr.run_components(_runs(spark))) == 0
+
+
+def test_masks_are_drawn_by_many_tasks(spark):
+    px = mk.run_pixels(runs(Tables(spark, "/root/testdata/sf0.01")))
+    assert px.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
