@@ -16,6 +16,7 @@ from cytomill.operators.overlap import consecutive_overlap, run_overlap
 from cytomill.session import cut
 
 IMG = ("image_id",)
+CELL = ("__gy", "__gx")
 
 
 def tile_starts(length, tile: int, overlap: float):
@@ -33,13 +34,20 @@ def make_tiles(images: DataFrame, tile: int, overlap: float = 0.1, height: str =
     return t.withColumn("tile", F.struct("ty", "tx"))
 
 
-def tile_pixels(px: DataFrame, tiles: DataFrame, tile: int, img: Sequence[str] = IMG) -> DataFrame:
-    """Pixels copied into every tile that covers them; equi join on a coarse grid, then the exact test."""
+def tile_pixels(px: DataFrame, tiles: DataFrame, tile: int, img: Sequence[str] = IMG, cells: bool = False, per_task: int = 256) -> DataFrame:
+    """Pixels copied into every tile that covers them; equi join on a coarse grid, then the exact test.
+
+    The pixels are dealt by cell into so many partitions that each has about `per_task` tiles, so a task's share does not grow with the table.
+    `cells` keeps the grid cell (CELL), by which the copies stay partitioned.
+    """
     grid = F.explode(F.sequence(F.floor(F.col("ty") / tile), F.floor((F.col("ty") + tile - 1) / tile)))
     t = tiles.select(*img, "ty", "tx", grid.alias("__gy")).withColumn("__gx", F.explode(F.sequence(F.floor(F.col("tx") / tile), F.floor((F.col("tx") + tile - 1) / tile))))
     p = px.withColumn("__gy", F.floor(F.col("y") / tile)).withColumn("__gx", F.floor(F.col("x") / tile))
     inside = (F.col("y") >= F.col("ty")) & (F.col("y") < F.col("ty") + tile) & (F.col("x") >= F.col("tx")) & (F.col("x") < F.col("tx") + tile)
-    return p.join(unfolded(t), [*img, "__gy", "__gx"]).where(inside).drop("__gy", "__gx")
+    keys = [*img, *CELL]
+    n = max(px.sparkSession.sparkContext.defaultParallelism, -(-tiles.count() // per_task))  # a given number is not merged again
+    out = p.repartition(n, *keys).join(unfolded(t), keys).where(inside)
+    return out if cells else out.drop(*CELL)
 
 
 def average_tiles(tiled: DataFrame, value: str, tile: int, img: Sequence[str] = IMG, sigma: float = 7.5) -> DataFrame:
@@ -50,7 +58,8 @@ def average_tiles(tiled: DataFrame, value: str, tile: int, img: Sequence[str] =
         return 1.0 / (1.0 + F.exp((centre - (tile / 2.0 - 20.0)) / sigma))
 
     w = taper(F.col("y"), F.col("ty")) * taper(F.col("x"), F.col("tx"))
-    return tiled.withColumn("__w", w).groupBy(*img, "y", "x").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias(value))
+    cell = [c for c in CELL if c in tiled.columns]  # a pixel has one cell, so the copies are not moved again
+    return tiled.withColumn("__w", w).groupBy(*img, *cell, "y", "x").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias(value)).drop(*cell)
 
 
 def merge_tile_labels(tiles: DataFrame, img: Sequence[str] = IMG) -> DataFrame:

@@ -32,7 +32,7 @@ def _(t):
 @query("g02_average_tiles", f"""with {TILES}, {CHANNELS}, tp as (select pc.image_id, y, x, ty, tx, dna + tx as v, 1 / (1 + exp((abs(y - ty - 47.5) - 28) / 7.5)) * (1 / (1 + exp((abs(x - tx - 47.5) - 28) / 7.5))) as w from pc join tl on pc.image_id = tl.image_id
    and y >= ty and y < ty + 96 and x >= tx and x < tx + 96) select image_id, y, x, {r('sum(v * w) / sum(w)')} as v from tp group by 1, 2, 3""")
 def _(t):
-    tp = vo.tile_pixels(intensity(mk.run_pixels(runs(t))), vo.make_tiles(images(t), 96), 96).withColumn("v", F.col("dna") + F.col("tx"))
+    tp = vo.tile_pixels(intensity(mk.run_pixels(runs(t))), vo.make_tiles(images(t), 96), 96, cells=True).withColumn("v", F.col("dna") + F.col("tx"))
     return vo.average_tiles(tp, "v", 96).withColumn("v", rnd("v"))
 
 

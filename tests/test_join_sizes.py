@@ -48,3 +48,16 @@ def test_components_of_stored_rounds_shuffle(spark):
 def test_masks_are_drawn_by_many_tasks(spark):
     px = mk.run_pixels(runs(Tables(spark, "/root/testdata/sf0.01")))
     assert px.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_tiles_are_blended_in_tasks_of_bounded_size(spark):
+    images = spark.range(12).select(F.col("id").alias("image_id"), F.lit(40).alias("height"), F.lit(40).alias("width"))
+    px = mk.run_pixels(_runs(spark).drop("image_id").crossJoin(images.select("image_id"))).withColumn("v", F.col("x").cast("double"))
+    tiles = vo.make_tiles(images, 8)
+    whole = vo.average_tiles(vo.tile_pixels(px, tiles, 8), "v", 8)
+    parts = vo.average_tiles(vo.tile_pixels(px, tiles, 8, cells=True, per_task=6), "v", 8)
+    key = lambda d: sorted((r.image_id, r.y, r.x, round(r.v, 9)) for r in d.collect())
+    assert key(parts) == key(whole)
+    assert parts.rdd.getNumPartitions() == -(-tiles.count() // 6)
+    plan = parts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(") == 2  # pixels and tiles once each
