@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -179,8 +180,10 @@ def touching_faces(
 
     `block` and `shape` give the size of blocks and image along each axis column, e.g. {"z": 8, "y": 64, "x": 64}; ids are whole
     numbers over 0. With `shrink`, as published, labels are first shrunk within each face (`shrunk_face`), so that objects that only graze each
-    other across a border stay apart. Only face pixels are shuffled.
+    other across a border stay apart. Only face pixels are shuffled; they are stored once for the faces of all axes.
     """
+    faces = [((F.col(c) + 1) % size == 0) | (F.col(c) % size == 0) for c, size in block.items()]
+    px = cut(px.where(reduce(lambda a, b: a | b, faces)).select(*img, *block, id))
     out = None
     for axis in block:
         axes = [c for c in block if c != axis]

@@ -103,7 +103,7 @@ SOLID = TRUTH + """, zp as (select pt.image_id, unnest(range(p_size % 5 + 1, p_s
 
 def solids(t: Tables) -> DataFrame:
     size = t.part.select(F.floor(F.col("p_partkey") / 256).cast("long").alias("image_id"), (F.col("p_partkey") % 256 + 1).cast("long").alias("label"), "p_size")
-    px = mk.run_pixels(runs(t)).join(size, ["image_id", "label"])
+    px = mk.run_pixels(runs(t).join(size, ["image_id", "label"]))
     s = F.col("p_size")
     px = px.withColumn("z", F.explode(F.sequence((s % 5 + 1).cast("long"), (s % 5 + 3 + s % 13).cast("long")))).drop("p_size")
     block = F.col("image_id") * 363 + F.floor(F.col("z") / 8) * 121 + F.floor(F.col("y") / 24) * 11 + F.floor(F.col("x") / 24)

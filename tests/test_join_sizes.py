@@ -61,3 +61,9 @@ def test_tiles_are_blended_in_tasks_of_bounded_size(spark):
     assert parts.rdd.getNumPartitions() == -(-tiles.count() // 6)
     plan = parts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(") == 2  # pixels and tiles once each
+
+
+def test_faces_of_all_axes_read_the_pixels_once(spark):
+    px = mk.run_pixels(_runs(spark)).withColumn("gid", F.col("label") + 1)
+    met = vo.touching_faces(px, {"y": 4, "x": 4}, {"y": 40, "x": 40})
+    assert "Range" not in met._jdf.queryExecution().optimizedPlan().toString()
