@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType
 
 from cytomill.operators import masks as mk
 from cytomill.operators.graph import components, merge_relabeling, run_components
@@ -347,30 +349,43 @@ def paint_masks(runs: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
     return px.groupBy(*img, "y", "x").agg(F.max_by("label", F.struct(F.col("area"), -F.col("label"))).alias("label"))
 
 
+def _covered(label: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, share: float) -> np.ndarray:
+    """Labels to drop among the runs of masks that touch each other, by ascending size, then label."""
+    ids, which = np.unique(label, return_inverse=True)
+    n = np.maximum(x1 - x0, 0)
+    run = np.repeat(np.arange(len(n)), n)
+    x = x0[run] - x0.min() + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    width = int(x1.max() - x0.min())
+    place = np.unique(which[run] * (width * int(y.max() - y.min() + 1)) + (y[run] - y.min()) * width + x)
+    mask, place = np.divmod(place, width * int(y.max() - y.min() + 1))
+    _, at = np.unique(place, return_inverse=True)
+    cover = np.bincount(at)
+    ends = np.searchsorted(mask, np.arange(len(ids) + 1))
+    dropped = []
+    for i in np.argsort(np.diff(ends), kind="stable").tolist():
+        spots = at[ends[i] : ends[i + 1]]
+        if len(spots) and (cover[spots] > 1).mean() >= share:
+            cover[spots] -= 1
+            dropped.append(i)
+    return ids[dropped]
+
+
 def drop_covered(runs: DataFrame, share: float = 0.75, img: Sequence[str] = IMG) -> DataFrame:
     """Masks without those covered by others for at least `share`, checked by ascending size with counts
-    updated after every drop; runs per group of masks that touch each other."""
+    updated after every drop; the runs of masks that touch each other meet as arrays in one row."""
     runs = unfolded(cut(runs))
     o = run_overlap(runs, runs, img).where(F.col("a_label") < F.col("b_label"))
-    key = lambda c: F.xxhash64(*img, F.col(c))
-    comp = components(o.select(key("a_label").alias("src"), key("b_label").alias("dst"))).withColumnRenamed("node", "m")
-    px = mk.run_pixels(runs).withColumn("m", key("label")).join(comp, "m")
-    px = px.select("component", "m", "label", (F.col("y").cast("long") * (1 << 31) + F.col("x")).alias("p"))
+    key = lambda c: F.struct(*img, F.col(c).alias("label"))
+    comp = unfolded(components(o.select(key("a_label").alias("src"), key("b_label").alias("dst"))).select("node.*", "component"))
+    met = join_on(runs, comp, [*img, "label"]).groupBy(*img, "component").agg(F.collect_list(F.struct("label", "y", "x0", "x1")).alias("r"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cover = pdf["p"].value_counts()
-        dropped = []
-        size = pdf.groupby(["m", "label"]).size().reset_index(name="s").sort_values(["s", "label"])
-        spots = {m: g.to_numpy() for m, g in pdf.groupby("m")["p"]}
-        for m in size["m"]:
-            c = cover.loc[spots[m]]
-            if (c > 1).mean() >= share:
-                cover.loc[spots[m]] = c - 1
-                dropped.append(m)
-        return pd.DataFrame({"m": dropped}, dtype="int64")
-
-    bad = px.groupBy("component").applyInPandas(solve, "m long")
-    return runs.withColumn("m", key("label")).join(bad, "m", "left_anti").drop("m")
+    @F.pandas_udf(ArrayType(runs.schema["label"].dataType))
+    def solve(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for label, *places in parts:
+            yield pd.Series([_covered(k, *(p.astype(np.int64) for p in c), share) for k, *c in zip(label, *places, strict=True)], dtype=object)
+
+    bad = met.select(*img, F.explode(solve("r.label", "r.y", "r.x0", "r.x1")).alias("label"))
+    return join_on(runs, bad, [*img, "label"], "left_anti")
 
 
 def nearest_median(runs: DataFrame, img: Sequence[str] = IMG) -> DataFrame:

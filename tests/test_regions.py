@@ -177,6 +177,13 @@ def test_covered_masks_drop_in_size_order(spark):
     assert sorted({r["label"] for r in vo.drop_covered(c).collect()}) == [1, 3]
 
 
+def test_covered_masks_count_their_own_pixels_once(spark):
+    twice = rect(0, 1, 0, 0, 4, 4)
+    c = frame(spark, twice, twice, rect(0, 2, 3, 3, 9, 9))  # one pixel of mask 1 is covered by another mask
+    assert {r["label"] for r in vo.drop_covered(c).collect()} == {1, 2}
+    assert "InPandas" not in vo.drop_covered(c)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rasterize_overwrites_and_clips(spark):
     v = [(0, "a", 0, 1.0, 1.0), (0, "a", 1, 6.0, 1.0), (0, "a", 2, 6.0, 5.0), (0, "a", 3, 1.0, 5.0),
          (0, "b", 4, 4.0, 3.0), (0, "b", 5, 20.0, 3.0), (0, "b", 6, 20.0, 9.0), (0, "b", 7, 4.0, 9.0)]
