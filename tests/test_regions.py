@@ -172,6 +172,14 @@ def test_suppression_is_greedy_by_score(spark):
     assert sorted(r["label"] for r in vo.suppress(low, ov.self_overlaps(c), 0.5, 10).collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("exactly_one", [True, False])
+def test_boundary_scores_do_not_depend_on_blocks(spark, exactly_one):
+    truth = mk.run_pixels(frame(spark, rect(0, 1, 0, 0, 9, 8), rect(0, 2, 14, 11, 12, 20)))
+    pred = mk.run_pixels(frame(spark, rect(0, 1, 1, 2, 9, 8), rect(0, 2, 12, 9, 12, 21)))
+    score = lambda block: [tuple(r) for r in mt.boundary_scores(truth, pred, [0.1, 0.6], 27, 33, exactly_one, block=block).orderBy("scale").collect()]
+    assert len(score(256)) == 2 and score(8) == score(256)
+
+
 def test_covered_masks_drop_in_size_order(spark):
     c = frame(spark, rect(0, 1, 0, 0, 10, 10), rect(0, 2, 1, 1, 3, 3), rect(0, 3, 8, 8, 6, 6))
     assert sorted({r["label"] for r in vo.drop_covered(c).collect()}) == [1, 3]
