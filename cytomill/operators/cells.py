@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cytomill.operators import pixels
 from cytomill.operators.masks import areas, outline_pixels, run_pixels
-from cytomill.operators.ordered import join_on
+from cytomill.operators.ordered import join_on, unfolded
+from cytomill.session import cut
 
 IMG = ("image_id",)
 #: Length of a boundary pixel by its (straight, diagonal) boundary neighbours; other patterns count nothing.
@@ -209,10 +210,11 @@ def field_features(
 
     `runs` is the mask (image, y, x0, x1, label), `image` the pixels (image, y, x, channels) of whole images, background too. Texture
     is taken at every distance of `scales` in every channel, granularity in the nucleus channel only. The families are
-    computed per object and meet in joins on (image, label), rows of one object each; pixels are joined once.
+    computed per object and meet in joins on (image, label), rows of one object each; the object pixels are joined with the image and stored once.
     """
     keys = [*img, "label"]
     inside = join_on(run_pixels(runs.select(*img, "y", "x0", "x1", "label")), image.select(*img, "y", "x", *channels), [*img, "y", "x"])
+    inside = unfolded(cut(inside))  # every family reads it
     shape = shape_features(runs, img)
     out = shape.select(
         *keys, *[F.col(c).alias(f"Cell_AreaShape_{title}") for c, title in SHAPE.items()],
@@ -223,7 +225,7 @@ def field_features(
         _wide(_edges(inside, channels, img), keys, "channel", channels, EDGE, "Cell_Intensity_{}_{}"),
         _wide(pixels.intensity_quantiles(inside, channels, img), keys, "channel", channels, QUANTILES, "Cell_Intensity_{}_{}"),
     ]
-    box = pixels.box_pixels(runs, image, channels, img)
+    box = unfolded(cut(pixels.box_pixels(runs, image, channels, img)))
     sizes = areas(runs, img)
     for c in channels:
         grey = pixels.grey_levels(inside, c, box=box, img=img)

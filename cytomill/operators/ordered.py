@@ -67,6 +67,14 @@ def unfolded(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Deals few rows that are about to be exploded over four tasks a core; a given number is not merged again, however small the rows.
+
+    By a hash of the keys: a repartition by the keys themselves is left out where an aggregate has just dealt the same number.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*keys))
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row table (totals, thresholds) to every row.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cytomill.operators.ordered import join_on, median_mad_columns, pearson, quantiles, unfolded
+from cytomill.operators.ordered import join_on, median_mad_columns, pearson, quantiles, spread, unfolded
 from cytomill.session import cut
 
 IMG = ("image_id",)
@@ -85,7 +85,7 @@ def box_pixels(runs: DataFrame, image: DataFrame, channels: Sequence[str], img:
     """(image, label, y, x, channels) for every image pixel inside the bounding box of an object, whatever it belongs to."""
     from cytomill.operators.masks import boxes
 
-    b = boxes(runs, img).withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    b = spread(boxes(runs, img), img).withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
     return join_on(unfolded(b.select(*img, "label", "y", "x")), image.select(*img, "y", "x", *channels), [*img, "y", "x"])
 
 
@@ -193,11 +193,13 @@ def grey_openings(px: DataFrame, value: str, sizes: dict[str, int], img: Sequenc
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy() - (key[-2] * block - halo), pdf["x"].to_numpy() - (key[-1] * block - halo)
+        own = (y >= halo) & (y < halo + block) & (x >= halo) & (x < halo + block)
+        out = pdf.loc[own, kept].copy()
+        if not len(out):  # a block beyond the border, reached by halos only
+            return out.reindex(columns=[*kept, *sizes])
         a = np.full((block + 2 * halo,) * 2, np.nan)
         there = np.zeros(a.shape, bool)
         a[y, x], there[y, x] = pdf[value].to_numpy(float), True
-        own = (y >= halo) & (y < halo + block) & (x >= halo) & (x < halo + block)
-        out = pdf.loc[own, kept].copy()
         for name, size in sizes.items():
             out[name] = _opened(a, there, (size - 1) // 2)[y[own], x[own]]
         return out

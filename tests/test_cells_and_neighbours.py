@@ -87,6 +87,20 @@ def test_perimeter_is_the_same_in_strips():
     assert cells._perimeter(y, a, b, 1) == pytest.approx(cells._perimeter(y, a, b))
 
 
+def test_openings_skip_blocks_beyond_the_border(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    opened = pixels._opened
+
+    def counted(*args):
+        seen.add(1)
+        return opened(*args)
+
+    monkeypatch.setattr(pixels, "_opened", counted)
+    px = spark.createDataFrame([(1, y, x, float(y * x)) for y in range(8) for x in range(8)], "image_id long, y long, x long, v double")
+    assert len(pixels.grey_openings(px, "v", {"three": 3}, block=8).collect()) == 64
+    assert seen.value == 1  # the eight blocks around the image hold copies of its border only
+
+
 @pytest.mark.parametrize("block", [8, 64])
 def test_openings_do_not_depend_on_blocks(spark, block):
     rng = np.random.default_rng(6)

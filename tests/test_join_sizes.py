@@ -7,7 +7,7 @@ from cytomill.operators import masks as mk
 from cytomill.operators import overlap as ov
 from cytomill.operators import pixels as px
 from cytomill.operators import volume as vo
-from cytomill.operators.ordered import join_on
+from cytomill.operators.ordered import join_on, spread
 from cytomill.plans.registry import Tables
 from cytomill.plans.shapes import runs
 
@@ -67,3 +67,17 @@ def test_faces_of_all_axes_read_the_pixels_once(spark):
     px = mk.run_pixels(_runs(spark)).withColumn("gid", F.col("label") + 1)
     met = vo.touching_faces(px, {"y": 4, "x": 4}, {"y": 40, "x": 40})
     assert "Range" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_rows_are_exploded_by_many_tasks(spark):
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        images = spark.range(2000).select((F.col("id") % 400).alias("image_id")).distinct()
+        assert spread(images, ["image_id"]).groupBy(F.spark_partition_id()).count().count() == tasks
+        many = _runs(spark).withColumn("image_id", F.col("label") % 5)
+        image = mk.run_pixels(many).withColumn("dna", F.lit(1.0))
+        assert "REPARTITION_BY_NUM" in px.box_pixels(many, image, ["dna"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
