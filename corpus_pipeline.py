@@ -41,9 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the passages that benchmark windows cover; rows of which no word remains go."""
+    """All rows, without the passages that benchmark windows cover; rows of which no word remains go.
+
+    The hits are written before texts are cut, so that no task holds two Python workers.
+    """
     packed = _packed(docs).withColumn("text", F.col("row.text"))
-    hits = decontaminate.with_hits(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = decontaminate.with_hits(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
+    hits = settle(hits).withColumn("text", F.col("row.text"))
     covered = F.aggregate(F.col("hits.spans"), F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     some = hits.where((covered == 0) | (covered < F.col("hits.n_words")))
     return _with_text(decontaminate.remove_hits(some), F.col("text"))
@@ -59,10 +63,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_pieces, lossless): sampled piece ids of each text and whether they decode to it."""
     vocabulary = pieces.Pieces(queries.PIECE_MODEL)
-    d = docs.select("doc_id", "text")
-    d = d.withColumn("ids", pieces.encode(spark, F.col("doc_id"), F.col("text"), vocabulary))
-    d = d.withColumn("decoded", pieces.decode(spark, F.col("ids"), vocabulary))
-    return d.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    d = docs.select("doc_id", pieces.encode_checked(spark, F.col("doc_id"), F.col("text"), vocabulary).alias("sample"))
+    return d.select("doc_id", "sample.ids", F.size("sample.ids").cast("long").alias("n_pieces"), "sample.lossless")
 
 
 STAGES = [

@@ -288,6 +288,16 @@ def _noise(row: np.uint64, first: int, n: int) -> np.ndarray:
     return mixed(row + np.arange(first, first + n).astype(np.uint64) * np.uint64(BASES[0]))
 
 
+def _sampled(batches: Iterator[tuple[pd.Series, pd.Series]], pieces: Pieces, seed: int) -> Iterator[tuple[pd.Series, pd.Series]]:
+    """(texts, their sampled ids) in parts, so that the ids of a large batch need not stand in memory together."""
+    lattices = Lattices(pieces)
+    for keys, texts in batches:
+        for at in range(0, len(texts), ROWS):
+            some = texts.iloc[at : at + ROWS]
+            ids = sample_texts([t or "" for t in some], ["" if k is None else k for k in keys.iloc[at : at + ROWS]], lattices, seed)
+            yield some, pd.Series([None if t is None else x for t, x in zip(some, ids, strict=True)], dtype=object)
+
+
 def encode(spark: SparkSession, key: Column, text: Column, pieces: Pieces, seed: int = 0) -> Column:
     """Column of sampled piece ids (array<int>) of each whole text, seeded by the row key.
 
@@ -297,12 +307,24 @@ def encode(spark: SparkSession, key: Column, text: Column, pieces: Pieces, seed:
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        lattices = Lattices(shared.value)
-        for keys, texts in batches:
-            for at in range(0, len(texts), ROWS):  # so that the ids of a large batch need not stand in memory together
-                some = texts.iloc[at : at + ROWS]
-                ids = sample_texts([t or "" for t in some], ["" if k is None else k for k in keys.iloc[at : at + ROWS]], lattices, seed)
-                yield pd.Series([None if t is None else x for t, x in zip(some, ids, strict=True)], dtype=object)
+        for _, ids in _sampled(batches, shared.value, seed):
+            yield ids
+
+    return run.asNondeterministic()(key.cast("string"), text)
+
+
+def encode_checked(spark: SparkSession, key: Column, text: Column, pieces: Pieces, seed: int = 0) -> Column:
+    """Column of (ids, lossless): as `encode`, and whether `decode` makes the text of the ids again.
+
+    Both are done by one worker; an `encode` with a `decode` behind it holds two workers with a vocabulary each in every task.
+    """
+    shared = spark.sparkContext.broadcast(pieces)
+
+    @F.pandas_udf("ids array<int>, lossless boolean")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, ids in _sampled(batches, shared.value, seed):
+            same = [shared.value.decode(None if x is None else x.tolist()) == t for t, x in zip(texts, ids, strict=True)]
+            yield pd.DataFrame({"ids": ids.reset_index(drop=True), "lossless": same})
 
     return run.asNondeterministic()(key.cast("string"), text)
 

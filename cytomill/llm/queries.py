@@ -188,10 +188,9 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 @query
 def op6_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = pieces.Pieces(PIECE_MODEL)
-    d = table(spark, folder, "documents").select("doc_id", "text")
-    d = d.withColumn("ids", pieces.encode(spark, F.col("doc_id"), F.col("text"), vocabulary))
-    d = d.withColumn("decoded", pieces.decode(spark, F.col("ids"), vocabulary))
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    d = table(spark, folder, "documents").select("doc_id", pieces.encode_checked(spark, F.col("doc_id"), F.col("text"), vocabulary).alias("sample"))
+    ids = F.col("sample.ids")
+    return d.select("doc_id", F.size(ids).cast("long").alias("n_pieces"), F.xxhash64(ids).alias("ids_hash"), "sample.lossless")
 
 
 #: Public tokenizer files; parameters of this module as well.

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import awkward, frame
@@ -302,6 +303,24 @@ def test_pieces_round_trip_and_reproduce(spark, vocabulary):
     assert d.limit(0).count() == 0
 
 
+def test_ids_are_checked_by_the_worker_that_drew_them(spark, vocabulary, capsys, tmp_path):
+    rows = awkward(["  Hello wörld▁x\n\tz  ", "日本語テキスト 🎉🎉", " ", "tail "])
+    d = frame(spark, rows).select("doc_id", "text", pieces.encode(spark, F.col("doc_id"), F.col("text"), vocabulary, 7).alias("ids"))
+    plain = {(x.doc_id, x.text, str(x.ids)) for x in d.collect()}
+    d = frame(spark, rows).select("doc_id", "text", pieces.encode_checked(spark, F.col("doc_id"), F.col("text"), vocabulary, 7).alias("s"))
+    got = d.select("doc_id", "text", "s.ids", "s.lossless")
+    assert {(x.doc_id, x.text, str(x.ids)) for x in got.collect()} == plain and all(x.lossless for x in got.collect())
+    broken = pieces.Pieces(queries.PIECE_MODEL)
+    broken.bytes_of = [b.replace(b"t", b"?") for b in broken.bytes_of]
+    d = frame(spark, [(1, "tail"), (2, "od")]).select("doc_id", pieces.encode_checked(spark, F.col("doc_id"), F.col("text"), broken).alias("s"))
+    assert {x.doc_id: x.lossless for x in d.select("doc_id", "s.lossless").collect()} == {1: False, 2: True}
+    docs = frame(spark, [(1, "tail")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.op6_piece_sampling(spark, str(tmp_path)), corpus_pipeline.piece_ids(spark, docs, "")):
+        out.explain()
+        assert capsys.readouterr().out.count("ArrowEvalPython") == 1  # one worker a task
+
+
 def test_sampling_follows_the_lattice(vocabulary):
     def segmentations(s):
         if not s:
