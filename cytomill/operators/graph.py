@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +84,36 @@ def singletons(tracks: DataFrame, edges: DataFrame, track: str = "track_id", par
     return tracks.select(track).distinct().join(used, track, "left_anti")
 
 
-def run_components(runs: DataFrame, img: Sequence[str] = ("image_id",), diagonal: bool = False, same_label: bool = True) -> DataFrame:
+def _first_edges(y: np.ndarray, x0: np.ndarray, label: np.ndarray, y2: np.ndarray, x2: np.ndarray, label2: np.ndarray) -> np.ndarray:
+    """For each edge between runs of neighbouring rows, a number of an edge that starts at the smallest run of its region."""
+    codes, _ = pd.factorize(pd.Series(np.concatenate([label, label2])), sort=True)
+    names = np.stack([np.concatenate([y, y2]), np.concatenate([x0, x2]), codes])
+    order = np.lexsort(names[::-1])
+    new = np.any(np.diff(names[:, order], axis=1) != 0, axis=0)
+    node = np.empty(len(order), np.int64)
+    node[order] = np.concatenate([[0], np.cumsum(new)])
+    src, dst = np.split(node, 2)
+    low, before = np.arange(int(node.max()) + 1), None
+    while before is None or (low != before).any():
+        before = low.copy()
+        least = np.minimum(low[src], low[dst])
+        for side in (src, dst):
+            np.minimum.at(low, low[side], least)
+            np.minimum.at(low, side, least)
+        low = low[low]
+    starts = np.zeros(len(low), np.int64)
+    starts[src] = np.arange(len(src))  # the smallest run lies in the topmost row, so an edge starts there
+    return starts[low[src]]
+
+
+def run_components(
+    runs: DataFrame, img: Sequence[str] = ("image_id",), diagonal: bool = False, same_label: bool = True, band: int = 64, bins: int = 16
+) -> DataFrame:
     """Connected pixel regions: touching runs of neighbouring rows are edges; adds `component`.
 
-    A run is named by (image, row, start, label), so overlapping masks stay apart unless `same_label` is off.
+    A run is named by (image, row, start, label), so overlapping masks stay apart unless `same_label` is off. Edges are first
+    joined within blocks of `band` rows and `bins` bins of 64 pixels, as arrays of one block; only regions that share a run with
+    another block are joined by rounds over tables.
     """
     from cytomill.operators.overlap import _binned
 
@@ -97,6 +125,24 @@ def run_components(runs: DataFrame, img: Sequence[str] = ("image_id",), diagonal
     e = a.join(b, [*img, "y", "__bx"]).where((F.col("x0") < F.col("u1")) & (F.col("u0") < F.col("x1")))
     if same_label:
         e = e.where(F.col("label") == F.col("l2"))
-    e = e.select(F.col("rid").alias("src"), F.col("rid2").alias("dst")).distinct()
-    comp = components(e, r.select(F.col("rid").alias("node")).distinct())
-    return unfolded(r).join(comp.withColumnRenamed("node", "rid"), "rid").drop("rid")
+    spot = ("y", "x0", "label")
+    edge = F.struct(*[F.col(f"rid.{c}").alias(c) for c in spot], *[F.col(f"rid2.{c}").alias(f"{c}_2") for c in spot])
+    met = e.groupBy(*img, F.floor(F.col("y") / band).alias("__band"), F.floor(F.col("__bx") / bins).alias("__block")).agg(F.collect_list(edge).alias("__r"))
+
+    @F.pandas_udf("array<long>")
+    def solve(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in parts:
+            yield pd.Series([_first_edges(*c) for c in zip(*columns, strict=True)], dtype=object)
+
+    met = met.withColumn("__at", solve(*[F.col(f"__r.{c}") for c in (*spot, *[f"{c}_2" for c in spot])]))
+    named = lambda s, tail="": F.struct(*img, *[s[f"{c}{tail}"].alias(c) for c in spot])
+    first = lambda at: F.get("__r", at.cast("int"))
+    pairs = F.transform("__at", lambda at, i: F.array(
+        F.struct(named(F.get("__r", i)).alias("rid"), named(first(at)).alias("root")), F.struct(named(F.get("__r", i), "_2").alias("rid"), named(first(at)).alias("root"))
+    ))
+    local = unfolded(met.select(F.inline(F.flatten(pairs)))).groupBy("rid").agg(F.min("root").alias("root"), F.collect_set("root").alias("__roots"))
+    local = unfolded(cut(local))
+    links = local.where(F.size("__roots") > 1).select(F.col("root").alias("src"), F.explode("__roots").alias("dst"))
+    joined = components(links).select(F.col("node").alias("root"), F.col("component").alias("__c"))
+    local = local.select("rid", "root").join(unfolded(joined), "root", "left").select("rid", F.coalesce("__c", "root").alias("component"))
+    return unfolded(r).join(unfolded(local), "rid", "left").withColumn("component", F.coalesce("component", "rid")).drop("rid")

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -305,6 +306,27 @@ def test_overlapping_masks_stay_apart(spark):
     assert got.count() == 4 and got.select("component").distinct().count() == 3
 
 
+def test_regions_of_one_block_need_no_rounds(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(0, y, x, x + r.randint(1, 3), r.choice([1, 1, 2])) for y in range(20) for x in range(0, 90, 3) if r.random() < 0.6]
+    seen, joined = [], gr.components
+    monkeypatch.setattr(gr, "components", lambda e, *a: (seen.append(e.count()), joined(e, *a))[1])
+    for diagonal, same, band, bins in ((False, True, 64, 16), (True, False, 7, 1)):
+        top = {(y, x): (y, x, label) for _, y, x, _, label in rows}
+        for _ in rows:
+            before = dict(top)
+            for _, y, a, b, label in rows:
+                for _, _, c, d, other in (q for q in rows if q[1] == y + 1):
+                    if a - diagonal < d and c < b + diagonal and (label == other or not same):
+                        top[y, a] = top[y + 1, c] = min(top[y, a], top[y + 1, c])
+            if top == before:
+                break
+        df = spark.createDataFrame(rows, "image_id long, y long, x0 long, x1 long, label long")
+        got = gr.run_components(df, diagonal=diagonal, same_label=same, band=band, bins=bins).collect()
+        assert {(q.y, q.x0): tuple(q.component)[1:] for q in got} == top and len(got) == len(rows)
+    assert seen[0] == 0 < seen[1]
+
+
 def test_large_slices_and_labels_stay_apart(spark):
     runs = spark.createDataFrame([(0, z, y, 0, 4, label) for z, label in ((0, 1 << 23), (1, (1 << 23) + 1), (70000, 1)) for y in (0, 1)], "volume long, z long, y long, x0 long, x1 long, label long")
     assert vo.stitch_slices(runs).select("object_id").distinct().count() == 2
