@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cytomill.functions import tails
-from cytomill.operators.ordered import attach, join_on
+from cytomill.operators.ordered import attach, join_on, unfolded
 from cytomill.session import cut
 
 
@@ -43,7 +46,7 @@ def _opened(asked: DataFrame, counts: DataFrame, keys: Sequence[str], top: int,
         near = near.withColumn("__upto", upto)
         reach = F.min(F.when(F.col("__upto") >= k, F.col("__wide"))).over(W.partitionBy(*own))
         near = near.withColumn("__reach", reach).where(F.col("__reach").isNull() | (F.col("__gap") <= F.col("__reach") * (1 + 1e-9)))
-        asked = cut(near.select(*own, "lv", "cx", "cy", "n"))
+        asked = unfolded(cut(near.select(*own, "lv", "cx", "cy", "n")))
         full = (F.col("n") > most) & (F.col("lv") < top)
         if not asked.where(full).take(1):
             return asked.drop("n")
@@ -54,7 +57,7 @@ def _opened(asked: DataFrame, counts: DataFrame, keys: Sequence[str], top: int,
         inner = inner.select(
             *own, (F.col("lv") + deeper).alias("lv"), (F.col("cx") * grown + F.col("__a")).alias("cx"), (F.col("cy") * grown + F.col("__b")).alias("cy")
         )
-        asked = asked.where(~full).unionByName(join_on(inner, counts, [*keys, "lv", "cx", "cy"]))
+        asked = asked.where(~full).unionByName(join_on(unfolded(inner), counts, [*keys, "lv", "cx", "cy"]))
 
 
 def candidates(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", id: str = "id") -> DataFrame:
@@ -81,8 +84,8 @@ def candidates(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] =
         side = max(float(ext[1]) - x0, float(ext[3]) - y0, 1e-9) * (1 + 1e-9)
         top = min(24, max(1, math.ceil(math.log(max(ext[4], 2), 4)) + 4))
     deepest = lambda c, low: F.floor((F.col(c) - low) / side * 2.0**FINEST).cast("long")
-    spots = cut(spots.withColumn("fx", deepest("dx", x0)).withColumn("fy", deepest("dy", y0)))
-    spots_q = cut(spots_q.withColumn("fx", deepest("qx", x0)).withColumn("fy", deepest("qy", y0)))
+    spots = unfolded(cut(spots.withColumn("fx", deepest("dx", x0)).withColumn("fy", deepest("dy", y0))))
+    spots_q = unfolded(cut(spots_q.withColumn("fx", deepest("qx", x0)).withColumn("fy", deepest("qy", y0))))
     most = max(4 * k, 64)
     at = lambda c: F.shiftright(c, FINEST - top)
     crowd = spots.groupBy(*keys, at("fx"), at("fy")).agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0]
@@ -97,7 +100,7 @@ def candidates(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] =
         return c.withColumn("cx", higher("fx")).withColumn("cy", higher("fy"))
 
     fine = spots.groupBy(*keys, "fx", "fy").agg(F.sum(F.size("ids")).alias("n"))
-    counts = cut(at_levels(fine).groupBy(*keys, "lv", "cx", "cy").agg(F.sum("n").alias("n")))
+    counts = unfolded(cut(at_levels(fine).groupBy(*keys, "lv", "cx", "cy").agg(F.sum("n").alias("n"))))
     enough = counts.where((F.col("n") >= k) | (F.col("lv") == 0)).select(*keys, "lv", "cx", "cy")
     cells_q = at_levels(spots_q.select(*keys, "fx", "fy").distinct())
     level = (
@@ -108,12 +111,12 @@ def candidates(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] =
     asked = level.withColumn("cx", higher("fx")).withColumn("cy", higher("fy")).select(*keys, "fx", "fy", "lv", F.explode(ring).alias("o"), "cx", "cy").select(
         *keys, "fx", "fy", "lv", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy")
     )
-    asked = cut(join_on(asked, counts, [*keys, "lv", "cx", "cy"]))
+    asked = unfolded(cut(join_on(unfolded(asked), counts, [*keys, "lv", "cx", "cy"])))
     hard = asked.groupBy(*keys, "fx", "fy").agg(F.sum("n").alias("__n")).where(F.col("__n") > 16 * most).drop("__n")
-    hard = cut(hard)
+    hard = unfolded(cut(hard))
     if hard.take(1):
         far = _opened(join_on(asked, hard, [*keys, "fx", "fy"], "left_semi"), counts, keys, top, k, most)
-        asked = join_on(asked, hard, [*keys, "fx", "fy"], "left_anti").drop("n").unionByName(far)
+        asked = unfolded(join_on(asked, hard, [*keys, "fx", "fy"], "left_anti").drop("n").unionByName(far))
     else:
         asked = asked.drop("n")
     wanted = asked.select(*keys, "lv", "cx", "cy").distinct()
@@ -121,7 +124,7 @@ def candidates(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] =
     there = join_on(spots, holders, [*keys, "fx", "fy"]).select(*keys, "lv", "cx", "cy", "dx", "dy", "ids")
     here = join_on(spots_q, asked, [*keys, "fx", "fy"]).select(*keys, "lv", "cx", "cy", "qx", "qy")
     d2 = (F.col("qx") - F.col("dx")) * (F.col("qx") - F.col("dx")) + (F.col("qy") - F.col("dy")) * (F.col("qy") - F.col("dy"))
-    return join_on(here, there, [*keys, "lv", "cx", "cy"]).select(*keys, "qx", "qy", d2.alias("d2"), F.explode("ids").alias("dst"))
+    return join_on(unfolded(here), there, [*keys, "lv", "cx", "cy"]).select(*keys, "qx", "qy", d2.alias("d2"), F.explode("ids").alias("dst"))
 
 
 def nearest(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", id: str = "id") -> DataFrame:
@@ -133,7 +136,7 @@ def nearest(query: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = (),
     best = W.partitionBy(*keys, "qx", "qy").orderBy("d2", "dst")
     found = candidates(query, data, k, keys, x, y, id).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     q = query.select(*keys, F.col(x).alias("qx"), F.col(y).alias("qy"), F.col(id).alias("src"))
-    return join_on(q, found, [*keys, "qx", "qy"]).select(*keys, "src", "dst", F.sqrt("d2").alias("dist"), "rank")
+    return join_on(q, unfolded(found), [*keys, "qx", "qy"]).select(*keys, "src", "dst", F.sqrt("d2").alias("dist"), "rank")
 
 
 def knn_edges(points: DataFrame, k: int, x: str = "x", y: str = "y", id: str = "id") -> DataFrame:
@@ -147,13 +150,51 @@ def knn_edges(points: DataFrame, k: int, x: str = "x", y: str = "y", id: str = "
     return cut(edges)  # a graph is read many times after this
 
 
-def contour_distances(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Average nearest distance over both directions and the Hausdorff distance per key; inputs (keys, id, x, y)."""
+def _gathered_distances(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`contour_distances` of outlines that fit an array each: every point is moved once, and all pairs are compared."""
+    side = lambda k: F.collect_list(F.when(F.col("dir") == k, F.struct("x", "y")))
+    held = points.groupBy(*keys).agg(side(0).alias("__a"), side(1).alias("__b")).where((F.size("__a") > 0) & (F.size("__b") > 0))
+
+    @F.pandas_udf("average double, hausdorff double")
+    def compare(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for places in parts:
+            got = np.empty((len(places[0]), 2))
+            for i, (ax, ay, bx, by) in enumerate(zip(*places, strict=True)):
+                d2 = np.square(np.subtract.outer(ax, bx)) + np.square(np.subtract.outer(ay, by))
+                d = np.sqrt(np.concatenate((d2.min(axis=1), d2.min(axis=0))))
+                got[i] = d.mean(), d.max()
+            yield pd.DataFrame(got, columns=["average", "hausdorff"])
+
+    return held.select(*keys, compare("__a.x", "__a.y", "__b.x", "__b.y").alias("__d")).select(*keys, "__d.average", "__d.hausdorff")
+
+
+def _searched_distances(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`contour_distances` by the exact neighbour search, for outlines of any length."""
+    a, b = (points.where(F.col("dir") == k).select(*keys, F.struct("x", "y").alias("id"), "x", "y") for k in (0, 1))
     ab = nearest(a, b, 1, keys).select(*keys, "dist", F.lit(0).alias("dir"))
     ba = nearest(b, a, 1, keys).select(*keys, "dist", F.lit(1).alias("dir"))
     return ab.unionByName(ba).groupBy(*keys).agg(F.avg("dist").alias("average"), F.max("dist").alias("hausdorff"))
 
 
+def contour_distances(a: DataFrame, b: DataFrame, keys: Sequence[str], most: int = 1_000) -> DataFrame:
+    """Average nearest distance over both directions and the Hausdorff distance per key; inputs (keys, x, y).
+
+    Two outlines of at most `most` points together are gathered and compared in one row. Longer ones, found by a count beforehand, go
+    through the neighbour search, so that no task holds all their pairs. Both give the same numbers.
+    """
+    keys = list(keys)
+    known = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in (*keys, "x", "y")])  # NULL matches nothing
+    place = lambda d, k: d.where(known).select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(k).alias("dir"))
+    points = unfolded(cut(place(a, 0).unionByName(place(b, 1))))
+    if not keys:
+        return _searched_distances(points, keys)
+    large = unfolded(cut(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).drop("__n")))
+    if large.isEmpty():
+        return _gathered_distances(points, keys)
+    small = _gathered_distances(join_on(points, large, keys, "left_anti"), keys)
+    return small.unionByName(_searched_distances(join_on(points, large, keys, "left_semi"), keys))
+
+
 def morans_i(expr: DataFrame, edges: DataFrame, cells: DataFrame, cell: str = "cell_id", gene: str = "gene", value: str = "cnt", textbook: bool = False) -> DataFrame:
     """I, expectation, variance, z, p per gene with a non-zero sum, from non-zero entries only.
 

@@ -149,3 +149,18 @@ def test_neighbours_within_keys_and_on_equal_places(spark):
     for k in range(3):
         mine = [(i, x, y) for g, i, x, y in rows if g == k]
         assert {q: [got[k, q][i] for i in (1, 2, 3)] for q, _, _ in mine} == _brute(mine, mine, 3)
+
+
+@pytest.mark.parametrize("most", [1_000, 45, 0])
+def test_contours_of_both_routes(spark, most):
+    rng = np.random.default_rng(11)
+    sets = {(g, k): rng.integers(0, 40, (n, 2)).astype(float) for g, ns in enumerate([(12, 9), (30, 25), (1, 3), (0, 4)]) for k, n in enumerate(ns)}
+    side = lambda k: spark.createDataFrame(
+        [(g, i, *map(float, p)) for (g, s), ps in sets.items() if s == k for i, p in enumerate(ps)] + [(None, 0, 1.0, 1.0), (0, 99, None, 1.0)], "g long, id long, x double, y double"
+    )
+    got = {r["g"]: (r["average"], r["hausdorff"]) for r in spatial.contour_distances(side(0), side(1), ["g"], most=most).collect()}
+    assert set(got) == {0, 1, 2}
+    for g, (average, hausdorff) in got.items():
+        d = np.hypot(*(np.subtract.outer(sets[g, 0][:, c], sets[g, 1][:, c]) for c in (0, 1)))
+        d = np.concatenate((d.min(axis=1), d.min(axis=0)))
+        assert (average, hausdorff) == (pytest.approx(d.mean()), pytest.approx(d.max()))
