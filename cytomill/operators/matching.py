@@ -97,7 +97,7 @@ def outline_distances(matches: DataFrame, runs_a: DataFrame, runs_b: DataFrame,
     from cytomill.operators.spatial import contour_distances
 
     keys = [*img, "a_label", "b_label"]
-    matches = cut(matches)
+    matches = unfolded(cut(matches))
 
     def outline(runs: DataFrame, side: str) -> DataFrame:
         px = outline_pixels(run_pixels(runs), img).withColumnRenamed("label", side)
@@ -115,7 +115,7 @@ def match_summary(matches: DataFrame, n_a: DataFrame, n_b: DataFrame, img: Seque
     """
     means = {"iou": "mean_iou", "hausdorff": "mean_boundary_distance"}
     means = {c: name for c, name in means.items() if c in matches.columns}
-    matches = cut(matches)  # read by the means and by the median
+    matches = unfolded(cut(matches))  # read by the means and by the median
     m = matches.groupBy(*img).agg(F.count(F.lit(1)).alias("matched"), *[F.avg(c).alias(name) for c, name in means.items()])
     m = join_on(m, quantiles(matches, img, "iou", {"median_iou": 0.5}), img, "left")
     t = join_on(join_on(n_a, n_b, img, "left"), m, img, "left").fillna(0, ["n_b", "matched"])

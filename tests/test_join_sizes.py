@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from cytomill.operators import graph as gr
 from cytomill.operators import masks as mk
 from cytomill.operators import overlap as ov
+from cytomill.operators import matching as mt
 from cytomill.operators import pixels as px
+from cytomill.operators import spatial as sp
 from cytomill.operators import volume as vo
 from cytomill.operators.ordered import join_on, spread
 from cytomill.plans.registry import Tables
@@ -45,6 +47,15 @@ def test_components_of_stored_rounds_shuffle(spark):
     assert _broadcasts(gr.run_components(_runs(spark))) == 0
 
 
+def test_neighbours_and_outlines_of_stored_points_shuffle(spark):
+    p = spark.range(60).select((F.col("id") % 2).alias("g"), F.col("id"), (F.col("id") * 7 % 13).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"))
+    assert _broadcasts(sp.nearest(p, p, 3, ["g"])) == 0
+    assert _broadcasts(sp.contour_distances(p, p.where("id % 3 = 0"), ["g"])) == 0
+    assert _broadcasts(sp.contour_distances(p, p.where("id % 3 = 0"), ["g"], most=41)) == 0
+    match = spark.createDataFrame([(1, 2, 2, 0.9)], "image_id long, a_label long, b_label long, iou double")
+    assert _broadcasts(mt.outline_distances(match, _runs(spark), _runs(spark, 1))) == 0
+
+
 def test_masks_are_drawn_by_many_tasks(spark):
     px = mk.run_pixels(runs(Tables(spark, "/root/testdata/sf0.01")))
     assert px.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
