@@ -287,7 +287,7 @@ def close_gaps(px: DataFrame, gap_closing: int, volume: str = "volume", axis: st
     Objects of a slice are numbered by regions in reading order, then by old label.
     """
     keys, spot = [volume, axis], [volume, axis, "y", "x"]
-    px = cut(px.select(*spot, "label"))
+    px = unfolded(cut(px.select(*spot, "label")))
     if slices is None:
         sized = join_on(px, px.groupBy(volume).agg((F.max(axis) + 1).alias("__n")), [volume])
     else:
@@ -298,19 +298,19 @@ def close_gaps(px: DataFrame, gap_closing: int, volume: str = "volume", axis: st
     gap = n.where((F.col("__gap") > 0) & (F.col("__gap") <= 2 * gap_closing)).withColumn(axis, F.explode(F.sequence(F.col(axis) + 1, F.col("__next") - 1)))
     closed = sized.unionByName(gap.select(*sized.columns)).where(inner(F.col(axis))).select(*spot)
     regions = run_components(mk.pixel_runs(closed.withColumn("label", F.lit(1)), keys), keys, diagonal=True)
-    flat = cut(mk.run_pixels(regions.select(*keys, "y", "x0", "x1", "component")))
-    both = join_on(flat, px, spot, "left")
+    flat = unfolded(cut(mk.run_pixels(regions.select(*keys, "y", "x0", "x1", "component"))))
+    both = unfolded(join_on(flat, px, spot, "left"))
     matched = both.groupBy(*keys, "component").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     several = matched.where("lo < hi").select(*keys, "component")
     stays = join_on(both, several, [*keys, "component"], "left_semi").where("label is not null").select(*keys, "label").distinct()
     stays = stays.unionByName(sized.where(~inner(F.col(axis))).select(*keys, "label").distinct())
-    old = cut(join_on(px, stays, [*keys, "label"], "left_semi").select(*spot, F.lit(1).alias("kind"), F.col("label").cast("long").alias("first"), F.lit(0).cast("long").alias("second")))
+    old = unfolded(cut(join_on(px, stays, [*keys, "label"], "left_semi").select(*spot, F.lit(1).alias("kind"), F.col("label").cast("long").alias("first"), F.lit(0).cast("long").alias("second"))))
     new = join_on(flat, several, [*keys, "component"], "left_anti")
-    new = join_on(new, old.select(*spot), spot, "left_anti").select(*spot, F.lit(0).alias("kind"), F.col("component.y").cast("long").alias("first"), F.col("component.x0").cast("long").alias("second"))
-    objects = old.unionByName(new)
+    new = join_on(unfolded(new), old.select(*spot), spot, "left_anti").select(*spot, F.lit(0).alias("kind"), F.col("component.y").cast("long").alias("first"), F.col("component.x0").cast("long").alias("second"))
+    objects = unfolded(old.unionByName(new))
     within = W.partitionBy(*keys).orderBy("kind", "first", "second")  # one slice's objects
     ranked = objects.select(*keys, "kind", "first", "second").distinct().withColumn("label", F.row_number().over(within).cast("long"))
-    named = join_on(objects, ranked, [*keys, "kind", "first", "second"]).select(*spot, "label")
+    named = unfolded(join_on(objects, ranked, [*keys, "kind", "first", "second"]).select(*spot, "label"))
     return offset_slices(named, [volume], axis)
 
 

@@ -56,6 +56,11 @@ def test_neighbours_and_outlines_of_stored_points_shuffle(spark):
     assert _broadcasts(mt.outline_distances(match, _runs(spark), _runs(spark, 1))) == 0
 
 
+def test_closing_of_gaps_shuffles(spark):
+    px = mk.run_pixels(_runs(spark)).select(F.lit(1).cast("long").alias("volume"), (F.col("y") % 5).alias("z"), F.floor(F.col("y") / 5).alias("y"), "x", "label")
+    assert _broadcasts(vo.close_gaps(px, 1)) == 0
+
+
 def test_masks_are_drawn_by_many_tasks(spark):
     px = mk.run_pixels(runs(Tables(spark, "/root/testdata/sf0.01")))
     assert px.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
