@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cytomill.operators.ordered import join_on, unfolded
 
@@ -73,18 +74,26 @@ def overlap_from_pairs(df: DataFrame, img: Sequence[str], a: str, b: str) -> Dat
     )
 
 
-def run_overlap(a: DataFrame, b: DataFrame, img: Sequence[str] = IMG, size: int = 64) -> DataFrame:
-    """Foreground pixel co-occurrence of two run tables; overlaps are cut at bin borders so they sum once."""
+def common_runs(a: DataFrame, b: DataFrame, img: Sequence[str] = IMG, size: int = 64) -> DataFrame:
+    """(image, y, a_label, b_label, x0, x1): where runs of two tables cover the same pixels, cut at bin borders."""
     left = _binned(a.select(*img, "y", "x0", "x1", F.col("label").alias("a_label")), size)
     right = _binned(b.select(*img, "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("b_label")), size, "u0", "u1")
     lo = F.greatest("x0", "u0", F.col("__bx") * size)
     hi = F.least("x1", "u1", (F.col("__bx") + 1) * size)
-    return (
-        left.join(right, [*img, "y", "__bx"])
-        .where(hi > lo)
-        .groupBy(*img, "a_label", "b_label")
-        .agg(F.sum(hi - lo).cast("long").alias("n_px"))
-    )
+    return left.join(right, [*img, "y", "__bx"]).where(hi > lo).select(*img, "y", "a_label", "b_label", lo.alias("x0"), hi.alias("x1"))
+
+
+def run_overlap(a: DataFrame, b: DataFrame, img: Sequence[str] = IMG, size: int = 64) -> DataFrame:
+    """Foreground pixel co-occurrence of two run tables; overlaps are cut at bin borders so they sum once."""
+    return common_runs(a, b, img, size).groupBy(*img, "a_label", "b_label").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("n_px"))
+
+
+def uncovered_runs(spans: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x0, x1): the parts of each span that no run with the same keys covers; one span a key, runs lie within it."""
+    ends = spans.select(*keys, F.explode(F.array("x0", "x1")).alias("x0")).withColumn("x1", F.col("x0"))
+    before = W.partitionBy(*keys).orderBy("x0").rowsBetween(W.unboundedPreceding, -1)  # the runs of one row
+    gaps = runs.select(*keys, "x0", "x1").unionByName(ends).withColumn("__x", F.max("x1").over(before)).where(F.col("__x") < F.col("x0"))
+    return gaps.select(*keys, F.col("__x").alias("x0"), F.col("x0").alias("x1"))
 
 
 def iou_pairs(overlap: DataFrame, img: Sequence[str] = IMG, area_a: DataFrame | None = None, area_b: DataFrame | None = None) -> DataFrame:

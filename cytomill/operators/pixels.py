@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -90,8 +92,8 @@ def box_pixels(runs: DataFrame, image: DataFrame, channels: Sequence[str], img:
 
 
 def grey_levels(px: DataFrame, channel: str, levels: int = 256, box: DataFrame | None = None, img: Sequence[str] = IMG) -> DataFrame:
-    """Channel of object pixels rescaled to 0..levels-1 (truncated) over the object's bounding box (`box_pixels`), or over
-    the object itself without it."""
+    """Channel of object pixels rescaled to 0..levels-1 (truncated) over the object's bounding box (rows of `box` in any order, as from
+    `box_pixels`), or over the object itself without it."""
     keys = [*img, "label"]
     e = (px if box is None else box).groupBy(*keys).agg(F.min(channel).alias("lo"), F.max(channel).alias("hi"))
     j = join_on(px.select(*keys, "y", "x", channel), e, keys)
@@ -99,18 +101,73 @@ def grey_levels(px: DataFrame, channel: str, levels: int = 256, box: DataFrame |
     return j.select(*keys, "y", "x", g.cast("long").alias("g"))
 
 
-def cooccurrence(grey: DataFrame, distance: int = 8, img: Sequence[str] = IMG) -> DataFrame:
-    """Grey-level pair counts (direction, i, j, n) inside objects, both orders counted, level 0 ignored."""
+def _groups(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """First rows of the groups of a table that is sorted by the keys."""
+    new = np.ones(len(t), bool)
+    new[1:] = False
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _pair_counts(t: pa.Table, keys: Sequence[str], distance: int, band: int) -> pa.Table:
+    """Counts of `cooccurrence` for whole groups of (keys, __band), rows in this order."""
+    starts = _groups(t, [*keys, "__band"])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+    y, x, own = (t.column(c).to_numpy() for c in ("y", "x", "__band"))
+    own = np.flatnonzero(y // band == own)  # the others came as partners only
+    levels, g = np.unique(t.column("g").to_numpy(), return_inverse=True)
+    y, x = y - np.minimum.reduceat(y, starts)[group], x - np.minimum.reduceat(x, starts)[group]
+    height, width = int(y.max()) + 1 + distance, int(x.max()) + 1 + 2 * distance
+    place = lambda r, dy, dx: (group[r] * height + y[r] + dy) * width + x[r] + distance + dx
+    at = place(slice(None), 0, 0)
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], []
+    for k, (dy, dx) in enumerate(((0, distance), (distance, distance), (distance, 0), (distance, -distance))):
+        to = place(own, dy, dx)
+        first = np.searchsorted(at, to)
+        n = np.searchsorted(at, to, "right") - first
+        src = np.repeat(own, n)
+        dst = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(src))]
+        rows += [np.stack([group[src], np.full(len(src), k), g[i], g[j]]) for i, j in ((src, dst), (dst, src))]
+    group, direction, i, j = np.concatenate(rows, axis=1)
+    code, n = np.unique(((group * 4 + direction) * len(levels) + i) * len(levels) + j, return_counts=True)
+    code, j = np.divmod(code, len(levels))
+    code, i = np.divmod(code, len(levels))
+    group, direction = np.divmod(code, 4)
+    named = {k: t.column(k).take(pa.array(starts[group])) for k in keys}
+    return pa.table(named | {"direction": direction, "i": levels[i], "j": levels[j], "n": n.astype(np.int64)})
+
+
+def cooccurrence(grey: DataFrame, distance: int = 8, img: Sequence[str] = IMG, band: int = 64) -> DataFrame:
+    """Grey-level pair counts (direction, i, j, n) inside objects, both orders counted, level 0 ignored.
+
+    Each pixel is moved once, to the band of `band` rows of its object (and to the one before, if it can be a partner there). There
+    the pairs are found in arrays, in row batches that end with a band, so that a task holds a batch and a band.
+    """
     keys = [*img, "label"]
-    g = grey.where("g <> 0")
-    steps = [(0, distance), (distance, distance), (distance, 0), (distance, -distance)]
-    to = g.select(*keys, "g", F.inline(F.array(*[
-        F.struct(F.lit(k).cast("long").alias("direction"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for k, (dy, dx) in enumerate(steps)
-    ])))
-    j = unfolded(to).withColumnRenamed("g", "i").join(g.withColumnRenamed("g", "j"), [*keys, "y", "x"])
-    orders = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
-    both = j.select(*keys, "direction", F.inline(orders))
-    return both.groupBy(*keys, "direction", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    schema = ", ".join(f"`{k}` {grey.schema[k].dataType.simpleString()}" for k in keys) + ", direction long, i long, j long, n long"
+    whole = [F.col(c).cast("long").alias(c) for c in ("y", "x", "g")]
+    bands = F.explode(F.array_distinct(F.array(*[F.floor(c / band) for c in (F.col("y"), F.col("y") - distance)])))
+    sent = grey.where("g <> 0").na.drop(subset=[*keys, "y", "x"]).select(*keys, *whole).withColumn("__band", bands)
+    sent = sent.repartition(*keys, "__band").sortWithinPartitions(*keys, "__band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if not len(held):
+                continue
+            last = int(_groups(held, [*keys, "__band"])[-1])  # more of the last group may follow
+            if last:
+                yield from _pair_counts(held.slice(0, last), keys, distance, band).to_batches()
+                held = held.slice(last).combine_chunks()
+        if held is not None and len(held):
+            yield from _pair_counts(held, keys, distance, band).to_batches()
+
+    return sent.mapInArrow(run, schema).groupBy(*keys, "direction", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def haralick(glcm: DataFrame, objects: DataFrame, min_pixels: int = 30, directions: int = 4, img: Sequence[str] = IMG) -> DataFrame:
@@ -123,7 +180,7 @@ def haralick(glcm: DataFrame, objects: DataFrame, min_pixels: int = 30, directio
     Groups are one object's co-occurrence table, bounded by the grey levels.
     """
     keys = [*img, "label", "direction"]
-    glcm = cut(glcm)  # read by two aggregates
+    glcm = cut(glcm).repartition(*img, "label")  # read by two aggregates, which need no other shuffle of the counts
     i, j, n = F.col("i").cast("double"), F.col("j").cast("double"), F.col("n").cast("double")
     base = glcm.groupBy(*keys).agg(
         F.sum(n).alias("t"), F.sum(n * n).alias("nn"), F.sum(n * F.log2(n)).alias("nl"), F.sum(i * j * n).alias("ij"),
@@ -207,6 +264,71 @@ def grey_openings(px: DataFrame, value: str, sizes: dict[str, int], img: Sequenc
     return sent.groupBy(*img, "__by", "__bx").applyInPandas(run, schema)
 
 
+def _expanded(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, x) for every x from lo to hi - 1 of each row."""
+    n = np.maximum(hi - lo, 0)
+    return np.repeat(row, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def object_pixels(
+    runs: DataFrame, image: DataFrame, channels: Sequence[str], value: str, sizes: dict[str, int], img: Sequence[str] = IMG, block: int = 256,
+    per_task: int = 32,
+) -> DataFrame:
+    """(image, label, y, x, channels, __in, __edge, openings): the image pixels in the bounding boxes of the objects.
+
+    `__in` tells the pixels of the object itself from the rest of its box, `__edge` those with fewer than four neighbours of their
+    label. The openings of `value` are those of the whole image (`grey_openings`), one column (name -> size) each. Image and runs are cut
+    into the same blocks and meet there as arrays: the image, with its background, is moved once and not stored, and the
+    tasks have about `per_task` blocks each. An image pixel must occur once.
+    """
+    from cytomill.operators.masks import boxes
+
+    halo, at = max(1, 2 * max((s - 1) // 2 for s in sizes.values())), ["__by", "__bx"]
+    near = lambda lo, hi: F.sequence(F.floor(lo / block), F.floor(hi / block))
+    y, x = F.col("y"), F.col("x")
+    left = image.select(*img, "y", "x", *channels).withColumn("__by", F.explode(near(y - halo, y + halo))).withColumn("__bx", F.explode(near(x - halo, x + halo)))
+    rows = runs.select(*img, "label", "y", "x0", "x1", F.lit(True).alias("own"))
+    box = spread(boxes(runs, img), img).select(*img, "label", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1", F.lit(False).alias("own"))
+    rows = rows.unionByName(box).na.drop(subset=[*img, "label"]).withColumn("__by", F.explode(near(y - 1, y + 1))).withColumn("__bx", F.explode(near(F.col("x0") - 1, F.col("x1"))))
+    n = rows.select(*img, *at).distinct().count()
+    n = max(image.sparkSession.sparkContext.defaultParallelism, -(-n // per_task))  # a given number is not merged again
+    dealt = lambda d: d.repartition(n, *img, *at).groupBy(*img, *at)
+    moved = [*img, "y", "x", *channels]
+    types = {k: image.schema[k].dataType.simpleString() for k in moved} | {"label": runs.schema["label"].dataType.simpleString(), "__in": "boolean", "__edge": "boolean"}
+    types |= dict.fromkeys(sizes, "double")
+
+    def run(key: tuple, place: pa.Table, mask: pa.Table) -> pa.Table:
+        y0, x0 = (int(k.as_py()) * block - halo for k in key[-2:])
+        y, x = (place.column(c).to_numpy() - o for c, o in (("y", y0), ("x", x0)))
+        index = np.full((block + 2 * halo,) * 2, -1)
+        index[y, x] = np.arange(len(y))
+        side = index.shape[1]
+        lo, hi = (np.clip(mask.column(c).to_numpy() - x0, halo - 1, halo + block + 1) for c in ("x0", "x1"))
+        row, px = _expanded(np.arange(len(lo)), lo, hi)
+        py = mask.column("y").to_numpy()[row] - y0
+        there = index[py, px] >= 0
+        row, px, py = row[there], px[there], py[there]
+        label = mask.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        spot = (label[row].astype(np.int64) * side + py) * side + px
+        own = mask.column("own").to_numpy()[row]
+        covered = np.unique(spot[own])
+        has = lambda s: np.isin(s, covered)
+        core = (py >= halo) & (py < halo + block) & (px >= halo) & (px < halo + block)
+        keep = np.flatnonzero(core & (own | ~has(spot)))
+        row, py, px, spot, own = row[keep], py[keep], px[keep], spot[keep], own[keep]
+        edge = own & ~(has(spot - 1) & has(spot + 1) & has(spot - side) & has(spot + side))
+        from_image = pa.array(index[py, px])
+        out = {k: place.column(k).take(from_image) for k in moved} | {"label": mask.column("label").take(pa.array(row)), "__in": own, "__edge": edge}
+        a = np.full(index.shape, np.nan)
+        if len(row):
+            a[y, x] = place.column(value).to_numpy().astype(float)
+        for name, size in sizes.items():
+            out[name] = _opened(a, index >= 0, (size - 1) // 2)[py, px] if len(row) else np.empty(0)
+        return pa.table({k: out[k] for k in types})
+
+    return dealt(left).cogroup(dealt(rows)).applyInArrow(run, ", ".join(f"`{k}` {v}" for k, v in types.items()))
+
+
 def grey_opening(px: DataFrame, value: str, size: int, out: str, img: Sequence[str] = IMG) -> DataFrame:
     """Grey opening with a size x size square over the pixels present: min filter, then max filter."""
     return grey_openings(px, value, {out: size}, img)
@@ -215,7 +337,16 @@ def grey_opening(px: DataFrame, value: str, size: int, out: str, img: Sequence[s
 def granularity(px: DataFrame, value: str, scales: int = 5, img: Sequence[str] = IMG) -> DataFrame:
     """Share of the starting mean lost at each opening scale, in percent, per labelled object (long)."""
     keys = [*img, "label"]
-    px = grey_openings(px.select(*keys, "y", "x", value), value, {f"__o{i}": 2 * i + 1 for i in range(1, scales + 1)}, img)
+    return opened_spectrum(grey_openings(px.select(*keys, "y", "x", value), value, opening_sizes(scales), img), value, scales, img)
+
+
+def opening_sizes(scales: int) -> dict[str, int]:
+    return {f"__o{i}": 2 * i + 1 for i in range(1, scales + 1)}
+
+
+def opened_spectrum(px: DataFrame, value: str, scales: int, img: Sequence[str] = IMG) -> DataFrame:
+    """`granularity` of pixels that have the openings of `opening_sizes`."""
+    keys = [*img, "label"]
     m = px.where(F.col("label") != 0).groupBy(*keys).agg(F.avg(value).alias("m0"), *[F.avg(f"__o{i}").alias(f"m{i}") for i in range(1, scales + 1)])
     rows = [
         F.struct(F.lit(i).cast("long").alias("scale"), ((F.col(f"m{i - 1}") - F.col(f"m{i}")) * 100 / F.greatest(F.col("m0"), F.lit(2.220446049250313e-16))).alias("granularity"))

@@ -164,3 +164,21 @@ def test_contours_of_both_routes(spark, most):
         d = np.hypot(*(np.subtract.outer(sets[g, 0][:, c], sets[g, 1][:, c]) for c in (0, 1)))
         d = np.concatenate((d.min(axis=1), d.min(axis=0)))
         assert (average, hausdorff) == (pytest.approx(d.mean()), pytest.approx(d.max()))
+
+
+def test_pairs_across_bands_and_odd_pixels(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, label, int(y), int(x), int(v)) for g, label in ((0, 1), (0, 2), (3, 1)) for (y, x), v in zip(rng.integers(-9, 40, (300, 2)), rng.integers(0, 4, 300))]
+    rows += [(0, 7, 0, 0, 5), (0, 8, 0, 0, 1), (0, 8, 3, 0, 300)]
+    grey = spark.createDataFrame([*rows, (0, None, 0, 0, 1)], "image_id long, label long, y long, x long, g long").repartition(3)
+    want = {}
+    for k, (dy, dx) in enumerate(((0, 3), (3, 3), (3, 0), (3, -3))):
+        for a in rows:
+            for b in rows:
+                if a[:2] == b[:2] and (a[2] + dy, a[3] + dx) == b[2:4] and a[4] and b[4]:
+                    for i, j in ((a[4], b[4]), (b[4], a[4])):
+                        want[*a[:2], k, i, j] = want.get((*a[:2], k, i, j), 0) + 1
+    pairs = pixels.cooccurrence(grey, 3, band=4)
+    assert {(r["image_id"], r["label"], r["direction"], r["i"], r["j"]): r["n"] for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(") == 2  # the pixels and the counts
