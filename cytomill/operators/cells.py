@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomill.operators import pixels
-from cytomill.operators.masks import areas, outline_pixels, run_pixels
+from cytomill.operators.masks import areas
 from cytomill.operators.ordered import join_on, unfolded
 from cytomill.session import cut
 
@@ -210,11 +210,13 @@ def field_features(
 
     `runs` is the mask (image, y, x0, x1, label), `image` the pixels (image, y, x, channels) of whole images, background too. Texture
     is taken at every distance of `scales` in every channel, granularity in the nucleus channel only. The families are
-    computed per object and meet in joins on (image, label), rows of one object each; the object pixels are joined with the image and stored once.
+    computed per object and meet in joins on (image, label), rows of one object each. The image is moved once, to be cut into blocks; the
+    pixels of the objects' boxes, with the openings and the edges, are stored (`pixels.object_pixels`), and all families read these.
     """
     keys = [*img, "label"]
-    inside = join_on(run_pixels(runs.select(*img, "y", "x0", "x1", "label")), image.select(*img, "y", "x", *channels), [*img, "y", "x"])
-    inside = unfolded(cut(inside))  # every family reads it
+    stored = pixels.object_pixels(runs.select(*img, "y", "x0", "x1", "label"), image, channels, nucleus, pixels.opening_sizes(spectrum), img)
+    box = unfolded(cut(stored))
+    inside = box.where("__in")
     shape = shape_features(runs, img)
     out = shape.select(
         *keys, *[F.col(c).alias(f"Cell_AreaShape_{title}") for c, title in SHAPE.items()],
@@ -222,19 +224,16 @@ def field_features(
     )
     families = [
         _wide(pixels.intensity_stats(inside, channels, img), keys, "channel", channels, INTENSITY, "Cell_Intensity_{}_{}"),
-        _wide(_edges(inside, channels, img), keys, "channel", channels, EDGE, "Cell_Intensity_{}_{}"),
+        _wide(_edges(inside.where("__edge"), channels, img), keys, "channel", channels, EDGE, "Cell_Intensity_{}_{}"),
         _wide(pixels.intensity_quantiles(inside, channels, img), keys, "channel", channels, QUANTILES, "Cell_Intensity_{}_{}"),
     ]
-    box = unfolded(cut(pixels.box_pixels(runs, image, channels, img)))
     sizes = areas(runs, img)
     for c in channels:
         grey = pixels.grey_levels(inside, c, box=box, img=img)
         for s in scales:
             texture = pixels.haralick(pixels.cooccurrence(grey, s, img), sizes, img=img)
             families.append(texture.select(*keys, *[F.col(k).alias(f"Cell_Texture_{title}_{c}_s{s}") for k, title in TEXTURE.items()]))
-    background = join_on(image.select(*img, "y", "x", nucleus), inside.select(*img, "y", "x"), [*img, "y", "x"], "left_anti")
-    whole = inside.select(*keys, "y", "x", nucleus).unionByName(background.withColumn("label", F.lit(0).cast(inside.schema["label"].dataType)))
-    grain = pixels.granularity(whole, nucleus, spectrum, img)
+    grain = pixels.opened_spectrum(inside, nucleus, spectrum, img)
     families.append(_wide(grain, keys, "scale", range(1, spectrum + 1), {"granularity": "Granularity"}, "Cell_{}_{}_" + nucleus))
     rings = {f"bin{b}": f"Bin{b}" for b in range(1, bins + 1)}
     families.append(_wide(pixels.radial_distribution(inside, channels, bins, img), keys, "channel", channels, rings, "Cell_RadialDistribution_{1}_{0}"))
@@ -247,10 +246,8 @@ def field_features(
 
 
 def _edges(px: DataFrame, channels: Sequence[str], img: Sequence[str]) -> DataFrame:
-    """Boundary statistics with the label in the pixel key, so that masks may overlap."""
+    """Statistics of the boundary pixels, which carry their label, so that masks may overlap."""
     keys = [*img, "label"]
-    edge = outline_pixels(px.select(*img, "y", "x", "label"), img)
-    at_edge = join_on(px, edge.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
-    return at_edge.select(*keys, *channels).unpivot(keys, list(channels), "channel", "v").groupBy(*keys, "channel").agg(
+    return px.select(*keys, *channels).unpivot(keys, list(channels), "channel", "v").groupBy(*keys, "channel").agg(
         F.avg("v").alias("mean_edge"), F.stddev_pop("v").alias("std_edge")
     )

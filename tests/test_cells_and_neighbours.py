@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from cytomill.operators import cells, pixels, spatial
+from pyspark.sql import functions as F
+
+from cytomill.operators import cells, masks, pixels, spatial
 
 
 def _blob(seed, height=23, width=31):
@@ -182,3 +184,36 @@ def test_pairs_across_bands_and_odd_pixels(spark):
     assert {(r["image_id"], r["label"], r["direction"], r["i"], r["j"]): r["n"] for r in pairs.collect()} == want
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(") == 2  # the pixels and the counts
+
+
+def test_object_pixels_of_blocks(spark):
+    """Masks that overlap and cross blocks, an image with gaps."""
+    a = [(0, y, 3 + y % 3, 17 - y % 2, 1) for y in range(2, 19)] + [(0, y, 10, 14 + y % 4, 2) for y in range(15, 24)] + [(4, 0, 0, 9, 1), (0, 30, 2, 4, 1)]
+    runs = spark.createDataFrame(a, "image_id long, y long, x0 long, x1 long, label long")
+    rng = np.random.default_rng(8)
+    places = [(g, y, x) for g in (0, 4) for y in range(31) for x in range(26) if rng.random() < 0.95]
+    image = spark.createDataFrame([(*p, float(v)) for p, v in zip(places, rng.integers(0, 50, len(places)))], "image_id long, y long, x long, dna double")
+    key = ["image_id", "label", "y", "x"]
+    got = pixels.object_pixels(runs, image, ["dna"], "dna", {"o": 3}, block=8, per_task=2).toPandas().sort_values(key).reset_index(drop=True)
+    boxes = pixels.box_pixels(runs, image, ["dna"]).toPandas().sort_values(key).reset_index(drop=True)
+    assert got[[*key, "dna"]].equals(boxes[[*key, "dna"]])
+    own = masks.run_pixels(runs).join(image, ["image_id", "y", "x"]).select(*key)
+    tuples = lambda d: set(map(tuple, d[key].to_numpy().tolist()))
+    assert tuples(got[got["__in"]]) == tuples(own.toPandas())
+    assert tuples(got[got["__edge"]]) == tuples(masks.outline_pixels(own).toPandas())
+    opened = pixels.grey_openings(image, "dna", {"o": 3}).toPandas().set_index(["image_id", "y", "x"])["o"]
+    assert got["o"].tolist() == [opened[r] for r in zip(got["image_id"], got["y"], got["x"])]
+
+
+def test_field_features_read_the_image_once(spark, monkeypatch):
+    plans = []
+
+    def noted(df, cut=cells.cut):
+        plans.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(cells, "cut", noted)
+    image = spark.range(0, 1234).select(F.lit(0).cast("long").alias("image_id"), F.floor(F.col("id") / 40).alias("y"), (F.col("id") % 40).alias("x"), (F.col("id") % 37).cast("double").alias("dna"))
+    runs = spark.createDataFrame([(0, y, 3, 20, 1) for y in range(2, 15)], "image_id long, y long, x0 long, x1 long, label long")
+    plans.append(cells.field_features(runs, image, ["dna"], "dna"))
+    assert sum(p._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 1234") for p in plans) == 1
