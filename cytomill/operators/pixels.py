@@ -370,8 +370,13 @@ def tile_rescale(px: DataFrame, img: Sequence[str], value: str, tile: int, lo: f
 
 
 def marker_composite(px: DataFrame, markers: DataFrame, img: Sequence[str] = IMG) -> DataFrame:
-    """Sum of the listed markers per output channel and pixel; `markers` maps marker to out_channel."""
-    return px.join(markers, "marker").groupBy(*img, "y", "x", "out_channel").agg(F.sum("value").alias("value"))
+    """Sum of the listed markers per output channel and pixel; `markers` maps marker to out_channel.
+
+    The markers are a stain's panel, one row each, and are sent to every task: a shuffle by marker would leave as many tasks as there
+    are markers. The rows of a pixel meet by image row, so that the shuffled rows stay in order and pack well.
+    """
+    listed = px.join(F.broadcast(markers), "marker").select(*img, "y", "x", "out_channel", "value").repartition(*img, "y")
+    return listed.groupBy(*img, "y", "x", "out_channel").agg(F.sum("value").alias("value"))
 
 
 def marker_profiles(px: DataFrame, markers: Sequence[str], img: Sequence[str] = IMG) -> DataFrame:

@@ -61,6 +61,17 @@ def test_closing_of_gaps_shuffles(spark):
     assert _broadcasts(vo.close_gaps(px, 1)) == 0
 
 
+def test_markers_are_not_shuffled_to_one_task_each(spark):
+    p = mk.run_pixels(_runs(spark)).withColumn("dna", F.col("x").cast("double")).withColumn("actin", F.lit(2.0))
+    long = p.select("image_id", "y", "x", "dna", "actin").unpivot(["image_id", "y", "x"], ["dna", "actin"], "marker", "value")
+    markers = spark.createDataFrame([("dna", "red"), ("actin", "red"), ("actin", "blue")], "marker string, out_channel string")
+    c = px.marker_composite(long, markers)
+    plan = c._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "SortMergeJoin" not in plan and "hashpartitioning(marker" not in plan
+    got = {(r.y, r.x, r.out_channel): r.value for r in c.collect()}
+    assert got == {(r.y, r.x, o): v for r in p.select("y", "x").collect() for o, v in (("red", r.x + 2.0), ("blue", 2.0))}
+
+
 def test_masks_are_drawn_by_many_tasks(spark):
     px = mk.run_pixels(runs(Tables(spark, "/root/testdata/sf0.01")))
     assert px.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
