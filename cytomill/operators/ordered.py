@@ -7,9 +7,12 @@ groups therefore spread over as many tasks as they have buckets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -75,6 +78,30 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*keys))
 
 
+def group_starts(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """First rows of the groups of a table that is sorted by the keys."""
+    new = np.zeros(len(t), bool)
+    new[:1] = True
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of a task, sorted by the keys, in tables that end with a group: a task holds a batch and a group."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        last = int(group_starts(held, keys)[-1]) if len(held) else 0  # more of the last group may follow
+        if last:
+            yield held.slice(0, last)
+            held = held.slice(last).combine_chunks()
+    if held is not None and len(held):
+        yield held
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row table (totals, thresholds) to every row.
 

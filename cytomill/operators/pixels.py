@@ -8,12 +8,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cytomill.operators.ordered import join_on, median_mad_columns, pearson, quantiles, spread, unfolded
+from cytomill.operators.ordered import group_starts, join_on, median_mad_columns, pearson, quantiles, spread, unfolded, whole_groups
 from cytomill.session import cut
 
 IMG = ("image_id",)
@@ -101,19 +100,9 @@ def grey_levels(px: DataFrame, channel: str, levels: int = 256, box: DataFrame |
     return j.select(*keys, "y", "x", g.cast("long").alias("g"))
 
 
-def _groups(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
-    """First rows of the groups of a table that is sorted by the keys."""
-    new = np.ones(len(t), bool)
-    new[1:] = False
-    for k in keys:
-        c = t.column(k).combine_chunks()
-        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
-
-
 def _pair_counts(t: pa.Table, keys: Sequence[str], distance: int, band: int) -> pa.Table:
     """Counts of `cooccurrence` for whole groups of (keys, __band), rows in this order."""
-    starts = _groups(t, [*keys, "__band"])
+    starts = group_starts(t, [*keys, "__band"])
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
     y, x, own = (t.column(c).to_numpy() for c in ("y", "x", "__band"))
     own = np.flatnonzero(y // band == own)  # the others came as partners only
@@ -154,18 +143,8 @@ def cooccurrence(grey: DataFrame, distance: int = 8, img: Sequence[str] = IMG, b
     sent = sent.repartition(*keys, "__band").sortWithinPartitions(*keys, "__band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            if not len(held):
-                continue
-            last = int(_groups(held, [*keys, "__band"])[-1])  # more of the last group may follow
-            if last:
-                yield from _pair_counts(held.slice(0, last), keys, distance, band).to_batches()
-                held = held.slice(last).combine_chunks()
-        if held is not None and len(held):
-            yield from _pair_counts(held, keys, distance, band).to_batches()
+        for t in whole_groups(batches, [*keys, "__band"]):
+            yield from _pair_counts(t, keys, distance, band).to_batches()
 
     return sent.mapInArrow(run, schema).groupBy(*keys, "direction", "i", "j").agg(F.sum("n").alias("n"))
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,7 +15,7 @@ from pyspark.sql.types import ArrayType
 
 from cytomill.operators import masks as mk
 from cytomill.operators.graph import components, merge_relabeling, run_components
-from cytomill.operators.ordered import join_on, ordinal, unfolded
+from cytomill.operators.ordered import group_starts, join_on, ordinal, unfolded, whole_groups
 from cytomill.operators.overlap import consecutive_overlap, run_overlap
 from cytomill.session import cut
 
@@ -135,44 +136,48 @@ def _shrink_face(face: DataFrame, img: Sequence[str], axis: str, other: str, id:
     return face.withColumn("__k", same(F.lag, -1) & same(F.lead, 1)).where("__k").drop("__k")
 
 
-def shrunk_face(face: DataFrame, block: dict[str, int], shape: dict[str, int], plane: Sequence[str], axes: Sequence[str], id: str) -> DataFrame:
-    """Face pixels that lie more than one pixel inside their label, as seen within the face of their block.
-
-    A pixel goes if the labels before and behind it differ along a face axis (at the face's edge: its own and the next one), and
-    then if a neighbour in the face is background or has gone. `plane` names the columns of one face plane; faces end at block and image
-    borders, missing pixels are background. Each pixel is sent to its four neighbours twice.
-    """
-    keys = [*plane, *axes]
-    steps = [(k, d) for k in range(len(axes)) for d in (-1, 1)]
-
-    def inside(k: int, d: int) -> Column:
-        c, size = axes[k], block[axes[k]]
-        to = F.col(c) + d
-        return (F.floor(to / size) == F.floor(F.col(c) / size)) & (to >= 0) & (to < shape[c])
-
-    def sent(px: DataFrame, value: str) -> DataFrame:
-        """Own value and that of the neighbour on each side: own, n0 .. n3 (before and behind along each axis)."""
-        spots = [F.struct(F.lit(-1).alias("s"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(axes)])]
-        for n, (k, d) in enumerate(steps):
-            spots.append(F.when(inside(k, d), F.struct(F.lit(n).alias("s"), *[(F.col(c) + (d if i == k else 0)).alias(f"t{i}") for i, c in enumerate(axes)])))
-        out = px.select(*plane, F.col(value).alias("v"), F.explode(F.array_compact(F.array(*spots))).alias("o"))
-        of = lambda n: F.max(F.when(F.col("o.s") == n, F.col("v")))
-        # what a pixel sends forwards arrives as the value before its target
-        return out.groupBy(*plane, *[F.col(f"o.t{k}").alias(c) for k, c in enumerate(axes)]).agg(
-            of(-1).alias("own"), *[of(n + 1 if d < 0 else n - 1).alias(f"n{n}") for n, (k, d) in enumerate(steps)]
-        ).where("own is not null")
-
-    near = sent(face, id)
-    flat = F.lit(True)
-    for k in range(len(axes)):
-        before = F.when(inside(k, -1), F.coalesce(f"n{2 * k}", F.lit(0))).otherwise(F.col("own"))
-        behind = F.when(inside(k, 1), F.coalesce(f"n{2 * k + 1}", F.lit(0))).otherwise(F.col("own"))
-        flat = flat & (before == behind)
-    near = sent(near.where(flat).select(*keys, F.col("own").alias(id)), id)
-    held = F.lit(True)
-    for n, (k, d) in enumerate(steps):
-        held = held & (~inside(k, d) | F.col(f"n{n}").isNotNull())
-    return near.where(held).select(*keys, F.col("own").alias(id))
+def _met_faces(t: pa.Table, keys: Sequence[str], block: list[list[int]], shape: list[list[int]], span: list[list[int]], shrink: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (src, dst) of `touching_faces` for whole groups of face pixels; sizes are given by the axis across the face, then along it."""
+    starts = group_starts(t, keys)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+    axis, side, id = (t.column(c).to_numpy() for c in ("__axis", "__side", "__id"))
+    at = [t.column(c).to_numpy() for c in ("__u", "__v")]
+    size, end, wide = ([np.array([s[k] for s in sizes])[axis] for k in (0, 1)] for sizes in (block, shape, span))
+    reach = [max(s[k] for s in span) for k in (0, 1)]
+    spot = ((side * len(starts) + group) * reach[0] + at[0] % wide[0]) * reach[1] + at[1] % wide[1]
+    order = np.lexsort((id, spot))
+    if shrink:  # the largest id of a place
+        order = order[np.append(np.diff(spot[order]) != 0, True)]
+    spot, id = spot[order], id[order]
+
+    def inside(k: int, d: int) -> np.ndarray:
+        c, s, e = at[k][order], size[k][order], end[k][order]
+        return ((c + d) // s == c // s) & (c + d >= 0) & (c + d < e)
+
+    def value(of: np.ndarray, spots: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(spots, of), len(spots) - 1)
+        return np.where(spots[k] == of, ids[k], 0) if len(spots) else np.zeros(len(of), id.dtype)
+
+    if shrink:
+        step = [reach[1], 1]
+        near = {(k, d): inside(k, d) for k in (0, 1) for d in (-1, 1)}
+        sent = [(at[k] >= 0)[order] & (at[k] < end[k])[order] for k in (0, 1)]  # a pixel within the image reaches no place beyond it
+        seen = lambda k, d, spots, ids: np.where(sent[k], value(spot + d * step[k], spots, ids), 0)
+        flat = np.ones(len(spot), bool)
+        for k in (0, 1):
+            before, behind = (np.where(near[k, d], seen(k, d, spot, id), id) for d in (-1, 1))
+            flat &= before == behind
+        left, held = (spot[flat], id[flat]), flat
+        for (k, d), n in near.items():
+            held = held & (~n | (seen(k, d, *left) != 0))
+        spot, id = spot[held], id[held]
+    half = len(starts) * reach[0] * reach[1]
+    low, high = spot < half, spot >= half
+    first = np.searchsorted(spot[high] - half, spot[low])
+    n = np.searchsorted(spot[high] - half, spot[low], "right") - first
+    dst = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    met = pd.DataFrame({"src": np.repeat(id[low], n), "dst": id[high][dst]}).drop_duplicates()
+    return met["src"].to_numpy(), met["dst"].to_numpy()
 
 
 def touching_faces(
@@ -181,22 +186,35 @@ def touching_faces(
     """(src, dst): ids of label pixels that meet across a face between neighbouring blocks, in two or three dimensions.
 
     `block` and `shape` give the size of blocks and image along each axis column, e.g. {"z": 8, "y": 64, "x": 64}; ids are whole
-    numbers over 0. With `shrink`, as published, labels are first shrunk within each face (`shrunk_face`), so that objects that only graze each
-    other across a border stay apart. Only face pixels are shuffled; they are stored once for the faces of all axes.
+    numbers over 0. With `shrink`, as published, labels are first shrunk within each face, as seen from its block, so that objects that only
+    graze each other across a border stay apart: a pixel goes if the labels before and behind it differ along a face axis (at the face's
+    edge: its own and the next one), and then if a neighbour in the face is background or has gone. Faces end at block and image borders,
+    missing pixels are background. Only face pixels are shuffled, once for each face they lie in; both faces of a border meet in
+    pieces of about 256 x 256 pixels.
     """
-    faces = [((F.col(c) + 1) % size == 0) | (F.col(c) % size == 0) for c, size in block.items()]
-    px = cut(px.where(reduce(lambda a, b: a | b, faces)).select(*img, *block, id))
-    out = None
-    for axis in block:
-        axes = [c for c in block if c != axis]
-        sides = []
-        for name, at in (("src", (F.col(axis) + 1) % block[axis] == 0), ("dst", F.col(axis) % block[axis] == 0)):
-            face = px.where(at & (F.col(axis) > 0 if name == "dst" else F.col(axis) < shape[axis] - 1)).select(*img, axis, *axes, F.col(id).alias(name))
-            face = shrunk_face(face, block, shape, [*img, axis], axes, name) if shrink else face
-            sides.append(face.withColumn(axis, F.col(axis) - 1) if name == "dst" else face)
-        e = unfolded(sides[0]).join(sides[1], [*img, axis, *axes]).select("src", "dst").distinct()
-        out = e if out is None else out.union(e)
-    return out.distinct()
+    axes = {a: [c for c in block if c != a] for a in block}
+    faces = {a: (((F.col(a) + 1) % n == 0) & (F.col(a) < shape[a] - 1), (F.col(a) % n == 0) & (F.col(a) > 0)) for a, n in block.items()}
+    any_face = reduce(lambda p, q: p | q, [f for both in faces.values() for f in both])
+    px = cut(px.where(any_face).select(*img, *block, id))  # cheap to read again when a task is lost
+    sizes = lambda of: [[of[c] for c in axes[a]] + [1] * (2 - len(axes[a])) for a in block]
+    spans = {c: n * max(1, 256 // n) for c, n in block.items()}
+    rows = []
+    for k, (a, along) in enumerate(axes.items()):
+        u, v = ([F.col(c).cast("long") for c in along] + [F.lit(0).cast("long")])[:2]
+        piece = [F.floor(p / n) for p, n in zip((u, v), sizes(spans)[k], strict=True)]
+        for side in (0, 1):
+            names = dict(__axis=F.lit(k), __plane=F.col(a).cast("long") - side, __bu=piece[0], __bv=piece[1], __side=F.lit(side), __u=u, __v=v)
+            rows.append(F.when(faces[a][side], F.struct(*[c.alias(n) for n, c in names.items()])))
+    kind, keys = px.schema[id].dataType.simpleString(), [*img, "__axis", "__plane", "__bu", "__bv"]
+    sent = px.na.drop(subset=[*img, id]).select(*img, F.col(id).alias("__id"), F.explode(F.array_compact(F.array(*rows))).alias("__o")).select(*img, "__id", "__o.*")
+    sent = sent.repartition(*keys).sortWithinPartitions(*keys)
+    given = sizes(block), sizes(shape), sizes(spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, keys):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _met_faces(t, keys, *given, shrink)], ["src", "dst"])
+
+    return sent.mapInArrow(run, f"src {kind}, dst {kind}").distinct()
 
 
 def merge_volume(

@@ -85,3 +85,30 @@ def test_faces_of_a_labelled_volume(spark):
     assert plain == raw
     thin = {(p, q) for p, q in got - want}  # faces one pixel wide have no gradient of their own in the published rule
     assert want <= got and len(thin) <= len(raw)
+
+
+def test_faces_move_each_pixel_once(spark):
+    """Small blocks, several pieces and images, two dimensions; no joins and no copies to neighbours."""
+    rng = np.random.default_rng(4)
+    block, shape, met = {"y": 4, "x": 200}, {"y": 13, "x": 640}, set()
+    a = np.repeat(rng.integers(0, 3, (2, 13, 64)), 10, axis=2)
+    rows = [(int(i), int(y), int(x), int(a[i, y, x] + 10 * (y // 4) + 100 * (x // 200))) for i, y, x in zip(*np.nonzero(a))]
+    px = spark.createDataFrame(rows, "image_id long, y long, x long, gid long").repartition(3)
+    gid = {r[:3]: r[3] for r in rows}
+
+    def kept(i, y, x, axis):
+        """The id of a face pixel that stays; along a face of one axis."""
+        c, n, top = (x, 200, 640) if axis == "y" else (y, 4, 13)
+        at = lambda q: gid.get((i, y, q) if axis == "y" else (i, q, x), 0)
+        ok = lambda q: 0 <= q < top and q // n == c // n
+        flat = lambda q: at(q) and (at(q - 1) if ok(q) and 0 <= q - 1 and (q - 1) // n == q // n else at(q)) == (at(q + 1) if q + 1 < top and (q + 1) // n == q // n else at(q))
+        return at(c) if flat(c) and all(flat(q) for q in (c - 1, c + 1) if ok(q)) else 0
+
+    for i, y, x in gid:
+        for axis, n, to in (("y", 4, (i, y + 1, x)), ("x", 200, (i, y, x + 1))):
+            if ((y if axis == "y" else x) + 1) % n == 0 and to in gid and kept(i, y, x, axis) and kept(*to, axis):
+                met.add((gid[i, y, x], gid[to]))
+    found = volume.touching_faces(px, block, shape)
+    assert {(r["src"], r["dst"]) for r in found.collect()} == met and len(met) > 5
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(") == 2  # the pixels and the pairs
