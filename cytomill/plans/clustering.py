@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytomill.operators import clusters as cl
 from cytomill.operators import expression as ex
+from cytomill.operators import forest as fo
 from cytomill.operators import inference as inf
 from cytomill.plans.profiling import CVR, field_values
 from cytomill.session import cut
@@ -146,12 +147,9 @@ def _(t):
 
 @query("m08_object_classifier")
 def _(t):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    c = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_extendedprice") > 50000).cast("double").alias("y"))
-    v = VectorAssembler(inputCols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], outputCol="v").transform(c)
-    model = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=200, maxDepth=10, seed=1).fit(v)
-    return model.transform(v).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    c = t.lineitem.select(*features, (F.col("l_extendedprice") > 50000).cast("double").alias("y"))
+    return fo.forest_confusion(c, features, "y", trees=200, depth=10, seed=1)
 
 
 @query("j19_project_prediction", "select l_orderkey, l_linenumber, coalesce(quality + 1, 0)::bigint as class from lineitem left join labels on doc_id = l_partkey")
