@@ -11,17 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytomill.operators.ordered import quantiles, unfolded
+from cytomill.operators.ordered import counted_quantiles, unfolded
 from cytomill.session import cut
 
 
 def _thresholds(rows: DataFrame, feature: str, bins: int) -> list[float]:
-    """Split candidates: between all values when there are at most `bins`, else the exact quantiles."""
-    few = sorted(r[0] for r in rows.select(feature).distinct().limit(bins + 1).collect())
+    """Split candidates: between all values when there are at most `bins`, else the exact quantiles. The rows are counted per value once."""
+    counts = cut(rows.groupBy(feature).agg(F.count(F.lit(1)).alias("n")))
+    few = sorted(r[0] for r in counts.select(feature).limit(bins + 1).collect())
     if len(few) <= bins:
         return [(a + b) / 2 for a, b in pairwise(few)]
     at = {f"q{k}": k / bins for k in range(1, bins)}
-    return sorted(set(quantiles(rows, [], feature, at).select(*at).first()))
+    return sorted(set(counted_quantiles(counts, [], feature, "n", at).select(*at).first()))
 
 
 def grow_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int, classes: int, depth: int, tried: int, rng: np.random.Generator) -> np.ndarray:
@@ -70,13 +71,17 @@ def forest_confusion(
     replacement weigh Poisson(n), as each row drawn for itself. The cells are counted once; tasks then grow a few trees each
     from all cells. With more than `most` cells, which no task should hold, the trees grow level by level over the rows instead.
     """
+    from pyspark.ml.feature import Bucketizer
+
     features = list(features)
     known = lambda c: F.when(F.col(c).isNull() | F.isnan(c), F.raise_error(F.lit(f"{c} has missing values"))).otherwise(F.col(c)).alias(c)
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in (*features, label)]).select(*[known(c) for c in (*features, label)])
     cuts = [_thresholds(rows, c, bins) for c in features]
     cell = [f"__b{k}" for k in range(len(features))]
-    number = [sum([F.when(F.col(c) > t, 1).otherwise(0) for t in cs], F.lit(0)) for c, cs in zip(features, cuts, strict=True)]
-    cells = cut(rows.select(label, *[b.cast("int").alias(c) for b, c in zip(number, cell, strict=True)]).groupBy(label, *cell).agg(F.count(F.lit(1)).alias("n")))
+    finite = [[v for v in cs if math.isfinite(v)] or [0.0] for cs in cuts]  # any split does for a constant
+    splits = [[-math.inf, *[math.nextafter(v, math.inf) for v in cs], math.inf] for cs in finite]  # a bin ends with its threshold
+    binned = Bucketizer(splitsArray=splits, inputCols=features, outputCols=cell).transform(rows)
+    cells = cut(binned.select(label, *[F.col(c).cast("int").alias(c) for c in cell]).groupBy(label, *cell).agg(F.count(F.lit(1)).alias("n")))
     n, top = cells.agg(F.count(F.lit(1)), F.max(label)).first()
     if not n:
         return rows.select(label).withColumn("prediction", F.col(label)).withColumn("n", F.lit(0).cast("long")).limit(0)

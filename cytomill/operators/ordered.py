@@ -182,6 +182,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     return got.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], *probs)
 
 
+def counted_quantiles(df: DataFrame, keys: Sequence[str], value: str, count: str, probs: dict[str, float], bits: int = 8) -> DataFrame:
+    """`quantiles` of a table that has each value of a group once, with its count."""
+    keys, v = list(keys), finite(F.col(value))
+    got = _weighted_quantiles(df.where(v.isNotNull()).select(_key(keys).alias(KEY), v.alias("__v"), F.col(count).alias("__n")), probs, bits)
+    return got.select(*[F.col(f"{KEY}.{k}").alias(k) for k in keys], *probs)
+
+
 def _finite_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(key, value, n) of the finite values: all that order statistics need, counted before the shuffle."""
     v = finite(F.col(value))

@@ -27,8 +27,8 @@ def test_known_classes_by_both_routes(spark, most):
 def test_counted_rows_weigh_as_rows(spark):
     """Noisy labels: the majority of each cell decides, however many rows it has; the order of rows changes nothing."""
     few = spark.createDataFrame([(1.0, 0, 3), (1.0, 1, 40), (2.0, 0, 25), (2.0, 1, 2)], "a double, y long, k int")
-    df = few.selectExpr("a", "y", "explode(sequence(1, k)) as i")
-    got = [_confusion(forest.forest_confusion(d, ["a"], "y", trees=8, depth=2)) for d in (df, df.orderBy("i").repartition(5))]
+    df = few.selectExpr("a", "y", "7 as same", "explode(sequence(1, k)) as i")
+    got = [_confusion(forest.forest_confusion(d, ["a", "same"], "y", trees=8, depth=2)) for d in (df, df.orderBy("i").repartition(5))]
     assert got[0] == got[1] == {(0, 1): 3, (1, 1): 40, (0, 0): 25, (1, 0): 2}
 
 
